@@ -4,7 +4,8 @@ Each source's target (in words) follows from its weight; the rate
 ``target / source size`` is every document's expected number of copies. The
 documents of a source stand in order of size, their expected copies are
 prefix-summed, one offset per source is added, and a document is emitted once
-for each integer boundary that its interval crosses. Ordering by size makes the
+for each integer boundary that its interval crosses. The offset is, of 32 spread
+evenly behind a random one, that whose words come nearest the target. Ordering by size makes the
 taken words follow the target closely, because neighbours are of equal size.
 
 The prefix sum is two-level: rows are counted per (source, size bucket, salt)
@@ -26,6 +27,7 @@ from .common import WORD, cut, text_of
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
+OFFSETS = 32
 
 
 def _digest_fraction(prefix: str, c: Column) -> Column:
@@ -87,12 +89,23 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
         .select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("salt").alias("a"), "before", "source_size", "target", "rate", "u")
     )
     inside = Window.partitionBy(*chunk).orderBy("size", F.col("doc_id").asc_nulls_last())
-    n = F.col("before") + F.col("rn")
-    copies = F.floor(n * F.col("rate") + F.col("u")) - F.floor((n - 1) * F.col("rate") + F.col("u"))
+    on = F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")) & (F.col("salt") == F.col("a"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("rn", F.row_number().over(inside)).join(chunks, on).withColumn("n", F.col("before") + F.col("rn"))
+
+    def copies(u: Column) -> Column:
+        return F.floor(F.col("n") * F.col("rate") + u) - F.floor((F.col("n") - 1) * F.col("rate") + u)
+
+    # of OFFSETS offsets, evenly spread behind a random one, each source gets that whose words come nearest its target
+    shifts = [(F.col("u") + k / OFFSETS) % 1.0 for k in range(OFFSETS)]
+    sums = placed(base).groupBy("source", "target", "u").agg(*[F.sum(copies(u) * F.col("size")).alias(f"k{k}") for k, u in enumerate(shifts)])
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"k{k}") - F.col("target")), F.lit(k), u) for k, u in enumerate(shifts)]))
+    offsets = sums.select(F.col("source").alias("o"), best["col3"].alias("offset"))
     return (
-        rows.withColumn("rn", F.row_number().over(inside))
-        .join(chunks, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")) & (F.col("salt") == F.col("a")))
-        .withColumn("copies", copies)
+        placed(rows)
+        .join(offsets, F.col("source").eqNullSafe(F.col("o")))
+        .withColumn("copies", copies(F.col("offset")))
         .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *([] if payload is None else ["payload"]))
     )
 
@@ -121,7 +134,11 @@ lam AS (SELECT level AS lvl FROM s5 WHERE level <= ratio ORDER BY place LIMIT 1)
 tgt AS (SELECT source, source_size, least(cap, coalesce((SELECT lvl FROM lam), 0.0) * w) AS target,
           CAST(('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM s5),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, salt, size, doc_id NULLS LAST) AS n FROM keyed),
-rated AS (SELECT k.doc_id, k.size, k.n, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0::DOUBLE) ELSE 0 END AS rate
+rated AS (SELECT k.source, k.doc_id, k.size, k.n, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0::DOUBLE) ELSE 0 END AS rate
           FROM numbered k JOIN tgt t ON k.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST((floor(n * rate + u) - floor((n - 1) * rate + u)) * size AS BIGINT) AS taken FROM rated
+tried AS (SELECT source, target, k, fmod(u + k / 32.0::DOUBLE, 1.0::DOUBLE) AS v, sum((floor(n * rate + fmod(u + k / 32.0::DOUBLE, 1.0::DOUBLE)) - floor((n - 1) * rate + fmod(u + k / 32.0::DOUBLE, 1.0::DOUBLE))) * size) AS got
+          FROM rated, range(32) r(k) GROUP BY source, target, k, u),
+chosen AS (SELECT source, v FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(got - target), k) AS rn FROM tried) WHERE rn = 1)
+SELECT doc_id, size, source_size, target, CAST((floor(n * rate + v) - floor((n - 1) * rate + v)) * size AS BIGINT) AS taken
+FROM rated r JOIN chosen c ON r.source IS NOT DISTINCT FROM c.source
 """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, langid, licenses, mixing, secrets, sentencepiece
+from . import chat, exact_dedup, fingerprints, langid, licenses, mixing, near_dedup, secrets, sentencepiece, toxicity
 from .common import crc_fold, read
 
 
@@ -15,6 +15,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(read(spark, sf_dir, "documents")).drop("dig")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe(spark)))
 
@@ -41,6 +45,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return found.withColumn("held_out", F.coalesce(crc_fold() == 1, F.lit(False)))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.round_trip(read(spark, sf_dir, "documents"))
 
@@ -48,12 +58,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_near_dedup": op2_near_dedup,
         "op3_chat_format": op3_chat_format,
         "op4_language_id": op4_language_id,
         "op5_license_scan": op5_license_scan,
         "op6_fingerprint": op6_fingerprint,
         "op7_mix_sources": op7_mix_sources,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_toxicity": op9_toxicity,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
