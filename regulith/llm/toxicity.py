@@ -186,13 +186,15 @@ class Network:
             out[a : a + _BLOCK] = self._pool(np.concatenate([f, b], 2), mask)[0]
         return out
 
-    def step(self, words: Words, at: np.ndarray, mask: np.ndarray, y: np.ndarray, state: dict) -> None:
-        """One gradient step on windows of word numbers ``at[t, window]``."""
+    def step(self, words: Words, at: np.ndarray, mask: np.ndarray, y: np.ndarray, state: dict, keep: np.ndarray) -> None:
+        """One gradient step on windows of word numbers ``at[t, window]``; ``keep``: 0 or 1 for each word used."""
         p = self.p
         used, local = np.unique(at, return_inverse=True)
         local = local.reshape(at.shape)
         w = words.take(used)
         feats = self.features(w)
+        # what was learnt of single words and n-grams is left out at random, so the rows' own words are not learnt by heart
+        feats[:, 2:] *= keep[: len(used), None]
         x = feats[local]
         kf: list = []
         kb: list = []
@@ -223,6 +225,7 @@ class Network:
             p[name] -= RATE * 0.5 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         dw = np.zeros((len(used), _FEATURES), np.float32)
         np.add.at(dw, local.ravel(), dx.reshape(-1, _FEATURES))
+        dw[:, 2:] *= keep[: len(used), None]
         n = w.at[1:] - w.at[:-1]
         for name, rows, g in (
             ("words", _row(w.word, WORD_ROWS), dw[:, 2 : 2 + EMBED]),
@@ -310,7 +313,7 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Network:
         for _ in range(STEPS // EPOCHS if len(one) and len(zero) else 0):  # batches hold as many windows of either label
             i = np.concatenate([rng.choice(one, BATCH // 2), rng.choice(zero, BATCH // 2)])
             at, mask = _places(index, first[i], size[i])
-            net.step(words, at, mask, y[owner[i]], state)
+            net.step(words, at, mask, y[owner[i]], state, (rng.random(at.size) < 0.5).astype(np.float32))
     z = np.full(len(y), -np.inf)
     if len(first):
         np.maximum.at(z, owner, net.logits(net.features(words), index, first, size))
