@@ -76,7 +76,7 @@ def _grams(sym: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
     for n in range(1, order + 1):
         h = np.full(len(sym), n, np.uint64)
         for back in range(n - 1, -1, -1):
-            h = _mix(h, np.concatenate([np.zeros(back, np.uint64), sym[: len(sym) - back]]) if back else sym)
+            h = _mix(h, np.concatenate([np.zeros(back, np.uint64), sym])[: len(sym)])
         h[place < n - 1] = 0
         out.append(h)
     return out

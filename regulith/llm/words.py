@@ -29,7 +29,12 @@ def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
     flat = lists.flatten().dictionary_encode()
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
-    return flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False), ends
+    words, index = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
+    if "" in words:  # what stands before leading and behind trailing white space
+        real = index != words.index("")
+        ends = np.concatenate([[0], np.cumsum(real)])[ends]
+        index = index[real]
+    return words, index, ends
 
 
 def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
