@@ -1,0 +1 @@
+"""Document and compliance analytics as Spark DataFrame operators."""
