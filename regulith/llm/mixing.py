@@ -135,7 +135,7 @@ tgt AS (SELECT source, source_size, least(cap, coalesce((SELECT lvl FROM lam), 0
           CAST(('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM s5),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, salt, size, doc_id NULLS LAST) AS n FROM keyed),
 rated AS (SELECT k.source, k.doc_id, k.size, k.n, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0::DOUBLE) ELSE 0 END AS rate
-          FROM numbered k JOIN tgt t ON k.source IS NOT DISTINCT FROM t.source)
+          FROM numbered k JOIN tgt t ON k.source IS NOT DISTINCT FROM t.source),
 tried AS (SELECT source, target, k, fmod(u + k / 32.0::DOUBLE, 1.0::DOUBLE) AS v, sum((floor(n * rate + fmod(u + k / 32.0::DOUBLE, 1.0::DOUBLE)) - floor((n - 1) * rate + fmod(u + k / 32.0::DOUBLE, 1.0::DOUBLE))) * size) AS got
           FROM rated, range(32) r(k) GROUP BY source, target, k, u),
 chosen AS (SELECT source, v FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(got - target), k) AS rn FROM tried) WHERE rn = 1)
