@@ -1,6 +1,6 @@
 """Exact dedup by content sort.
 
-Sampled splitters range-partition the texts, the shuffle's external sort puts
+Sampled splitters (leading characters and a digest) range-partition the texts, the shuffle's external sort puts
 equal texts next to each other and the window over the sorted run compares
 whole neighbouring texts. A text that holds a large share of all rows would put
 all its copies into one range, so such texts (at most ``1 / hot_share`` of
@@ -24,6 +24,8 @@ from .common import text_of
 #: A text is hot from this share of all rows (and HOT_ROWS rows) on.
 HOT_SHARE = 1 / 1000
 HOT_ROWS = 500
+#: Code points of a text that splitters hold.
+LEADING = 32
 
 
 def mark_copies(docs: DataFrame, payload: Column | None = None, hot_share: float = HOT_SHARE, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -38,10 +40,13 @@ def mark_copies(docs: DataFrame, payload: Column | None = None, hot_share: float
     hot = [r.h for r in rows.groupBy("h").count().filter(F.col("count") >= least).select("h").collect()]
 
     cold = rows.filter(~F.col("h").isin(hot)) if hot else rows
-    run = Window.partitionBy("t")
+    # splitters are sampled on the leading bytes and a digest, so that what the driver gathers of them is small;
+    # both are functions of the text, and the window compares whole texts
+    run = Window.partitionBy("p", "h", "t")
     first = run.orderBy(F.col("doc_id").desc_nulls_last())
     out = (
-        cold.repartitionByRange("t")
+        cold.withColumn("p", F.substring("t", 1, LEADING))
+        .repartitionByRange("p", "h")
         .withColumn("rn", F.row_number().over(first))
         .withColumn("keep_id", F.first("doc_id").over(first))
         .withColumn("group_size", F.count(F.lit(1)).over(run))
