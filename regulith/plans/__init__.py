@@ -1,3 +1,3 @@
 """The registered queries, by theme."""
 
-from . import aggregates, relational  # noqa: F401
+from . import aggregates, relational, texts  # noqa: F401
