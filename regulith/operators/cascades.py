@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from types import ModuleType
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import UNICODE, clip01, spaces
@@ -88,12 +88,18 @@ def limited_status(policy: Column, status: Column) -> Column:
     return F.when(policy.startswith("EXTRACT_LIMITED") & (status == "DRAFT"), "TO_VALIDATE").otherwise(status)
 
 
-def unit_class(text: Column, label: Column | None = None, source: Column | None = None, lex: ModuleType = fr, high: float = 0.68, low: float = 0.32) -> Column:
-    """UN2, MA1: priority of a unit from the sigmoid of normative less descriptive weights, with safeguards for strong and for mixed units."""
+def classify_units(df: DataFrame, text: str = "text", out: str = "unit", label: Column | None = None, source: Column | None = None, lex: ModuleType = fr, high: float = 0.68, low: float = 0.32) -> DataFrame:
+    """UN2: add the unit's class. The patterns are matched once, in a column of their own, and the rules read that."""
     lower = F.lower(text)
+    df = df.withColumn("_norm", F.array(*[hit(lower, p) for _, p, _ in lex.NORMATIVE])).withColumn("_desc", F.array(*[hit(lower, p) for _, p, _ in lex.DESCRIPTIVE]))
+    return df.withColumn(out, unit_class(F.col(text), label, source, lex, high, low, F.col("_norm"), F.col("_desc"))).drop("_norm", "_desc")
+
+
+def unit_class(text: Column, label: Column | None, source: Column | None, lex: ModuleType, high: float, low: float, norm_hits: Column, desc_hits: Column) -> Column:
+    """MA1: priority of a unit from the sigmoid of normative less descriptive weights, with safeguards for strong and for mixed units."""
     label, source = label if label is not None else F.lit(None).cast("string"), source if source is not None else F.lit(None).cast("string")
-    norm = [(hit(lower, p), n, w) for n, p, w in lex.NORMATIVE]
-    desc = [(hit(lower, p), n, w) for n, p, w in lex.DESCRIPTIVE]
+    norm = [(norm_hits[i], n, w) for i, (n, _, w) in enumerate(lex.NORMATIVE)]
+    desc = [(desc_hits[i], n, w) for i, (n, _, w) in enumerate(lex.DESCRIPTIVE)]
     strong = F.lit(False)
     for c, n, _ in norm:
         if n in lex.STRONG_NORMATIVE:

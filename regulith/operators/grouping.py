@@ -1,0 +1,166 @@
+"""Order-dependent dedup and grouping of statements within one document.
+
+A document's statements come from one text, so a group is never larger than
+one input row; the documents are what is spread over the cluster. Order is the
+explicit ``seq``, so the result does not depend on how rows arrive.
+"""
+
+from __future__ import annotations
+
+import difflib
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+_TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
+
+
+def ratio(a: str, b: str) -> float:
+    """SIM4: Ratcliff-Obershelp similarity of two texts, four places; 0 if one is empty."""
+    a, b = " ".join((a or "").lower().split()), " ".join((b or "").lower().split())
+    return round(difflib.SequenceMatcher(None, a, b).ratio(), 4) if a and b else 0.0
+
+
+@F.pandas_udf(DoubleType())
+def char_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def tokens(text: str) -> frozenset[str]:
+    return frozenset(_TOKEN.findall((text or "").lower()))
+
+
+def prefix_duplicate(a: str, b: str, prefix: int = 78, share: float = 0.56) -> bool:
+    """SIM7: equal for ``prefix`` characters, and enough words shared by what follows."""
+    a, b = " ".join(a.lower().split()), " ".join(b.lower().split())
+    if min(len(a), len(b)) < prefix or a[:prefix] != b[:prefix]:
+        return False
+    x, y = tokens(a), tokens(b)
+    return len(x & y) >= share * max(len(x | y), 1)
+
+
+def overlap_duplicate(a: str, b: str) -> bool:
+    """SIM8: words 0.88 and characters 0.82, or characters 0.95, or the shorter text within the longer."""
+    x, y = tokens(a), tokens(b)
+    if not x or not y:
+        return False
+    if len(x & y) < 0.5 * min(len(x), len(y)):  # none of the three can hold
+        return False
+    short, long = sorted((" ".join(a.lower().split()), " ".join(b.lower().split())), key=len)
+    if len(short) >= 35 and short in long:
+        return True
+    if len(x & y) / len(x | y) >= 0.88:
+        return ratio(a, b) >= 0.82
+    return ratio(a, b) >= 0.95
+
+
+def keep_first(df: DataFrame, key: str = "doc_id", kind: str = "kind", seq: str = "seq", text: str = "text", least: int = 35) -> DataFrame:
+    """DD2, DD3: in order, a statement goes if one kept before it, of its kind, is the same, a prefix duplicate or a high overlap. Short ones need to be the same."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(seq)
+        kept: dict[str, list[tuple[int, str]]] = {}
+        of, why = [], []
+        for s, k, t in zip(group[seq], group[kind], group[text], strict=True):
+            before, found, reason = kept.setdefault(k, []), s, "KEPT"
+            norm = " ".join((t or "").lower().split())
+            for other, text_of in before:
+                if norm == " ".join(text_of.lower().split()):
+                    found, reason = other, "EXACT"
+                elif len(norm) >= least and prefix_duplicate(t, text_of):
+                    found, reason = other, "PREFIX"
+                elif len(norm) >= least and overlap_duplicate(t, text_of):
+                    found, reason = other, "OVERLAP"
+                if reason != "KEPT":
+                    break
+            if reason == "KEPT":
+                before.append((s, t or ""))
+            of.append(found)
+            why.append(reason)
+        return pd.DataFrame({key: group[key], seq: group[seq], "kept_seq": of, "reason": why})
+
+    return df.select(key, kind, seq, text).groupBy(key).applyInPandas(run, f"{key} long, {seq} long, kept_seq long, reason string")
+
+
+def resolve_groups(df: DataFrame, key: str = "doc_id", least: float = 0.9) -> DataFrame:
+    """GR7, RES6, RES7: greedy groups of like statements; the representative is the best by status, then confidence; the group's type is its most frequent.
+
+    Rows: ``doc_id, seq, kind, text, status, confidence``.
+    """
+    ranks = {"PROMOTED": 3, "DRAFT": 2, "TO_VALIDATE": 1}
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("seq").reset_index(drop=True)
+        heads: list[tuple[int, str, str]] = []
+        label = []
+        for s, k, t in zip(group["seq"], group["kind"], group["text"], strict=True):
+            for g, (_, hk, ht) in enumerate(heads):
+                if t == ht or (k == hk and (prefix_duplicate(t, ht) or overlap_duplicate(t, ht))) or (abs(len(t) - len(ht)) <= 0.2 * max(len(t), len(ht)) and len(tokens(t) & tokens(ht)) >= 0.6 * len(tokens(ht)) and ratio(t, ht) >= least):
+                    label.append(g)
+                    break
+            else:
+                heads.append((s, k, t))
+                label.append(len(heads) - 1)
+        group["g"] = label
+        rows = []
+        for _, x in group.groupby("g"):
+            best = min(x.itertuples(), key=lambda r: (-ranks.get(r.status, 0), -r.confidence, r.seq))
+            kinds = x["kind"].value_counts()
+            top = sorted(kinds[kinds == kinds.max()].index)[0]
+            rows.append((best.doc_id, int(x["seq"].min()), int(best.seq), top, len(x), bool(len(kinds) > 1)))
+        return pd.DataFrame(rows, columns=[key, "first_seq", "representative", "kind", "members", "type_conflict"])
+
+    return df.groupBy(key).applyInPandas(run, f"{key} long, first_seq long, representative long, kind string, members int, type_conflict boolean")
+
+
+def best_snippet(requirement: str, chunk: str, least: float = 0.18, most: int = 420) -> tuple[str, float]:
+    """CF3: the sentence of the chunk that shares most words with the requirement, with small bonuses for conditions and penalties for length; empty below ``least``."""
+    want = tokens(requirement)
+    best, top = "", 0.0
+    for s in re.split(r"(?<=[.;!?])\s+|\n+", chunk or ""):
+        words = tokens(s)
+        if not words or not want:
+            continue
+        score = len(words & want) / len(words | want) + (0.12 if "," in s else 0.0) - (0.1 if len(s) > most else 0.0)
+        if score > top or (score == top and len(s) < len(best)):
+            best, top = s.strip(), score
+    return (best[:most], round(top, 4)) if top >= least else ("", round(top, 4))
+
+
+def snippets(df: DataFrame, requirement: str = "requirement", chunk: str = "chunk") -> DataFrame:
+    """CF3, UN-side of GR1: ``snippet, snippet_score`` for each row."""
+
+    @F.pandas_udf("snippet string, snippet_score double")
+    def pick(r: pd.Series, c: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([best_snippet(x, y) for x, y in zip(r, c, strict=True)], columns=["snippet", "snippet_score"])
+
+    return df.withColumn("s", pick(requirement, chunk)).select(*df.columns, "s.snippet", "s.snippet_score")
+
+
+def rewrite(text: str, subject: str, kind: str) -> list[str]:
+    """CF4: statements of one obligation each: fused ones are split at their second modal, a missing subject is put in front."""
+    parts = re.split(r"\s+(?:et|and|und|y)\s+(?=(?:doit|doivent|must|muss|debe)\b)", " ".join((text or "").split()))
+    out = []
+    for p in parts:
+        if re.match(r"(?i)(?:doit|doivent|must|muss|debe)\b", p):
+            p = f"{subject} {p}"
+        if kind == "INTERDICTION":
+            p = re.sub(r"(?i)\b(doit|must)\s+(?!not|pas)", lambda m: m[0], p)
+        out.append(p[:1].upper() + p[1:].rstrip(" ;,"))
+    return out
+
+
+FIXES = {"RETRY_SPLIT": lambda r: "; ".join(rewrite(r, "", "OBLIGATION")), "REBUILD_SNIPPET": lambda r: best_snippet(r, r)[0] or r, "REGROUND": lambda r: re.sub(r"\s*\([^)]*\)", "", r), "RESUBJECT": lambda r: re.sub(r"(?i)^(il|elle|ils|elles|it|they)\b", "L'entreprise", r)}
+
+
+def apply_fixes(df: DataFrame, text: str = "text", action: str = "action") -> DataFrame:
+    """EM5: the text after the fix that the error memory asks for; unknown fixes leave it."""
+
+    @F.pandas_udf("string")
+    def fix(t: pd.Series, a: pd.Series) -> pd.Series:
+        return pd.Series([FIXES[y](x) if y in FIXES and x else x for x, y in zip(t, a, strict=True)])
+
+    return df.withColumn("fixed", fix(text, action))

@@ -234,8 +234,7 @@ def _units_sql() -> str:
 
 
 def units(spark: SparkSession, d: str) -> DataFrame:
-    x = lines(spark, d)
-    return x.withColumn("u", ca.unit_class(F.col("text"), lex=test_lexicon)).select("doc_id", "line_no", "lang", "source", "text", "u.priority", "u.score", "u.strong", "u.rules")
+    return ca.classify_units(lines(spark, d), out="u", lex=test_lexicon).select("doc_id", "line_no", "lang", "source", "text", "u.priority", "u.score", "u.strong", "u.rules")
 
 
 @query("unit_classes", f"WITH {_units_sql()} SELECT doc_id, line_no, priority, score, strong FROM units")
