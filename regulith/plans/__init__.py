@@ -1,3 +1,3 @@
 """The registered queries, by theme."""
 
-from . import aggregates, relational, segments, texts  # noqa: F401
+from . import aggregates, relational, segments, streams, texts  # noqa: F401
