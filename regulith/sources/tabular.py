@@ -38,14 +38,18 @@ _TYPED = {"string": lambda c: F.nullif(F.trim(c), F.lit("")), "int": tx.to_int,
 
 def canonical_header(name: str) -> str:
     """SRC9: folded, lower, ``%`` as pct, everything else as single underscores, then the alias."""
-    plain = unicodedata.normalize("NFKD", name.lstrip("﻿")).encode("ascii", "ignore").decode().lower().replace("%", " pct ")
-    out = "_".join("".join(c if c.isalnum() else " " for c in plain).split())
+    out = _plain_name(name)
     return HEADER_ALIASES.get(out, out)
 
 
+def _plain_name(name: str) -> str:
+    plain = unicodedata.normalize("NFKD", name.lstrip("﻿")).encode("ascii", "ignore").decode().lower().replace("%", " pct ")
+    return "_".join("".join(c if c.isalnum() else " " for c in plain).split())
+
+
 def dataset(name: str) -> str:
     """SRC10."""
-    key = canonical_header(name)
+    key = _plain_name(name)
     key = DATASET_ALIASES.get(key, key)
     if key not in DATASETS:
         raise ValueError(f"unknown dataset {name!r}")
@@ -66,17 +70,26 @@ def sniff(spark: SparkSession, path: str, sample: int = 2048) -> tuple[str, str]
     return encoding, max(",;\t", key=line.count)
 
 
+#: What Windows writes where Latin-1 has control characters; Spark reads Latin-1 only.
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+_WINDOWS = bytes(range(0x80, 0xA0)).decode("cp1252", "replace").replace("\ufffd", "?")
+
+
+def _decoded(c: Column, encoding: str) -> Column:
+    return F.translate(c, _C1, _WINDOWS) if encoding == "cp1252" else c
+
+
 def read_register(spark: SparkSession, path: str, name: str) -> DataFrame:
     """SRC7, SRC9, SRC10, ST10: a register with canonical, typed columns; missing ones are null, all-blank rows go, credentials are not read."""
     schema = DATASETS[dataset(name)]
     encoding, sep = sniff(spark, path)
-    raw = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True, quote='"', escape='"')
+    raw = spark.read.csv(path, header=True, sep=sep, encoding="utf-8" if encoding == "utf-8" else "iso-8859-1", multiLine=True, quote='"', escape='"')
     raw = raw.toDF(*[f"c{i}" for i in range(len(raw.columns))]), [canonical_header(c) for c in raw.columns]
     df, names = raw
     at: dict[str, Column] = {}
     for i, n in enumerate(names):
         if n not in SECRET:
-            at.setdefault(n, F.col(f"c{i}"))
+            at.setdefault(n, _decoded(F.col(f"c{i}"), encoding))
     df = df.filter(F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in df.columns]).isNotNull())
     return df.select(*[(_TYPED[t](at[n]) if n in at else F.lit(None).cast({"int": "bigint", "float": "double", "date": "date", "bool": "boolean", "list": "array<string>"}.get(t, "string"))).alias(n) for n, t in schema.items()])
 
