@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +25,13 @@ def ratio(a: str, b: str) -> float:
     return round(difflib.SequenceMatcher(None, a, b).ratio(), 4) if a and b else 0.0
 
 
+def alike(a: str, b: str, limit: float) -> bool:
+    """Whether ``ratio`` reaches the limit, from its cheap upper bounds where they settle it."""
+    a, b = " ".join((a or "").lower().split()), " ".join((b or "").lower().split())
+    m = difflib.SequenceMatcher(None, a, b)
+    return bool(a and b) and m.real_quick_ratio() >= limit and m.quick_ratio() >= limit and round(m.ratio(), 4) >= limit
+
+
 @F.pandas_udf(DoubleType())
 def char_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)])
@@ -53,8 +61,35 @@ def overlap_duplicate(a: str, b: str) -> bool:
     if len(short) >= 35 and short in long:
         return True
     if len(x & y) / len(x | y) >= 0.88:
-        return ratio(a, b) >= 0.82
-    return ratio(a, b) >= 0.95
+        return alike(a, b, 0.82)
+    return alike(a, b, 0.95)
+
+
+class Seen:
+    """Statements seen so far, found again by the words they share: every like pair of ours shares half of the shorter's words."""
+
+    def __init__(self):
+        self.norm: list[str] = []
+        self.words: list[frozenset[str]] = []
+        self.by_word: dict[str, list[int]] = {}
+        self.by_norm: dict[str, int] = {}
+
+    def add(self, text: str) -> None:
+        n, w, i = " ".join((text or "").lower().split()), tokens(text), len(self.norm)
+        self.norm.append(n)
+        self.words.append(w)
+        self.by_norm.setdefault(n, i)
+        for x in w:
+            self.by_word.setdefault(x, []).append(i)
+
+    def near(self, text: str) -> list[int]:
+        """Numbers of the statements that may be like the text, in order; an equal one always."""
+        w = tokens(text)
+        shared = Counter(i for x in w for i in self.by_word.get(x, ()))
+        found = {i for i, n in shared.items() if n >= 0.5 * min(len(w), len(self.words[i]))}
+        if (same := self.by_norm.get(" ".join((text or "").lower().split()))) is not None:
+            found.add(same)
+        return sorted(found)
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", kind: str = "kind", seq: str = "seq", text: str = "text", least: int = 35) -> DataFrame:
@@ -62,13 +97,16 @@ def keep_first(df: DataFrame, key: str = "doc_id", kind: str = "kind", seq: str
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(seq)
-        kept: dict[str, list[tuple[int, str]]] = {}
+        kept: dict[str, tuple[Seen, list[tuple[int, str]]]] = {}
         of, why = [], []
         for s, k, t in zip(group[seq], group[kind], group[text], strict=True):
-            before, found, reason = kept.setdefault(k, []), s, "KEPT"
-            norm = " ".join((t or "").lower().split())
-            for other, text_of in before:
-                if norm == " ".join(text_of.lower().split()):
+            t = t or ""
+            seen, before = kept.setdefault(k, (Seen(), []))
+            found, reason = s, "KEPT"
+            norm = " ".join(t.lower().split())
+            for i in seen.near(t):
+                other, text_of = before[i]
+                if norm == seen.norm[i]:
                     found, reason = other, "EXACT"
                 elif len(norm) >= least and prefix_duplicate(t, text_of):
                     found, reason = other, "PREFIX"
@@ -77,7 +115,8 @@ def keep_first(df: DataFrame, key: str = "doc_id", kind: str = "kind", seq: str
                 if reason != "KEPT":
                     break
             if reason == "KEPT":
-                before.append((s, t or ""))
+                seen.add(t)
+                before.append((s, t))
             of.append(found)
             why.append(reason)
         return pd.DataFrame({key: group[key], seq: group[seq], "kept_seq": of, "reason": why})
@@ -94,15 +133,17 @@ def resolve_groups(df: DataFrame, key: str = "doc_id", least: float = 0.9) -> Da
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("seq").reset_index(drop=True)
-        heads: list[tuple[int, str, str]] = []
-        label = []
-        for s, k, t in zip(group["seq"], group["kind"], group["text"], strict=True):
-            for g, (_, hk, ht) in enumerate(heads):
-                if t == ht or (k == hk and (prefix_duplicate(t, ht) or overlap_duplicate(t, ht))) or (abs(len(t) - len(ht)) <= 0.2 * max(len(t), len(ht)) and len(tokens(t) & tokens(ht)) >= 0.6 * len(tokens(ht)) and ratio(t, ht) >= least):
+        seen, heads, label = Seen(), [], []
+        for k, t in zip(group["kind"], group["text"], strict=True):
+            t = t or ""
+            for g in seen.near(t):
+                hk, ht = heads[g]
+                if t == ht or (k == hk and (prefix_duplicate(t, ht) or overlap_duplicate(t, ht))) or (abs(len(t) - len(ht)) <= 0.2 * max(len(t), len(ht)) and alike(t, ht, least)):
                     label.append(g)
                     break
             else:
-                heads.append((s, k, t))
+                seen.add(t)
+                heads.append((k, t))
                 label.append(len(heads) - 1)
         group["g"] = label
         rows = []
