@@ -79,6 +79,43 @@ def document_gate(title: Column, preview: Column, articles: Column, lex: ModuleT
     )
 
 
+def article_gate(title: Column, label: Column, text: Column, document_policy: Column, lex: ModuleType = fr) -> Column:
+    """DG2: policy of an article, by its title, label, first 2400 characters, and what its document inherits."""
+    label, body = _plain(label), _plain(text)
+    preview = F.substring(body, 1, 2400)
+    both = spaces(F.concat_ws(" ", _plain(title), label, preview))
+    people, acts, norms, bodies = hits(both, lex.NAMED_PERSON), hits(both, lex.INDIVIDUAL), hits(both, lex.NORMATIVE_CORE), hits(both, lex.INSTITUTIONAL)
+    strong_norms = hits(both, lex.STRONG_NORMATIVE_ARTICLE)
+    personal, standard = hit(both, lex.STRONG_INDIVIDUAL), hit(label, lex.STANDARD_LABEL)
+    annex, contest, board = hit(both, lex.ANNEX_DATA), hit(both, lex.CONCOURS), hit(both, lex.COMMISSION)
+    policy = F.upper(F.trim(F.coalesce(document_policy, F.lit(""))))
+    d = _decision
+    return first_match(
+        [
+            (hit(both, lex.SUMMARY_NOTICE) | hit(label, lex.SUMMARY_LABEL), d("DROP", "SUMMARY_NOTICE", 0.99, "ARTICLE_SUMMARY_NOTICE")),
+            (text.rlike(UNICODE + lex.SUMMARY_LAYOUT) & (norms == 0), d("DROP", "SUMMARY_NOTICE", 0.97, "ARTICLE_SUMMARY_NOTICE")),
+            (hit(both, lex.ARABIC_ONLY), d("TO_VALIDATE_SOURCE_MISSING", "SOURCE_MISSING", 0.99, "ARTICLE_SOURCE_ARABIC_ONLY")),
+            (hit(both, lex.META_SCOPE) & (norms == 0) & (strong_norms == 0), d("DROP", "META_SCOPE_ARTICLE", 0.9, "ARTICLE_META_SCOPE_ONLY")),
+            ((people >= 1) & personal & (bodies == 0), d("DROP", "INDIVIDUAL_ACT", 0.96, "ARTICLE_INDIVIDUAL_ACT", "ARTICLE_NAMED_PERSON")),
+            (personal & (norms <= 1) & (bodies == 0), d("DROP", "INDIVIDUAL_ACT", 0.92, "ARTICLE_INDIVIDUAL_ACT")),
+            ((acts >= 1) & (people >= 1) & (norms <= 2) & (bodies == 0), d("DROP", "INDIVIDUAL_ACT", 0.95, "ARTICLE_INDIVIDUAL_ACT", "ARTICLE_NAMED_PERSON")),
+            ((acts >= 2) & (norms == 0) & (bodies == 0), d("DROP", "INDIVIDUAL_ACT", 0.9, "ARTICLE_INDIVIDUAL_ACT")),
+            (annex & (norms == 0), d("EXTRACT_LIMITED_DATA", "ANNEX_DATA", 0.87, "ARTICLE_ANNEX_TABLE_DATA")),
+            (annex & standard & ((strong_norms >= 1) | (norms >= 2) | (bodies >= 1)), d("EXTRACT_FULL", "NORMATIVE_ARTICLE", 0.76, "ARTICLE_ANNEX_NORMATIVE_OVERRIDE")),
+            (annex, d("EXTRACT_LIMITED", "ANNEX_DATA_MIXED", 0.72, "ARTICLE_ANNEX_MIXED_NORMATIVE")),
+            (contest & (norms >= 2), d("EXTRACT_FULL", "NORMATIVE_ARTICLE", 0.73, "ARTICLE_CONCOURS_NORMATIVE")),
+            (contest, d("EXTRACT_LIMITED", "PROCEDURAL_ACT", 0.7, "ARTICLE_CONCOURS_PROCEDURAL")),
+            (board & (norms == 0), d("EXTRACT_LIMITED", "GOVERNANCE_ACT", 0.72, "ARTICLE_COMMISSION_GOVERNANCE")),
+            (board, d("EXTRACT_FULL", "NORMATIVE_ARTICLE", 0.71, "ARTICLE_COMMISSION_NORMATIVE")),
+            (norms > 0, d("EXTRACT_FULL", "NORMATIVE_ARTICLE", 0.74, "ARTICLE_NORMATIVE")),
+            ((policy == "EXTRACT_LIMITED") & (F.length(preview) >= 700), d("EXTRACT_FULL", "SOFT_FULL_ARTICLE", 0.59, "ARTICLE_INHERIT_DOC_LIMITED_SOFT")),
+            (policy == "EXTRACT_LIMITED", d("EXTRACT_LIMITED", "PROCEDURAL_ACT", 0.61, "ARTICLE_INHERIT_DOC_LIMITED")),
+            (policy == "EXTRACT_LIMITED_DATA", d("EXTRACT_LIMITED_DATA", "ANNEX_DATA", 0.61, "ARTICLE_INHERIT_DOC_DATA")),
+        ],
+        d("EXTRACT_FULL", "UNKNOWN", 0.55, "ARTICLE_DEFAULT_FULL"),
+    )
+
+
 def limited_actionable(text: Column, lex: ModuleType = fr) -> Column:
     """DG3: whether a unit of a limited document is worth extraction."""
     return hit(text, lex.NORMATIVE_CORE) | hit(text, lex.LIMITED_ACTIONABLE) | (text.contains(":") & text.rlike(r"(?m)^\s*(?:[-*•]|[a-z]\)|\d+[).])\s+"))
@@ -210,6 +247,39 @@ def headcount_rule(low: Column, high: Column, headcount: Column) -> Column:
     return first_match([((headcount < low), s("NON_APPLICABLE", 0.96, "HEADCOUNT_MIN")), ((headcount > high), s("NON_APPLICABLE", 0.95, "HEADCOUNT_MAX")), ((headcount >= low) & high.isNull(), s("APPLICABLE", 0.96, "HEADCOUNT_MIN")), ((headcount <= high) & low.isNull(), s("APPLICABLE", 0.95, "HEADCOUNT_MAX"))], F.lit(None))
 
 
+def applicability_rules(sectors: Column, sector: Column, cued: Column, chemical: Column, exposed: Column, theme: Column, active: Column, institutional: Column) -> Column:
+    """RU1, rules two to five: a single sector with a scope cue, chemical exposure, activity theme, institutional actor; null if none decides."""
+    s = lambda v, c, r: F.struct(F.lit(v).alias("status"), F.lit(c).alias("confidence"), F.lit(r).alias("rule"))
+    single = (F.size(sectors) == 1) & cued
+    return first_match(
+        [
+            (single & (sectors[0] == sector), s("APPLICABLE", 0.91, "SECTOR")),
+            (single, s("NON_APPLICABLE", 0.90, "SECTOR")),
+            (chemical & exposed, s("APPLICABLE", 0.88, "CHEMICAL")),
+            (theme & active, s("APPLICABLE", 0.86, "ACTIVITY")),
+            (institutional, s("NON_APPLICABLE", 0.95, "INSTITUTIONAL")),
+        ],
+        F.lit(None),
+    )
+
+
+def routed_levels(kind: Column, domain: Column, text: Column, by_kind: dict[str, tuple[str, ...]], by_domain: dict[str, tuple[str, ...]], lex: ModuleType = fr) -> Column:
+    """SC2: levels at which a requirement is evaluated: by type, else by domain, else by the cues in its text; null means all."""
+    names = lambda levels: F.array(*map(F.lit, levels))
+    cues = named([(hit(text, p), n) for n, p in lex.LEVEL_CUES])
+    rules = [(kind == k, names(v)) for k, v in by_kind.items()] + [(domain == k, names(v)) for k, v in by_domain.items()] + [(F.size(cues) > 0, cues)]
+    return first_match(rules, F.lit(None))
+
+
+def job_state(failed: Column, running: Column, done: Sequence[tuple[str, Column]]) -> Column:
+    """JB1: a job's state and the last stage, in the stages' order, that is done."""
+    stage = F.lit("NONE")
+    for name, cond in done:
+        stage = F.when(cond, name).otherwise(stage)
+    finished = done[-1][1]
+    return F.struct(F.when(failed, "FAILED").when(finished, "DONE").when(running, "RUNNING").otherwise("QUEUED").alias("state"), stage.alias("stage"))
+
+
 def quality_gate(status: Column, conf: Column, missing: Column, floor: Column) -> Column:
     """RU2: without a field or below its type's floor a decision is uncertain, at 0.55 at most."""
     bad = missing | (conf < floor)

@@ -672,3 +672,62 @@ def grounding_scores(spark: SparkSession, d: str) -> DataFrame:
 def few_lines_first(spark: SparkSession, d: str) -> DataFrame:
     """RES11: the first line of each document that is not empty."""
     return first_per(lines(spark, d).filter(F.length(F.trim("text")) > 0), ["doc_id"], [F.col("line_no")]).select("doc_id", "line_no")
+
+
+@query("article_gate")
+def article_gate(spark: SparkSession, d: str) -> DataFrame:
+    """DG2 with the domain's rules over chat texts as articles (checked on sentences of each branch)."""
+    t = F.coalesce("text", F.lit(""))
+    g = table(spark, d, "conversations").select("conv_id", "turn", ca.article_gate(F.col("role"), F.concat(F.lit("Article "), F.col("turn").cast("string")), t, F.when(F.col("conv_id") % 2 == 0, "EXTRACT_LIMITED").otherwise("EXTRACT_FULL")).alias("g"))
+    return g.select("conv_id", "turn", "g.policy", "g.document_type", "g.confidence")
+
+
+@query(
+    "scope_contexts",
+    """WITH s AS (SELECT n_nationkey AS site_id, n_name AS site, coalesce(nullif(r_name, ''), 'ORGANIZATION') AS organisation FROM nation LEFT JOIN region ON n_regionkey = r_regionkey),
+       p AS (SELECT c_nationkey AS site_id, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS processes, count(*) AS people FROM customer GROUP BY 1), e AS (SELECT s_nationkey AS site_id, count(*) AS equipment FROM supplier GROUP BY 1)
+       SELECT s.site_id, organisation, site, coalesce(processes, '') AS processes, coalesce(people, 0) AS people, coalesce(equipment, 0) AS equipment FROM s LEFT JOIN p USING (site_id) LEFT JOIN e USING (site_id)""",
+)
+def scope_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """SC1: context of each site: labels with fall-backs, processes as a set, counts of what belongs to it."""
+    s = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    s = s.select(F.col("n_nationkey").alias("site_id"), F.coalesce(F.nullif("r_name", F.lit("")), F.lit("ORGANIZATION")).alias("organisation"), F.col("n_name").alias("site"))
+    p = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("site_id")).agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("processes"), F.count("*").alias("people"))
+    e = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("site_id")).agg(F.count("*").alias("equipment"))
+    j = s.join(p, "site_id", "left").join(e, "site_id", "left")
+    return j.select("site_id", "organisation", "site", F.coalesce("processes", F.lit("")).alias("processes"), F.coalesce("people", F.lit(0)).alias("people"), F.coalesce("equipment", F.lit(0)).alias("equipment"))
+
+
+@query(
+    "scope_routing",
+    f"""WITH {REQUIREMENTS_SQL} SELECT CASE WHEN req_type = 'INTERDICTION' THEN 'SITE,ACTIVITY' WHEN domain = 'SST' THEN 'ACTIVITY' WHEN domain = 'ENVIRONNEMENT' THEN 'SITE,PROCESS' ELSE 'ALL' END AS levels, count(*) AS n FROM requirements GROUP BY 1""",
+)
+def scope_routing(spark: SparkSession, d: str) -> DataFrame:
+    """SC2."""
+    levels = ca.routed_levels(F.col("req_type"), F.col("domain"), F.lit(""), {"INTERDICTION": ("SITE", "ACTIVITY")}, {"SST": ("ACTIVITY",), "ENVIRONNEMENT": ("SITE", "PROCESS")})
+    return requirements(spark, d).groupBy(F.coalesce(F.array_join(levels, ","), F.lit("ALL")).alias("levels")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "sector_rules",
+    """WITH r AS (SELECT p_partkey, p_type, p_size, CASE WHEN p_size % 4 = 0 THEN 1 WHEN p_size % 4 = 1 THEN 2 WHEN p_size % 4 = 2 THEN 3 END AS k FROM part)
+       SELECT p_partkey, CASE k WHEN 1 THEN CASE WHEN p_type = 'ECONOMY' THEN 'APPLICABLE' ELSE 'NON_APPLICABLE' END WHEN 2 THEN 'APPLICABLE' ELSE 'NON_APPLICABLE' END AS status, CASE k WHEN 1 THEN 'SECTOR' WHEN 2 THEN 'CHEMICAL' ELSE 'INSTITUTIONAL' END AS rule FROM r WHERE k IS NOT NULL""",
+)
+def sector_rules(spark: SparkSession, d: str) -> DataFrame:
+    """RU1, rules two to five."""
+    k = F.col("p_size") % 4
+    r = ca.applicability_rules(F.array("p_type"), F.lit("ECONOMY"), k == 0, k == 1, F.lit(True), F.lit(False), F.lit(False), k == 2)
+    return table(spark, d, "part").select("p_partkey", r.alias("r")).filter("r IS NOT NULL").select("p_partkey", "r.status", "r.rule")
+
+
+@query(
+    "job_states",
+    """WITH j AS (SELECT user_id AS job, count(*) FILTER (WHERE event_type = 'error') > 8 AS failed, count(*) FILTER (WHERE event_type = 'view') > 0 AS running, count(*) FILTER (WHERE event_type = 'signup') > 10 AS a1, count(*) FILTER (WHERE event_type = 'click') > 14 AS a2, count(*) FILTER (WHERE event_type = 'purchase') > 14 AS a3 FROM events GROUP BY 1)
+       SELECT job, CASE WHEN failed THEN 'FAILED' WHEN a3 THEN 'DONE' WHEN running THEN 'RUNNING' ELSE 'QUEUED' END AS state, CASE WHEN a3 THEN 'A3' WHEN a2 THEN 'A2' WHEN a1 THEN 'A1' ELSE 'NONE' END AS stage FROM j""",
+)
+def job_states(spark: SparkSession, d: str) -> DataFrame:
+    """JB1 over counts of a job's events."""
+    n = lambda e: F.count_if(F.col("event_type") == e)
+    j = table(spark, d, "events").groupBy(F.col("user_id").alias("job")).agg((n("error") > 8).alias("failed"), (n("view") > 0).alias("running"), (n("signup") > 10).alias("a1"), (n("click") > 14).alias("a2"), (n("purchase") > 14).alias("a3"))
+    s = ca.job_state(F.col("failed"), F.col("running"), [("A1", F.col("a1")), ("A2", F.col("a2")), ("A3", F.col("a3"))])
+    return j.select("job", s.alias("s")).select("job", "s.state", "s.stage")

@@ -41,6 +41,18 @@ INSTITUTIONAL = r"\b(?:jury|commission|candidat(?:s)?|ministre|institut|agence|c
 NORMATIVE_CORE = r"\b(?:doit|doivent|est\s+tenu(?:e|s|es)?(?:\s+de|\b)|interdit(?:e|es|s)?|en\s+cas\s+de|lorsque|sous\s+r[ée]serve\s+de|[àa]\s+condition\s+de|est\s+fix[ée]e?|sont\s+fix[ée]e?s?|est\s+rejet[ée]e?|sont\s+rejet[ée]e?s?)\b"
 LIMITED_ACTIONABLE = r"\b(?:est\s+charg[ée]?\s+de|sont\s+charg[ée]s?\s+de|proposer|[ée]valuer|classer|attribuer|d[ée]cerner|est\s+fix[ée]e?|sont\s+fix[ée]e?s?|nombre\s+de\s+postes?|date\s+de\s+cl[ôo]ture|anciennet[ée]|priorit[ée]|pi[eè]ces?\s+suivantes?)\b"
 
+# Article gate.
+SUMMARY_LABEL = r"\b(?:sommaire|avis\s+et\s+communications?|table\s+des\s+mati[eè]res|index|communiqu[ée]s?)\b"
+SUMMARY_LAYOUT = r"(?m)^\s*(?:-|\*|•)?\s*[A-ZÀÂÄÉÈÊËÎÏÔÖÙÛÜÇ][^\n]{8,120}\s+\.{2,}\s*\d{1,4}\s*$"
+META_SCOPE = r"\ble\s+pr[éee]sent\s+(?:arr[êe]t[ée]?|d[ée]cret|code|loi)\s+(?:fixe|d[ée]finit|d[ée]termine|pr[ée]cise)\b|\bfixe\s+les\s+conditions\s+d['’]application\b"
+STRONG_INDIVIDUAL = r"\b(?:en\s+remplacement\s+de|mis(?:e)?\s+fin\s+aux?\s+fonctions|est\s+nomm[ée]e?\s+directeur|acceptation\s+de\s+d[ée]mission)\b"
+STRONG_NORMATIVE_ARTICLE = r"\b(?:doit|doivent|est\s+tenu(?:e|s|es)?(?:\s+de|\b)|sont\s+tenus?\s+de|interdit(?:e|es|s)?|ne\s+doit(?:vent)?\s+pas|ne\s+peu(?:t|vent)\s+pas|communiqu\w+|transmett?\w+|adress\w+|notifi\w+|pr[ée]sent\w+|tenir\s+un\s+registre|registre)\b"
+STANDARD_LABEL = r"^\s*(?:art\.?|article)\s*(?:premier|1er|unique|\d+(?:[-.]\d+)*)\b"
+
+# Scope levels in order, and cues of a level in a requirement's text.
+LEVELS = ("ORGANIZATION", "SITE", "PROCESS", "ACTIVITY")
+LEVEL_CUES = (("ORGANIZATION", r"\b(?:entreprise|soci[ée]t[ée]|employeur|organisme)\b"), ("SITE", r"\b(?:site|[ée]tablissement|usine|locaux)\b"), ("PROCESS", r"\b(?:processus|proc[ée]d[ée]|proc[ée]dure)\b"), ("ACTIVITY", r"\b(?:activit[ée]|op[ée]ration|poste|atelier|manipulation)\b"))
+
 # Evidence policy.
 EVIDENCE_MAX_AGE = {"AUDIT_REPORT": 365, "COMPLIANCE_DOC": 730, "NC_CLOSURE": 180, "GENERIC": 730}
 PRIORITIES = ("BASSE", "NORMALE", "HAUTE", "URGENTE")

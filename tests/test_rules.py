@@ -111,3 +111,32 @@ def test_policies(spark):
     assert one(spark, ca.log_error(lit("psycopg2: connection refused"))) == "DATABASE"
     assert one(spark, ca.promotion(lit("TO_VALIDATE"), lit("AUTRE"), [])).reason == "TYPE_NOT_ALLOWED"
     assert one(spark, ca.skip_unit("SHADOW", lit("DROP"), lit(False))) == "SHADOW_SKIP" and one(spark, ca.skip_unit("CONSERVATIVE", lit("DROP"), lit(True))) == "KEEP_RISK"
+
+
+ARTICLES = [
+    ("Sommaire", "", "x", "DROP"),
+    ("Art. 1", "Le présent décret fixe les règles.", "EXTRACT_FULL", "DROP"),
+    ("Art. 2", "Madame Leila, mise fin aux fonctions.", "EXTRACT_FULL", "DROP"),
+    ("Art. 3", "Le tableau des tarifs.", "EXTRACT_FULL", "EXTRACT_LIMITED_DATA"),
+    ("Art. 4", "Le tableau des tarifs doit être affiché.", "EXTRACT_FULL", "EXTRACT_FULL"),
+    ("Note", "Le tableau est fixé lorsque prévu.", "EXTRACT_FULL", "EXTRACT_LIMITED"),
+    ("Art. 5", "Le concours est ouvert.", "EXTRACT_FULL", "EXTRACT_LIMITED"),
+    ("Art. 6", "La commission doit se réunir.", "EXTRACT_FULL", "EXTRACT_FULL"),
+    ("Art. 7", "L'exploitant doit agir.", "EXTRACT_LIMITED", "EXTRACT_FULL"),
+    ("Art. 8", "Rien de tel.", "EXTRACT_LIMITED", "EXTRACT_LIMITED"),
+    ("Art. 9", "Rien de tel. " * 80, "EXTRACT_LIMITED", "EXTRACT_FULL"),
+    ("Art. 10", "Rien de tel.", "EXTRACT_LIMITED_DATA", "EXTRACT_LIMITED_DATA"),
+    ("Art. 11", "Rien de tel.", "EXTRACT_FULL", "EXTRACT_FULL"),
+]
+
+
+def test_article_gate(spark):
+    df = spark.createDataFrame([(i, *a[:3]) for i, a in enumerate(ARTICLES)], "i int, label string, text string, policy string")
+    got = df.select("i", ca.article_gate(F.lit("Acte"), F.col("label"), F.col("text"), F.col("policy")).alias("g")).orderBy("i").collect()
+    assert [r.g.policy for r in got] == [a[3] for a in ARTICLES]
+
+
+def test_routing(spark):
+    lit = F.lit
+    assert one(spark, ca.routed_levels(lit("X"), lit("Y"), lit("Dans chaque établissement et atelier"), {}, {})) == ["SITE", "ACTIVITY"]
+    assert one(spark, ca.routed_levels(lit("X"), lit("Y"), lit("rien"), {}, {})) is None
