@@ -101,13 +101,13 @@ def memory_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "rejection_stats",
-    """SELECT event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) // 10 AS filter_band, count(*) AS n, count(DISTINCT user_id) AS docs, round(avg(value), 4) AS avg_value
+    """SELECT event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) // 10 AS filter_band, count(*) AS n, count(DISTINCT user_id) AS docs, round(sum(value), 2) AS total_value
        FROM events WHERE event_type IN ('error', 'view') GROUP BY 1, 2""",
 )
 def rejection_stats(spark: SparkSession, d: str) -> DataFrame:
     """AG10: rejections by a field of the event's JSON."""
     k = (F.get_json_object("props", "$.k").cast("int") / 10).cast("int")
-    return table(spark, d, "events").filter(F.col("event_type").isin("error", "view")).groupBy("event_type", k.alias("filter_band")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("docs"), F.round(F.avg("value"), 4).alias("avg_value"))
+    return table(spark, d, "events").filter(F.col("event_type").isin("error", "view")).groupBy("event_type", k.alias("filter_band")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("docs"), F.round(F.sum("value"), 2).alias("total_value"))
 
 
 @query("rejection_stats_global", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS docs, strftime(max(ts), '%Y-%m-%d') AS last_day FROM events WHERE event_type IN ('error', 'view') GROUP BY 1")
