@@ -72,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_secret_scan": secrets.secrets_sql(),
         "op3_chat_format": chat.CHAT_SQL,
         "op5_license_scan": licenses.license_sql(),
         "op7_mix_sources": mixing.MIXING_SQL,

@@ -334,3 +334,25 @@ def find_secrets(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, SCHEMA)
+
+
+def secrets_sql(rules: tuple = RULES) -> str:
+    """The same by regular expressions: a text is split at a rule's matches, and lengths add up to places."""
+    parts = []
+    for order, (kind, pattern, least, group) in enumerate(rules):
+        p = pattern.replace("'", "''")
+        groups = f"regexp_extract_all(x, '{p}', 2)" if group else f"regexp_extract_all(x, '{p}')"
+        parts.append(
+            f"SELECT doc_id, n, '{kind}' AS kind, {order} AS ord, {least} AS least, {group} AS least_group, unnest(regexp_split_to_array(x, '{p}')) AS gap, "
+            f"unnest(regexp_extract_all(x, '{p}')) AS m, unnest({groups}) AS g, unnest(range(1, len(regexp_extract_all(x, '{p}')) + 1)) AS i FROM t WHERE regexp_matches(x, '{p}')"
+        )
+    return f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS n, coalesce(text, '') AS x FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+s AS (SELECT *, CAST(sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m) AS BIGINT) AS a FROM f WHERE m IS NOT NULL WINDOW w AS (PARTITION BY n, ord ORDER BY i ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT n, kind, ord, a, kind || ':' || CAST(a AS VARCHAR) || ':' || CAST(a + length(m) AS VARCHAR) AS span FROM s WHERE length(m) >= least AND (least_group = 0 OR length(g) >= least_group)),
+r AS (SELECT n, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+        string_agg(span, ',' ORDER BY a, ord) FILTER (WHERE ord < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY a, ord) AS spans FROM k GROUP BY n)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN r USING (n)
+"""
