@@ -35,6 +35,8 @@ from .words import chunks, distinct_words, sums
 
 ORDER = 4
 PER_LANG = 400
+#: Distinct words that training handles at once.
+BLOCK = 20_000
 UND = "und"
 _END = 0x110000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -102,45 +104,54 @@ class Models:
 
     def fit(self, counts: dict[str, tuple[list[str], np.ndarray]]) -> Models:
         """From the words of each language and their counts."""
-        per, symbols = [], set()
+        # one language and block of words at a time: what is kept are distinct n-grams
+        found: list[list[tuple]] = [[] for _ in range(self.order)]
+        symbols: set[int] = set()
         for lang in self.langs:
             words, n = counts[lang]
-            sym, place, word = _units(words)
-            symbols |= set(sym.tolist())
-            per.append((_grams(sym, place, self.order), _contexts(sym, place, self.order), n[word].astype(float)))
+            blocks: list[list[tuple]] = [[] for _ in range(self.order)]
+            for a in range(0, len(words), BLOCK):
+                sym, place, word = _units(words[a : a + BLOCK])
+                symbols |= set(np.unique(sym).tolist())
+                weight = n[a + word].astype(float)
+                grams, ctx = _grams(sym, place, self.order), _contexts(sym, place, self.order)
+                for k in range(self.order):
+                    ok = place >= k
+                    h, first, inverse = np.unique(grams[k][ok], return_index=True, return_inverse=True)
+                    shorter = grams[k - 1][ok][first] if k else h
+                    blocks[k].append((h, ctx[k][ok][first], shorter, np.bincount(inverse, weight[ok], len(h)), np.bincount(inverse, (weight * (place == k))[ok], len(h))))
+            self._count(blocks, found)
         self.base = np.full(len(self.langs), 1.0 / (len(symbols) + 1))
-        for n in range(self.order):
-            found = []
-            for grams, ctx, weight in per:
-                ok = grams[n] != 0
-                h, first, inverse = np.unique(grams[n][ok], return_index=True, return_inverse=True)
-                if n == self.order - 1:
-                    c = np.bincount(inverse, weight[ok], len(h))
-                else:  # how many symbols stand before it; what begins a word counts as often as it does
-                    longer = grams[n + 1]
-                    has = ok & (longer != 0)
-                    _, one = np.unique(longer[has], return_index=True)
-                    at = np.searchsorted(h, grams[n][has][one])
-                    c = np.bincount(at, minlength=len(h)).astype(float)
-                    starts = ok & (longer == 0)
-                    c += np.bincount(np.searchsorted(h, grams[n][starts]), weight[starts], len(h))
-                context = ctx[n][ok][first] if len(h) else h
-                ones, twos = (c == 1).sum(), (c == 2).sum()
-                cut = min(0.95, max(0.1, ones / max(ones + 2 * twos, 1)))
-                cu, ci = np.unique(context, return_inverse=True)
-                total = np.bincount(ci, c, len(cu))
-                less = np.minimum(c, cut)
-                found.append((h, (c - less) / total[ci] if len(h) else c, cu, np.bincount(ci, less, len(cu)) / np.maximum(total, 1e-9)))
-            keys = np.unique(np.concatenate([f[0] for f in found]))
-            cks = np.unique(np.concatenate([f[2] for f in found]))
+        for found_n in found:
+            keys = np.unique(np.concatenate([f[0] for f in found_n]))
+            cks = np.unique(np.concatenate([f[2] for f in found_n]))
             p, lam = np.zeros((len(keys), len(self.langs)), np.float32), np.ones((len(cks), len(self.langs)), np.float32)
-            for j, (h, a, cu, m) in enumerate(found):
+            for j, (h, a, cu, m) in enumerate(found_n):
                 p[np.searchsorted(keys, h), j] = a
                 lam[np.searchsorted(cks, cu), j] = m
             self.grams.append((keys, p))
             self.contexts.append((cks, lam))
         return self
 
+    def _count(self, blocks: list[list[tuple]], found: list[list[tuple]]) -> None:
+        """Discounted probabilities and back-off masses of one language, for each order."""
+        merged = []
+        for parts in blocks:
+            h, ctx, shorter, w, begins = (np.concatenate(x) for x in zip(*parts, strict=True))
+            h, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            merged.append((h, ctx[first], shorter[first], np.bincount(inverse, w, len(h)), np.bincount(inverse, begins, len(h))))
+        for k, (h, ctx, _, w, begins) in enumerate(merged):
+            if k == self.order - 1:
+                c = w
+            else:  # how many symbols stand before it; what begins a word counts as often as it does
+                c = np.bincount(np.searchsorted(h, merged[k + 1][2]), minlength=len(h)) + begins
+            ones, twos = (c == 1).sum(), (c == 2).sum()
+            cut = min(0.95, max(0.1, ones / max(ones + 2 * twos, 1)))
+            cu, ci = np.unique(ctx, return_inverse=True)
+            total = np.bincount(ci, c, len(cu))
+            less = np.minimum(c, cut)
+            found[k].append((h, (c - less) / total[ci] if len(h) else c, cu, np.bincount(ci, less, len(cu)) / np.maximum(total, 1e-9)))
+
     @staticmethod
     def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: float) -> np.ndarray:
         sorted_keys, values = table
@@ -194,9 +205,11 @@ class Models:
         a, b = self.slope
         return 1 / (1 + np.exp(-np.clip(a * self.features(h, n) + b, -30, 30)))
 
-    def calibrate(self, texts: pa.Array, truth: list[str]) -> Models:
-        """Fit the score (ridge logistic regression by Newton steps) and the rejection limit."""
-        h, n = self.entropies(texts)
+    def calibrate(self, held: pa.Table) -> Models:
+        """Fit the score (ridge logistic regression by Newton steps) and the rejection limit on ``lang, text`` rows."""
+        parts = [self.entropies(part.column(1)) for part in chunks(held.to_batches(), most=1 << 19)]
+        h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        truth = held.column(0).to_pylist()
         use = n > 0
         if not use.any():
             return self
@@ -208,10 +221,11 @@ class Models:
         if len(self.langs) > 1:
             x = np.stack([self.features(h, n)[use], np.ones(use.sum())], 1)
             y, w = right[use].astype(float), np.array([1.0, 0.0])
-            for _ in range(30):
+            for _ in range(100):
                 p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
                 grad = x.T @ (p - y) + 0.1 * (w - [1.0, 0.0])
-                w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), grad)
+                # short steps: where all rows are right, a full one overshoots
+                w = w - np.clip(np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), grad), -0.25, 0.25)
             self.slope = (float(max(w[0], 0.05)), float(w[1]))
         return self
 
@@ -243,7 +257,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, order: int = ORDER) -> Mode
     if langs:
         held = rows.filter("fold = 2").select("lang", "text").toArrow()
         if held.num_rows:
-            models.calibrate(held.column("text").combine_chunks(), held.column("lang").to_pylist())
+            models.calibrate(held)
     return models
 
 

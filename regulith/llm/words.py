@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +12,13 @@ import pyarrow.compute as pc
 CHUNK = 4 << 20
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches of about CHUNK bytes of text."""
+def chunks(batches: Iterable[pa.RecordBatch], text: int = 1, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of about ``most`` bytes of text."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(size.astype(np.int64)) // CHUNK
+        part = np.cumsum(size.astype(np.int64)) // most
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):
             yield batch.slice(a, b - a)
