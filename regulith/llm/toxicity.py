@@ -261,13 +261,23 @@ def _places(index: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.
     return index[first + np.minimum(t, size - 1)], (t < size)[:, :, None].astype(np.float32)
 
 
-def _log_odds(rows: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
+class _Odds:
     """Smoothed log-odds of label 1 for each hash row, by the documents that hold it; 0 below four documents."""
-    pair = np.unique(doc.astype(np.int64) * ODDS_ROWS + rows)
-    d, r = pair // ODDS_ROWS, pair % ODDS_ROWS
-    one, zero = np.bincount(r, y[d], ODDS_ROWS), np.bincount(r, 1 - y[d], ODDS_ROWS)
-    odds = np.log((one + 1) / (y.sum() + 2)) - np.log((zero + 1) / ((1 - y).sum() + 2))
-    return np.where(one + zero >= 4, np.clip(odds, -3, 4), 0).astype(np.float32)
+
+    def __init__(self, y: np.ndarray):
+        self.y, self.counts = y, [np.zeros(ODDS_ROWS), np.zeros(ODDS_ROWS)]
+
+    def add(self, rows: np.ndarray, doc: np.ndarray) -> None:
+        """Rows of whole documents."""
+        pair = np.unique(doc.astype(np.int64) * ODDS_ROWS + rows)
+        d, r = pair // ODDS_ROWS, pair % ODDS_ROWS
+        for label, counts in zip((1, 0), self.counts, strict=True):
+            np.add.at(counts, r[self.y[d] == label], 1)
+
+    def values(self) -> np.ndarray:
+        one, zero = self.counts
+        odds = np.log((one + 1) / (self.y.sum() + 2)) - np.log((zero + 1) / ((1 - self.y).sum() + 2))
+        return np.where(one + zero >= 4, np.clip(odds, -3, 4), 0).astype(np.float32)
 
 
 def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Network:
@@ -284,15 +294,14 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Network:
         aside[rng.permutation(of)[: len(of) // 5]] = True
     distinct, index, ends = distinct_words(texts)
     words = Words.of(distinct)
-    text = np.repeat(np.arange(len(y)), np.diff(ends))
-    learn = ~aside[text]
-    seen = np.unique(text[learn] * len(distinct) + index[learn])
-    doc, word = seen // max(len(distinct), 1), seen % max(len(distinct), 1)
     place = np.cumsum(~aside) - 1  # numbers of the rows that learn
-    ly = y[~aside]
-    net.word_odds = _log_odds(_row(words.word[word], ODDS_ROWS), place[doc], ly)
-    some = words.take(word)
-    net.gram_odds = _log_odds(_row(some.grams, ODDS_ROWS), place[np.repeat(doc, np.diff(some.at))], ly)
+    word_odds, gram_odds = _Odds(y[~aside]), _Odds(y[~aside])
+    for i in np.flatnonzero(~aside):
+        own = np.unique(index[ends[i] : ends[i + 1]])
+        some = words.take(own)
+        word_odds.add(_row(some.word, ODDS_ROWS), np.full(len(own), place[i]))
+        gram_odds.add(_row(some.grams, ODDS_ROWS), np.full(len(some.grams), place[i]))
+    net.word_odds, net.gram_odds = word_odds.values(), gram_odds.values()
 
     first, size, owner = _windows(ends)
     mine = np.flatnonzero(~aside[owner])
