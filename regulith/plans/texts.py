@@ -205,8 +205,8 @@ def contamination(spark: SparkSession, d: str) -> DataFrame:
     key = lambda ws, i: F.xxhash64(F.array_join(F.slice(ws, i, 8), " "))
     b = b.withColumn("key", key(F.split("b", r"\s+"), F.lit(1)))
     w = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
-    ws = F.split("t", r"\s+")
-    k = w.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 7, F.lit(1))), lambda i: key(ws, i)))).alias("key"))
+    ws = F.col("ws")  # split once, not for every position
+    k = w.withColumn("ws", F.split("t", r"\s+")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 7, F.lit(1))), lambda i: key(ws, i)))).alias("key"))
     found = k.join(F.broadcast(b.select("key", "item_id", "b")), "key").select("doc_id", "item_id", "b")
     return found.join(w, "doc_id").filter(F.contains("t", "b")).groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
 
