@@ -14,12 +14,18 @@ are verified by the exact weighted Jaccard similarity of whole texts, 0.8 or
 more. Texts whose total weights differ by more can't reach it and are left out.
 
 Equal texts are one node from the start. In a band bucket of up to SMALL nodes
-all pairs are verified. In a larger one all are verified against one leader, so
-rows stay linear in the bucket; where that leaves more than one class in it,
-the bucket is split by each other band and the same is done within the parts,
-with other leaders, until nothing changes or ROUNDS rounds are over. Classes
-are connected components of verified links, found by alternating large-star
-and small-star steps with lineage cut in the checkpoint folder.
+all pairs are verified. In a larger one all are verified against one leader a
+turn, LEADERS times, which merges what is much alike. The texts of large
+buckets that hold several classes after that meet by an exact prefix filter:
+with shingles in one fixed order, rare ones first, two texts of similarity
+SIMILAR share a shingle before the rest of either text weighs less than
+SIMILAR of it. All pairs of different classes that share such a shingle are
+verified if what is left of both texts from that shingle on could reach it (at
+the first one they share it must); where one shingle has many texts, those
+outside its largest class are compared with leaders that grow fourfold a turn
+until all texts have led, so no pair is left out.
+Classes are connected components of verified links, found by alternating
+large-star and small-star steps with lineage cut in the checkpoint folder.
 
 Defined cases: null text counts as empty; a text without words is
 like equal texts only; a text of one to four words has all its words as its only shingle; a
@@ -46,7 +52,9 @@ SIMILAR = 0.8
 HASHES, ROWS = 40, 4
 COMMON, FLOOR = 0.1, 0.25
 SMALL = 32
-ROUNDS = 4
+LEADERS = 2
+#: Counters by which shingles are put in order; what meets in one counter changes the cost only.
+SLOTS = 1 << 20
 #: Rows of ids that a task may hold before a table of links takes more partitions.
 TASK_ROWS = 50_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -274,6 +282,60 @@ def candidate_pairs(buckets: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).unionByName(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
+def prefixes(texts: DataFrame, idf: Idf) -> DataFrame:
+    """``key, id, left``: the shingles of each text (``id, text``) of which two similar texts share one, and the weight from it on."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+    texts = texts.select("id", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for part in chunks(batches):
+            n += np.bincount((shingles(part.column(1))[1] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["slot", "n"])
+
+    # a slot that one text alone fills joins nothing; the driver receives SLOTS rows at most
+    often = texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
+    held = np.zeros(SLOTS, np.uint32)
+    held[often.column("slot").to_numpy()] = often.column("n").to_numpy()
+    held = texts.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            text, s, n = shingles(part.column(1))
+            w = n * shared.value.of(s)
+            often = held.value[(s % np.uint64(SLOTS)).astype(np.int64)]
+            order = np.lexsort((s, often, text))
+            text, s, w, often = text[order], s[order], w[order], often[order]
+            total = np.bincount(text, w, part.num_rows)
+            before = np.cumsum(w) - w
+            begin = np.concatenate([[0.0], np.cumsum(total)[:-1]])
+            left = total[text] - (before - begin[text])
+            stay = (left >= (SIMILAR - 1e-6) * total[text]) & (often > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(s[stay].view(np.int64)), part.column(0).take(pa.array(text[stay])), pa.array(left[stay])], ["key", "id", "left"])
+
+    return texts.mapInArrow(run, "key long, id long, left double")
+
+
+def cross_pairs(buckets: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of different classes in buckets ``key, id, w, left, class``, and the keys of those that need another turn.
+
+    Texts outside a bucket's largest class meet all texts in small buckets,
+    else about ``2 * 4**turn`` leaders, at last all.
+    """
+    most = 2 * 4**turn
+    sizes = buckets.groupBy("key", "class").agg(F.count(F.lit(1)).alias("c"))
+    info = cut(sizes.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "class")).alias("top")).filter("n > top.c"))
+    rows = buckets.join(info, "key")
+    ends = (F.col("n") <= SMALL) | (F.col("n") <= most)
+    chance = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20)) < F.lit(most << 20) / F.col("n")
+    lead = rows.filter(ends | chance).select("key", F.col("id").alias("a"), F.col("w").alias("wa"), F.col("left").alias("la"), F.col("class").alias("ca"))
+    rest = rows.filter(F.col("class") != F.col("top.class")).select("key", F.col("id").alias("b"), F.col("w").alias("wb"), F.col("left").alias("lb"), F.col("class").alias("cb"))
+    reach = F.least("la", "lb") >= (F.col("wa") + F.col("wb")) * (SIMILAR / (1 + SIMILAR) - 1e-6)
+    met = lead.join(rest, "key").filter((F.col("ca") != F.col("cb")) & reach & _could(F.col("wa"), F.col("wb")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), info.filter(~ends).select("key")
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """``doc_id, dig, class_id, class_size, kept``: a row per input row; the row with the class's least id is kept."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -281,35 +343,56 @@ def near_classes(docs: DataFrame) -> DataFrame:
     signed = cut(signatures(docs, idf))
     nodes = signed.groupBy("dig").agg(F.min(F.struct("doc_id", "w", "bands")).alias("x")).select("dig", F.col("x.doc_id").alias("id"), "x.w", "x.bands")
     nodes = cut(nodes)
-    first = nodes.select(F.explode("bands").alias("key"), "id", "w", F.col("id").alias("class"))
-    buckets, links, labels, texts, linked = first, None, None, None, 0
-    large = first.groupBy("key").count().filter(F.col("count") > SMALL).select(F.col("key").alias("band"))
-    members = cut(first.select(F.col("key").alias("band"), "id").join(large, "band"))
-    for turn in range(ROUNDS):
-        pairs = cut(candidate_pairs(buckets, turn))
-        if not (n := pairs.count()):
-            break
-        pairs = packed(pairs, n)
-        if texts is None:  # later turns compare nodes of large buckets only, so the texts are gathered once
-            ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct()
-            wanted = ids.join(nodes.select("id", "dig"), "id").select(F.col("id").alias("doc_id"), "dig")
-            marked = docs.select("doc_id", F.unhex(F.md5(text_of())).alias("dig"), text_of().alias("text"))
-            found = marked.join(wanted, ["doc_id", "dig"], "left_semi").dropDuplicates(["doc_id", "dig"])
-            texts = cut(found.select(F.col("doc_id").alias("id"), "text"))
-        more = cut(verified(pairs, texts, idf))
-        links = more if links is None else links.unionByName(more)
-        new = more.count()
-        linked += new
-        labels = cut(components(links, linked)) if new else labels
-        # large buckets that still hold several classes are split by every other band; classes only merge, so the rest is done with
-        classed = members.select("band", "id", F.col("id").alias("class")) if labels is None else members.join(labels, members.id == labels.node, "left").select("band", "id", F.coalesce("label", "id").alias("class"))
-        still = classed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("band")
-        classed = cut(classed.join(still, "band"))
-        members = classed.select("band", "id")
-        if classed.isEmpty():
+    first = nodes.select(F.explode("bands").alias("key"), "id", "w")
+    large = first.groupBy("key").count().filter(F.col("count") > SMALL).select("key")
+    members = cut(first.join(large, "key"))
+    pairs = cut(candidate_pairs(first.withColumn("class", F.col("id")), 0))
+    # later turns compare nodes of large buckets only, so the texts are gathered once
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct()
+    wanted = ids.join(nodes.select("id", "dig"), "id").select(F.col("id").alias("doc_id"), "dig")
+    marked = docs.select("doc_id", F.unhex(F.md5(text_of())).alias("dig"), text_of().alias("text"))
+    found = marked.join(wanted, ["doc_id", "dig"], "left_semi").dropDuplicates(["doc_id", "dig"])
+    texts = cut(found.select(F.col("doc_id").alias("id"), "text"))
+    links, labels, done, linked = None, None, None, 0
+
+    def classed(rows: DataFrame) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("class", F.col("id"))
+        return rows.join(labels, rows.id == labels.node, "left").withColumn("class", F.coalesce("label", "id")).drop("node", "label")
+
+    def verify(pairs: DataFrame) -> None:
+        nonlocal links, labels, done, linked
+        if done is not None:
+            pairs = cut(pairs.join(done, ["a", "b"], "left_anti"))
+        n = pairs.count()
+        done = pairs if done is None else done.unionByName(pairs)
+        if not n:
+            return
+        more = cut(verified(packed(pairs, n), texts, idf))
+        if new := more.count():
+            links = more if links is None else links.unionByName(more)
+            linked += new
+            labels = cut(components(links, linked))
+
+    verify(pairs)
+    for turn in range(LEADERS):
+        # large buckets of one class are done with, as classes only merge
+        members = classed(members)
+        still = members.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
+        members = cut(members.join(still, "key"))
+        if turn + 1 == LEADERS or members.isEmpty():
             break
-        split = classed.join(nodes.select("id", "w", "bands"), "id")
-        buckets = split.select(F.explode("bands").alias("other"), "band", "id", "w", "class").filter("other <> band").select(F.xxhash64("band", "other").alias("key"), "id", "w", "class")
+        verify(cut(candidate_pairs(members, turn + 1)))
+        members = members.drop("class")
+    if not members.isEmpty():
+        rare = prefixes(texts.join(members.select("id").distinct(), "id", "left_semi"), idf).distinct()
+        buckets = cut(rare.join(members.select("id", "w").distinct(), "id"))
+        turn = 0
+        while not buckets.isEmpty():
+            pairs, again = cross_pairs(classed(buckets), turn)
+            verify(cut(pairs))
+            buckets = cut(buckets.join(again, "key", "left_semi"))
+            turn += 1
     found = nodes.select("dig", "id") if labels is None else nodes.join(labels, nodes.id == labels.node, "left").select("dig", F.coalesce("label", "id").alias("id"))
     placed = signed.select("doc_id", "dig").join(found, "dig").select("doc_id", "dig", F.col("id").alias("class_id"))
     sizes = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))

@@ -88,6 +88,19 @@ def test_near_classes(make_docs, long_text, monkeypatch):
     assert near_dedup.near_classes(make_docs(rows[:1]).limit(0)).count() == 0
 
 
+def test_near_classes_of_texts_with_a_long_common_passage(make_docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "COMMON", 1.0)
+    g = random.Random(4)
+    words = lambda n: [f"w{g.randrange(10**6)}" for _ in range(n)]
+    passage, rows = words(200), []
+    for i in range(250):
+        tail = words(40)
+        rows += [(2 * i, " ".join(passage + tail)), (2 * i + 1, " ".join(passage + (tail[:27] + words(13) if i % 5 == 0 else words(40))))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(make_docs(rows)).collect()}
+    assert got == brute_classes(dict(rows))
+    assert len(set(got.values())) == 450
+
+
 def test_icws_estimates_weighted_jaccard():
     g = np.random.default_rng(1)
     s = g.integers(1, 1 << 62, 60).astype(np.uint64)
