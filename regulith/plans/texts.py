@@ -6,6 +6,8 @@ domain's own French rules are covered by the unit tests.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -160,6 +162,8 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
 
 PAIRS_SQL = r"""p AS (SELECT source, lang, doc_id, text, lead(text) OVER (PARTITION BY source, lang ORDER BY doc_id) AS other, lead(doc_id) OVER (PARTITION BY source, lang ORDER BY doc_id) AS other_id FROM documents WHERE n_chars <= 2000),
  t AS (SELECT doc_id, other_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}0-9'']+')) AS a, list_distinct(regexp_extract_all(lower(other), '[\p{L}0-9'']+')) AS b FROM p WHERE other IS NOT NULL)"""
+#: Words of a passage that make its key.
+INNER = 7
 STOP = ("the", "and", "der", "die", "und", "les", "des", "que", "los", "las")
 
 
@@ -199,16 +203,28 @@ def token_containment(spark: SparkSession, d: str) -> DataFrame:
 def contamination(spark: SparkSession, d: str) -> DataFrame:
     """SIM3's strictest case: documents that hold a reference passage word for word.
 
-    Passages are met by the hash of their first eight words at every word position of a document, so no document meets all passages.
+    Words are cut at non-letters. A passage's words but the first and the last, which may be parts of a document's words,
+    stand whole in every document that holds it, so it is met by the hash of the first of these (INNER at most) at every
+    word of a document. Only passages without such words, of two words at most, meet all documents.
     """
-    b = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("b"))
-    key = lambda ws, i: F.xxhash64(F.array_join(F.slice(ws, i, 8), " "))
-    b = b.withColumn("key", key(F.split("b", r"\s+"), F.lit(1)))
+    b = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("b")).filter("b IS NOT NULL")
     w = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
+    words = lambda c: F.split(c, r"[^\p{L}]+")
+    key = lambda ws, i, n: F.xxhash64(F.array_join(F.slice(ws, i, n), " "))
+    b = b.withColumn("n", F.least(F.size(words("b")) - 2, F.lit(INNER)))
+    lengths = sorted(r.n for r in b.select("n").distinct().collect())
     ws = F.col("ws")  # split once, not for every position
-    k = w.withColumn("ws", F.split("t", r"\s+")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 7, F.lit(1))), lambda i: key(ws, i)))).alias("key"))
-    found = k.join(F.broadcast(b.select("key", "item_id", "b")), "key").select("doc_id", "item_id", "b")
-    return found.join(w, "doc_id").filter(F.contains("t", "b")).groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+    at = lambda n: F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda i: key(ws, i, n))).otherwise(F.array().cast("array<bigint>"))
+    found = []
+    if long := [n for n in lengths if n > 0]:
+        keys = F.array_distinct(F.flatten(F.array(*[at(n) for n in long])))
+        k = w.withColumn("ws", words("t")).select("doc_id", F.explode(keys).alias("key"))
+        items = b.filter("n > 0").withColumn("key", key(words("b"), F.lit(2), F.col("n")))
+        met = k.join(F.broadcast(items.select("key", "item_id", "b")), "key").select("doc_id", "item_id", "b")
+        found.append(met.join(w, "doc_id").filter(F.contains("t", "b")).select("doc_id", "item_id"))
+    if len(long) < len(lengths) or not lengths:
+        found.append(w.join(F.broadcast(b.filter("n <= 0").select("item_id", "b")), F.contains("t", "b")).select("doc_id", "item_id"))
+    return reduce(DataFrame.unionByName, found).groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
 
 
 # --- cascades over lines ------------------------------------------------------
