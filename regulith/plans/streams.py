@@ -20,7 +20,7 @@ def stream_idempotent_counter(spark: SparkSession, d: str) -> DataFrame:
     """STR2: every event is sent twice; each counts once."""
     e = ev.events(spark, d)
     twice = e.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    rows = ev.run(ev.once(twice, "event_id", "ts").select("event_id", "event_type"), "append")
+    rows = ev.run(ev.once(twice, "event_id").select("event_id", "event_type"), "append")
     return rows.groupBy("event_type").agg(F.count("*").alias("hit_count"))
 
 

@@ -1,6 +1,8 @@
 """Cases that the tables do not hold: short and quoted passages, late events, long groups."""
 
-from regulith.plans import texts
+import datetime
+
+from regulith.plans import streams, texts
 
 
 def test_contamination_of_short_and_quoted_passages(spark, tmp_path):
@@ -11,3 +13,12 @@ def test_contamination_of_short_and_quoted_passages(spark, tmp_path):
     want = {i: (len(n), n[0]) for i, b in enumerate(items) if b is not None and (n := [k for k, t in enumerate(docs) if t and b.lower() in t.lower()])}
     got = {r.item_id: (r.docs, r.first_doc) for r in texts.contamination(spark, str(tmp_path)).collect()}
     assert got == want and len(want) == 7
+
+
+def test_counter_of_files_in_reverse_order_of_time(spark, tmp_path):
+    for k, days in enumerate((300, 200, 100, 0)):
+        at = datetime.datetime(2024, 1, 1) + datetime.timedelta(days=days)
+        rows = [(10 * k + i, at, i, "ab"[i % 2], 1.0, "{}") for i in range(6)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_type: r.hit_count for r in streams.stream_idempotent_counter(spark, str(tmp_path)).collect()}
+    assert got == {"a": 12, "b": 12}
