@@ -474,6 +474,10 @@ def mode_with_priority(spark: SparkSession, d: str) -> DataFrame:
     return first_per(c, ["doc_id"], [F.desc("n"), ranked(TYPE_ORDER, "req_type", 9)])
 
 
+#: Entries of a block of positions, and of a block of blocks.
+BLOCK = 64
+
+
 @query(
     "article_end",
     """WITH p AS (SELECT o_custkey AS doc_id, o_orderkey AS no, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos FROM orders)
@@ -482,13 +486,31 @@ def mode_with_priority(spark: SparkSession, d: str) -> DataFrame:
 def article_end(spark: SparkSession, d: str) -> DataFrame:
     """RES10: an article ends where the next header of no lower number begins; headers that go back are skipped.
 
-    The headers of one document are folded in order, so no pairs are made.
+    Positions lie in blocks of BLOCK, blocks in blocks of BLOCK blocks and so on, each with its largest number. A row climbs
+    to the first level where a later block of its own parent reaches its number, and goes down from there to the first
+    position that does: equi joins with lists of at most BLOCK entries, as many as there are levels.
     """
     p = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("no"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("pos"))
-    g = p.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "no"))).alias("h"))
-    x = g.select("doc_id", "h", F.posexplode("h").alias("i", "x"))
-    later = F.filter(F.slice("h", F.col("i") + 2, F.size("h")), lambda y: y["no"] >= F.col("x.no"))
-    return x.select("doc_id", F.col("x.pos").alias("pos"), F.get(later, 0)["pos"].alias("next_pos"))
+    most = p.agg(F.max("pos")).first()[0] or 0
+    block, level, levels = p.select("doc_id", (F.col("pos") - 1).cast("long").alias("b"), F.col("no").alias("m")), 0, []
+    up = lambda c: F.floor(F.col(c) / BLOCK)
+    while True:
+        lists = block.withColumn("parent", up("b")).groupBy("doc_id", "parent").agg(F.array_sort(F.collect_list(F.struct("b", "m"))).alias("kids"), F.max("m").alias("m"))
+        levels.append(lists.select("doc_id", "parent", "kids"))
+        level += 1
+        if most <= BLOCK**level:
+            break
+        block = lists.select("doc_id", F.col("parent").alias("b"), "m")
+    x = p.withColumn("b", (F.col("pos") - 1).cast("long")).withColumn("f", F.lit(None).cast("long")).withColumn("level", F.lit(None).cast("int"))
+    for k, kids in enumerate(levels):
+        x = x.withColumn("parent", up("b")).join(kids, ["doc_id", "parent"], "left")
+        later = F.get(F.filter("kids", lambda y: (y["b"] > F.col("b")) & (y["m"] >= F.col("no"))), 0)["b"]
+        x = x.withColumn("f", F.coalesce("f", later)).withColumn("level", F.coalesce("level", F.when(F.col("f").isNotNull(), k))).withColumn("b", F.col("parent")).drop("parent", "kids")
+    for k, kids in reversed(list(enumerate(levels[:-1]))):
+        x = x.withColumn("parent", F.when(F.col("level") > k, F.col("f"))).join(kids, ["doc_id", "parent"], "left")
+        first = F.get(F.filter("kids", lambda y: y["m"] >= F.col("no")), 0)["b"]
+        x = x.withColumn("f", F.when(F.col("level") > k, first).otherwise(F.col("f"))).drop("parent", "kids")
+    return x.select("doc_id", "pos", (F.col("f") + 1).cast("int").alias("next_pos"))
 
 
 # --- sorts and top-k ----------------------------------------------------------
