@@ -14,16 +14,20 @@ are verified by the exact weighted Jaccard similarity of whole texts, 0.8 or
 more. Texts whose total weights differ by more can't reach it and are left out.
 
 Equal texts are one node from the start. In a band bucket of up to SMALL nodes
-all pairs are verified. In a larger one all are verified against one leader a
-turn, LEADERS times, which merges what is much alike. The texts of large
-buckets that hold several classes after that meet by an exact prefix filter:
-with shingles in one fixed order, rare ones first, two texts of similarity
-SIMILAR share a shingle before the rest of either text weighs less than
-SIMILAR of it. All pairs of different classes that share such a shingle are
-verified if what is left of both texts from that shingle on could reach it (at
-the first one they share it must); where one shingle has many texts, those
-outside its largest class are compared with leaders that grow fourfold a turn
-until all texts have led, so no pair is left out.
+all pairs are candidates. In a larger one all are compared with LEADERS leaders,
+which merges what is much alike. The texts of large buckets that hold several
+classes after that meet by an exact prefix filter: with shingles in one fixed
+order, rare ones first, two texts of similarity SIMILAR share a shingle before
+the rest of either text weighs less than SIMILAR of it. All pairs of different
+classes that share such a shingle are candidates if what is left of both texts
+from that shingle on could reach it (at the first one they share it must).
+Where a shingle has more than MANY texts outside one class, these meet MANY
+leaders first, then four times as many, until all texts have led, so no pair is
+left out.
+
+Before texts are gathered, candidates pass an exact bound: each bit in which two
+bitmaps of hashed shingles differ, and each shingle that one text alone holds,
+adds its weight to the difference of the two, which SIMILAR limits.
 Classes are connected components of verified links, found by alternating
 large-star and small-star steps with lineage cut in the checkpoint folder.
 
@@ -52,11 +56,13 @@ SIMILAR = 0.8
 HASHES, ROWS = 40, 4
 COMMON, FLOOR = 0.1, 0.25
 SMALL = 32
-LEADERS = 2
+LEADERS = 4
+MANY = 2048
+BITS = 512
 #: Counters by which shingles are put in order; what meets in one counter changes the cost only.
 SLOTS = 1 << 20
-#: Rows of ids that a task may hold before a table of links takes more partitions.
-TASK_ROWS = 50_000
+#: Rows of ids, and of texts, that a task may hold before a table of few rows takes more partitions.
+TASK_ROWS, TASK_TEXTS = 50_000, 5_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW = np.uint64((1 << 48) - 1)
 
@@ -111,21 +117,43 @@ class Idf:
         return out
 
 
+class Frequent:
+    """Lossy counts: every shingle that a share of the rows holds, with at most that share of the rows missing in its count."""
+
+    def __init__(self, share: float):
+        self.share, self.rows = share, 0
+        self.h, self.n, self.lost = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+
+    def add(self, s: np.ndarray, rows: int) -> None:
+        h, n = np.unique(s, return_counts=True)
+        new, lost = n.astype(float), np.full(len(h), self.share * self.rows)
+        if len(self.h):
+            at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+            hit = self.h[at] == h
+            self.n[at[hit]] += new[hit]
+            h, new, lost = h[~hit], new[~hit], lost[~hit]
+        self.rows += rows
+        h, n, lost = np.concatenate([self.h, h]), np.concatenate([self.n, new]), np.concatenate([self.lost, lost])
+        stay = np.flatnonzero(n + lost >= self.share * self.rows)
+        stay = stay[np.argsort(h[stay])]
+        self.h, self.n, self.lost = h[stay], n[stay], lost[stay]
+
+
 def common_shingles(docs: DataFrame, rows: int) -> Idf:
     """Exact document frequencies of the shingles that more than COMMON of all rows hold.
 
-    A shingle that frequent is frequent in some block of the input. Blocks
-    propose those that a quarter of that share of their rows hold, proposals
-    below three quarters of it in sum are out, and what is left, a bounded
-    list, is counted exactly in a second pass (only if there is any).
+    Each partition proposes what a quarter of that share of its rows may hold;
+    proposals below three quarters of the share in sum are out, and what is
+    left, a bounded list, is counted exactly in a second pass (only if there is
+    any). Neither step depends on how the rows are dealt out.
     """
     texts = docs.select(F.lit(0).alias("z"), text_of().alias("text"))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Frequent(COMMON / 4)
         for part in chunks(batches):
-            h, n = np.unique(shingles(part.column(1))[1], return_counts=True)
-            often = n >= max(2, COMMON / 4 * part.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["h", "n"])
+            found.add(shingles(part.column(1))[1], part.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(found.h.view(np.int64)), pa.array(found.n.astype(np.int64))], ["h", "n"])
 
     frequent = texts.mapInArrow(propose, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= 0.75 * COMMON * rows).select("h")
     found = np.array([r.h for r in frequent.collect()], np.int64).view(np.uint64)
@@ -134,16 +162,24 @@ def common_shingles(docs: DataFrame, rows: int) -> Idf:
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(found))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value), np.int64)
         for part in chunks(batches):
             s = shingles(part.column(1))[1]
             at = np.minimum(np.searchsorted(shared.value, s), len(shared.value) - 1)
-            h, n = np.unique(s[shared.value[at] == s], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            total += np.bincount(at[shared.value[at] == s], minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(shared.value.view(np.int64)), pa.array(total)], ["h", "n"])
 
     exact = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > COMMON * rows).collect()
     return Idf(np.array([r.h for r in exact], np.int64).view(np.uint64), np.array([r.n for r in exact], float), rows)
 
 
+def bitmaps(text: np.ndarray, s: np.ndarray, n: int) -> pa.Array:
+    """For each of n texts, which of BITS cells its shingles fall in."""
+    cells = np.zeros((n, BITS), bool)
+    cells[text, (s % np.uint64(BITS)).astype(np.int64)] = True
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(cells, axis=1, bitorder="little").view(np.int64).ravel()), BITS // 64).cast(pa.list_(pa.int64()))
+
+
 class Sampler:
     """ICWS with a table of (r, c, beta)."""
 
@@ -190,7 +226,7 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
-    """``doc_id, dig, w, bands`` of every row with an id; ``dig`` is the text's md5, ``w`` its total weight."""
+    """``doc_id, dig, w, bits, bands`` of every row with an id; ``dig`` is the text's md5, ``w`` its total weight, ``bits`` the bitmap of shingles of weight 1."""
     shared = docs.sparkSession.sparkContext.broadcast((idf, Sampler()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,15 +235,16 @@ def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
         for part in chunks(batches, 2):
             text, s, n = shingles(part.column(2))
             begin = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(s) else np.zeros(0, int)
-            w = n * idf.of(s)
+            idfs = idf.of(s)
+            w, plain = n * idfs, idfs == 1.0
             keys = sampler.bands(sampler.samples(s, w, begin)) if len(s) else np.zeros((0, width), np.uint64)
             some = np.zeros(part.num_rows, np.int32)
             some[text[begin]] = width  # a text without words has no bands
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)]).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.bincount(text, w, part.num_rows)), bands], ["doc_id", "dig", "w", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.bincount(text, w, part.num_rows)), bitmaps(text[plain], s[plain], part.num_rows), bands], ["doc_id", "dig", "w", "bits", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text_of())).alias("dig"), text_of().alias("text"))
-    return rows.filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, dig binary, w double, bands array<long>")
+    return rows.filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, dig binary, w double, bits array<long>, bands array<long>")
 
 
 def similarities(a: pa.Array, b: pa.Array, idf: Idf) -> np.ndarray:
@@ -238,9 +275,9 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: Idf) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def packed(df: DataFrame, rows: int) -> DataFrame:
+def packed(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
     """In as few partitions as ``rows`` rows need; a table of many rows keeps what it has."""
-    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+    return df.coalesce(max(1, -(-rows // each)))
 
 
 def components(edges: DataFrame, rows: int) -> DataFrame:
@@ -263,29 +300,35 @@ def components(edges: DataFrame, rows: int) -> DataFrame:
     return pack(stars.select(F.col("u").alias("node"), "label").unionByName(stars.select(F.col("label").alias("node"), "label").distinct()))
 
 
-def _could(wa: Column, wb: Column) -> Column:
-    return F.least(wa, wb) >= F.greatest(wa, wb) * (SIMILAR - 1e-9)
+def _could(a: str, b: str, more: Column | None = None) -> Column:
+    """Whether texts with weights ``w`` and bitmaps ``bits`` (in structs a and b) that differ by ``more`` besides can be similar."""
+    wa, wb = F.col(f"{a}.w"), F.col(f"{b}.w")
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(BITS // 64)])
+    if more is not None:
+        differ = differ + more
+    return (F.least(wa, wb) >= F.greatest(wa, wb) * (SIMILAR - 1e-9)) & (differ <= (wa + wb) * ((1 - SIMILAR) / (1 + SIMILAR) + 1e-9))
 
 
-def candidate_pairs(buckets: DataFrame, turn: int) -> DataFrame:
-    """Pairs to verify, of rows ``key, id, w, class``: all of small buckets, those with a leader in large ones."""
-    info = (
-        buckets.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id", "w", "class")).alias("lead"))
-        .filter("n > 1 AND low <> high")
-        .select("key", "n", "lead")
-    )
-    rows = buckets.join(info, "key")
-    star = rows.filter((F.col("n") > SMALL) & (F.col("class") != F.col("lead.class")) & _could(F.col("w"), F.col("lead.w"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
-    groups = rows.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("id", "w", "class")).alias("g"))
-    pairs = groups.select(F.explode("g").alias("x"), "g").select("x", F.explode("g").alias("y")).filter((F.col("x.id") < F.col("y.id")) & (F.col("x.class") != F.col("y.class")) & _could(F.col("x.w"), F.col("y.w")))
-    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).unionByName(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+def candidate_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs to verify, of rows ``key, n, id, w, bits``: all of small buckets, those with a leader in large ones."""
+    this = F.struct("id", "w", "bits")
+    groups = buckets.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(this).alias("g"))
+    pairs = groups.select(F.explode("g").alias("x"), "g").select("x", F.explode("g").alias("y")).filter((F.col("x.id") < F.col("y.id")) & _could("x", "y"))
+    large = buckets.filter(F.col("n") > SMALL)
+    leaders = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("o"), "id", "w", "bits")) for i in range(LEADERS)]
+    lead = large.groupBy("key").agg(F.array_distinct(F.array(*(x.dropFields("o") for x in leaders))).alias("leaders"))
+    star = large.join(lead, "key").select(this.alias("x"), F.explode("leaders").alias("y")).filter((F.col("x.id") != F.col("y.id")) & _could("x", "y"))
+    return pairs.unionByName(star).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def prefixes(texts: DataFrame, idf: Idf) -> DataFrame:
-    """``key, id, left``: the shingles of each text (``id, text``) of which two similar texts share one, and the weight from it on."""
+    """Of each text (``id, class, text``) the shingles of which two similar texts share one: ``key, id, class, w, left, alone, bits``.
+
+    ``left`` is the weight from the shingle on, ``alone`` that of all shingles
+    that no other text holds, ``bits`` the bitmap of the others of weight 1.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(idf)
-    texts = texts.select("id", "text")
+    texts = texts.select("id", "text", "class")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
@@ -297,43 +340,48 @@ def prefixes(texts: DataFrame, idf: Idf) -> DataFrame:
     # a slot that one text alone fills joins nothing; the driver receives SLOTS rows at most
     often = texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
     held = np.zeros(SLOTS, np.uint32)
-    held[often.column("slot").to_numpy()] = often.column("n").to_numpy()
+    held[often.column("slot").to_numpy()] = np.minimum(often.column("n").to_numpy(), np.iinfo(np.uint32).max)
     held = texts.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             text, s, n = shingles(part.column(1))
-            w = n * shared.value.of(s)
+            idfs = shared.value.of(s)
+            w = n * idfs
             often = held.value[(s % np.uint64(SLOTS)).astype(np.int64)]
+            total, alone = np.bincount(text, w, part.num_rows), np.bincount(text, w * (often == 0), part.num_rows)
+            plain = (idfs == 1.0) & (often > 0)
+            bits = bitmaps(text[plain], s[plain], part.num_rows)
             order = np.lexsort((s, often, text))
             text, s, w, often = text[order], s[order], w[order], often[order]
-            total = np.bincount(text, w, part.num_rows)
-            before = np.cumsum(w) - w
             begin = np.concatenate([[0.0], np.cumsum(total)[:-1]])
-            left = total[text] - (before - begin[text])
+            left = total[text] - (np.cumsum(w) - w - begin[text])
             stay = (left >= (SIMILAR - 1e-6) * total[text]) & (often > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(s[stay].view(np.int64)), part.column(0).take(pa.array(text[stay])), pa.array(left[stay])], ["key", "id", "left"])
+            at = text[stay]
+            columns = [pa.array(s[stay].view(np.int64)), part.column(0).take(pa.array(at)), part.column(2).take(pa.array(at)), pa.array(total[at]), pa.array(left[stay]), pa.array(alone[at]), bits.take(pa.array(at))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "id", "class", "w", "left", "alone", "bits"])
 
-    return texts.mapInArrow(run, "key long, id long, left double")
+    return texts.mapInArrow(run, "key long, id long, class long, w double, left double, alone double, bits array<long>")
 
 
 def cross_pairs(buckets: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of different classes in buckets ``key, id, w, left, class``, and the keys of those that need another turn.
+    """Pairs of different classes in buckets as ``prefixes`` gives them, and the keys of those that need another turn.
 
-    Texts outside a bucket's largest class meet all texts in small buckets,
-    else about ``2 * 4**turn`` leaders, at last all.
+    Texts outside a bucket's largest class meet all texts, or in buckets of
+    more than ``MANY * 4**turn`` texts about as many leaders.
     """
-    most = 2 * 4**turn
+    most = MANY * 4**turn
     sizes = buckets.groupBy("key", "class").agg(F.count(F.lit(1)).alias("c"))
     info = cut(sizes.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "class")).alias("top")).filter("n > top.c"))
-    rows = buckets.join(info, "key")
-    ends = (F.col("n") <= SMALL) | (F.col("n") <= most)
-    chance = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20)) < F.lit(most << 20) / F.col("n")
-    lead = rows.filter(ends | chance).select("key", F.col("id").alias("a"), F.col("w").alias("wa"), F.col("left").alias("la"), F.col("class").alias("ca"))
-    rest = rows.filter(F.col("class") != F.col("top.class")).select("key", F.col("id").alias("b"), F.col("w").alias("wb"), F.col("left").alias("lb"), F.col("class").alias("cb"))
-    reach = F.least("la", "lb") >= (F.col("wa") + F.col("wb")) * (SIMILAR / (1 + SIMILAR) - 1e-6)
-    met = lead.join(rest, "key").filter((F.col("ca") != F.col("cb")) & reach & _could(F.col("wa"), F.col("wb")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), info.filter(~ends).select("key")
+    this = F.struct("id", "w", "left", "alone", "bits", "class")
+    rows = cut(buckets.join(info, "key").select("key", "n", "top.class", this.alias("x")).toDF("key", "n", "top", "x"))
+    chance = F.pmod(F.xxhash64("x.id", F.lit(turn)), F.lit(1 << 20)) < F.lit(most << 20) / F.col("n")
+    lead = rows.filter((F.col("n") <= most) | chance).select("key", F.col("x").alias("y"))
+    rest = rows.filter(F.col("x.class") != F.col("top")).select("key", "x")
+    w = F.col("x.w") + F.col("y.w")
+    reach = F.least("x.left", "y.left") >= w * (SIMILAR / (1 + SIMILAR) - 1e-6)
+    met = lead.join(rest, "key").filter((F.col("x.class") != F.col("y.class")) & reach & _could("x", "y", F.col("x.alone") + F.col("y.alone")))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), info.filter(F.col("n") > most).select("key")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -341,13 +389,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     idf = common_shingles(docs, docs.count())
     signed = cut(signatures(docs, idf))
-    nodes = signed.groupBy("dig").agg(F.min(F.struct("doc_id", "w", "bands")).alias("x")).select("dig", F.col("x.doc_id").alias("id"), "x.w", "x.bands")
-    nodes = cut(nodes)
-    first = nodes.select(F.explode("bands").alias("key"), "id", "w")
-    large = first.groupBy("key").count().filter(F.col("count") > SMALL).select("key")
-    members = cut(first.join(large, "key"))
-    pairs = cut(candidate_pairs(first.withColumn("class", F.col("id")), 0))
-    # later turns compare nodes of large buckets only, so the texts are gathered once
+    nodes = cut(signed.groupBy("dig").agg(F.min(F.struct("doc_id", "w", "bits", "bands")).alias("x")).select("dig", F.col("x.doc_id").alias("id"), "x.w", "x.bits", "x.bands"))
+    first = nodes.select(F.explode("bands").alias("key"), "id", "w", "bits")
+    sizes = nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = cut(first.join(sizes, "key"))
+    members = buckets.filter(F.col("n") > SMALL).select("key", "id")
+    pairs = cut(candidate_pairs(buckets))
+    # later steps compare texts of large buckets only, so the texts are gathered once
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct()
     wanted = ids.join(nodes.select("id", "dig"), "id").select(F.col("id").alias("doc_id"), "dig")
     marked = docs.select("doc_id", F.unhex(F.md5(text_of())).alias("dig"), text_of().alias("text"))
@@ -375,23 +423,18 @@ def near_classes(docs: DataFrame) -> DataFrame:
             labels = cut(components(links, linked))
 
     verify(pairs)
-    for turn in range(LEADERS):
-        # large buckets of one class are done with, as classes only merge
-        members = classed(members)
-        still = members.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
-        members = cut(members.join(still, "key"))
-        if turn + 1 == LEADERS or members.isEmpty():
-            break
-        verify(cut(candidate_pairs(members, turn + 1)))
-        members = members.drop("class")
-    if not members.isEmpty():
-        rare = prefixes(texts.join(members.select("id").distinct(), "id", "left_semi"), idf).distinct()
-        buckets = cut(rare.join(members.select("id", "w").distinct(), "id"))
+    # large buckets of one class are done with, as classes only merge
+    open_keys = classed(members).groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
+    open_ids = cut(classed(members.join(open_keys, "key", "left_semi").select("id").distinct()))
+    if n := open_ids.count():
+        # counts of shingles meet in few tasks, so that each sends a slot once
+        rare = cut(prefixes(cut(packed(texts.join(open_ids, "id"), n, TASK_TEXTS)), idf))
         turn = 0
-        while not buckets.isEmpty():
-            pairs, again = cross_pairs(classed(buckets), turn)
+        while not rare.isEmpty():
+            pairs, again = cross_pairs(rare, turn)
             verify(cut(pairs))
-            buckets = cut(buckets.join(again, "key", "left_semi"))
+            rare = rare.join(again, "key", "left_semi").drop("class")
+            rare = cut(rare.join(classed(rare.select("id").distinct()), "id"))
             turn += 1
     found = nodes.select("dig", "id") if labels is None else nodes.join(labels, nodes.id == labels.node, "left").select("dig", F.coalesce("label", "id").alias("id"))
     placed = signed.select("doc_id", "dig").join(found, "dig").select("doc_id", "dig", F.col("id").alias("class_id"))
