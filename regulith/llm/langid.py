@@ -5,9 +5,12 @@ One model of order ORDER per language over the letters of lower-cased words
 and back-off masses are stored in sorted arrays of 64-bit n-gram hashes, one
 column per language. A text gets the language of the lowest cross-entropy per
 letter over all its words. Its score is a logistic function of the margin to
-the second language and the number of letters; both that function and the
-cross-entropy from which on a text is rejected are calibrated on rows that the
-models have not seen.
+the second language and the number of letters, calibrated on rows that the
+models have not seen. So is rejection: a text goes if its cross-entropy, less the
+median and shrunk for short texts, is above what all but ``FALSE`` of such rows
+show (the conformal quantile, which bounds the share of labelled texts that are
+rejected); with fewer than 1 / FALSE rows to calibrate on there is no such bound
+and nothing is rejected for its cost.
 
 Training takes the ``PER_LANG`` rows of each language with the smallest hash of
 their id (a documented, bounded sample of labelled rows): those of crc32 fold 0
@@ -27,6 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +39,10 @@ from .words import chunks, distinct_words, sums
 
 ORDER = 4
 PER_LANG = 400
-#: Distinct words that training handles at once.
-BLOCK = 20_000
+#: Share of labelled texts that may be rejected, and the letters at which a text's excess counts for 0.7 of itself.
+FALSE, SHORT = 0.001, 20
+#: Distinct words that are handled at once.
+BLOCK = 8_000
 UND = "und"
 _END = 0x110000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -100,6 +106,7 @@ class Models:
     grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     slope: tuple[float, float] = (4.0, 0.0)
+    middle: float = 0.0
     limit: float = np.inf
 
     def fit(self, counts: dict[str, tuple[list[str], np.ndarray]]) -> Models:
@@ -164,16 +171,20 @@ class Models:
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Negative log-probability of each word under each language, and its number of symbols."""
-        sym, place, word = _units(words)
-        out, n = np.zeros((len(words), len(self.langs))), np.bincount(word, minlength=len(words))
-        if len(sym):
+        out, n = np.zeros((len(words), len(self.langs))), np.zeros(len(words), np.int64)
+        for at in range(0, len(words), BLOCK):
+            sym, place, word = _units(words[at : at + BLOCK])
+            few = len(words[at : at + BLOCK])
+            n[at : at + few] = np.bincount(word, minlength=few)
+            if not len(sym):
+                continue
             p = np.tile(self.base.astype(np.float32), (len(sym), 1))
             for k, (g, c) in enumerate(zip(_grams(sym, place, self.order), _contexts(sym, place, self.order), strict=True)):
                 deep = np.flatnonzero(place >= k)
                 p[deep] = self._look(self.grams[k], g[deep], 0.0) + self._look(self.contexts[k], c[deep], 1.0) * p[deep]
             logs = -np.log(np.maximum(p, 1e-12))
             for j in range(len(self.langs)):
-                out[:, j] = np.bincount(word, logs[:, j], len(words))
+                out[at : at + few, j] = np.bincount(word, logs[:, j], few)
         return out, n
 
     def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +204,11 @@ class Models:
         score = self.score(h, n)
         none = n == 0
         langs = [UND if x else self.langs[b] for x, b in zip(none, best, strict=True)]
-        return langs, np.where(none, 0.0, score), none | (low > self.limit)
+        return langs, np.where(none, 0.0, score), none | (self.excess(low, n) > self.limit)
+
+    def excess(self, low: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How far the cross-entropy of texts of n letters is above the median."""
+        return (low - self.middle) * np.sqrt(n / (n + SHORT))
 
     def features(self, h: np.ndarray, n: np.ndarray) -> np.ndarray:
         two = np.sort(h, axis=1)[:, :2]
@@ -216,8 +231,9 @@ class Models:
         best = np.argmin(h, axis=1)
         right = np.array([self.langs[b] == t for b, t in zip(best, truth, strict=True)])
         low = h[np.arange(len(h)), best]
-        # far above what texts of known language cost: nothing that the models describe
-        self.limit = float(np.quantile(low[use & right], 0.995) + 1.0) if (use & right).any() else np.inf
+        self.middle = float(np.median(low[use]))
+        rank = int(np.ceil((use.sum() + 1) * (1 - FALSE)))
+        self.limit = float(np.sort(self.excess(low[use], n[use]))[rank - 1]) if rank <= use.sum() else np.inf
         if len(self.langs) > 1:
             x = np.stack([self.features(h, n)[use], np.ones(use.sum())], 1)
             y, w = right[use].astype(float), np.array([1.0, 0.0])
@@ -237,14 +253,19 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, order: int = ORDER) -> Mode
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", fold.alias("fold")).filter(F.coalesce("fold", F.lit(0)) != 1)
     ids = known.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= per_lang).select(F.col("doc_id").alias("d"), F.col("fold").alias("f"), F.col("lang").alias("l"))
     # at most per_lang ids for each language and fold, so the ids are few and the texts stay where they are
-    rows = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("lang").eqNullSafe(F.col("l"))).select("lang", F.coalesce("f", F.lit(0)).alias("fold"), "text")
-    words = (
-        rows.filter("fold = 0")
-        .select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-        .groupBy("lang", "word")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .toArrow()
-    )
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("lang").eqNullSafe(F.col("l"))).select("lang", F.coalesce("f", F.lit(0)).alias("fold"), "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang in pc.unique(batch.column(0)).to_pylist():
+                own = batch.filter(pc.equal(batch.column(0), lang))
+                for part in chunks([own], most=1 << 20):
+                    found, index, _ = distinct_words(part.column(1))
+                    n = np.bincount(index, minlength=len(found))
+                    some = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([found[i] for i in some], pa.string()), pa.array(n[some])], ["lang", "word", "n"])
+
+    words = rows.filter("fold = 0").select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, tuple[list[str], np.ndarray]] = {}
     langs = sorted(set(words.column("lang").to_pylist()))
     lang = np.array(words.column("lang").to_pylist(), dtype=object)
@@ -252,7 +273,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, order: int = ORDER) -> Mode
     for x in langs:
         at = np.flatnonzero(lang == x)
         at = at[np.argsort([word[i] for i in at], kind="stable")]
-        counts[x] = ([word[i].replace("\n", "") for i in at], n[at])
+        counts[x] = ([word[i] for i in at], n[at])
     models = Models(langs, order).fit(counts) if langs else Models([])
     if langs:
         held = rows.filter("fold = 2").select("lang", "text").toArrow()
