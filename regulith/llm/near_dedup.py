@@ -334,13 +334,16 @@ def prefixes(texts: DataFrame, idf: Idf) -> DataFrame:
         n = np.zeros(SLOTS, np.int64)
         for part in chunks(batches):
             n += np.bincount((shingles(part.column(1))[1] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["slot", "n"])
-
-    # a slot that one text alone fills joins nothing; the driver receives SLOTS rows at most
-    often = texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
-    held = np.zeros(SLOTS, np.uint32)
-    held[often.column("slot").to_numpy()] = np.minimum(often.column("n").to_numpy(), np.iinfo(np.uint32).max)
+        n = n.reshape(-1, len(wide))
+        some = np.flatnonzero(n.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x) for x in n[some].T)], ["row", *wide])
+
+    # a slot that one text alone fills joins nothing; the driver receives SLOTS numbers at most
+    wide = [f"n{i}" for i in range(32)]
+    often = texts.mapInArrow(count, ", ".join(f"{x} long" for x in ["row", *wide])).groupBy("row").agg(*(F.sum(x).alias(x) for x in wide)).toArrow()
+    held = np.zeros((SLOTS // len(wide), len(wide)), np.uint32)
+    held[often.column("row").to_numpy()] = np.minimum(np.stack([often.column(x).to_numpy() for x in wide], 1), np.iinfo(np.uint32).max)
+    held = np.where(held > 1, held, 0).ravel()
     held = texts.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
