@@ -3,10 +3,11 @@
 Each source's target (in words) follows from its weight; the rate
 ``target / source size`` is every document's expected number of copies. The
 documents of a source stand in order of size, their expected copies are
-prefix-summed, one offset per source is added, and a document is emitted once
-for each integer boundary that its interval crosses. The offset is, of 32 spread
-evenly behind a random one, that whose words come nearest the target. Ordering by size makes the
-taken words follow the target closely, because neighbours are of equal size.
+prefix-summed, one random offset per source is added (a digest of its name, so
+that reruns agree), and a document is emitted once for each integer boundary
+that its interval crosses. Ordering by size makes the taken words follow the
+target closely, because neighbours are of equal size: they miss it by at most
+the words of the source's largest document.
 
 The prefix sum is two-level: rows are counted per (source, size bucket, salt)
 chunk, chunk offsets are summed over the small chunk table (at most 64 salts
@@ -14,8 +15,10 @@ times some 16 buckets per e-fold of size), and only within a chunk are rows
 numbered. A source with a third of all rows is spread over all its chunks.
 
 Defined cases: null text has size 0; a null source is a source of its own, last
-in order; a null id sorts last; of repeated rows each takes part; sources
-without words get target 0; an empty table gives an empty result.
+in order; a null id sorts last; of repeated rows each takes part; rows equal in
+id and size stand in order of a digest of their texts; very long texts are
+counted whole; sources without words get target 0; an empty table gives an empty
+result; other columns, whatever their names, are kept by ``mix_rows``.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from .common import WORD, cut, text_of
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-OFFSETS = 32
 
 
 def _digest_fraction(prefix: str, c: Column) -> Column:
@@ -72,9 +74,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, payload: Column | None = None) -> DataFrame:
     """``doc_id, size, source_size, target, copies, taken[, payload]``, a row per input row."""
     keyed = (
-        docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), *([] if payload is None else [payload.alias("payload")]))
+        docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text_of()).alias("digest"), F.when(F.col("doc_id").isNull(), text_of()).alias("salted"), *([] if payload is None else [payload.alias("payload")]))
         .withColumn("bucket", F.floor(F.log(F.col("size") + F.lit(1.0)) * 16))
-        .withColumn("salt", F.floor(_digest_fraction("", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) * 64))
+        .withColumn("salt", F.floor(_digest_fraction("", F.coalesce(F.col("doc_id").cast("string"), F.col("salted"))) * 64))
+        .drop("salted")
     )
     # the sizes are read for the targets, for the chunks and for the rows: keep the few small columns
     base = cut(keyed.drop("payload"))
@@ -88,7 +91,7 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
         .join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("salt").alias("a"), "before", "source_size", "target", "rate", "u")
     )
-    inside = Window.partitionBy(*chunk).orderBy("size", F.col("doc_id").asc_nulls_last())
+    inside = Window.partitionBy(*chunk).orderBy("size", F.col("doc_id").asc_nulls_last(), "digest")
     on = F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")) & (F.col("salt") == F.col("a"))
 
     def placed(df: DataFrame) -> DataFrame:
@@ -97,15 +100,9 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     def copies(u: Column) -> Column:
         return F.floor(F.col("n") * F.col("rate") + u) - F.floor((F.col("n") - 1) * F.col("rate") + u)
 
-    # of OFFSETS offsets, evenly spread behind a random one, each source gets that whose words come nearest its target
-    shifts = [(F.col("u") + k / OFFSETS) % 1.0 for k in range(OFFSETS)]
-    sums = placed(base).groupBy("source", "target", "u").agg(*[F.sum(copies(u) * F.col("size")).alias(f"k{k}") for k, u in enumerate(shifts)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"k{k}") - F.col("target")), F.lit(k), u) for k, u in enumerate(shifts)]))
-    offsets = sums.select(F.col("source").alias("o"), best["col3"].alias("offset"))
     return (
         placed(rows)
-        .join(offsets, F.col("source").eqNullSafe(F.col("o")))
-        .withColumn("copies", copies(F.col("offset")))
+        .withColumn("copies", copies(F.col("u")))
         .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *([] if payload is None else ["payload"]))
     )
 
@@ -119,9 +116,9 @@ def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 
 MIXING_SQL = r"""
 WITH base AS (
-  SELECT doc_id, source, CAST(length(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'x', 'g')) - length(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, text, CAST(length(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'x', 'g')) - length(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS size FROM documents),
 keyed AS (
-  SELECT *, floor(ln(size + 1.0) * 16) AS bucket, floor(CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE * 64) AS salt FROM base),
+  SELECT *, floor(ln(size + 1.0) * 16) AS bucket, floor(CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE * 64) AS salt FROM base),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rnk FROM s0),
 s2 AS (SELECT *, CASE (rnk - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, CAST(source_size AS DOUBLE) * 3 AS cap FROM s1),
@@ -135,10 +132,7 @@ tgt AS (SELECT source, source_size, least(cap, coalesce((SELECT lvl FROM lam), 0
           CAST(('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM s5),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, salt, size, doc_id NULLS LAST) AS n FROM keyed),
 rated AS (SELECT k.source, k.doc_id, k.size, k.n, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0::DOUBLE) ELSE 0 END AS rate
-          FROM numbered k JOIN tgt t ON k.source IS NOT DISTINCT FROM t.source),
-tried AS (SELECT source, target, k, fmod(u + k / 32.0::DOUBLE, 1.0::DOUBLE) AS v, sum((floor(n * rate + fmod(u + k / 32.0::DOUBLE, 1.0::DOUBLE)) - floor((n - 1) * rate + fmod(u + k / 32.0::DOUBLE, 1.0::DOUBLE))) * size) AS got
-          FROM rated, range(32) r(k) GROUP BY source, target, k, u),
-chosen AS (SELECT source, v FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(got - target), k) AS rn FROM tried) WHERE rn = 1)
-SELECT doc_id, size, source_size, target, CAST((floor(n * rate + v) - floor((n - 1) * rate + v)) * size AS BIGINT) AS taken
-FROM rated r JOIN chosen c ON r.source IS NOT DISTINCT FROM c.source
+          FROM numbered k JOIN tgt t ON k.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST((floor(n * rate + u) - floor((n - 1) * rate + u)) * size AS BIGINT) AS taken
+FROM rated
 """
