@@ -3,17 +3,28 @@
 A text is brought to canonical form (lower case, copyright lines dropped,
 equivalent spellings unified, everything but letters and digits collapsed to
 single blanks), hashed with SHA-256, and hash-joined to the digests of known
-licence texts. The same is done for each line that could be a licence notice.
-The known texts are a fixed table, so its broadcast is bounded.
-
-Defined cases: null text counts as empty and matches nothing; repeated rows are
-reported each; a null id is reported like any other; an empty table gives an
-empty result.
+licence texts. Each line has a canonical form of its own, of which that of the
+text is put together, so every line is also looked up as a notice. The known
+texts are a fixed list (the caller's, or ``known_texts``), so their digests have
+a bound: licences as published, with and without title and appendix, notices and
+SPDX lines.
+
+Defined cases: null text counts as empty and, like a text without letters or
+digits, matches nothing; very long texts are read whole; repeated rows are
+reported each; a null id is reported like any other; a text known under two names
+has the first in order; an empty table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import hashlib
+import re
+from collections.abc import Iterable
+from functools import cache
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -66,57 +77,108 @@ In jurisdictions that recognize copyright laws, the author or authors of this so
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
 
 For more information, please refer to <https://unlicense.org>"""),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
-)
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 
-#: Every known text has one of these, so a line with none of them is no notice.
-NOTICE = "licen[cs]e|permission|public domain"
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 
-def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), r"(^|\n)[ \t]*(?:copyright|\(c\)|©)[^\n]*", "$1")
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+)
+
+# Names that notices give the licences.
+NAMES = (
+    ("MIT", "the MIT License"),
+    ("Apache-2.0", "the Apache License, Version 2.0"),
+    ("Apache-2.0", 'the Apache License, Version 2.0 (the "License")'),
+    ("BSD-2-Clause", "the BSD 2-Clause License"),
+    ("BSD-3-Clause", "the BSD 3-Clause License"),
+    ("ISC", "the ISC License"),
+    ("Zlib", "the zlib License"),
+    ("GPL-2.0", "the GNU General Public License, version 2"),
+    ("GPL-3.0", "the GNU General Public License, version 3"),
+    ("LGPL-2.1", "the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "the GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0", "the GNU Affero General Public License, version 3"),
+    ("MPL-2.0", "the Mozilla Public License, version 2.0"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-ND-4.0", "CC BY-ND 4.0"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0"),
+    ("CC0-1.0", "CC0 1.0"),
+    ("Unlicense", "the Unlicense"),
+)
+NOTICES = ("Licensed under {}.", "Released under {}.", "Distributed under {}.", "This work is licensed under {}.", "This project is licensed under {}.", "This software is licensed under {}.")
+FOLDER = Path(__file__).parent / "known_licenses"
+
+
+@cache
+def known_texts() -> tuple[tuple[str, str], ...]:
+    """Name and text: KNOWN and the files of FOLDER, these with and without title and appendix, and notices of all names."""
+    out = list(KNOWN)
+    titled = [("MIT", dict(reversed(KNOWN))["MIT"]), *((p.stem, p.read_text()) for p in sorted(FOLDER.glob("*.txt")))]
+    for name, text in titled:
+        text = text.strip()
+        bodies = [text]
+        head, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        if end:
+            bodies += [head, head + end]
+        out += [(name, x) for body in bodies for x in (body, body.partition("\n\n")[2])]
+    out += [(name, form.format(said)) for name, said in NAMES for form in NOTICES]
+    for name in dict.fromkeys(name for name, _ in out):
+        ends = ("", "-only", "-or-later") if "GPL" in name or name.startswith("GFDL") else ("",)
+        out += [(name, f"SPDX-License-Identifier: {name}{end}") for end in ends]
+    return tuple(out)
+
+
+def _canonical_line(line: Column) -> Column:
+    out = F.when(F.lower(line).rlike(r"^[ \t]*(?:copyright|\(c\)|©)"), "").otherwise(F.lower(line))
     for odd, usual in SPELLINGS:
         out = F.replace(out, F.lit(odd), F.lit(usual))
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    table = spark.createDataFrame(list(known), "license string, text string")
-    digest = F.sha2(canonical(F.col("text")), 256).alias("digest")
-    return table.groupBy(digest).agg(F.min("license").alias("license"))
+def canonical_lines(text: Column) -> Column:
+    """The canonical forms of a text's lines that have one; joined by blanks they are that of the text."""
+    return F.filter(F.transform(F.split(text, "\n"), _canonical_line), lambda x: x != "")
+
+
+def canonical_digest(text: str) -> str:
+    """The digest that ``scan`` gives a text, for the few known ones."""
+    out = re.sub(r"(^|\n)[ \t]*(?:copyright|\(c\)|©)[^\n]*", r"\1", text.lower())
+    for odd, usual in SPELLINGS:
+        out = out.replace(odd, usual)
+    return hashlib.sha256(re.sub(r"[\W_]+", " ", out).strip().encode()).hexdigest()
+
+
+def known_digests(known: Iterable[tuple[str, str]]) -> dict[str, str]:
+    """The first name in order of each digest."""
+    return dict(sorted(((canonical_digest(text), name) for name, text in known), reverse=True))
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, known: Iterable[tuple[str, str]] | None = None) -> DataFrame:
     """``doc_id, text_digest, text_license, line_licenses``: the licence that a text is as a whole, and those its lines name."""
-    known = F.broadcast(known if known is not None else known_digests(docs.sparkSession))
-    rows = docs.select("doc_id", F.sha2(canonical(text_of()), 256).alias("text_digest"), F.filter(F.split(text_of(), "\n"), lambda x: F.lower(x).rlike(NOTICE)).alias("notices"))
-    # a row's own number among rows of its id keeps repeated rows apart without moving texts
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text_digest")))
-    named = (
-        rows.filter(F.size("notices") > 0)
-        .select("doc_id", "n", F.explode(F.array_distinct("notices")).alias("line"))
-        .select("doc_id", "n", F.sha2(canonical(F.col("line")), 256).alias("digest"))
-        .join(known, "digest")
-        .groupBy("doc_id", "n")
-        .agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
-        .select(F.col("doc_id").alias("d"), F.col("n").alias("m"), "line_licenses")
-    )
-    return (
-        rows.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("n") == F.col("m")), "left")
-        .join(known.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license")), "text_digest", "left")
-        .select("doc_id", "text_digest", "text_license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
-    )
+    spark, named = docs.sparkSession, known_digests(known_texts() if known is None else known)
+    table = F.broadcast(spark.createDataFrame(list(named.items()), "text_digest string, text_license string"))
+    lines = {d: n for d, n in named.items() if d != canonical_digest("")}
+    rows = docs.select("doc_id", canonical_lines(text_of()).alias("lines"))
+    # the known digests are few: those among a text's lines are found within its row
+    found = F.array_intersect(F.transform("lines", lambda x: F.sha2(x, 256)), F.array(*map(F.lit, lines)))
+    names = F.create_map(*[F.lit(x) for pair in lines.items() for x in pair])
+    rows = rows.select("doc_id", F.sha2(F.concat_ws(" ", "lines"), 256).alias("text_digest"), F.when(F.size("lines") > 0, found).alias("found"))
+    licenses = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda d: F.element_at(names, d)))), ",")
+    return rows.join(table, "text_digest", "left").select("doc_id", "text_digest", "text_license", F.coalesce(licenses, F.lit("")).alias("line_licenses"))
 
 
 def _canonical_sql(c: str) -> str:
@@ -127,12 +189,12 @@ def _canonical_sql(c: str) -> str:
 
 
 def license_sql() -> str:
-    values = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in KNOWN)
+    values = ", ".join(f"('{digest}', '{name}')" for digest, name in known_digests(known_texts()).items())
     return f"""
-WITH known AS (SELECT sha256({_canonical_sql("t")}) AS digest, min(l) AS license FROM (VALUES {values}) v(l, t) GROUP BY 1),
+WITH known(digest, license) AS (VALUES {values}),
 lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
 named AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses
-          FROM lines JOIN known ON sha256({_canonical_sql("line")}) = digest WHERE regexp_matches(lower(line), '{NOTICE}') GROUP BY doc_id),
+          FROM lines JOIN known ON sha256({_canonical_sql("line")}) = digest GROUP BY doc_id),
 docs AS (SELECT doc_id, sha256({_canonical_sql("coalesce(text, '')")}) AS text_digest FROM documents)
 SELECT d.doc_id, d.text_digest, k.license AS text_license, coalesce(n.line_licenses, '') AS line_licenses
 FROM docs d LEFT JOIN known k ON d.text_digest = k.digest LEFT JOIN named n ON d.doc_id = n.doc_id
