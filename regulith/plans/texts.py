@@ -160,7 +160,7 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
 
 # --- similarities -------------------------------------------------------------
 
-PAIRS_SQL = r"""p AS (SELECT source, lang, doc_id, text, lead(text) OVER (PARTITION BY source, lang ORDER BY doc_id) AS other, lead(doc_id) OVER (PARTITION BY source, lang ORDER BY doc_id) AS other_id FROM documents WHERE n_chars <= 2000),
+PAIRS_SQL = r"""p AS (SELECT source, lang, doc_id, text, lead(text) OVER (PARTITION BY source, lang ORDER BY doc_id) AS other, lead(doc_id) OVER (PARTITION BY source, lang ORDER BY doc_id) AS other_id FROM documents),
  t AS (SELECT doc_id, other_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}0-9'']+')) AS a, list_distinct(regexp_extract_all(lower(other), '[\p{L}0-9'']+')) AS b FROM p WHERE other IS NOT NULL)"""
 #: Words of a passage that make its key.
 INNER = 7
@@ -168,10 +168,12 @@ STOP = ("the", "and", "der", "die", "und", "les", "des", "que", "los", "las")
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring short documents of a family and language."""
+    """Neighbouring documents of a family and language. Only ids are put in order; texts follow by id."""
     w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    p = table(spark, d, "documents").filter("n_chars <= 2000").select("doc_id", "text", F.lead("text").over(w).alias("other"), F.lead("doc_id").over(w).alias("other_id"))
-    return p.filter("other IS NOT NULL")
+    docs = table(spark, d, "documents")
+    ids = docs.select("doc_id", F.lead("doc_id").over(w).alias("other_id")).filter("other_id IS NOT NULL")
+    other = docs.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other"))
+    return ids.join(docs.select("doc_id", "text"), "doc_id").join(other, "other_id").select("doc_id", "text", "other", "other_id")
 
 
 @query("lexical_overlap", f"WITH {PAIRS_SQL} SELECT doc_id, other_id, CASE WHEN len(a) + len(b) = 0 THEN 0 ELSE round(len(list_intersect(a, b)) * 1.0::DOUBLE / len(list_distinct(list_concat(a, b))), 4) END AS overlap FROM t")
@@ -370,19 +372,6 @@ def trigger_signatures(spark: SparkSession, d: str) -> DataFrame:
     return k.groupBy("k.signature").agg(F.count("*").alias("n"), F.countDistinct("k.exact").alias("keys"))
 
 
-FAMILIES = (("err", "GROUNDING", "REGROUND", "HIGH"), ("purch", "TYPE", "RETYPE", "MEDIUM"), ("sign", "SUBJECT", "RESUBJECT", "MEDIUM"))
-
-
-@query(
-    "error_families",
-    "WITH f AS (SELECT CASE WHEN event_type LIKE '%err%' THEN 'GROUNDING' WHEN event_type LIKE '%purch%' THEN 'TYPE' WHEN event_type LIKE '%sign%' THEN 'SUBJECT' ELSE 'OTHER' END AS family, CASE WHEN event_type LIKE '%err%' THEN 'REGROUND' WHEN event_type LIKE '%purch%' THEN 'RETYPE' WHEN event_type LIKE '%sign%' THEN 'RESUBJECT' ELSE 'FORCE_VALIDATE' END AS action, CASE WHEN event_type LIKE '%err%' THEN 'HIGH' WHEN event_type LIKE '%purch%' OR event_type LIKE '%sign%' THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM events) SELECT family, action, severity, count(*) AS n FROM f GROUP BY 1, 2, 3",
-)
-def error_families(spark: SparkSession, d: str) -> DataFrame:
-    """EM2."""
-    e = table(spark, d, "events").select(ca.error_family(F.array("event_type"), FAMILIES).alias("f"))
-    return e.groupBy("f.family", "f.action", "f.severity").agg(F.count("*").alias("n"))
-
-
 @query(
     "feedback_signals",
     "WITH f AS (SELECT CASE event_type WHEN 'error' THEN 'REJECT' WHEN 'click' THEN 'EDIT' WHEN 'view' THEN 'FLAG' ELSE 'APPROVE' END AS decision FROM events) SELECT decision, CASE WHEN decision IN ('EDIT', 'REJECT') THEN 'HIGH' ELSE 'MEDIUM' END AS severity, count(*) AS n FROM f WHERE decision <> 'APPROVE' GROUP BY 1, 2",
@@ -534,13 +523,13 @@ def missing_proof_answer(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "site_match",
-    r"""WITH q AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\p{L}0-9'']+')) AS w FROM conversations WHERE role = 'user'), s AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}0-9'']+')) AS w FROM benchmark WHERE item_id < 20),
+    r"""WITH q AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\p{L}0-9'']+')) AS w FROM conversations WHERE role = 'user'), s AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}0-9'']+')) AS w FROM benchmark),
         j AS (SELECT conv_id, turn, item_id, len(list_intersect(q.w, s.w)) AS n FROM q, s) SELECT conv_id, turn, arg_min(item_id, struct_pack(a := -n, b := item_id)) AS site, max(n) AS shared FROM j WHERE n > 0 GROUP BY 1, 2""",
 )
 def site_match(spark: SparkSession, d: str) -> DataFrame:
     """QA6: the site whose words the question shares most, the first of equals, none without any. Words meet words in an equi join."""
     q = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.explode(sim.tokens("text")).alias("w"))
-    s = table(spark, d, "benchmark").filter("item_id < 20").select("item_id", F.explode(sim.tokens("text")).alias("w"))
+    s = table(spark, d, "benchmark").select("item_id", F.explode(sim.tokens("text")).alias("w"))
     j = q.join(s, "w").groupBy("conv_id", "turn", "item_id").agg(F.count("*").alias("n"))
     return j.groupBy("conv_id", "turn").agg(F.max_by("item_id", F.struct("n", -F.col("item_id"))).alias("site"), F.max("n").alias("shared"))
 
@@ -551,12 +540,6 @@ def rag_chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(F.concat(F.lit("["), "source", F.lit("] ["), "lang", F.lit("] "), "text"), 256).alias("chunk"))
 
 
-@query("cross_references", f"WITH {LINES_SQL} SELECT doc_id, line_no, 'ARTICLE_HAS_CROSS_REFERENCE' AS event_type FROM lines WHERE regexp_matches(lower(text), '\\b(license|licensed|version)\\b')")
-def cross_references(spark: SparkSession, d: str) -> DataFrame:
-    """XR1: an event for every line that refers elsewhere (here: to a licence)."""
-    return lines(spark, d).filter(ca.hit(F.lower("text"), r"\b(license|licensed|version)\b")).select("doc_id", "line_no", F.lit("ARTICLE_HAS_CROSS_REFERENCE").alias("event_type"))
-
-
 @query("log_errors", "SELECT CASE WHEN props LIKE '%42%' OR props LIKE '%29%' THEN 'QUOTA' ELSE 'UNKNOWN' END AS error, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1")
 def log_errors(spark: SparkSession, d: str) -> DataFrame:
     """JB2: class of an error's text, here over a log line made of the event."""
@@ -565,11 +548,11 @@ def log_errors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").filter("event_type = 'error'").groupBy(ca.log_error(log).alias("error")).agg(F.count("*").alias("n"))
 
 
-@query("distinct_strings", "SELECT user_id, len(list_distinct([lower(x) FOR x IN [event_type, upper(event_type), CAST(event_id % 3 AS VARCHAR), ' ' || event_type || ' ']])) AS n, event_id FROM events")
+@query("distinct_strings", "SELECT user_id, len(list_distinct([lower(trim(x)) FOR x IN [event_type, upper(event_type), CAST(event_id % 3 AS VARCHAR), ' ' || event_type || ' ']])) AS n, event_id FROM events")
 def distinct_strings(spark: SparkSession, d: str) -> DataFrame:
     """AR1: blind to case, in order."""
     x = F.array("event_type", F.upper("event_type"), (F.col("event_id") % 3).cast("string"), F.concat(F.lit(" "), "event_type", F.lit(" ")))
-    return table(spark, d, "events").select("user_id", "event_id", F.size(tx.distinct_strings(x, 10)).cast("long").alias("n")).withColumn("n", F.col("n") + 1)
+    return table(spark, d, "events").select("user_id", "event_id", F.size(tx.distinct_strings(x, 10)).cast("long").alias("n"))
 
 
 @query("canonical_hash", "SELECT o_orderkey, sha256('{\"custkey\":' || CAST(o_custkey AS VARCHAR) || ',\"priority\":\"' || o_orderpriority || '\",\"status\":\"' || o_orderstatus || '\"}') AS h FROM orders")
@@ -625,51 +608,15 @@ def cache_prune(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "cache_lookup",
-    "WITH c AS (SELECT DISTINCT sha256(text) AS k FROM documents WHERE doc_id < 500) SELECT d.doc_id, c.k IS NOT NULL AS hit FROM documents d LEFT JOIN c ON sha256(d.text) = c.k",
+    "WITH c AS (SELECT DISTINCT sha256(text) AS k FROM documents WHERE source < 'src15') SELECT d.doc_id, c.k IS NOT NULL AS hit FROM documents d LEFT JOIN c ON sha256(d.text) = c.k",
 )
 def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """SRC19: hits and misses of the response cache by key."""
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    c = docs.filter("doc_id < 500").select(F.col("h").alias("k")).distinct()
+    """SRC19: hits and misses by key of what is cached (here: the texts of some sources)."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    c = docs.filter("source < 'src15'").select(F.col("h").alias("k")).distinct()
     return docs.join(c, F.col("h") == F.col("k"), "left").select("doc_id", F.col("k").isNotNull().alias("hit"))
 
 
-@query(
-    "type_arbitration",
-    f"""WITH {REQUIREMENTS_SQL} SELECT CASE WHEN page > 45 THEN 'RESPONSABILITE' WHEN page > 40 AND domain IS NULL THEN 'EXCEPTION' WHEN req_type = 'INTERDICTION' THEN 'INTERDICTION' WHEN confidence > 0.8 THEN 'REGISTRE' WHEN req_type IS NULL THEN 'AUTRE' ELSE req_type END AS t, count(*) AS n FROM requirements GROUP BY 1""",
-)
-def type_arbitration(spark: SparkSession, d: str) -> DataFrame:
-    """RT1, RT2: type by markers in order; the model's type is what remains, unknown is AUTRE."""
-    r = requirements(spark, d)
-    t = ca.first_match([(F.col("page") > 45, F.lit("RESPONSABILITE")), ((F.col("page") > 40) & F.col("domain").isNull(), F.lit("EXCEPTION")), (F.col("req_type") == "INTERDICTION", F.lit("INTERDICTION")), (F.col("confidence") > 0.8, F.lit("REGISTRE")), (F.col("req_type").isNull(), F.lit("AUTRE"))], F.col("req_type"))
-    return r.groupBy(t.alias("t")).agg(F.count("*").alias("n"))
-
-
-DOMAINS = (("SST", r"(the|der|les)"), ("ENVIRONNEMENT", r"(tion|ung)"), ("QUALITE", r"(and|und|que)"))
-
-
-@query(
-    "domain_classes",
-    """WITH s AS (SELECT doc_id, len(regexp_extract_all(lower(text), '(the|der|les)')) AS a, len(regexp_extract_all(lower(text), '(tion|ung)')) + 1 AS b, len(regexp_extract_all(lower(text), '(and|und|que)')) AS c FROM documents)
-       SELECT doc_id, CASE WHEN greatest(a, b, c) = a THEN 'SST' WHEN greatest(a, b, c) = b THEN 'ENVIRONNEMENT' ELSE 'QUALITE' END AS domain, greatest(a, b, c) AS score FROM s""",
-)
-def domain_classes(spark: SparkSession, d: str) -> DataFrame:
-    """QD1, QD2: domain of most hits (with a bonus of 1 for the second), the first of equals."""
-    t = F.lower("text")
-    s = [F.struct((F.regexp_count(t, F.lit(p)) + (1 if i == 1 else 0)).alias("score"), F.lit(-i).alias("o"), F.lit(n).alias("domain")) for i, (n, p) in enumerate(DOMAINS)]
-    return table(spark, d, "documents").select("doc_id", F.array_max(F.array(*s)).alias("x")).select("doc_id", "x.domain", F.col("x.score").cast("long").alias("score"))
-
-
-@query(
-    "rejection_events",
-    f"WITH {LINES_SQL} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN length(trim(text)) < 20 THEN 'FRAGMENTARY' WHEN contains(text, '|') THEN 'OUT_OF_SCOPE' WHEN contains(lower(text), 'license') THEN 'LOW_VALUE' END AS reason FROM lines) WHERE reason IS NOT NULL GROUP BY reason",
-)
-def rejection_events(spark: SparkSession, d: str) -> DataFrame:
-    """RJ1, GR6, FIL16: the first reason that rejects a line."""
-    r = ca.first_match([(F.length(F.trim("text")) < 20, F.lit("FRAGMENTARY")), (F.col("text").contains("|"), F.lit("OUT_OF_SCOPE")), (F.lower("text").contains("license"), F.lit("LOW_VALUE"))], F.lit(None).cast("string"))
-    return lines(spark, d).select(r.alias("reason")).filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
-
-
 @query(
     "grounding_scores",
     f"""WITH {PAIRS_SQL}, g AS (SELECT doc_id, other_id, CASE WHEN len(a) + len(b) = 0 THEN 0 ELSE round(len(list_intersect(a, b)) * 1.0::DOUBLE / len(list_distinct(list_concat(a, b))), 4) END AS o, CASE WHEN least(len(a), len(b)) = 0 THEN 0 ELSE round(len(list_intersect(a, b)) * 1.0::DOUBLE / least(len(a), len(b)), 4) END AS c FROM t),

@@ -140,3 +140,70 @@ def test_routing(spark):
     lit = F.lit
     assert one(spark, ca.routed_levels(lit("X"), lit("Y"), lit("Dans chaque établissement et atelier"), {}, {})) == ["SITE", "ACTIVITY"]
     assert one(spark, ca.routed_levels(lit("X"), lit("Y"), lit("rien"), {}, {})) is None
+
+
+def test_requirement_types_and_domains(spark):
+    from regulith.operators import requirement_rules as rr
+    from regulith.plans.requirements import domains
+    from regulith.rules.fr_examples import SENTENCES
+
+    rows = spark.createDataFrame([(i, r, s, m) for i, (r, s, m, _) in enumerate(SENTENCES)], "i int, r string, s string, m string")
+    x = rows.select("i", rr.plain("r").alias("req"), rr.plain("s").alias("src"), "m").selectExpr("*", "req || ' || ' || src AS both")
+    x = x.withColumn("model", rr.spark_sql(rr.type_alias("m"))).withColumn("kind", rr.spark_sql(rr.requirement_type("req", "both", "model")))
+    got = {r.i: r for r in domains(x).withColumn("reason", rr.spark_sql(rr.rejection("req", "src"))).collect()}
+    assert {i: r.kind for i, r in got.items()} == {i: s[3] for i, s in enumerate(SENTENCES)}
+    at = {s[0][:20]: got[i] for i, s in enumerate(SENTENCES)}
+    area = {k: (r.domain, r.sub_domain, r.strategy) for k, r in at.items()}
+    assert area["Il est interdit de f"] == ("JURIDIQUE_GENERAL", "INTERDICTIONS", "rule")
+    assert area["Les pièces justifica"][2] == "noise_guard" or area["Les pièces justifica"] == ("ADMINISTRATIF", "DOCUMENTATION", "rule")
+    assert area["La commission est co"][:2] == ("GOUVERNANCE", "ORGANISATION")
+    assert area["Le jury est chargé d"] == ("GOUVERNANCE", "RESPONSABILITES", "rule")
+    assert area["L'exploitant doit ne"] == ("JURIDIQUE_GENERAL", "OBLIGATIONS_LEGALES", "rule")
+    assert area["En cas de fermeture,"] == ("JURIDIQUE_GENERAL", "CONDITIONS_REGLEMENTAIRES", "rule")
+    assert area["registre"] == ("UNMAPPED", "UNMAPPED", "noise_guard")
+    assert area["La couleur des murs "] == ("JURIDIQUE_GENERAL", "INTERDICTIONS", "type_fallback")
+    assert area["Le plan de préventio"][0] == "QHSE"
+    why = {k: r.reason for k, r in at.items()}
+    assert why["registre"] == "LOW_VALUE" and why["et de fournir les mo"] == "FRAGMENTARY_RUNTIME"
+    assert why["Le salarié doit port"] == "SUBJECT_VERB_MISMATCH" and why["Sauf accord écrit, l"] == "PARTIAL_EXCEPTION"
+    assert why["L'employeur doit écl"] == "SOFT_NON_ACTIONABLE_SCOPE" and why["L'exploitant doit ar"] == "SOFT_MISSING_CONDITION"
+    assert why["Le présent décret se"] == "OUT_OF_SCOPE_PUBLICATION" and why["Monsieur Salah est n"] == "OUT_OF_SCOPE_INDIVIDUAL"
+    assert why["L'exploitant doit ne"] is None
+
+
+def test_error_families(spark):
+    from regulith.operators import requirement_rules as rr
+    from regulith.plans.requirements import ERRORS
+    from regulith.rules.fr_requirements import FAMILY_FIX
+
+    rows = spark.createDataFrame([(i, f, ["SEEN", r], v, t, s) for i, (f, r, v, t, s, _) in enumerate(ERRORS)], "i int, f string, r array<string>, v string, t boolean, s boolean")
+    got = {r.i: r.x for r in rows.select("i", rr.error_family(*map(rows.__getitem__, "frvts")).alias("x")).collect()}
+    for i, e in enumerate(ERRORS):
+        assert (got[i] and got[i].family) == e[5]
+        assert got[i] is None or got[i].fix == FAMILY_FIX.get(e[5])
+
+
+def test_acts(spark):
+    from regulith.operators import acts
+    from regulith.rules.fr_examples import ISSUES
+
+    titles = [[a[0] for a in acts.acts_of(x)] for x in ISSUES]
+    assert titles[0] == ["Décret n° 12-2020 du 3 mai", "Arrêté du ministre du 4 mai"]
+    assert titles[1] == ["Arrêté du ministre du 5 mai fixant les modalités"] and titles[2] == ["DOCUMENT"]
+    assert titles[3] == ["Décret n° 8-2021 du 2 juin", "Arrêté du 9 juin"] or titles[3][0] == "Loi n° 7-2021 du 1er juin"
+    assert all(x[s:e].strip().startswith(t[:5]) for x in ISSUES for t_, s, e, t in acts.acts_of(x) if x)
+    found = spark.createDataFrame([(a[0], a[3]) for x in ISSUES for a in acts.acts_of(x)], "t string, x string").select("t", acts.individual("t", "x").alias("i"))
+    assert {r.t for r in found.collect() if r.i} == {"Arrêté du ministre du 4 mai", "Arrêté du 9 juin"}
+
+
+def test_stale_jobs(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from regulith.plans.requirements import stale
+
+    now = dt.datetime(2024, 1, 2, 12)
+    rows = [("RUNNING", now - dt.timedelta(hours=12)), ("RUNNING", now - dt.timedelta(hours=13)), ("DONE", None), ("QUEUED", None)]
+    df = spark.createDataFrame(rows, "s string, t timestamp")
+    assert [r.x for r in df.select(stale(F.col("s"), F.col("t"), F.lit(now)).alias("x")).collect()] == [False, True, False, True]
