@@ -1,33 +1,44 @@
 """Order-dependent dedup and grouping of statements within one document.
 
-A document's statements come from one text, so a group is never larger than
-one input row; the documents are what is spread over the cluster. Order is the
-explicit ``seq``, so the result does not depend on how rows arrive.
+A document's statements come from one row, so they are folded within that row
+(arrays in, an array of structs out): nothing is shuffled and no group gathers.
+Order is the explicit ``seq``, so the result does not depend on how statements arrive.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
+# How a legal subject stands before its verb, and what bends a statement's text.
+SUBJECT = r"(?i)\b((?:l'|le|la|les|tout(?:e)?|chaque)\s+[a-zàâäéèêëîïôöùûüç0-9'-]{2,}(?:\s+[a-zàâäéèêëîïôöùûüç0-9'-]{2,}){0,4})\s+(?:doit|est\s+tenu|ne\s+doit\s+pas|ne\s+peu(?:t|vent)\s+(?:pas\s+)?[a-zàâäéèêëîïôöùûüç]{3,}|est\s+interdit)"
+NOISE = re.compile(r"\w\|\w|[a-zà-ÿ]\d+[a-zà-ÿ]|\w-\s+\w|[.,;:]{2,}|^[^\w\s]{2,}|[-–]\s*(?:doit|doivent|est tenu)\b", re.I)
+PREFIX_CHARS, PREFIX_OVERLAP, PREFIX_RATIO, PREFIX_SUBJECT = 78, 0.56, 0.70, 0.8
+RUNTIME_PREFIX_CHARS, TAIL = 90, 40
+NOISY_TOKENS, NOISY_CONTAINMENT, NOISY_LIKENESS, NOISY_SUBJECT = 7, 0.74, 0.3, 0.7
+
+
+def _plain(text: str) -> str:
+    return " ".join((text or "").lower().split())
 
 
 def ratio(a: str, b: str) -> float:
     """SIM4: Ratcliff-Obershelp similarity of two texts, four places; 0 if one is empty."""
-    a, b = " ".join((a or "").lower().split()), " ".join((b or "").lower().split())
+    a, b = _plain(a), _plain(b)
     return round(difflib.SequenceMatcher(None, a, b).ratio(), 4) if a and b else 0.0
 
 
 def alike(a: str, b: str, limit: float) -> bool:
     """Whether ``ratio`` reaches the limit, from its cheap upper bounds where they settle it."""
-    a, b = " ".join((a or "").lower().split()), " ".join((b or "").lower().split())
+    a, b = _plain(a), _plain(b)
     m = difflib.SequenceMatcher(None, a, b)
     return bool(a and b) and m.real_quick_ratio() >= limit and m.quick_ratio() >= limit and round(m.ratio(), 4) >= limit
 
@@ -41,120 +52,226 @@ def tokens(text: str) -> frozenset[str]:
     return frozenset(_TOKEN.findall((text or "").lower()))
 
 
-def prefix_duplicate(a: str, b: str, prefix: int = 78, share: float = 0.56) -> bool:
-    """SIM7: equal for ``prefix`` characters, and enough words shared by what follows."""
-    a, b = " ".join(a.lower().split()), " ".join(b.lower().split())
-    if min(len(a), len(b)) < prefix or a[:prefix] != b[:prefix]:
+def content(text: str) -> frozenset[str]:
+    return frozenset(w for w in tokens(text) if len(w) >= 3 and not w.isdigit())
+
+
+def overlap(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+def held(short: str, long: str) -> float:
+    """Share of the shorter text's words that the longer one has."""
+    a, b = set(short.split()), set(long.split())
+    return len(a & b) / len(a) if a else 0.0
+
+
+def subject(text: str) -> str:
+    m = re.search(SUBJECT, text or "")
+    return " ".join(m[1].split()) if m else ""
+
+
+def statement_key(text: str) -> str:
+    """What two statements are compared by: lower, without elided articles and punctuation."""
+    out = re.sub(r"\bl['’](?=\w)", "", _plain(text).replace("‘", "'"))
+    return " ".join(re.sub(r"[^\w\s-]", "", out).split())
+
+
+def _canonical(text: str) -> str:
+    return " ".join(re.sub(r"[^\w\s'-]", " ", _plain(text)).split())
+
+
+def _subjects_agree(a: str, b: str, least: float) -> bool:
+    x, y = subject(a), subject(b)
+    return not x or not y or overlap(content(x), content(y)) >= least
+
+
+def prefix_duplicate(a: str, b: str) -> bool:
+    """SIM7 after the model: the longer statement begins with the whole shorter one, shares its words and characters, and speaks of the same subject."""
+    a, b = sorted((_canonical(a), _canonical(b)), key=len)
+    if not a or a == b:
+        return bool(a)
+    if len(a) < PREFIX_CHARS or not b.startswith(a + " ") or overlap(content(a), content(b)) < PREFIX_OVERLAP:
         return False
-    x, y = tokens(a), tokens(b)
-    return len(x & y) >= share * max(len(x | y), 1)
+    return ratio(a, b) >= PREFIX_RATIO and _subjects_agree(a, b, PREFIX_SUBJECT)
+
+
+def runtime_prefix_duplicate(a: str, b: str, chars: int = RUNTIME_PREFIX_CHARS) -> bool:
+    """SIM7 while extracting: begins with it, holds 0.80 of its words and its last TAIL characters; else 0.95 of its words in a text a good tenth longer, or 0.90 and 0.82 of characters."""
+    a, b = sorted((_plain(a), _plain(b)), key=len)
+    if not a or a == b:
+        return bool(a)
+    if len(a) < max(20, chars):
+        return False
+    words = held(a, b)
+    if b.startswith(a + " "):
+        return words >= 0.80 and a[-TAIL:].strip() in b
+    return (words >= 0.95 and len(b) >= int(len(a) * 1.12)) or (words >= 0.90 and difflib.SequenceMatcher(None, a, b).ratio() >= 0.82)
 
 
 def overlap_duplicate(a: str, b: str) -> bool:
-    """SIM8: words 0.88 and characters 0.82, or characters 0.95, or the shorter text within the longer."""
-    x, y = tokens(a), tokens(b)
-    if not x or not y:
+    """SIM8 after the model: of noisy statements, words held and some likeness, of one subject."""
+    x, y = sorted((_canonical(a), _canonical(b)), key=len)
+    s, t = content(x), content(y)
+    if len(s) < NOISY_TOKENS or not t or len(s & t) / len(s) < NOISY_CONTAINMENT:
         return False
-    if len(x & y) < 0.5 * min(len(x), len(y)):  # none of the three can hold
+    if not (NOISE.search(a or "") or NOISE.search(b or "")) or max(overlap(s, t), ratio(x, y)) < NOISY_LIKENESS:
         return False
-    short, long = sorted((" ".join(a.lower().split()), " ".join(b.lower().split())), key=len)
-    if len(short) >= 35 and short in long:
+    return _subjects_agree(x, y, NOISY_SUBJECT)
+
+
+def runtime_overlap_duplicate(a: str, b: str) -> bool:
+    """SIM8 while extracting: contained with 0.62 of the length, or 0.95 of the words, or 0.88 and 0.82 of characters; from 40 characters on."""
+    a, b = statement_key(a), statement_key(b)
+    if not a or not b or a == b:
+        return bool(a) and a == b
+    short, long = sorted((a, b), key=len)
+    if len(short) < 40:
+        return False
+    if short in long and len(short) >= max(40, int(len(long) * 0.62)):
         return True
-    if len(x & y) / len(x | y) >= 0.88:
-        return alike(a, b, 0.82)
-    return alike(a, b, 0.95)
+    words = held(a, b)
+    return words >= 0.95 or (words >= 0.88 and difflib.SequenceMatcher(None, a, b).ratio() >= 0.82)
 
 
 class Seen:
-    """Statements seen so far, found again by the words they share: every like pair of ours shares half of the shorter's words."""
+    """Statements seen so far, found again by bounds that no like pair misses.
+
+    The word rules need half of the shorter statement's words in common, or the
+    shorter within the longer, which shares all its words but the two at the
+    ends: with fewer than five words all are compared. The character rule needs
+    letters in common: counts of letters by slot bound it from above.
+    """
+
+    SLOTS = 64
 
     def __init__(self):
-        self.norm: list[str] = []
         self.words: list[frozenset[str]] = []
-        self.by_word: dict[str, list[int]] = {}
-        self.by_norm: dict[str, int] = {}
+        self.by_word: dict[str, list[int]] = defaultdict(list)
+        self.by_plain: dict[str, int] = {}
+        self.few: list[int] = []
+        self.letters = np.zeros((16, self.SLOTS), np.int32)
+
+    def _words(self, text: str) -> frozenset[str]:
+        return frozenset(re.sub(r"[^\w\s]", " ", _plain(text)).split())
+
+    def _letters(self, text: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(_plain(text).encode("utf-32-le", "surrogatepass"), np.uint32) % self.SLOTS, minlength=self.SLOTS)
 
     def add(self, text: str) -> None:
-        n, w, i = " ".join((text or "").lower().split()), tokens(text), len(self.norm)
-        self.norm.append(n)
+        w, i = self._words(text), len(self.words)
         self.words.append(w)
-        self.by_norm.setdefault(n, i)
+        self.by_plain.setdefault(_plain(text), i)
+        if len(w) < 5:
+            self.few.append(i)
         for x in w:
-            self.by_word.setdefault(x, []).append(i)
+            self.by_word[x].append(i)
+        if i == len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+        self.letters[i] = self._letters(text)
 
-    def near(self, text: str) -> list[int]:
+    def near(self, text: str, characters: float | None = None) -> list[int]:
         """Numbers of the statements that may be like the text, in order; an equal one always."""
-        w = tokens(text)
-        shared = Counter(i for x in w for i in self.by_word.get(x, ()))
-        found = {i for i, n in shared.items() if n >= 0.5 * min(len(w), len(self.words[i]))}
-        if (same := self.by_norm.get(" ".join((text or "").lower().split()))) is not None:
+        w = self._words(text)
+        if len(w) < 5:
+            found = set(range(len(self.words)))
+        else:
+            shared = Counter(i for x in w for i in self.by_word.get(x, ()))
+            found = {i for i, n in shared.items() if n >= 0.5 * min(len(w), len(self.words[i]))} | set(self.few)
+        if (same := self.by_plain.get(_plain(text))) is not None:
             found.add(same)
+        if characters is not None and self.words:
+            own, all_ = self._letters(text), self.letters[: len(self.words)]
+            found |= set(np.flatnonzero(2 * np.minimum(own, all_).sum(1) >= characters * (own.sum() + all_.sum(1)) - 1e-9).tolist())
         return sorted(found)
 
 
-def keep_first(df: DataFrame, key: str = "doc_id", kind: str = "kind", seq: str = "seq", text: str = "text", least: int = 35) -> DataFrame:
-    """DD2, DD3: in order, a statement goes if one kept before it, of its kind, is the same, a prefix duplicate or a high overlap. Short ones need to be the same."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(seq)
-        kept: dict[str, tuple[Seen, list[tuple[int, str]]]] = {}
-        of, why = [], []
-        for s, k, t in zip(group[seq], group[kind], group[text], strict=True):
-            t = t or ""
-            seen, before = kept.setdefault(k, (Seen(), []))
-            found, reason = s, "KEPT"
-            norm = " ".join(t.lower().split())
-            for i in seen.near(t):
-                other, text_of = before[i]
-                if norm == seen.norm[i]:
-                    found, reason = other, "EXACT"
-                elif len(norm) >= least and prefix_duplicate(t, text_of):
-                    found, reason = other, "PREFIX"
-                elif len(norm) >= least and overlap_duplicate(t, text_of):
-                    found, reason = other, "OVERLAP"
-                if reason != "KEPT":
-                    break
-            if reason == "KEPT":
-                seen.add(t)
-                before.append((s, t))
-            of.append(found)
-            why.append(reason)
-        return pd.DataFrame({key: group[key], seq: group[seq], "kept_seq": of, "reason": why})
-
-    return df.select(key, kind, seq, text).groupBy(key).applyInPandas(run, f"{key} long, {seq} long, kept_seq long, reason string")
-
-
-def resolve_groups(df: DataFrame, key: str = "doc_id", least: float = 0.9) -> DataFrame:
-    """GR7, RES6, RES7: greedy groups of like statements; the representative is the best by status, then confidence; the group's type is its most frequent.
-
-    Rows: ``doc_id, seq, kind, text, status, confidence``.
-    """
+def first_of(seqs: list[int], kinds: list[str], texts: list[str], least: int = 35) -> list[tuple[int, int, str]]:
+    """DD2, DD3: ``seq, kept_seq, reason``: in order, a statement goes if one kept before it, of its kind, is the same, a prefix duplicate or a high overlap. Short ones need to be the same."""
+    kept: dict[str, tuple[Seen, list[tuple[int, str]]]] = {}
+    out = []
+    for s, k, t in sorted(zip(seqs, kinds, texts, strict=True), key=lambda x: x[0]):
+        t = t or ""
+        seen, before = kept.setdefault(k, (Seen(), []))
+        found, reason = s, "KEPT"
+        for i in seen.near(t):
+            other, text = before[i]
+            if statement_key(t) == statement_key(text) and _plain(t) and _plain(text):
+                found, reason = other, "EXACT"
+            elif len(_plain(t)) >= least and (prefix_duplicate(t, text) or runtime_prefix_duplicate(t, text)):
+                found, reason = other, "PREFIX"
+            elif len(_plain(t)) >= least and (overlap_duplicate(t, text) or runtime_overlap_duplicate(t, text)):
+                found, reason = other, "OVERLAP"
+            if reason != "KEPT":
+                break
+        if reason == "KEPT":
+            seen.add(t)
+            before.append((s, t))
+        out.append((s, found, reason))
+    return out
+
+
+_KEPT = StructType([StructField("seq", LongType()), StructField("kept_seq", LongType()), StructField("reason", StringType())])
+_GROUP = StructType([StructField("first_seq", LongType()), StructField("representative", LongType()), StructField("kind", StringType()), StructField("members", IntegerType()), StructField("type_conflict", BooleanType())])
+
+
+@F.pandas_udf(ArrayType(_KEPT))
+def _keep(seqs: pd.Series, kinds: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(_KEPT.names, x, strict=True)) for x in first_of(list(s), list(k), list(t))] for s, k, t in zip(seqs, kinds, texts, strict=True)])
+
+
+def keep_first(df: DataFrame, items: Column, key: str = "doc_id") -> DataFrame:
+    """DD2, DD3 over ``items``, an ``array<struct<seq, kind, text>>`` in each row: ``seq, kept_seq, reason`` of each statement."""
+    df = df.select(key, items.alias("items"))
+    return df.select(key, F.explode(_keep(F.col("items.seq").cast("array<bigint>"), F.col("items.kind"), F.col("items.text"))).alias("x")).select(key, "x.*")
+
+
+def groups_of(rows: list[tuple], least: float = 0.9) -> list[tuple]:
+    """GR7, RES6, RES7: greedy groups of like statements (``seq, kind, text, status, confidence``); the representative is the best by status, then confidence; the group's type is its most frequent."""
     ranks = {"PROMOTED": 3, "DRAFT": 2, "TO_VALIDATE": 1}
+    seen, heads, members = Seen(), [], []
+    for row in sorted(rows, key=lambda r: r[0]):
+        _, k, t = row[0], row[1], row[2] or ""
+        for g in seen.near(t, least):
+            hk, ht = heads[g]
+            like = k == hk and (prefix_duplicate(t, ht) or runtime_prefix_duplicate(t, ht) or overlap_duplicate(t, ht) or runtime_overlap_duplicate(t, ht))
+            if t == ht or like or (abs(len(t) - len(ht)) <= 0.2 * max(len(t), len(ht)) and alike(t, ht, least)):
+                members[g].append(row)
+                break
+        else:
+            seen.add(t)
+            heads.append((k, t))
+            members.append([row])
+    out = []
+    for x in members:
+        best = min(x, key=lambda r: (-ranks.get(r[3], 0), -(r[4] or 0.0), r[0]))
+        kinds = Counter(r[1] for r in x)
+        top = min(k for k, n in kinds.items() if n == max(kinds.values()))
+        out.append((min(r[0] for r in x), best[0], top, len(x), len(kinds) > 1))
+    return out
+
+
+@F.pandas_udf(ArrayType(_GROUP))
+def _resolve(seqs: pd.Series, kinds: pd.Series, texts: pd.Series, states: pd.Series, sure: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(_GROUP.names, x, strict=True)) for x in groups_of(list(zip(*map(list, row), strict=True)))] for row in zip(seqs, kinds, texts, states, sure, strict=True)])
+
+
+def resolve_groups(df: DataFrame, items: Column, key: str = "doc_id") -> DataFrame:
+    """GR7 over ``items``, an ``array<struct<seq, kind, text, status, confidence>>`` in each row."""
+    i = lambda c, t: F.col(f"items.{c}").cast(f"array<{t}>")
+    df = df.select(key, items.alias("items"))
+    return df.select(key, F.explode(_resolve(i("seq", "bigint"), i("kind", "string"), i("text", "string"), i("status", "string"), i("confidence", "double"))).alias("x")).select(key, "x.*")
+
+
+def subject_consistency(requirement: str | Column, source: str | Column) -> Column:
+    """GR3: 0.65 words and 0.35 characters of the two legal subjects; 0.85 without one in the source; without one in the requirement 0.35 if it begins with a modal, else 0.65."""
+    from ..functions import similarity as sim
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq").reset_index(drop=True)
-        seen, heads, label = Seen(), [], []
-        for k, t in zip(group["kind"], group["text"], strict=True):
-            t = t or ""
-            for g in seen.near(t):
-                hk, ht = heads[g]
-                if t == ht or (k == hk and (prefix_duplicate(t, ht) or overlap_duplicate(t, ht))) or (abs(len(t) - len(ht)) <= 0.2 * max(len(t), len(ht)) and alike(t, ht, least)):
-                    label.append(g)
-                    break
-            else:
-                seen.add(t)
-                heads.append((k, t))
-                label.append(len(heads) - 1)
-        group["g"] = label
-        rows = []
-        for _, x in group.groupby("g"):
-            best = min(x.itertuples(), key=lambda r: (-ranks.get(r.status, 0), -r.confidence, r.seq))
-            kinds = x["kind"].value_counts()
-            top = sorted(kinds[kinds == kinds.max()].index)[0]
-            rows.append((best.doc_id, int(x["seq"].min()), int(best.seq), top, len(x), bool(len(kinds) > 1)))
-        return pd.DataFrame(rows, columns=[key, "first_seq", "representative", "kind", "members", "type_conflict"])
-
-    return df.groupBy(key).applyInPandas(run, f"{key} long, first_seq long, representative long, kind string, members int, type_conflict boolean")
+    req, src = (F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")) for x in (requirement, source))
+    a, b = (F.regexp_extract(x, "(?u)" + SUBJECT, 1) for x in (req, src))
+    both = F.round(0.65 * sim.jaccard(sim.content_tokens(a, ("les",)), sim.content_tokens(b, ("les",))) + 0.35 * char_ratio(a, b), 4)
+    bare = F.lower(F.trim(req)).rlike(r"^(doit |est tenu|ne doit pas|ne peut |ne peuvent )")
+    return F.when(b == "", 0.85).when(a == "", F.when(bare, 0.35).otherwise(0.65)).otherwise(both)
 
 
 def best_snippet(requirement: str, chunk: str, least: float = 0.18, most: int = 420) -> tuple[str, float]:
@@ -188,13 +305,11 @@ def rewrite(text: str, subject: str, kind: str) -> list[str]:
     for p in parts:
         if re.match(r"(?i)(?:doit|doivent|must|muss|debe)\b", p):
             p = f"{subject} {p}"
-        if kind == "INTERDICTION":
-            p = re.sub(r"(?i)\b(doit|must)\s+(?!not|pas)", lambda m: m[0], p)
         out.append(p[:1].upper() + p[1:].rstrip(" ;,"))
     return out
 
 
-FIXES = {"RETRY_SPLIT": lambda r: "; ".join(rewrite(r, "", "OBLIGATION")), "REBUILD_SNIPPET": lambda r: best_snippet(r, r)[0] or r, "REGROUND": lambda r: re.sub(r"\s*\([^)]*\)", "", r), "RESUBJECT": lambda r: re.sub(r"(?i)^(il|elle|ils|elles|it|they)\b", "L'entreprise", r)}
+FIXES = {"RETRY_SPLIT": lambda r: "; ".join(rewrite(r, "", "OBLIGATION")), "REBUILD_SNIPPET": lambda r: best_snippet(r, r)[0] or r, "REGROUND_FROM_SOURCE": lambda r: re.sub(r"\s*\([^)]*\)", "", r), "RESUBJECT_FROM_CONTEXT": lambda r: re.sub(r"(?i)^(il|elle|ils|elles|it|they)\b", "L'entreprise", r)}
 
 
 def apply_fixes(df: DataFrame, text: str = "text", action: str = "action") -> DataFrame:

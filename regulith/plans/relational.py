@@ -66,12 +66,14 @@ def prefix_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "act_type",
-    """SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'tion[és]') THEN 'ARRETE' WHEN lower(text) LIKE '%decret%' OR lower(text) LIKE '%nicht%' THEN 'DECRET' WHEN lower(text) LIKE '%loi%' THEN 'LOI' ELSE 'JORT_ACTE' END AS act FROM documents""",
+    """SELECT doc_id, CASE WHEN regexp_matches(t, 'arr[êe]t[ée]') THEN 'ARRETE' WHEN t LIKE '%decret%' THEN 'DECRET' WHEN t LIKE '%loi%' THEN 'LOI' ELSE 'JORT_ACTE' END AS act
+       FROM (SELECT doc_id, lower(CASE doc_id % 5 WHEN 0 THEN 'Arrêté du ministre ' WHEN 1 THEN 'ARRETE conjoint ' WHEN 2 THEN 'Decret-loi ' WHEN 3 THEN 'Loi de finances ' ELSE '' END || source) AS t FROM documents)""",
 )
 def act_type(spark: SparkSession, d: str) -> DataFrame:
-    """FIL5: type of act by pattern, first match wins (here with patterns that the tables' text holds)."""
-    t = F.lower("text")
-    return table(spark, d, "documents").select("doc_id", F.when(t.rlike("tion[és]"), "ARRETE").when(t.contains("decret") | t.contains("nicht"), "DECRET").when(t.contains("loi"), "LOI").otherwise("JORT_ACTE").alias("act"))
+    """FIL5: type of act by its title, first match wins; titles begin as acts do."""
+    k = F.col("doc_id") % 5
+    t = F.lower(F.concat(F.when(k == 0, "Arrêté du ministre ").when(k == 1, "ARRETE conjoint ").when(k == 2, "Decret-loi ").when(k == 3, "Loi de finances ").otherwise(""), "source"))
+    return table(spark, d, "documents").select("doc_id", F.when(t.rlike("arr[êe]t[ée]"), "ARRETE").when(t.contains("decret"), "DECRET").when(t.contains("loi"), "LOI").otherwise("JORT_ACTE").alias("act"))
 
 
 def blocked_reason(status, quality, grounding, confidence):
@@ -256,14 +258,14 @@ def update_join(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "star_labels",
     """SELECT l_orderkey, l_linenumber, o_orderpriority, c_name, n_name, r_name FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
-       LEFT JOIN region ON n_regionkey = r_regionkey WHERE l_quantity = 50""",
+       LEFT JOIN region ON n_regionkey = r_regionkey""",
 )
 def star_labels(spark: SparkSession, d: str) -> DataFrame:
     """JN10: evidence with the labels of its scopes; the small chain of scopes is joined first."""
     geo = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", "r_name")
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey").join(geo, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return table(spark, d, "lineitem").filter("l_quantity = 50").select("l_orderkey", "l_linenumber").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("l_orderkey", "l_linenumber", "o_orderpriority", "c_name", "n_name", "r_name")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("l_orderkey", "l_linenumber", "o_orderpriority", "c_name", "n_name", "r_name")
 
 
 @query(
@@ -298,11 +300,13 @@ def scope_match(spark: SparkSession, d: str) -> DataFrame:
 )
 def scope_candidates(spark: SparkSession, d: str) -> DataFrame:
     """JN12, RES8, SC3: requirements meet scopes of their routed level only, then candidates near the best are kept."""
-    req = table(spark, d, "part").select(F.col("p_partkey").alias("requirement_id"), (F.col("p_size") % 5).alias("level"), F.col("p_size").alias("a"))
-    sc = table(spark, d, "supplier").select(F.col("s_suppkey").alias("scope_id"), (F.col("s_nationkey") % 5).alias("level"), F.col("s_nationkey").alias("b"))
+    # the score depends on few values of either side: those are scored, then the survivors take their requirements and scopes
+    req = table(spark, d, "part").select(F.col("p_partkey").alias("requirement_id"), F.col("p_size").alias("a"))
+    sc = table(spark, d, "supplier").select(F.col("s_suppkey").alias("scope_id"), F.col("s_nationkey").alias("b"))
+    kinds, places = req.select("a", (F.col("a") % 5).alias("level")).distinct(), sc.select("b", (F.col("b") % 5).alias("level")).distinct()
     same = lambda n: F.col("a") % n == F.col("b") % n
-    x = req.join(sc, "level").withColumn("score", F.when(same(4), 2).otherwise(0) + F.when(same(3), 3).otherwise(0) + F.when(F.col("a") == F.col("b"), 5).otherwise(0))
-    return near_best(x, ["requirement_id"], "score", 1, 2).select("requirement_id", "scope_id", "score")
+    x = kinds.join(places, "level").withColumn("score", F.when(same(4), 2).otherwise(0) + F.when(same(3), 3).otherwise(0) + F.when(F.col("a") == F.col("b"), 5).otherwise(0))
+    return req.join(near_best(x, ["a"], "score", 1, 2), "a").join(sc, "b").select("requirement_id", "scope_id", "score")
 
 
 ARTICLES_SQL = """pages_of AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS page, o_orderkey FROM orders),
@@ -377,22 +381,27 @@ def tiered_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "scored_unique_match",
-    """WITH r AS (SELECT p_partkey AS req, p_brand, p_size, p_type FROM part), c AS (SELECT p_partkey AS art, p_brand, p_size, p_type FROM part WHERE p_partkey % 4 = 0),
+    """WITH r AS (SELECT p_partkey AS req, p_brand, p_size, p_type FROM part), c AS (SELECT p_partkey AS art, p_brand, p_size, p_type FROM part),
        x AS (SELECT req, art, 60 + CASE WHEN r.p_type = c.p_type THEN 25 ELSE 0 END + CASE WHEN r.p_size = c.p_size THEN 35 WHEN abs(r.p_size - c.p_size) <= 1 THEN 8 ELSE 0 END AS score FROM r JOIN c ON r.p_brand = c.p_brand AND r.req <> c.art),
        b AS (SELECT req, max(score) AS best FROM x GROUP BY req), w AS (SELECT x.req, min(art) AS art, count(*) AS n, max(score) AS score FROM x JOIN b ON x.req = b.req AND x.score = b.best GROUP BY x.req)
        SELECT r.req, CASE WHEN n = 1 THEN art END AS art, CASE WHEN n IS NULL THEN 'UNRESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'RESOLVED' END AS outcome, score FROM r LEFT JOIN w ON r.req = w.req""",
 )
 def scored_unique_match(spark: SparkSession, d: str) -> DataFrame:
     """JN20: best additive score per requirement; a tied best is ambiguous."""
-    p = table(spark, d, "part")
-    r = p.select(F.col("p_partkey").alias("req"), "p_brand", "p_size", "p_type")
-    c = p.filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("art"), F.col("p_brand").alias("b"), F.col("p_size").alias("s"), F.col("p_type").alias("t"))
+    # the score depends on type and size within a brand, so kinds of parts meet, not parts; a part's own kind scores most
+    kind = ["p_brand", "p_type", "p_size"]
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("req"), *kind)
+    kinds = p.groupBy(*kind).agg(F.count("*").alias("n"), F.min("req").alias("low"), F.max("req").alias("high"))
+    other = kinds.select(F.col("p_brand").alias("b"), F.col("p_type").alias("t"), F.col("p_size").alias("s"), F.col("n").alias("m"), F.col("low").alias("art"))
     score = F.lit(60) + F.when(F.col("p_type") == F.col("t"), 25).otherwise(0) + F.when(F.col("p_size") == F.col("s"), 35).when(F.abs(F.col("p_size") - F.col("s")) <= 1, 8).otherwise(0)
-    x = r.join(c, (F.col("p_brand") == F.col("b")) & (F.col("req") != F.col("art"))).select("req", "art", score.alias("score"))
-    per = x.groupBy("req", "score").agg(F.count("*").alias("n"), F.min("art").alias("art"))
-    w = per.groupBy(F.col("req").alias("q")).agg(F.max_by(F.struct("score", "n", "art"), "score").alias("w"))
-    n = F.col("w.n")
-    return r.select("req").join(w, F.col("req") == F.col("q"), "left").select("req", F.when(n == 1, F.col("w.art")).alias("art"), F.when(n.isNull(), "UNRESOLVED").when(n > 1, "AMBIGUOUS").otherwise("RESOLVED").alias("outcome"), F.col("w.score").alias("score"))
+    met = kinds.filter("n = 1").join(other, (F.col("p_brand") == F.col("b")) & ((F.col("p_type") != F.col("t")) | (F.col("p_size") != F.col("s")))).select(*kind, "m", "art", score.alias("score"))
+    per = met.groupBy(*kind, "score").agg(F.sum("m").alias("m"), F.min("art").alias("art"))
+    best = per.groupBy(*kind).agg(F.max_by(F.struct("score", "m", "art"), "score").alias("w"))
+    x = p.join(kinds, kind).join(best, kind, "left")
+    twin = F.col("n") > 1
+    n = F.when(twin, F.col("n") - 1).otherwise(F.col("w.m"))
+    art = F.when(twin, F.col("low") + F.col("high") - F.col("req")).otherwise(F.col("w.art"))
+    return x.select("req", F.when(n == 1, art).alias("art"), F.when(n.isNull(), "UNRESOLVED").when(n > 1, "AMBIGUOUS").otherwise("RESOLVED").alias("outcome"), F.when(twin, 120).otherwise(F.col("w.score")).alias("score"))
 
 
 # --- ranking -----------------------------------------------------------------
@@ -547,17 +556,41 @@ def validation_queue(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "vector_top_k",
-    """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS similarity FROM embeddings, q WHERE vec_id <> 0)
-       SELECT vec_id, label, similarity FROM s ORDER BY similarity DESC, vec_id LIMIT 8""",
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id)
+       SELECT query_id, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rn FROM s) WHERE rn <= 8""",
 )
 def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
-    """TK5, SIM5: exact cosine search, the eight nearest of vector 0 (one row, broadcast)."""
-    from ..functions.similarity import cosine
-
-    e = table(spark, d, "embeddings")
-    q = e.filter("vec_id = 0").select(F.col("embedding").alias("q"), F.lit(1).alias("k")).limit(1)
-    s = e.filter("vec_id <> 0").withColumn("k", F.lit(1)).join(F.broadcast(q), "k").select("vec_id", "label", F.round(cosine("embedding", "q"), 6).alias("similarity"))
-    return s.orderBy(F.desc("similarity"), "vec_id").limit(8)
+    """TK5, SIM5: exact cosine search of every twentieth vector against all, in blocks; the eight nearest of each."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return blocked_top_k(e.filter("id % 20 = 0"), e, 8).select(F.col("q").alias("query_id"), F.col("id").alias("vec_id"), "similarity")
+
+
+def blocked_top_k(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """``q, id, similarity``: the k nearest rows (``id, v``) of each query by cosine; blocks of queries meet blocks of rows, each pair sends k rows a query."""
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        n = max(1, df.count() // block)
+        return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b")).agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(f"{name}_v")).drop("b")
+
+    def near(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, v, qids, qv = (c[i].values for c in batch.columns)
+                ids, qids = ids.to_numpy(), qids.to_numpy()
+                unit = [np.stack(x.to_numpy(zero_copy_only=False)) for x in (v, qv)]
+                unit = [x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in unit]
+                like = np.round(unit[1] @ unit[0].T, 6)
+                like[qids[:, None] == ids[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, like.shape), -like), axis=1)[:, :k]
+                take = np.take_along_axis(like, order, 1)
+                ok = np.isfinite(take)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, order.shape[1])[ok.ravel()]), pa.array(ids[order].ravel()[ok.ravel()]), pa.array(take.ravel()[ok.ravel()])], ["q", "id", "similarity"])
+
+    met = packed(rows, "r").crossJoin(packed(queries, "q")).mapInArrow(near, "q long, id long, similarity double")
+    return top_per(met, ["q"], [F.desc("similarity"), F.col("id")], k).drop("place")
 
 
 @query(

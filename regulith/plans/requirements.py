@@ -15,12 +15,15 @@ from ..rules.fr_examples import ISSUES, QUESTIONS, SENTENCES
 _PICK = "CAST((l_orderkey * 7 + l_linenumber) % {n} AS INT) + 1"
 
 
+def statements_of(spark: SparkSession, d: str) -> DataFrame:
+    """``r, s, m, other``: a statement of each line item, its citation, a model's type, and another statement."""
+    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("r", "s", "m"), row, strict=False)]) for row in SENTENCES])
+    return table(spark, d, "lineitem").select(F.element_at(rows, F.expr(_PICK.format(n=len(SENTENCES)))).alias("x"), F.element_at(rows, F.expr(f"CAST(l_partkey % {len(SENTENCES)} AS INT) + 1")).alias("y")).select("x.*", F.col("y.r").alias("other"))
+
+
 def chosen(spark: SparkSession, d: str) -> DataFrame:
     """``req, both, kind, src, model``: a statement of each line item, in plain text, with its type."""
-    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("r", "s", "m"), row, strict=False)]) for row in SENTENCES])
-    at = F.expr(_PICK.format(n=len(SENTENCES)))
-    x = table(spark, d, "lineitem").select(F.element_at(rows, at).alias("x"), "l_quantity")
-    x = x.select(rr.plain("x.r").alias("req"), rr.plain("x.s").alias("src"), F.col("x.m").alias("m")).withColumn("both", F.concat("req", F.lit(" || "), "src"))
+    x = statements_of(spark, d).select(rr.plain("r").alias("req"), rr.plain("s").alias("src"), "m").withColumn("both", F.concat("req", F.lit(" || "), "src"))
     x = x.withColumn("model", rr.spark_sql(rr.type_alias("m")))
     return x.withColumn("kind", rr.spark_sql(rr.requirement_type("req", "both", "model")))
 

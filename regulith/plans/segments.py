@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import grouping, segment
@@ -79,28 +79,40 @@ def statements(spark: SparkSession, d: str) -> DataFrame:
     return lines(spark, d).filter(F.length(F.trim("text")) > 0).select("doc_id", F.col("line_no").alias("seq"), "text", F.when(F.col("text").contains(","), "OBLIGATION").otherwise("CONDITION").alias("kind"))
 
 
+def items() -> Column:
+    """A document's lines with content as its statements, in its row."""
+    every = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t, i: F.struct((i + 1).cast("long").alias("seq"), F.when(t.contains(","), "OBLIGATION").otherwise("CONDITION").alias("kind"), t.alias("text"), F.when(F.length(t) > 200, "PROMOTED").when(F.length(t) > 80, "DRAFT").otherwise("TO_VALIDATE").alias("status"), F.round(F.least(F.length(t) / 500, F.lit(1.0)), 4).alias("confidence")))
+    return F.filter(every, lambda x: F.length(F.trim(x["text"])) > 0)
+
+
 @query("document_dedup")
 def document_dedup(spark: SparkSession, d: str) -> DataFrame:
     """DD2, DD3, SIM7, SIM8."""
-    return grouping.keep_first(statements(spark, d))
+    return grouping.keep_first(table(spark, d, "documents"), items())
 
 
 @query("candidate_groups")
 def candidate_groups(spark: SparkSession, d: str) -> DataFrame:
     """GR7."""
-    s = statements(spark, d).withColumn("status", F.when(F.length("text") > 200, "PROMOTED").when(F.length("text") > 80, "DRAFT").otherwise("TO_VALIDATE")).withColumn("confidence", F.round(F.least(F.length("text") / 500, F.lit(1.0)), 4))
-    return grouping.resolve_groups(s)
+    return grouping.resolve_groups(table(spark, d, "documents"), items())
 
 
 @query("char_ratios")
 def char_ratios(spark: SparkSession, d: str) -> DataFrame:
-    """SIM4, GR3: ratio of neighbouring lines of a document, and subject consistency 0.65 words + 0.35 characters."""
-    from ..functions import similarity as sim
+    """SIM4: ratio of neighbouring lines with content of a document, paired within its row."""
+    lines_of = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: F.length(F.trim(t)) > 0)
+    p = table(spark, d, "documents").select("doc_id", lines_of.alias("t")).filter(F.size("t") > 1)
+    p = p.select("doc_id", F.posexplode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("a"), F.slice("t", 2, F.size("t") - 1).alias("b"))).alias("pair_no", "p"))
+    return p.select("doc_id", "pair_no", grouping.char_ratio("p.a", "p.b").alias("ratio"))
+
+
+@query("subject_scores")
+def subject_scores(spark: SparkSession, d: str) -> DataFrame:
+    """GR3 over statements that the line items' keys choose (checked on each kind of statement)."""
+    from .requirements import statements_of
 
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    p = lines(spark, d).filter(F.length("text").between(20, 200)).withColumn("other", F.lead("text").over(w)).filter("other IS NOT NULL")
-    p = p.select("doc_id", "line_no", grouping.char_ratio("text", "other").alias("ratio"), sim.jaccard(sim.tokens("text"), sim.tokens("other")).alias("words"))
-    return p.withColumn("subject_consistency", F.round(0.65 * F.col("words") + 0.35 * F.col("ratio"), 4))
+    s = statements_of(spark, d).withColumn("score", grouping.subject_consistency("r", "other"))
+    return s.groupBy("score", (F.col("score") >= 0.6).alias("consistent")).agg(F.count("*").alias("n"))
 
 
 @query("snippets")

@@ -39,17 +39,31 @@ def page_quality(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("n"), share(r"[^\p{L}]").alias("alpha"), share("[^0-9]").alias("digit"), share("[^ \n\t]").alias("space"))
 
 
-SUSPICIOUS_SQL = r"""metrics AS (SELECT doc_id, line_no, source, length(text) AS n, CASE WHEN length(text) = 0 THEN 0 ELSE length(regexp_replace(text, '[^\p{L}]', '', 'g')) * 1.0::DOUBLE / length(text) END AS alpha,
-   CASE WHEN length(text) = 0 THEN 0 ELSE length(regexp_replace(text, '[^0-9]', '', 'g')) * 1.0::DOUBLE / length(text) END AS digit FROM lines),
- flags AS (SELECT *, CASE WHEN n < 40 THEN alpha < 0.20 WHEN n < 120 THEN alpha < 0.55 ELSE alpha <= 0.6 AND digit <= 0.35 END AS suspicious FROM metrics)"""
+SUSPICIOUS_SQL = r"""raw AS (SELECT doc_id, line_no, source, CASE (doc_id + line_no) % 7 WHEN 1 THEN repeat(chr(61489), 50 + CAST(length(text) AS INT) % 100) WHEN 2 THEN repeat('* ', 70) WHEN 3 THEN '. - . - .' WHEN 4 THEN repeat('_', 60) ELSE text END AS text FROM lines),
+ metrics AS (SELECT doc_id, line_no, source, length(text) AS n, length(regexp_replace(text, '[^\p{L}]', '', 'g')) * 1.0::DOUBLE / greatest(length(text), 1) AS alpha, length(regexp_replace(text, '[^0-9]', '', 'g')) * 1.0::DOUBLE / greatest(length(text), 1) AS digit,
+   (length(text) - length(replace(text, chr(61489), ''))) * 1.0::DOUBLE / greatest(length(text), 1) AS unmapped FROM raw),
+ flags AS (SELECT *, CASE WHEN n = 0 THEN true WHEN n < 40 THEN alpha < 0.20 WHEN n < 120 THEN alpha <= 0.05 AND digit <= 0.35 ELSE unmapped >= 0.35 OR (alpha <= 0.01 AND digit <= 0.35) END AS suspicious FROM metrics)"""
+
+
+def suspicious_text(text: str | Column) -> Column:
+    """SRC4: an empty page, or one with few letters for its length, or with glyphs of unmapped fonts."""
+    text = F.col(text) if isinstance(text, str) else text
+    n = F.length(text)
+    share = lambda p: F.length(F.regexp_replace(text, p, "")) / F.greatest(n, F.lit(1))
+    alpha, digit, unmapped = share(r"[^\p{L}]"), share("[^0-9]"), share("[^\ue000-\uf8ff]")
+    return F.when(n == 0, True).when(n < 40, alpha < 0.20).when(n < 120, (alpha <= 0.05) & (digit <= 0.35)).otherwise((unmapped >= 0.35) | ((alpha <= 0.01) & (digit <= 0.35)))
+
+
+def spoiled(text: Column, n: Column) -> Column:
+    """Pages as a scan may spoil them, one way for each number."""
+    r = lambda x, k: F.expr(f"repeat('{x}', {k})")
+    return F.when(n % 7 == 1, F.expr("repeat('\uf031', 50 + length(text) % 100)")).when(n % 7 == 2, r("* ", 70)).when(n % 7 == 3, F.lit(". - . - .")).when(n % 7 == 4, r("_", 60)).otherwise(text)
 
 
 def suspicious(spark: SparkSession, d: str) -> DataFrame:
-    """SRC4: length-banded thresholds (the tables hold clean text, so the bands are set where some lines fall)."""
-    n = F.length("text")
-    share = lambda p: F.when(n == 0, 0.0).otherwise(F.length(F.regexp_replace("text", p, "")) / n)
-    m = lines(spark, d).select("doc_id", "line_no", "source", n.alias("n"), share(r"[^\p{L}]").alias("alpha"), share("[^0-9]").alias("digit"))
-    return m.withColumn("suspicious", F.when(F.col("n") < 40, F.col("alpha") < 0.20).when(F.col("n") < 120, F.col("alpha") < 0.55).otherwise((F.col("alpha") <= 0.6) & (F.col("digit") <= 0.35)))
+    """SRC4 over lines as pages, some of them spoiled."""
+    p = lines(spark, d).withColumn("text", spoiled(F.col("text"), F.col("doc_id") + F.col("line_no")))
+    return p.select("doc_id", "line_no", "source", suspicious_text("text").alias("suspicious"))
 
 
 @query("suspicious_pages", f"WITH {LINES_SQL}, {SUSPICIOUS_SQL} SELECT source, count(*) AS pages, count(*) FILTER (WHERE suspicious) AS suspicious FROM flags GROUP BY source")
@@ -65,12 +79,12 @@ def unreadable_documents(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("unreadable", F.col("bad") >= F.ceil(F.lit(0.60).cast("decimal(3,2)") * F.col("pages")))
 
 
-@query("ingest_dedup", "WITH known AS (SELECT DISTINCT sha256(text) AS sha FROM documents WHERE doc_id % 2 = 0) SELECT doc_id, sha256(text) AS sha, CASE WHEN sha256(text) IN (SELECT sha FROM known) THEN 'REUSE' ELSE 'INGEST' END AS decision FROM documents WHERE doc_id % 2 = 1")
+@query("ingest_dedup", "WITH known AS (SELECT DISTINCT sha256(text) AS sha FROM documents WHERE source < 'src15') SELECT doc_id, sha256(text) AS sha, CASE WHEN sha256(text) IN (SELECT sha FROM known) THEN 'REUSE' ELSE 'INGEST' END AS decision FROM documents WHERE source >= 'src15'")
 def ingest_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """SRC6: what has been ingested is reused, by digest of the content."""
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
-    known = docs.filter("doc_id % 2 = 0").select(F.col("sha").alias("k")).distinct()
-    return docs.filter("doc_id % 2 = 1").join(known, F.col("sha") == F.col("k"), "left").select("doc_id", "sha", F.when(F.col("k").isNotNull(), "REUSE").otherwise("INGEST").alias("decision"))
+    """SRC6: what has been ingested (some sources) is reused by what comes in (the others), by digest of the content."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("sha"))
+    known = docs.filter("source < 'src15'").select(F.col("sha").alias("k")).distinct()
+    return docs.filter("source >= 'src15'").join(known, F.col("sha") == F.col("k"), "left").select("doc_id", "sha", F.when(F.col("k").isNotNull(), "REUSE").otherwise("INGEST").alias("decision"))
 
 
 @query("scope_text_fold", "SELECT doc_id, sha256(trim(regexp_replace(strip_accents(lower(text)), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS folded FROM documents")
@@ -79,10 +93,10 @@ def scope_text_fold(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(tx.fold("text"), 256).alias("folded"))
 
 
-@query("requirement_keys", f"WITH {LINES_SQL} SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(lower(text), '\\bl[''’]', '', 'g'), '[^\\p{{L}}0-9]+', ' ', 'g')) AS key FROM lines WHERE length(text) > 0 AND length(text) <= 120")
+@query("requirement_keys", f"WITH {LINES_SQL} SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(lower(text), '\\bl[''’]', '', 'g'), '[^\\p{{L}}0-9]+', ' ', 'g')) AS key FROM lines")
 def requirement_keys(spark: SparkSession, d: str) -> DataFrame:
     """ST3."""
-    return lines(spark, d).filter(F.length("text").between(1, 120)).select("doc_id", "line_no", tx.requirement_key("text").alias("key"))
+    return lines(spark, d).select("doc_id", "line_no", tx.requirement_key("text").alias("key"))
 
 
 @query(
@@ -149,10 +163,10 @@ def slugs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", tx.slug(F.concat_ws(" ", "p_name", "p_brand", F.lit("5%"))).alias("slug"))
 
 
-@query("citations", "SELECT l_orderkey, l_linenumber, l_partkey, 'Art. ' || CAST(l_partkey AS VARCHAR) || CASE WHEN l_tax = 0 THEN '' WHEN l_suppkey % 2 = 0 THEN ', p. ' || CAST(l_linenumber AS VARCHAR) ELSE ', pp. ' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_linenumber + 2 AS VARCHAR) END AS citation FROM lineitem WHERE l_quantity > 48")
+@query("citations", "SELECT l_orderkey, l_linenumber, l_partkey, 'Art. ' || CAST(l_partkey AS VARCHAR) || CASE WHEN l_tax = 0 THEN '' WHEN l_suppkey % 2 = 0 THEN ', p. ' || CAST(l_linenumber AS VARCHAR) ELSE ', pp. ' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_linenumber + 2 AS VARCHAR) END AS citation FROM lineitem")
 def citations(spark: SparkSession, d: str) -> DataFrame:
     """ST13."""
-    li = table(spark, d, "lineitem").filter("l_quantity > 48")
+    li = table(spark, d, "lineitem")
     first = F.when(F.col("l_tax") == 0, None).otherwise(F.col("l_linenumber"))
     last = F.when(F.col("l_suppkey") % 2 == 0, first).otherwise(first + 2)
     return li.select("l_orderkey", "l_linenumber", "l_partkey", tx.citation(F.concat(F.lit("Art. "), F.col("l_partkey").cast("string")), first, last).alias("citation"))
@@ -302,9 +316,13 @@ def unit_dedup(spark: SparkSession, d: str) -> DataFrame:
     "SELECT doc_id, source, spent FROM (SELECT doc_id, source, CAST(sum(n_chars // 4) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM documents) WHERE spent <= 20000",
 )
 def budget_guard(spark: SparkSession, d: str) -> DataFrame:
-    """UN5, MA6: calls of a family while its token budget lasts."""
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "documents").select("doc_id", "source", F.sum(F.floor(F.col("n_chars") / 4)).over(w).alias("spent")).filter("spent <= 20000")
+    """UN5, MA6: calls of a family while its token budget lasts. Sums run within stretches of ids, on top of the sums of the stretches before."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.floor(F.col("n_chars") / 4).alias("cost"), F.floor(F.col("doc_id") / 4096).alias("stretch"))
+    before = Window.partitionBy("source").orderBy("stretch")
+    sums = docs.groupBy("source", "stretch").agg(F.sum("cost").alias("cost"))
+    sums = sums.select("source", "stretch", (F.sum("cost").over(before) - F.col("cost")).alias("before")).filter("before <= 20000")
+    inside = Window.partitionBy("source", "stretch").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return docs.join(sums, ["source", "stretch"]).select("doc_id", "source", (F.col("before") + F.sum("cost").over(inside)).alias("spent")).filter("spent <= 20000")
 
 
 @query(
@@ -364,11 +382,11 @@ def promotion_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "trigger_signatures",
-    f"WITH {LINES_SQL}, t AS (SELECT lang, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS t FROM lines WHERE length(text) >= 40) SELECT lang || '|' || array_to_string(list_slice(string_split(t, ' '), 1, 3), ' ') AS signature, count(*) AS n, count(DISTINCT lang || '|' || substr(t, 1, 220)) AS keys FROM t GROUP BY 1",
+    f"WITH {LINES_SQL}, t AS (SELECT lang, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS t FROM lines) SELECT lang || '|' || array_to_string(list_slice(string_split(t, ' '), 1, 3), ' ') AS signature, count(*) AS n, count(DISTINCT lang || '|' || substr(t, 1, 220)) AS keys FROM t GROUP BY 1",
 )
 def trigger_signatures(spark: SparkSession, d: str) -> DataFrame:
     """EM1: exact keys behind each signature."""
-    k = lines(spark, d).filter(F.length("text") >= 40).select(ca.trigger_keys(F.col("lang"), F.col("text")).alias("k"))
+    k = lines(spark, d).select(ca.trigger_keys(F.col("lang"), F.col("text")).alias("k"))
     return k.groupBy("k.signature").agg(F.count("*").alias("n"), F.countDistinct("k.exact").alias("keys"))
 
 
@@ -455,16 +473,24 @@ def evidence_terms(text: Column) -> Column:
 
 @query(
     "best_excerpt",
-    f"""WITH {LINES_SQL}, s AS (SELECT doc_id, line_no, text, len([w FOR w IN ['the', 'der', 'les', 'los', 'license'] IF contains(lower(text), w)]) + least(length(text) / 300.0::DOUBLE, 2) AS score FROM lines WHERE line_no <= 20)
-        SELECT doc_id, line_no, substr(text, 1, 420) AS excerpt, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, line_no) AS rn FROM s) WHERE rn = 1""",
+    f"""WITH {LINES_SQL}, p AS (SELECT doc_id, line_no, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text FROM lines), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS place FROM p WHERE text <> ''),
+        s AS (SELECT doc_id, place, text, len([w FOR w IN ['the', 'der', 'les', 'los', 'license'] IF contains(lower(text), w)]) + least(length(text) // 300, 2) AS score FROM n WHERE place <= 20)
+        SELECT doc_id, place, substr(text, 1, 420) AS excerpt, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS rn FROM s) WHERE rn = 1""",
 )
 def best_excerpt(spark: SparkSession, d: str) -> DataFrame:
-    """EV2: the best of the first twenty paragraphs by term hits and length; the first of equals."""
-    terms = ["the", "der", "les", "los", "license"]
-    hits = sum((F.when(F.lower("text").contains(w), 1).otherwise(0) for w in terms[1:]), F.when(F.lower("text").contains(terms[0]), 1).otherwise(0))
-    s = lines(spark, d).filter("line_no <= 20").withColumn("score", hits + F.least(F.length("text") / 300, F.lit(2.0)))
-    b = s.groupBy("doc_id").agg(F.max_by(F.struct("line_no", "text", "score"), F.struct(F.round("score", 6), -F.col("line_no"))).alias("x"))
-    return b.select("doc_id", "x.line_no", F.substring("x.text", 1, 420).alias("excerpt"), F.round("x.score", 4).alias("score"))
+    """EV2: the best of the first twenty paragraphs by term hits and whole steps of 300 characters, the first of equals, within the row."""
+    paragraphs = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))  # the tables' lines stand as paragraphs
+    b = table(spark, d, "documents").select("doc_id", excerpt(paragraphs, ("the", "der", "les", "los", "license")).alias("x"))
+    return b.filter("x IS NOT NULL").select("doc_id", "x.place", "x.excerpt", "x.score")
+
+
+def excerpt(text: Column, terms: tuple[str, ...], most: int = 420) -> Column:
+    """EV2: ``struct<place, excerpt, score>`` of the paragraph between blank lines that fits the terms best; null without any."""
+    parts = F.slice(F.filter(F.transform(F.split(text, r"\n\s*\n"), tx.spaces), lambda x: x != ""), 1, 20)
+    hits = lambda x: sum((F.when(F.lower(x).contains(w), 1).otherwise(0) for w in terms[1:]), F.when(F.lower(x).contains(terms[0]), 1).otherwise(0))
+    scored = F.transform(parts, lambda x, i: F.struct((hits(x) + F.least(F.floor(F.length(x) / 300), F.lit(2))).alias("score"), (-i).alias("back"), F.substring(x, 1, most).alias("excerpt")))
+    best = F.array_max(scored)
+    return F.when(F.size(parts) > 0, F.struct((1 - best["back"]).cast("long").alias("place"), best["excerpt"].alias("excerpt"), best["score"].alias("score")))
 
 
 @query(
@@ -476,9 +502,13 @@ def evidence_scores(spark: SparkSession, d: str) -> DataFrame:
     """EV3: +10 for the same requirement, +6 for the same scope, +2 for the organisation; five best."""
     from ..operators.ranking import top_per
 
-    j = table(spark, d, "supplier").join(table(spark, d, "customer"), F.col("s_nationkey") == F.col("c_nationkey"))
-    score = F.when(F.col("s_suppkey") == F.col("c_custkey"), 10).otherwise(0) + 6 + F.when(F.col("c_mktsegment") == "BUILDING", 2).otherwise(0)
-    j = j.select(F.col("s_suppkey").alias("req"), F.col("c_custkey").alias("evidence"), score.alias("score"))
+    # of a scope's evidence only its five best, and the requirement's own, can be among a requirement's five best
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("evidence"), F.col("c_nationkey").alias("scope"), F.when(F.col("c_mktsegment") == "BUILDING", 2).otherwise(0).alias("more"))
+    r = table(spark, d, "supplier").select(F.col("s_suppkey").alias("req"), F.col("s_nationkey").alias("scope"))
+    best = top_per(c, ["scope"], [F.desc("more"), F.col("evidence")], 5).drop("place")
+    own = r.join(c.withColumnRenamed("scope", "at"), (F.col("req") == F.col("evidence")) & (F.col("scope") == F.col("at"))).drop("at", "scope")
+    j = r.join(best, "scope").select("req", "evidence", "more").unionByName(own.select("req", "evidence", "more")).distinct()
+    j = j.select("req", "evidence", (F.when(F.col("req") == F.col("evidence"), 10).otherwise(0) + 6 + F.col("more")).alias("score"))
     return top_per(j, ["req"], [F.desc("score"), F.col("evidence")], 5).drop("place")
 
 

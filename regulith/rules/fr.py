@@ -1,7 +1,7 @@
 """French lexicon. The compliance domain's cue patterns and weights, in their natural order."""
 
 NORMATIVE = [
-    ("MANDATORY_DOIT", r"\bdoit(?:vent)?\b|\bdoivent\b", 1.4),
+    ("MANDATORY_DOIT", r"\bdoit(?:vent)?\b", 1.4),
     ("MANDATORY_TENU", r"\best\s+tenu(?:e|s|es)?\s+de\b", 1.4),
     ("INTERDICTION", r"\b(?:est|sont)\s+interdit(?:e|es|s)?\b|\bne\s+doit(?:vent)?\s+pas\b", 1.6),
     ("CONDITION", r"\blorsque\b|\ben\s+cas\s+de\b|\bsi\b|\b[àa]\s+condition\s+de\b", 0.8),
@@ -28,8 +28,8 @@ MIXED_DESCRIPTIVE = ("SOMMAIRE", "ACTE_INDIVIDUEL_NAME", "ACTE_INDIVIDUEL_APPOIN
 NON_ARTICLE_LABELS = ("annexe", "sommaire", "nomination", "demission", "démission", "acceptation", "table", "tableau")
 
 # Document gate.
-SUMMARY_NOTICE = r"\b(?:sommaire|avis\s+et\s+communications?|situation\s+g[ée]n[ée]rale|index\s+[ée]ditorial|communiqu[ée]\s+officiel)\b"
-ARABIC_ONLY = r"\b(?:publi[ée]e?\s+uniquement\s+en\s+langue\s+arabe|publi[ée]\s+uniquement\s+en\s+arabe|texte\s+publi[ée]\s+en\s+arabe|en\s+langue\s+arabe\s+uniquement|uniquement\s+en\s+arabe)\b"
+SUMMARY_NOTICE = r"\b(?:sommaire|table\s+des\s+mati[eè]res|avis\s+et\s+communications?|situation\s+g[ée]n[ée]rale|index\s+[ée]ditorial|communiqu[ée]\s+officiel)\b"
+ARABIC_ONLY = r"\b(?:publi[ée]\s+uniquement\s+en\s+langue\s+arabe|publi[ée]\s+uniquement\s+en\s+arabe|texte\s+publi[ée]\s+en\s+arabe|en\s+langue\s+arabe\s+uniquement|uniquement\s+en\s+arabe)\b"
 STRONG_TITLE = r"\b(?:code\s+du\s+travail|code\s+du\s+commerce|loi(?:\s+n(?:[°o?])?\s*)?\d{1,4}(?:[-_/]\d{1,4})+|d[ée]cret(?:-loi)?(?:\s+n(?:[°o?])?\s*)?\d{1,4}(?:[-_/]\d{1,4})+|arr[êe]t[ée](?:\s+n(?:[°o?])?\s*)?\d{1,4}(?:[-_/]\d{1,4})+|l\d{2,4}[-_]\d{1,4}\b|d[_-]\d{2,4}[-_]\d{1,4}\b)\b"
 REGULATORY_TITLE = r"\b(?:code\s+du\s+travail|code\s+du\s+commerce|loi\s+n[°o]|d[ée]cret(?:-loi)?(?:\s+n[°o])?|arr[êe]t[ée]\s+fixant|fixant\s+les\s+modalit[ée]s|cahier\s+des\s+charges|conditions?\s+d['’]application|contributions?\s+tarifaires?|obligations?\s+de|registre|proc[ée]dure)\b"
 CONCOURS = r"\b(?:concours|examen|candidature|jury|date\s+de\s+cl[ôo]ture|nombre\s+de\s+postes?)\b"

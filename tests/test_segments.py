@@ -53,25 +53,68 @@ def test_similarity_properties():
 LONG = "L'exploitant doit tenir un registre des déchets dangereux et le présenter sur demande de l'inspection"
 
 
+def as_items(df, *names):
+    return df.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("i"))
+
+
 def test_keep_first_does_not_depend_on_arrival(spark):
-    rows = [(1, "O", 1, LONG), (1, "O", 2, LONG + " du travail"), (1, "C", 3, LONG), (1, "O", 4, "Autre chose entièrement différente de ce qui précède"), (1, "O", 5, LONG), (2, "O", 6, "court"), (2, "O", 7, "court"), (2, "O", 8, "Court.")]
-    want = {1: "KEPT", 3: "KEPT", 4: "KEPT", 5: "EXACT", 6: "KEPT", 7: "EXACT", 8: "KEPT"}
+    rows = [(1, "O", 1, LONG), (1, "O", 2, LONG + " du travail"), (1, "C", 3, LONG), (1, "O", 4, "Autre chose entièrement différente de ce qui précède"), (1, "O", 5, LONG), (2, "O", 6, "court"), (2, "O", 7, "court"), (2, "O", 8, "Court."), (2, "O", 9, None), (2, "O", 10, "")]
+    want = {1: "KEPT", 3: "KEPT", 4: "KEPT", 5: "EXACT", 6: "KEPT", 7: "EXACT", 8: "EXACT", 9: "KEPT", 10: "KEPT"}
     for n in range(3):
         random.Random(n).shuffle(rows)
-        df = spark.createDataFrame(rows, "doc_id long, kind string, seq long, text string").repartition(3)
-        got = {r.seq: r.reason for r in grouping.keep_first(df).collect()}
+        df = as_items(spark.createDataFrame(rows, "doc_id long, kind string, seq long, text string").repartition(3), "seq", "kind", "text")
+        got = {r.seq: r.reason for r in grouping.keep_first(df, F.col("i")).collect()}
         assert got.pop(2) in ("PREFIX", "OVERLAP") and got == want
 
 
+def test_duplicate_rules():
+    other = "La commission doit tenir un registre des déchets dangereux et le présenter sur demande de l'inspection"
+    assert grouping.prefix_duplicate(LONG, LONG + " du travail") and not grouping.prefix_duplicate(LONG[:70], LONG)
+    assert not grouping.prefix_duplicate(LONG, LONG + "s du travail et tout ce qui s'ensuit")  # not at a word's end
+    assert not grouping.prefix_duplicate(LONG, LONG + " " + "mots nouveaux venus ensuite " * 5)  # too few words shared
+    assert grouping.runtime_prefix_duplicate(LONG, LONG + " du travail") and not grouping.runtime_prefix_duplicate(LONG[:60], LONG)
+    shuffled = " ".join(sorted(LONG.lower().split()))
+    assert grouping.runtime_prefix_duplicate(LONG, shuffled + " et encore quelques autres mots")  # 0.95 of the words, a tenth longer
+    assert not grouping.overlap_duplicate(LONG, LONG + " du travail")  # no noise in either
+    assert grouping.overlap_duplicate(LONG.replace("registre", "regi|stre"), LONG)
+    assert not grouping.overlap_duplicate(other.replace("registre", "registre.."), "Le directeur doit tenir un registre des déchets dangereux et le présenter sur demande de l'inspection")  # other subject
+    assert grouping.runtime_overlap_duplicate(LONG, LONG[:80]) and not grouping.runtime_overlap_duplicate(LONG[:39], LONG)
+    assert grouping.runtime_overlap_duplicate(LONG, shuffled)
+
+
+def test_near_statements_miss_none():
+    g = random.Random(5)
+    words = ["registre", "déchets", "tenir", "exploitant", "responsabilités", "inspection", "doit", "sécurité"]
+    for _ in range(30):
+        texts = []
+        for _ in range(25):
+            t = " ".join(g.choices(words, k=g.randrange(1, 14)))
+            texts += [t, t.replace("é", "e"), t[g.randrange(0, 5) : len(t) - g.randrange(0, 5)]]
+        seen = grouping.Seen()
+        for i, t in enumerate(texts):
+            near = set(seen.near(t, 0.9))
+            for k in range(i):
+                o = texts[k]
+                if t == o or grouping.prefix_duplicate(t, o) or grouping.runtime_prefix_duplicate(t, o) or grouping.overlap_duplicate(t, o) or grouping.runtime_overlap_duplicate(t, o) or grouping.alike(t, o, 0.9):
+                    assert k in near, (t, o)
+            seen.add(t)
+
+
 def test_groups(spark):
     rows = [(1, 1, "O", LONG, "DRAFT", 0.7), (1, 2, "O", LONG + " du travail", "PROMOTED", 0.6), (1, 3, "C", LONG, "DRAFT", 0.9), (1, 4, "O", "tout autre énoncé", "DRAFT", 0.5)]
-    df = spark.createDataFrame(rows, "doc_id long, seq long, kind string, text string, status string, confidence double")
-    got = grouping.resolve_groups(df).orderBy("first_seq").collect()
+    df = as_items(spark.createDataFrame(rows, "doc_id long, seq long, kind string, text string, status string, confidence double"), "seq", "kind", "text", "status", "confidence")
+    got = grouping.resolve_groups(df, F.col("i")).orderBy("first_seq").collect()
     assert [(r.first_seq, r.representative, r.kind, r.members, r.type_conflict) for r in got] == [(1, 2, "O", 3, True), (4, 4, "O", 1, False)]
 
 
+def test_subject_consistency(spark):
+    rows = [("L'exploitant agit", "rien ici", 0.85), ("doit agir", "Le chef d'équipe doit agir", 0.35), ("agir vite", "Le chef d'équipe doit agir", 0.65), ("Le chef d'équipe doit agir", "Le chef d'équipe doit agir", 1.0), (None, None, 0.85)]
+    df = spark.createDataFrame([r[:2] for r in rows], "r string, s string")
+    assert [r.x for r in df.select(grouping.subject_consistency("r", "s").alias("x")).collect()] == [r[2] for r in rows]
+
+
 def test_snippets_and_fixes(spark):
-    df = spark.createDataFrame([("tenir un registre", "Bla bla. Il faut tenir un registre, toujours. Fin.", "RESUBJECT")], "requirement string, chunk string, action string")
+    df = spark.createDataFrame([("tenir un registre", "Bla bla. Il faut tenir un registre, toujours. Fin.", "RESUBJECT_FROM_CONTEXT")], "requirement string, chunk string, action string")
     assert grouping.snippets(df).first().snippet == "Il faut tenir un registre, toujours."
     assert grouping.apply_fixes(df.withColumn("text", F.lit("Il doit agir"))).first().fixed == "L'entreprise doit agir"
     assert grouping.rewrite("L'exploitant doit agir et doit informer", "L'exploitant", "OBLIGATION") == ["L'exploitant doit agir", "L'exploitant doit informer"]
