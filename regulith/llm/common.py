@@ -23,12 +23,15 @@ def text_of(c: str | Column = "text") -> Column:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary folder is used.
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset, a
+    temporary folder is used in local mode, and elsewhere it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="regulith-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="regulith-"))
     return df.checkpoint()
 
 

@@ -121,6 +121,65 @@ def test_similarities_and_common_shingles(make_docs):
     assert len(idf.hashes) == 1 and abs(idf.values[0] - near_dedup.FLOOR) < 1e-9
 
 
+def test_common_shingles_do_not_depend_on_partitions(make_docs):
+    rows = [(i, (f"this same line stands everywhere {i} a{i} b{i}" if i % 5 == 0 else f"no line {i} of {i + 1} is like {i + 2} others {i * 7}")) for i in range(300)]
+    found = []
+    for n in (1, 30, 150):
+        idf = near_dedup.common_shingles(make_docs(rows).repartition(n), 300)
+        found.append((idf.hashes.tolist(), idf.values.round(9).tolist()))
+    assert len(found[0][0]) == 1 and found[0] == found[1] == found[2]
+
+
+def test_frequent_keeps_its_bound():
+    g = np.random.default_rng(2)
+    blocks = [np.concatenate([np.unique(g.integers(0, 40, 12)), np.unique(g.integers(100, 10**6, 30))]).astype(np.uint64) for _ in range(400)]
+    f = near_dedup.Frequent(0.05)
+    for b in blocks:
+        f.add(b, 1)
+    true = collections.Counter(x for b in blocks for x in b.tolist())
+    kept = dict(zip(f.h.tolist(), f.n.tolist(), strict=True))
+    assert all(x in kept and true[x] - 0.05 * 400 <= kept[x] <= true[x] for x in true if true[x] > 0.05 * 400)
+    assert len(kept) < 1500
+
+
+def test_near_classes_with_common_shingles_weighed_down(make_docs):
+    # half of the rows begin with one line, which counts a quarter to a third: some pairs are like only with it at full weight
+    g = random.Random(12)
+    words = lambda n: [f"w{g.randrange(10**6)}" for _ in range(n)]
+    line, rows = words(45), []
+    for i in range(60):
+        tail = words(30)
+        rows.append((3 * i, " ".join(line + tail)))
+        rows.append((3 * i + 1, " ".join(line + tail[:-2] + words(2)) if i % 2 else " ".join(line + tail[: -g.choice((3, 4, 5, 11, 12, 13))])))
+        rows.append((3 * i + 2, " ".join(words(70))))
+    rows += [(0, rows[0][1]), (500, rows[0][1])]  # a repeated row and a copy
+    n = len(rows)
+    df = collections.Counter(x for _, t in rows for x in {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)})
+    weight = lambda x: min(1.0, max(0.25, np.log(n / df[x]) / np.log(10))) if df[x] > 0.1 * n else 1.0
+    sh = {i: {x: c * weight(x) for x, c in collections.Counter(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)).items()} for i, t in rows}
+    parent = {i: i for i in sh}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    plain = 0
+    for i in sh:
+        for j in sh:
+            if i < j:
+                low, high = (sum(f(sh[i].get(x, 0), sh[j].get(x, 0)) for x in sh[i].keys() | sh[j].keys()) for f in (min, max))
+                both, every = len(sh[i].keys() & sh[j].keys()), len(sh[i].keys() | sh[j].keys())
+                plain += both / every >= 0.8 and low / high < 0.8
+                if low / high >= 0.8:
+                    x, y = find(i), find(j)
+                    parent[max(x, y)] = min(x, y)
+    assert plain > 0  # the weights decide some
+    got = near_dedup.near_classes(make_docs(rows).repartition(7)).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: find(i) for i in sh} and len(got) == n
+    assert sum(r.kept for r in got) == len({find(i) for i in sh})
+
+
 def syllables(g, parts, n):
     return " ".join("".join(g.choices(parts, k=g.randrange(1, 4))) for _ in range(n))
 
@@ -158,6 +217,97 @@ def test_kneser_ney_is_a_distribution():
         assert 0 < total < 1.0 + 1e-6  # the rest is the word's end and unseen letters
 
 
+def test_kneser_ney_against_dictionaries():
+    """The models' costs against counts in dictionaries."""
+    g = random.Random(7)
+    data = {lang: collections.Counter("".join(g.choices(letters, k=g.randrange(1, 7))) for _ in range(300)) for lang, letters in (("a", "abcé"), ("b", "bcdx"))}
+    models = langid.Models(["a", "b"]).fit({x: (sorted(c), np.array([c[w] for w in sorted(c)])) for x, c in data.items()})
+    end, order = "$", langid.ORDER
+    symbols = {s for c in data.values() for w in c for s in w + end}
+
+    def tables(counts):
+        out = []
+        for k in range(1, order + 1):
+            c = collections.Counter()
+            if k == order:
+                for w, n in counts.items():
+                    for i in range(len(w) + 2 - k):
+                        c[(w + end)[i : i + k]] += n
+            else:
+                longer = {(w + end)[i : i + k + 1] for w in counts for i in range(len(w) + 1 - k)}
+                for x in longer:
+                    c[x[1:]] += 1
+                for w, n in counts.items():
+                    if len(w) + 1 >= k:
+                        c[(w + end)[:k]] += n
+            ones, twos = (sum(v == m for v in c.values()) for m in (1, 2))
+            cut = min(0.95, max(0.1, ones / max(ones + 2 * twos, 1)))
+            total, mass = collections.Counter(), collections.Counter()
+            for x, v in c.items():
+                total[x[:-1]] += v
+                mass[x[:-1]] += min(v, cut)
+            out.append((c, cut, total, mass))
+        return out
+
+    for j, lang in enumerate("ab"):
+        t = tables(data[lang])
+        for w in ["abc", "zzé", "xdcb", "a", *list(data[lang])[:40]]:
+            cost = 0.0
+            for i, s in enumerate(w + end):
+                p = 1 / (len(symbols) + 1)
+                for k in range(min(order, i + 1)):
+                    c, cut, total, mass = t[k]
+                    ctx = w[i - k : i]
+                    if total[ctx]:
+                        p = max(c[ctx + s] - cut, 0) / total[ctx] + mass[ctx] / total[ctx] * p
+                cost -= np.log(max(p, 1e-12))
+            got = models.words([w])[0][0, j]
+            assert abs(got - cost) < 1e-3 * max(1, cost), (lang, w)
+
+
+def test_rejection_is_calibrated():
+    m = langid.Models(["a", "b"]).fit({"a": (["abab", "baba"], np.array([5, 5])), "b": (["cdcd", "dcdc"], np.array([5, 5]))})
+    g = random.Random(3)
+    rows = [(x, " ".join("".join(g.choices("ab" if x == "a" else "cd", k=4)) for _ in range(g.randrange(2, 30)))) for x in g.choices("ab", k=1500)]
+    held = pa.table({"lang": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    m.calibrate(held)
+    assert m.predict(held.column("text").combine_chunks())[2].mean() <= langid.FALSE
+    assert list(m.predict(pa.array(["zqzq zqqz qzzq " * 20, "abab baba abab", "", None, "12 34"]))[2]) == [True, False, True, True, True]
+    m.calibrate(held.slice(0, 200))
+    assert m.limit == np.inf  # too few rows for the bound
+    ties = langid.Models(["a", "b"]).fit({x: (["abab"], np.array([1])) for x in "ab"})
+    assert ties.predict(pa.array(["abab", "abab"]))[0] == ["a", "a"]
+
+
+def test_network_against_plain_loops():
+    net = toxicity.Network.fresh(3)
+    texts = ["one two three", "", "idiot " * 5 + "and so on until the window is full of words " * 6, "a"]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    k = toxicity.HIDDEN
+
+    def states(x, d):
+        h, out = np.zeros(k), []
+        for row in x:
+            gates, v = row @ net.p[f"x{d}"] + net.p[f"c{d}"], h @ net.p[f"h{d}"]
+            z, r = sig(gates[:k] + v[:k]), sig(gates[k : 2 * k] + v[k : 2 * k])
+            h = z * h + (1 - z) * np.tanh(gates[2 * k :] + r * v[2 * k :])
+            out.append(h)
+        return out
+
+    want = []
+    for t in texts:
+        words, best = t.split(), -np.inf
+        feats = net.features(toxicity.Words.of(words)).astype(float) if words else None
+        starts = range(0, max(1, -(-(len(words) - toxicity.LENGTH) // toxicity.STEP) * toxicity.STEP + 1), toxicity.STEP) if words else []
+        for s in starts:
+            x = feats[s : s + toxicity.LENGTH]
+            hs = [np.concatenate(p) for p in zip(states(x, "f"), states(x[::-1], "b")[::-1], strict=True)]
+            e = np.exp([h @ net.p["attend"] for h in hs])
+            best = max(best, sum(a * h for a, h in zip(e / e.sum(), hs, strict=True)) @ net.p["out"] + net.p["bias"][0])
+        want.append(best)
+    assert np.allclose(net.raw(pa.array(texts)), want, atol=1e-4)
+
+
 def test_toxicity(spark, make_docs, rows_of, long_text):
     g = random.Random(4)
     parts = ["ka", "to", "mi", "ru", "sol", "ben"]
@@ -269,3 +419,25 @@ def test_pipeline(spark, make_docs, tmp_path):
     assert seen[2] == sorted(set(seen[1]) - set(range(600, 610)))
     assert set(seen[3]) <= set(seen[2])
     assert sorted(r.doc_id for r in p.run(spark, str(tmp_path)).collect()) == seen[3]
+
+
+def test_pipeline_defined_cases(spark, make_docs, tmp_path):
+    import corpus_pipeline as p
+
+    g = random.Random(9)
+    text = lambda n=40: syllables(g, ["ka", "to", "mi", "ru"], n)
+    same = text()
+    cases = {
+        "empty": ([(1, "x", "xx", "s")], 0, 0),
+        "no_language": ([(i, text(), None, "s") for i in range(5)], None, 0),
+        "letterless": ([(i, "12 34", "xx", "s") for i in range(5)] + [(9, None, "xx", "s")], None, 0),
+        "null_ids": ([(i, text(), "xx", "s") for i in range(6)] + [(None, text(), "xx", None), (None, same, "xx", "s"), (7, same, "xx", "s"), (7, same, "xx", "s"), (8, text(9000), "xx", None)], None, None),
+    }
+    for name, (rows, limit, want) in cases.items():
+        df = make_docs(rows)
+        (df.limit(0) if limit == 0 else df).write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = p.run(spark, str(tmp_path / name)).collect()
+        if want is not None:
+            assert len(got) == want, name
+        else:
+            assert all(r.exact for r in got) and {r.doc_id for r in got} <= {r[0] for r in rows} and got
