@@ -1,4 +1,12 @@
-"""Corpus pipeline: language ID, exact dedup, near dedup, mixing, SentencePiece."""
+"""Corpus pipeline: language ID, exact dedup, near dedup, mixing, SentencePiece.
+
+Defined cases: null, empty and letterless texts are rejected by the first stage;
+where no row has a language to learn from, nothing can be identified and every
+row goes; rows with a null id pass all stages (as copies of others they go like
+any other); of repeated rows one stays; very long texts are read whole; columns
+beyond those of documents, whatever their names, are kept up to the last stage;
+an empty table, or one of which nothing is left, gives an empty result.
+"""
 
 from __future__ import annotations
 

@@ -18,7 +18,10 @@ SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="regulith-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    base = base or tempfile.mkdtemp(prefix="regulith-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
