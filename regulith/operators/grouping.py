@@ -274,6 +274,36 @@ def subject_consistency(requirement: str | Column, source: str | Column) -> Colu
     return F.when(b == "", 0.85).when(a == "", F.when(bare, 0.35).otherwise(0.65)).otherwise(both)
 
 
+# Weights of grounding's parts with and without a snippet, and where it passes.
+GROUNDED, UNQUOTED, SOFT, PASS = (0.25, 0.15, 0.20, 0.10, 0.05), (0.75, 0.25), 0.28, 0.48
+
+
+def grounding_of(requirement: str, snippet: str, chunk: str) -> tuple[float, str, list[str]]:
+    """GR1: score, verdict and reasons: words and characters shared with the snippet, the snippet within the chunk, and the chunk's best sentence (no embedding here, so its parts drop out)."""
+    req, src, whole = ((x or "").strip() for x in (requirement, snippet, chunk))
+    units = [u for u in re.split(r"(?<=[.;!?])\s+|\n+", whole) if u.strip()]
+    words = content(req)
+    rated = [overlap(words, content(u)) for u in units]
+    top = max(rated, default=0.0)
+    # characters decide between sentences that share as many words
+    best = max(((v, ratio(req, u)) for v, u in zip(rated, units, strict=True) if v == top), default=(0.0, 0.0))
+    inside = bool(src) and _plain(src) in _plain(whole)
+    if src:
+        parts = zip(GROUNDED, (overlap(words, content(src)), ratio(req, src), float(inside), *best), strict=True)
+        total = sum(GROUNDED)
+    else:
+        parts, total = zip(UNQUOTED, best, strict=True), sum(UNQUOTED)
+    score = round(min(1.0, max(0.0, sum(w * v for w, v in parts) / total)), 4)
+    reasons = ["GROUNDING_SNIPPET_EMPTY"] if not src else [] if inside else ["GROUNDING_SNIPPET_NOT_IN_CHUNK"]
+    verdict = "HARD_FAIL" if score < SOFT else "SOFT_FAIL" if score < PASS else "PASS"
+    return score, verdict, reasons + ([] if verdict == "PASS" else [f"GROUNDING_SCORE_{verdict}"])
+
+
+@F.pandas_udf(StructType([StructField("score", DoubleType()), StructField("verdict", StringType()), StructField("reasons", ArrayType(StringType()))]))
+def grounding(requirement: pd.Series, snippet: pd.Series, chunk: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([grounding_of(*x) for x in zip(requirement, snippet, chunk, strict=True)], columns=["score", "verdict", "reasons"])
+
+
 def best_snippet(requirement: str, chunk: str, least: float = 0.18, most: int = 420) -> tuple[str, float]:
     """CF3: the sentence of the chunk that shares most words with the requirement, with small bonuses for conditions and penalties for length; empty below ``least``."""
     want = tokens(requirement)

@@ -115,6 +115,14 @@ def subject_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("score", (F.col("score") >= 0.6).alias("consistent")).agg(F.count("*").alias("n"))
 
 
+@query("grounding_verdicts")
+def grounding_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """GR1: a document's first line as requirement, grounded in its text by the sentence that cites it best (checked on each verdict)."""
+    x = table(spark, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("requirement"), F.col("text").alias("chunk"))
+    g = grouping.snippets(x).withColumn("g", grouping.grounding("requirement", "snippet", "chunk"))
+    return g.select("doc_id", "g.score", "g.verdict", F.array_join("g.reasons", ",").alias("reasons"))
+
+
 @query("snippets")
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     """CF3: the document's sentence that best cites its first line."""

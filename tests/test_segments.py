@@ -118,3 +118,18 @@ def test_snippets_and_fixes(spark):
     assert grouping.snippets(df).first().snippet == "Il faut tenir un registre, toujours."
     assert grouping.apply_fixes(df.withColumn("text", F.lit("Il doit agir"))).first().fixed == "L'entreprise doit agir"
     assert grouping.rewrite("L'exploitant doit agir et doit informer", "L'exploitant", "OBLIGATION") == ["L'exploitant doit agir", "L'exploitant doit informer"]
+
+
+def test_grounding(spark):
+    chunk = "L'exploitant doit tenir un registre des déchets. Il est tenu à jour chaque mois.\nAutre sujet."
+    good = "L'exploitant doit tenir un registre des déchets."
+    assert grouping.grounding_of(good, good, chunk)[:2] == (1.0, "PASS")
+    assert grouping.grounding_of(good, "", chunk) == (1.0, "PASS", ["GROUNDING_SNIPPET_EMPTY"])
+    score, verdict, why = grouping.grounding_of("Tout autre énoncé sans rapport", "Une phrase inventée", chunk)
+    assert verdict == "HARD_FAIL" and score < 0.28 and why == ["GROUNDING_SNIPPET_NOT_IN_CHUNK", "GROUNDING_SCORE_HARD_FAIL"]
+    # by the weights: words 2 of 6 with the snippet, which stands in the chunk
+    score, verdict, _ = grouping.grounding_of("registre des déchets à remettre demain", "Il est tenu à jour chaque mois.", chunk)
+    assert verdict in ("SOFT_FAIL", "PASS") and 0.28 <= score < 0.6
+    assert grouping.grounding_of(None, None, None) == (0.0, "HARD_FAIL", ["GROUNDING_SNIPPET_EMPTY", "GROUNDING_SCORE_HARD_FAIL"])
+    df = spark.createDataFrame([(good, good, chunk)], "r string, s string, c string")
+    assert df.select(grouping.grounding("r", "s", "c").alias("g")).first().g.verdict == "PASS"
