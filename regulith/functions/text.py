@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..rules import fr_ocr
+
 #: Java patterns that match as the domain's rules mean it: any case, Unicode letters and boundaries.
 UNICODE = "(?iuU)"
 
@@ -44,36 +47,40 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-#: Steps of the legal-text normaliser in order: name, pattern, replacement.
-LEGAL_STEPS = (
-    ("soft_hyphen", "­", ""),
-    ("zero_width", "[​‌‍⁠﻿]", ""),
-    ("hyphen_linebreak", r"(?U)(?<=\w)[\-‐-—]\s*\n\s*(?=\w)", ""),
-    ("ocr_pipe", r"(?U)(?<=\w)\|(?=\w)", "l"),
-    ("arabic", "[؀-ۿݐ-ݿࢠ-ࣿ]+", " "),
-    ("page_header", r"(?imu)^\s*(?:journal\s+officiel|republique\s+tunisienne|jort)\b.*$", ""),
-    ("page_number", r"(?m)^\s*[-–—]?\s*\d{1,4}\s*[-–—]?\s*$", ""),
-    ("trailing_space", r"(?m)[ \t]+$", ""),
-    ("space_run", r"[ \t]{2,}", " "),
-    ("blank_lines", r"\n{3,}", "\n\n"),
-    ("space_before", r"[ \t]+([,;:.!?])", "$1"),
-)
+def _replaced(x: Column, steps: Iterable[tuple[str, str]]) -> Column:
+    for pattern, to in steps:
+        x = F.regexp_replace(x, pattern, to)
+    return x
 
 
-def legal_normal(x: str | Column, compose: bool = False) -> Column:
-    """ST1: the normaliser's steps in order; ``compose`` puts NFKC first (a pandas UDF)."""
-    out = nfkc(_c(x)) if compose else _c(x)
-    out = F.translate(out, *PUNCTUATION)
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
+
+
+def _plain_signs(x: str | Column, compose: bool) -> Column:
+    """Line feeds, compatibility composition if asked for, plain quotes, dashes, blanks and ligatures."""
+    out = F.regexp_replace(_c(x), r"\r\n?", "\n")
+    out = F.translate(F.translate(nfkc(out) if compose else out, *PUNCTUATION), "\u00a0\u202f", "  ")
     for a, b in LIGATURES:
         out = F.replace(out, F.lit(a), F.lit(b))
-    for _, pattern, to in LEGAL_STEPS:
-        out = F.regexp_replace(out, pattern, to)
-    return F.trim(out)
+    return out
+
+
+def legal_normal(x: str | Column, compose: bool = False) -> Column:
+    """ST1: the normaliser's steps in order; ``compose`` puts NFKC first (a pandas UDF)."""
+    return _stripped(_replaced(_plain_signs(x, compose), [(p, to) for _, p, to in fr_ocr.LEGAL_STEPS]))
 
 
-def legal_counts(x: str | Column) -> Column:
-    """ST1's counters: how often each step would change the text as given."""
-    return F.struct(*[F.regexp_count(_c(x), F.lit(p)).alias(n) for n, p, _ in LEGAL_STEPS])
+def legal_counts(x: str | Column, compose: bool = False) -> Column:
+    """ST1's counters: signs replaced, and how often each step changes the text that the steps before leave."""
+    raw = _c(x)
+    signs = nfkc(raw) if compose else raw
+    counts = [F.regexp_count(signs, F.lit(f"[{PUNCTUATION[0]}]")).alias("punctuation"), F.regexp_count(signs, F.lit("[" + "".join(a for a, _ in LIGATURES) + "]")).alias("ligature")]
+    out = _plain_signs(x, compose)
+    for name, pattern, to in fr_ocr.LEGAL_STEPS:
+        counts.append(F.regexp_count(out, F.lit(pattern)).alias(name))
+        out = F.regexp_replace(out, pattern, to)
+    return F.struct(*counts)
 
 
 def requirement_key(x: str | Column) -> Column:
@@ -88,11 +95,50 @@ def ocr_score(x: str | Column) -> Column:
     return 2 * n(r"[A-Za-z]\|[A-Za-z]") + 2 * n(r"[A-Za-z][0-9]+[A-Za-z]") + n(r"-\n") + n(r"(?:^| )[b-df-hj-xzB-DF-HJ-XZ](?: |$)") + n(r"[.,;:]{2,}")
 
 
+def single_spaced(x: str | Column) -> Column:
+    """Blanks and tabs as one blank, empty lines out, ends trimmed."""
+    return _stripped(_replaced(F.translate(_c(x), "\u00a0", " "), [(r"[ \t]+", " "), (r"\n{2,}", "\n")]))
+
+
+def ocr_share(x: str | Column) -> Column:
+    """ST5: share of tokens with digits or capitals inside, or with a part said twice, to four places; 0 without tokens."""
+    tokens = F.regexp_extract_all(single_spaced(x), F.lit(fr_ocr.TOKEN), F.lit(0))
+    odd = F.filter(tokens, lambda t: t.rlike(fr_ocr.SUSPICIOUS_TOKEN))
+    return F.round(F.size(odd) / F.greatest(F.size(tokens), F.lit(1)), 4)
+
+
+def ocr_heavy(x: str | Column) -> Column:
+    """ST5: many such tokens, or fewer and a sign of OCR."""
+    text, share = single_spaced(x), ocr_share(x)
+    signs = F.lit(False)
+    for pattern in fr_ocr.SIGNALS:
+        signs = signs | text.rlike(pattern)
+    return (share >= fr_ocr.HEAVY) | ((share >= fr_ocr.HEAVY_WITH_SIGNALS) & signs)
+
+
+def ocr_repaired(x: str | Column) -> Column:
+    """ST5: a line without what OCR put into it."""
+    return F.btrim(F.regexp_replace(_replaced(single_spaced(x), fr_ocr.LINE_REPAIRS), r"(?U)\s+", " "), F.lit(fr_ocr.EDGES))
+
+
 def sanitize(x: str | Column) -> Column:
-    """ST6: artefacts out of the way of extraction: broken words joined, pipes read as l, doubled punctuation and blanks reduced."""
-    out = F.regexp_replace(_c(x), r"(?U)(?<=\w)-\n(?=\w)", "")
-    out = F.regexp_replace(out, r"(?U)(?<=\w)\|(?=\w)", "l")
-    return spaces(F.regexp_replace(out, r"([.,;:])[.,;:]+", "$1"))
+    """ST6: a text as one line for extraction.
+
+    Lines begin where articles, signatures and page headers do. Page headers go,
+    as do signatures, persons and bare names unless they hold a normative word;
+    then segments of names and offices inside the rest.
+    """
+    broken = F.regexp_replace(F.translate(single_spaced(x), "\n", " "), fr_ocr.HARD_BREAK, "\n")
+    lines = F.transform(F.split(broken, r"\n+"), ocr_repaired)
+
+    def stays(line: Column) -> Column:
+        page = line.rlike(fr_ocr.PAGE_LINE) | line.rlike(fr_ocr.PAGE_MENTION)
+        signed = line.rlike(fr_ocr.SIGNATURE_LINE) | line.rlike(fr_ocr.PERSON_LINE) | line.rlike(fr_ocr.NAME_LINE)
+        return (line != "") & ~page & (~signed | line.rlike(fr_ocr.NORMATIVE_KEEP))
+
+    out = ocr_repaired(_replaced(F.array_join(F.filter(lines, stays), " "), fr_ocr.INLINE_NOISE))
+    out = _replaced(out, [(fr_ocr.NAME_LIST, " "), (fr_ocr.SIGNED_ON, " "), (r"(?U)\s+", " ")])
+    return F.btrim(out, F.lit(fr_ocr.EDGES))
 
 
 def entities(x: str | Column) -> Column:

@@ -108,6 +108,12 @@ def ocr_scores(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.ocr_score("text").cast("long").alias("score"))
 
 
+@query("ocr_shares")
+def ocr_shares(spark: SparkSession, d: str) -> DataFrame:
+    """ST5: share of suspicious tokens and the heavy flag (a part said twice is a back reference, which the oracle's engine lacks)."""
+    return table(spark, d, "documents").select("doc_id", tx.ocr_share("text").alias("share"), tx.ocr_heavy("text").alias("heavy"))
+
+
 @query("sanitized_text")
 def sanitized_text(spark: SparkSession, d: str) -> DataFrame:
     """ST6 (its patterns look behind, which the oracle's engine does not)."""
@@ -119,7 +125,7 @@ def sanitized_text(spark: SparkSession, d: str) -> DataFrame:
 def legal_normaliser(spark: SparkSession, d: str) -> DataFrame:
     """ST1 with NFKC first, and its counters."""
     n = tx.legal_normal("text", compose=True)
-    return table(spark, d, "documents").select("doc_id", F.sha2(n, 256).alias("sha"), tx.legal_counts("text").alias("c")).select("doc_id", "sha", "c.*")
+    return table(spark, d, "documents").select("doc_id", F.sha2(n, 256).alias("sha"), tx.legal_counts("text", compose=True).alias("c")).select("doc_id", "sha", "c.*")
 
 
 @query("html_text", r"""SELECT page_id, length(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\n\r\f\v]+', ' ', 'g'))) AS chars FROM pages""")

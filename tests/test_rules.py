@@ -1,11 +1,13 @@
 """Rule cascades with the domain's own French rules, one row per branch."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from regulith.functions import text as tx
 from regulith.operators import cascades as ca
-from regulith.rules import fr
+from regulith.rules import fr, fr_ocr
 
 # The golden gate cases: title, preview, articles, policy, reasons.
 GATE = [
@@ -207,3 +209,77 @@ def test_stale_jobs(spark):
     rows = [("RUNNING", now - dt.timedelta(hours=12)), ("RUNNING", now - dt.timedelta(hours=13)), ("DONE", None), ("QUEUED", None)]
     df = spark.createDataFrame(rows, "s string, t timestamp")
     assert [r.x for r in df.select(stale(F.col("s"), F.col("t"), F.lit(now)).alias("x")).collect()] == [False, True, False, True]
+
+
+LEGAL = [
+    ("word_digit", "le seu1il des rejets", "le seuil des rejets"),
+    ("duplicate_modal", "Il do doit agir", "Il doit agir"),
+    ("inline_heading", "les rejets Chapitre IV - sont limités", "les rejets sont limités"),
+    ("fused_modal", "L'exploitantdoit agir", "L'exploitant doit agir"),
+    ("space_after", "Vu;fin", "Vu; fin"),
+    ("space_before", "fin ;", "fin;"),
+    ("arabic", "a ب b", "a b"),
+    ("page_number", "a\n - 12 -\nb", "a\n\nb"),
+    ("page_header", "a\nJORT du jour\nb", "a\n\nb"),
+    ("hyphen_linebreak", "exploi-\r\ntant", "exploitant"),
+]
+
+
+@pytest.mark.parametrize(("step", "raw", "want"), LEGAL)
+def test_legal_steps(spark, step, raw, want):
+    assert one(spark, tx.legal_normal(F.lit(raw), compose=True)) == want
+    assert one(spark, tx.legal_counts(F.lit(raw), compose=True))[step] == 1
+
+
+def test_counters_read_what_the_step_gets(spark):
+    got = one(spark, tx.legal_counts(F.lit("a” ­ ,b"), compose=True))
+    assert (got.punctuation, got.soft_hyphen, got.space_before, got.space_after, got.space_run) == (1, 1, 1, 1, 0)
+
+
+def plain(pattern):
+    """The pattern and flags for Python's engine, whose classes are Unicode and lines end in line feeds by default."""
+    flags = re.match(r"\(\?([a-zA-Z]+)\)", pattern)
+    letters = "".join(f for f in (flags.group(1) if flags else "") if f in "im")
+    return (f"(?{letters})" if letters else "") + (pattern[flags.end() :] if flags else pattern)
+
+
+def test_patterns_in_two_engines(spark):
+    """Every pattern finds in Spark what it finds in Python, over all samples and their joins."""
+    samples = [r for _, r, _ in LEGAL] + [r for r, _ in SANITISED if r]
+    samples += ["\n".join(samples), " ".join(samples), "Le bureau d'ordre des services et du ministère de l'administration prend en charge les a, les b, les c et intérêts"]
+    patterns = [p for _, p, _ in fr_ocr.LEGAL_STEPS] + [p for p, _ in fr_ocr.LINE_REPAIRS + fr_ocr.INLINE_NOISE] + [*fr_ocr.SIGNALS, fr_ocr.SUSPICIOUS_TOKEN, fr_ocr.HARD_BREAK, fr_ocr.PAGE_LINE, fr_ocr.PAGE_MENTION, fr_ocr.SIGNATURE_LINE, fr_ocr.PERSON_LINE, fr_ocr.NAME_LINE, fr_ocr.NORMATIVE_KEEP, fr_ocr.NAME_LIST, fr_ocr.SIGNED_ON]
+    df = spark.createDataFrame([(s,) for s in samples], "s string").coalesce(1)
+    got = df.select(*[F.regexp_replace("s", p, "<>").alias(f"p{i}") for i, p in enumerate(patterns)]).collect()
+    for s, row in zip(samples, got, strict=True):
+        for p, x in zip(patterns, row, strict=True):
+            assert x == re.sub(plain(p), "<>", s), (p, s)
+
+
+SANITISED = [
+    (None, ""),
+    ("  \n ", ""),
+    ("L'exploitant doit agir. Tunis, le 3 mars 2020", "L'exploitant doit agir."),
+    ("Texte utile. Le ministre de la santé", "Texte utile."),
+    ("Le ministre doit: agir.", "Le ministre doit: agir."),
+    ("Texte utile. Le ministre doit agir.", "Texte utile. ."),
+    ("Il paie. Monsieur ali est là", "Il paie."),
+    ("Texte. N° 12 du Journal Officiel", "Texte."),
+    ("Texte. Page 3 du journal officiel suite", "Texte."),
+    ("prévus par les Ahmed Salah articles 3", "prévus par les articles 3"),
+    ("Les crédits Ahmed Salah de campagne", "Les crédits de campagne"),
+    ("un vu susvisé", "un susvisé"),
+    ("le rejetEst limité", "le rejet Est limité"),
+    ("Sont là: Sfax, Tunis, Gabes, Sousse", "Sont là"),
+    ("  - l'exploitantdoit do doit agiragir", "l'exploitant doit doit agir"),
+    ("Article - Le texte", "Le texte"),
+]
+
+
+@pytest.mark.parametrize(("raw", "want"), SANITISED)
+def test_sanitise(spark, raw, want):
+    assert one(spark, tx.sanitize(F.lit(raw).cast("string"))) == want
+
+
+@pytest.mark.parametrize(("raw", "share", "heavy"), [("", 0.0, False), ("mot abc1 mot mot", 0.25, True), ("un deux trois quatre cinq six sept huit neuf abc1", 0.1, True), ("un deux trois quatre cinq six sept huit neuf dix onze abc1", 0.0833, False), ("maisonmaison mot", 0.5, True), ("teXTte mot", 0.5, True), ("...", 0.0, False)])
+def test_ocr_share(spark, raw, share, heavy):
+    assert (one(spark, tx.ocr_share(F.lit(raw))), one(spark, tx.ocr_heavy(F.lit(raw)))) == (share, heavy)
