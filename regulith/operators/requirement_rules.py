@@ -182,6 +182,44 @@ def rejection(req: str, source: str) -> str:
     )
 
 
+def headcount_limit(req: str, patterns: Iterable[str]) -> str:
+    """RU1: the number of the first pattern that a plain text holds, or null."""
+    found = ", ".join(f"nullif(regexp_extract({req}, {PATTERN}'{p}', 1), '')" for p in patterns)
+    return f"CAST(coalesce({found}, NULL) AS INT)"
+
+
+def applicability(req: str, headcount: str, sector: str, chemicals: str, means: str) -> str:
+    """RU1: ``STATUS|confidence|RULE`` of the first rule that decides without a model, or null.
+
+    ``req``, ``sector``, ``chemicals`` (substances and products) and ``means``
+    (activities and equipment) are plain texts, ``headcount`` a number or null.
+    A headcount limit comes first, then a single sector named with a cue of
+    scope, chemicals at hand, a theme of both sides, and a public actor who opens
+    the first sentence. An empty requirement or one that no rule meets is null.
+    """
+    has = lambda m: any_of(req, m)
+    low, high = headcount_limit(req, fr.HEADCOUNT_MIN), headcount_limit(req, fr.HEADCOUNT_MAX)
+    named = "(" + " + ".join(f"CASE WHEN {has(m)} THEN 1 ELSE 0 END" for _, m in fr.SECTORS) + ")"
+    single = f"({has(fr.SECTOR_SCOPE)} AND {any_of(sector, [w for _, m in fr.SECTORS for w in m])} AND {named} = 1)"
+    shared = "(" + " OR ".join(f"({has(m)} AND {any_of(sector, m)})" for _, m in fr.SECTORS) + ")"
+    head = f"substr(split_part({req}, '.', 1), 1, 220)"
+    public = " OR ".join(f"substr({head}, 1, {len(p)}) = {lit(p)}" for p in fr.PUBLIC_ACTORS)
+    return cascade(
+        [
+            (f"{low} IS NOT NULL AND {headcount} >= {low}", "'APPLICABLE|0.96|EFFECTIF_MIN_MATCH'"),
+            (f"{low} IS NOT NULL AND {headcount} < {low}", "'NON_APPLICABLE|0.96|EFFECTIF_MIN_MISMATCH'"),
+            (f"{low} IS NULL AND {high} IS NOT NULL AND {headcount} <= {high}", "'APPLICABLE|0.95|EFFECTIF_MAX_MATCH'"),
+            (f"{low} IS NULL AND {high} IS NOT NULL AND {headcount} > {high}", "'NON_APPLICABLE|0.95|EFFECTIF_MAX_MISMATCH'"),
+            (f"{single} AND {shared}", "'APPLICABLE|0.91|SECTOR_MATCH'"),
+            (single, "'NON_APPLICABLE|0.90|SECTOR_MISMATCH'"),
+            (f"{has(fr.CHEMICAL)} AND {chemicals} <> ''", "'APPLICABLE|0.88|CHEMICAL_EXPOSURE_MATCH'"),
+            *[(f"{has(r)} AND {any_of(means, c)}", f"'APPLICABLE|0.86|{n}'") for n, r, c in fr.ACTIVITY_THEMES],
+            (f"({public}) AND NOT {any_of(head, fr.PRIVATE_ACTORS)}", "'NON_APPLICABLE|0.95|INSTITUTIONAL_ACTOR_MISMATCH'"),
+        ],
+        "NULL",
+    )
+
+
 def error_family(filter_name: Column, reasons: Column, verdict: Column, type_match: Column, subject: Column) -> Column:
     """EM2: ``struct<family, action, severity, fix>`` of an error's reason codes, or null."""
     some = lambda f: F.exists(reasons, f)

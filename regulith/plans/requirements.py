@@ -10,7 +10,7 @@ from ..operators import acts
 from ..operators import requirement_rules as rr
 from ..registry import query, table
 from ..rules import fr_requirements as fr
-from ..rules.fr_examples import ISSUES, QUESTIONS, SENTENCES
+from ..rules.fr_examples import APPLICABLE, COMPANIES, ISSUES, QUESTIONS, SENTENCES
 
 _PICK = "CAST((l_orderkey * 7 + l_linenumber) % {n} AS INT) + 1"
 
@@ -71,6 +71,29 @@ def cross_references(spark: SparkSession, d: str) -> DataFrame:
     return chosen(spark, d).filter(hit).groupBy("kind").agg(F.count("*").alias("n")).select("kind", F.lit("ARTICLE_HAS_CROSS_REFERENCE").alias("event_type"), "n")
 
 
+_DECIDED = rr.applicability("req", "headcount", "sector", "chemicals", "means")
+
+
+def _applicable_sql() -> str:
+    reqs = ", ".join(f"({i}, {rr.lit(q)})" for i, q in enumerate(APPLICABLE))
+    firms = ", ".join(f"({i}, {', '.join(map(rr.lit, c))})" for i, c in enumerate(COMPANIES))
+    return f"""WITH q(i, q0) AS (VALUES {reqs}), f(k, s0, c0, m0) AS (VALUES {firms}),
+  x AS (SELECT {rr.plain_sql("q0")} AS req, {rr.plain_sql("s0")} AS sector, {rr.plain_sql("c0")} AS chemicals, {rr.plain_sql("m0")} AS means, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_custkey % 400 AS INT) END AS headcount
+    FROM orders JOIN q ON (o_orderkey + o_custkey) % {len(APPLICABLE)} = i JOIN f ON o_custkey % {len(COMPANIES)} = k)
+  SELECT {rr.other_sql(_DECIDED)} AS decision, count(*) AS n FROM x GROUP BY 1"""
+
+
+@query("text_applicability", _applicable_sql())
+def text_applicability(spark: SparkSession, d: str) -> DataFrame:
+    """RU1: the five rules by what a requirement's text and a company's profile say; null goes to the provider."""
+    firms = F.array(*[F.struct(*[rr.plain(F.lit(v)).alias(n) for n, v in zip(("sector", "chemicals", "means"), c, strict=True)]) for c in COMPANIES])
+    reqs = F.array(*[rr.plain(F.lit(q)) for q in APPLICABLE])
+    at = lambda x, n: F.pmod(x, F.lit(n)).cast("int") + 1
+    headcount = F.when(F.col("o_orderkey") % 5 > 0, (F.col("o_custkey") % 400).cast("int")).alias("headcount")
+    x = table(spark, d, "orders").select(F.element_at(reqs, at(F.col("o_orderkey") + F.col("o_custkey"), len(APPLICABLE))).alias("req"), F.element_at(firms, at(F.col("o_custkey"), len(COMPANIES))).alias("f"), headcount)
+    return x.select("req", "f.*", "headcount").groupBy(rr.spark_sql(_DECIDED).alias("decision")).agg(F.count("*").alias("n"))
+
+
 #: Filter, reason code, verdict of grounding, whether the type and the subject agree; family.
 ERRORS = (
     ("", "completeness_fused_action_chain", None, True, True, "STRUCTURAL_FUSION"),

@@ -42,3 +42,19 @@ ISSUES = (
     "Un texte sans acte, qui parle seulement du temps qu'il fait.",
     "Loi n° 7-2021 du 1er juin\nDécret n° 8-2021 du 2 juin\nArticle premier - La taxe est due chaque année.\nArrêté du 9 juin\nArticle unique - Madame Leila est chargée de fonctions de chef de service.",
 )
+
+#: Requirements that applicability is decided on, and companies: sector, substances, activities and equipment.
+APPLICABLE = (
+    "Les établissements employant au moins 40 salariés doivent créer un comité de sécurité.",
+    "Toute entreprise de 300 travailleurs ou plus doit employer un médecin.",
+    "Les ateliers de moins de 50 employés peuvent tenir un registre simple.",
+    "Les entreprises du secteur textile doivent filtrer l'air des salles.",
+    "L'employeur doit garder la fiche de données de sécurité de chaque solvant.",
+    "Le port du harnais est obligatoire sur tout échafaudage.",
+    "Les chariots et toute grue doivent être vérifiés chaque année.",
+    "Le compresseur doit avoir une soupape réglée.",
+    "Le ministre fixe la liste des postes. L'employeur la consulte.",
+    "La direction régionale informe l'employeur de la date.",
+    "Le sol des locaux doit rester propre.",
+)
+COMPANIES = (("Filature et tissage", "", "montage à grande hauteur"), ("Transport routier", "acide de batterie", "deux grues et un pont roulant"), ("", "", "compresseur d'atelier"), ("Conseil", "produits chimiques", ""))

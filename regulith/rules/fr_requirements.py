@@ -110,3 +110,32 @@ FAMILY_FIX = {
 }
 OBSERVED_FILTERS = ("LOW_VALUE", "NON_ACTIONABLE_SCOPE", "INVENTED_NON_NORMATIVE", "OUT_OF_SCOPE_INDIVIDUAL", "POSTCALL_RUNTIME")
 OBSERVED_REASONS = ("DESCRIPTIVE_WITHOUT_NORMATIVE_MARKER", "OUT_OF_SCOPE_INDIVIDUAL_ACT", "OUT_OF_SCOPE_PUBLICATION")
+
+# Applicability without a model. Patterns and words are for text without accents.
+_STAFF = r"\s*(\d{1,4})\s*(?:salaries?|employes?|travailleurs?)"
+HEADCOUNT_MIN = (
+    r"(?:au moins|min(?:imum)?|plus de|sup(?:erieur)?\s*(?:a|a\W)|>=?)" + _STAFF,
+    r"(\d{1,4})\s*(?:salaries?|employes?|travailleurs?)\s*(?:et plus|ou plus)",
+)
+HEADCOUNT_MAX = (r"(?:moins de|inferieur(?:e)?\s*(?:a|a\W)|<=?|au plus|max(?:imum)?)" + _STAFF,)
+SECTORS = (
+    ("TEXTILE", ("textile", "habillement", "filature", "tissage", "confection")),
+    ("CHIMIQUE", ("chimique", "petrochim", "solvant", "engrais", "pesticide")),
+    ("AGROALIMENTAIRE", ("agroaliment", "alimentaire", "abattoir", "laitier", "conserverie")),
+    ("CONSTRUCTION", ("chantier", "construction", "btp", "travaux publics", "batiment")),
+    ("TRANSPORT", ("transport", "logistique", "routier", "ferroviaire", "maritime", "aerien")),
+    ("SANTE", ("hopital", "clinique", "medical", "sante")),
+    ("EDUCATION", ("ecole", "universite", "enseignement", "etablissement scolaire")),
+)
+SECTOR_SCOPE = ("secteur", "entreprises de", "entreprises du", "etablissements de", "etablissements du")
+CHEMICAL = ("substance dangereuse", "substances dangereuses", "produits chimiques", "produit chimique", "fiche de donnees de securite", "fds", "solvant", "acide", "toxique", "inflammable", "corrosif")
+ACTIVITY_THEMES = (
+    ("TRAVAUX_EN_HAUTEUR", ("travaux en hauteur", "echafaud", "harnais", "ligne de vie", "nacelle"), ("hauteur", "echafaud", "harnais", "nacelle")),
+    ("LEVAGE_MANUTENTION", ("levage", "grue", "pont roulant", "chariot elevateur", "transpalette"), ("grue", "pont roulant", "chariot", "transpalette", "levage")),
+    ("PRESSION_CHAUDIERE", ("chaudiere", "equipement sous pression", "compresseur"), ("chaudiere", "compresseur", "pression")),
+)
+PUBLIC_ACTORS = (
+    *("le ministre", "la ministre", "le ministere", "le secretaire d'etat", "la direction generale", "la direction regionale", "la direction", "le chef de l'inspection", "l'inspection du travail"),
+    *("le president du conseil de prud'hommes", "le conseil de prud'hommes", "les tribunaux", "le tribunal", "les juridictions", "la juridiction", "les services competents", "les syndicats", "le syndicat"),
+)
+PRIVATE_ACTORS = ("entreprise", "employeur", "etablissement", "exploitant", "societe", "organisme")

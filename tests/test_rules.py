@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from regulith.functions import text as tx
 from regulith.operators import cascades as ca
+from regulith.operators import requirement_rules as rr
 from regulith.rules import fr, fr_ocr
 
 # The golden gate cases: title, preview, articles, policy, reasons.
@@ -283,3 +284,29 @@ def test_sanitise(spark, raw, want):
 @pytest.mark.parametrize(("raw", "share", "heavy"), [("", 0.0, False), ("mot abc1 mot mot", 0.25, True), ("un deux trois quatre cinq six sept huit neuf abc1", 0.1, True), ("un deux trois quatre cinq six sept huit neuf dix onze abc1", 0.0833, False), ("maisonmaison mot", 0.5, True), ("teXTte mot", 0.5, True), ("...", 0.0, False)])
 def test_ocr_share(spark, raw, share, heavy):
     assert (one(spark, tx.ocr_share(F.lit(raw))), one(spark, tx.ocr_heavy(F.lit(raw)))) == (share, heavy)
+
+
+DECIDED = [
+    ("Au moins 40 salariés sont requis.", 40, "", "", "", "APPLICABLE|0.96|EFFECTIF_MIN_MATCH"),
+    ("Entreprise de 300 travailleurs ou plus.", 299, "", "", "", "NON_APPLICABLE|0.96|EFFECTIF_MIN_MISMATCH"),
+    ("Moins de 50 employés.", 50, "", "", "", "APPLICABLE|0.95|EFFECTIF_MAX_MATCH"),
+    ("Moins de 50 employés.", 51, "", "", "", "NON_APPLICABLE|0.95|EFFECTIF_MAX_MISMATCH"),
+    ("Moins de 50 employés.", None, "", "", "", None),
+    ("Les entreprises du secteur textile.", 5, "Filature", "", "", "APPLICABLE|0.91|SECTOR_MATCH"),
+    ("Les entreprises du secteur textile.", 5, "Transport", "", "", "NON_APPLICABLE|0.90|SECTOR_MISMATCH"),
+    ("Les entreprises du secteur textile ou laitier.", 5, "Transport", "", "", None),
+    ("Les entreprises du secteur textile.", 5, "Conseil", "", "", None),
+    ("Chaque solvant est noté.", 5, "", "acide", "", "APPLICABLE|0.88|CHEMICAL_EXPOSURE_MATCH"),
+    ("Le harnais est obligatoire.", 5, "", "", "montage en hauteur", "APPLICABLE|0.86|TRAVAUX_EN_HAUTEUR"),
+    ("Le harnais est obligatoire.", 5, "", "", "compresseur", None),
+    ("Le ministre fixe la liste. L'employeur la lit.", 5, "", "", "", "NON_APPLICABLE|0.95|INSTITUTIONAL_ACTOR_MISMATCH"),
+    ("Le ministre informe l'employeur.", 5, "", "", "", None),
+    ("", 5, "", "", "", None),
+    (None, None, None, None, None, None),
+]
+
+
+@pytest.mark.parametrize(("req", "n", "sector", "chemicals", "means", "want"), DECIDED)
+def test_applicability(spark, req, n, sector, chemicals, means, want):
+    row = spark.range(1).select(rr.plain(F.lit(req).cast("string")).alias("req"), F.lit(n).cast("int").alias("headcount"), *[rr.plain(F.lit(v).cast("string")).alias(k) for k, v in (("sector", sector), ("chemicals", chemicals), ("means", means))])
+    assert row.select(rr.spark_sql(rr.applicability("req", "headcount", "sector", "chemicals", "means"))).first()[0] == want
