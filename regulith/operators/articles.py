@@ -76,7 +76,8 @@ def article_spans(docs: DataFrame, keys: list[str], text: str = "text", around:
         return F.struct(*near, head["header"].alias("header"), head["number"].alias("number"), span["start"].alias("start_char"), F.length(whole).alias("chars"), F.btrim(F.concat(head["header"], F.lit("\n"), body), F.lit("\n ")).alias("text"))
 
     d = d.select(*keys, F.filter(F.transform("spans", article), lambda a: a["header"] != "").alias("articles"))
-    return d.select(*keys, F.posexplode("articles").alias("article_no", "a")).select(*keys, (F.col("article_no") + 1).alias("article_no"), "a.*")
+    # outer: without it a test for empty arrays goes below all these steps, each copied into it
+    return d.select(*keys, F.posexplode_outer("articles").alias("article_no", "a")).filter("a IS NOT NULL").select(*keys, (F.col("article_no") + 1).alias("article_no"), "a.*")
 
 
 def _normal(x: Column) -> Column:
@@ -217,7 +218,7 @@ def articles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     d = docs.select(key, F.coalesce(text, F.lit("")).alias("_whole")).withColumn("_acts", acts.split_acts("_whole"))
     d = d.withColumn("_acts", F.filter("_acts", lambda a: ~acts.individual(a["title"], a["text"]) & (F.size(F.split(a["text"], fr.BEFORE_HEADER)) + F.when(a["text"].rlike(fr.HEADER), 1).otherwise(0) > 1)))
     whole = d.filter(F.size("_acts") == 0).select(key, F.lit("Document").alias("act_title"), F.lit(1).alias("article_no"), F.lit("Document").alias("header"), F.lit(None).cast("int").alias("number"), F.lit(0).alias("start_char"), F.col("_whole").alias("text"))
-    a = d.select(key, F.explode("_acts").alias("a")).select(key, F.col("a.title").alias("act_title"), F.col("a.start").alias("_from"), F.col("a.text").alias("_act"))
+    a = d.select(key, F.explode_outer("_acts").alias("a")).filter("a IS NOT NULL").select(key, F.col("a.title").alias("act_title"), F.col("a.start").alias("_from"), F.col("a.text").alias("_act"))
     x = repaired(trimmed(article_spans(a, [key, "act_title", "_from"], "_act", around=True))).filter(F.length("text") >= LEAST)
     x = x.select(key, "act_title", "article_no", "header", "number", (F.col("_from") + F.col("start_char")).alias("start_char"), "text")
     return x.unionByName(whole)

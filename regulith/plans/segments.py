@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import grouping, segment
+from ..operators import articles, grouping, segment
 from ..registry import query, table
 from .texts import LINES_SQL, lines
 
@@ -39,6 +39,13 @@ def article_split(spark: SparkSession, d: str) -> DataFrame:
     return a.select("doc_id", "article_no", F.col("number").cast("long").alias("number"), F.sha2(F.regexp_replace("text", r"^[ ]+|[ ]+$|\n$", ""), 256).alias("sha"))
 
 
+@query("legal_articles")
+def legal_articles(spark: SparkSession, d: str) -> DataFrame:
+    """SG2, SG3, SG4, SG6: articles of whole documents with headers, trimmed and repaired (checked on each way an article ends)."""
+    a = articles.articles(headed(spark, d))
+    return a.select("doc_id", "act_title", "article_no", "header", "number", "start_char", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha"))
+
+
 @query("heading_of_lines", f"WITH {LINES_SQL} SELECT doc_id, line_no, last_value(CASE WHEN length(text) BETWEEN 1 AND 30 THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS heading FROM lines")
 def heading_of_lines(spark: SparkSession, d: str) -> DataFrame:
     """SG5: the last short line as heading."""

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from regulith.operators import grouping, segment
+from regulith.operators import articles, grouping, segment
 
 
 def test_chunks_cover_the_text():
@@ -33,6 +33,50 @@ def test_articles(spark):
     assert "ci-dessus" in got[2].text
 
 
+def test_article_ends():
+    g = random.Random(4)
+    for _ in range(300):
+        nos = [g.choice([None, *range(1, 9)]) for _ in range(g.randrange(0, 12))]
+        want = [next((j for j in range(i + 1, len(nos)) if nos[i] is None or nos[j] is None or nos[j] >= nos[i]), len(nos)) for i in range(len(nos))]
+        assert articles._next_plausible(nos) == want
+
+
+def test_legal_articles(spark):
+    rule = "L'exploitant doit tenir un registre numéroté des déchets dangereux et le présenter à toute demande des agents chargés du contrôle"
+    plain = f"Préambule du texte.\nArticle premier - {rule}.\nArticle 2 - Voir la liste\nArticle 1 - ci-dessus dans son entier, {rule}.\n3 - {rule} chaque mois.\nANNEXE\nTableau des taxes"
+    signed = f"Article 4 - {rule}.\nTunis, le 3 mai 2020.\nLe ministre des finances"
+    appointed = "Décret n° 12-2020 du 3 mai\nArticle premier - Monsieur Salah est nommé directeur du bureau régional de la ville."
+    rows = [(1, plain), (2, "Sans en-tête du tout."), (3, None), (4, ""), (5, signed), (6, appointed), (7, signed), (None, signed)]
+    got = articles.articles(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r.start_char):
+        by.setdefault(r.doc_id, []).append(r)
+    assert set(by) == {1, 2, 3, 4, 5, 6, 7, None}
+    assert [r.header for r in by[1]] == ["Article premier -", "Article 2 -", "Article 1 -", "3 -"]
+    assert all(plain[r.start_char :].startswith(r.header) for r in by[1]) and not any("Tableau" in r.text for r in by[1])
+    assert "ci-dessus" in by[1][1].text and "Article 2" not in by[1][2].text
+    for i, text in ((2, "Sans en-tête du tout."), (3, ""), (4, ""), (6, appointed)):
+        assert [(r.header, r.text) for r in by[i]] == [("Document", text)]
+    for i in (5, 7, None):  # what stands behind the signature goes; equal texts have equal articles
+        assert [(r.number, r.text) for r in by[i]] == [(4, f"Article 4 - {rule}.")]
+
+
+def test_trimmed_and_repaired(spark):
+    assert articles.LEAST < articles.SHORT
+    rule = "L'exploitant doit tenir un registre numéroté des déchets dangereux"
+    rows = [(1, "Article 1 -\nTexte utile et entier.\nPage 3 Journal officiel\nSuite du texte.\nLa ministre du travail\nReste"), (2, f"{rule}. Court. Journal officiel du jour, page des annonces. {rule} demain."), (3, None)]
+    df = spark.createDataFrame(rows, "i int, text string")
+    got = {r.i: r for r in articles.pruned(df.withColumn("u", articles.until_signature("text")), "text").collect()}
+    assert got[1].u == "Article 1 -\nTexte utile et entier.\nSuite du texte."
+    assert got[2].text == f"{rule}. {rule} demain."
+    head = "Article 5 -\nLe paiement est dû"
+    rest = " lorsque le fonds national de garantie prend en charge les intérêts. Le bénéficiaire doit rembourser sous réserve de ses droits."
+    cut = spark.createDataFrame([("Article 5 -", len(head), "Vu le code. ", head + rest, head)], "header string, chars int, before string, behind string, text string")
+    text = articles.repaired(cut).first().text
+    assert text.startswith("Article 5 -") and text.endswith("ses droits.") and "garantie" in text
+    assert [r.c for r in spark.createDataFrame([("x" * 130,), ("x" * 130 + " dans",), ("court.",), ("",)], "t string").select(articles.cut_off(F.col("t")).alias("c")).collect()] == [False, True, True, False]
+
+
 def test_overlap_and_data(spark):
     df = spark.createDataFrame([(1, "Tarif A : 12,5 dinars\n- Quota : 30 postes\nrien")], "doc_id long, text string")
     got = segment.data_rows(df).orderBy("line_no").collect()
