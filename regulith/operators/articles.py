@@ -116,7 +116,8 @@ def pruned(df: DataFrame, column: str) -> DataFrame:
 
     def stays(c: Column, i: Column) -> Column:
         foreign = c.rlike(fr.ACT_TITLE) & (F.size(F.array_intersect(_words(c), F.col("_anchor"))) == 0)
-        return c.rlike(fr.NORMATIVE) | ~(c.rlike(fr.GAZETTE) | ((i > 0) & (foreign | (F.length(c) < 24))))
+        # the long pattern of rules last: few clauses come to it
+        return ~(((i > 0) & (F.length(c) < 24)) | c.rlike(fr.GAZETTE) | ((i > 0) & foreign)) | c.rlike(fr.NORMATIVE)
 
     kept = F.array_join(F.filter("_clauses", stays), " ")
     return df.withColumn(column, F.when((F.size("_clauses") <= 1) | (kept == ""), F.col("_compact")).otherwise(F.trim(kept))).drop("_compact", "_clauses", "_anchor")
