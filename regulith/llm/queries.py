@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, langid, licenses, mixing, near_dedup, secrets, sentencepiece, toxicity
+from . import chat, exact_dedup, fingerprints, langid, licenses, mixing, near_dedup, secrets, sentencepiece, toxicity, whitening
 from .common import crc_fold, read
 
 
@@ -55,6 +55,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_whitening": op11_whitening,
     }
 
 
