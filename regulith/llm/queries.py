@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, langid, licenses, mixing, near_dedup, secrets, sentencepiece, toxicity, whitening
+from . import chat, exact_dedup, fingerprints, langid, licenses, mixing, near_dedup, packing, secrets, sentencepiece, toxicity, whitening
 from .common import crc_fold, read
 
 
@@ -59,6 +59,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_sentencepiece": op10_sentencepiece,
         "op11_whitening": op11_whitening,
+        "op12_best_fit_packing": op12_best_fit_packing,
     }
 
 
