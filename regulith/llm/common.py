@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,17 @@ def cut(df: DataFrame) -> DataFrame:
 def crc_fold(c: str | Column = "doc_id") -> Column:
     """crc32 of the id as text, modulo 3; fold 1 is held out."""
     return F.pmod(F.crc32((F.col(c) if isinstance(c, str) else c).cast("string")), F.lit(3))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the session's ``spark.checkpoint.dir`` (a temporary one in local mode where that is unset)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return f"{(base or tempfile.mkdtemp(prefix='regulith-')).rstrip('/')}/llm-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate rows in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, langid, licenses, mixing, near_dedup, packing, secrets, sentencepiece, toxicity, whitening
+from . import chat, collocations, exact_dedup, fingerprints, langid, licenses, mixing, near_dedup, packing, secrets, sentencepiece, toxicity, whitening
 from .common import crc_fold, read
 
 
@@ -63,6 +63,10 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sentencepiece": op10_sentencepiece,
         "op11_whitening": op11_whitening,
         "op12_best_fit_packing": op12_best_fit_packing,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -87,4 +92,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_license_scan": licenses.license_sql(),
         "op7_mix_sources": mixing.MIXING_SQL,
         "op8_exact_dedup": exact_dedup.EXACT_DEDUP_SQL,
+        "op13_collocations": collocations.COLLOCATIONS_SQL,
     }
