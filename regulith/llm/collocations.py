@@ -41,7 +41,7 @@ from .words import chunks
 LEAST, WORDS, TOP, INSIDE = 10, 3, 2000, 50
 SHARDS = 3
 #: Bytes of text a bucket, buckets in one step, bytes of text that a task counts at once.
-BUCKET_BYTES, FAN, CHUNK = 16 << 20, 1024, 8 << 20
+BUCKET_BYTES, FAN, CHUNK = 8 << 20, 1024, 8 << 20
 SLOTS, NEVER = 1 << 22, 255
 STATE = "level int, bucket int, page binary, block int, mask long, kind string"
 
