@@ -107,12 +107,17 @@ def ocr_share(x: str | Column) -> Column:
     return F.round(F.size(odd) / F.greatest(F.size(tokens), F.lit(1)), 4)
 
 
-def ocr_heavy(x: str | Column) -> Column:
-    """ST5: many such tokens, or fewer and a sign of OCR."""
-    text, share = single_spaced(x), ocr_share(x)
-    signs = F.lit(False)
+def ocr_signals(x: str | Column) -> Column:
+    """ST5: any sign of OCR."""
+    text, signs = single_spaced(x), F.lit(False)
     for pattern in fr_ocr.SIGNALS:
         signs = signs | text.rlike(pattern)
+    return signs
+
+
+def ocr_heavy(x: str | Column) -> Column:
+    """ST5: many such tokens, or fewer and a sign of OCR."""
+    share, signs = ocr_share(x), ocr_signals(x)
     return (share >= fr_ocr.HEAVY) | ((share >= fr_ocr.HEAVY_WITH_SIGNALS) & signs)
 
 

@@ -11,16 +11,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ACCENTED, PLAIN, fold
 from ..rules import fr_requirements as fr
+from .markers import Lexicon, strings_of
+
+#: All markers of the cascades below, read in one pass over a text.
+LEXICON = Lexicon(strings_of(*[getattr(fr, n) for n in fr.MARKER_GROUPS]))
 
 
 #: Marks of what the engines write differently: a pattern's literal, that all matches are replaced, how many of a list hold.
-PATTERN, GLOBAL = "§p", "§g"
+PATTERN, GLOBAL, FIRST = "§p", "§g", "§1"
 _HELD = re.compile("§n(.*?)§of(.*?)§end")
+_LITERAL = re.compile("'((?:[^']|'')*)'")
 
 
 def plain(x: str | Column) -> Column:
@@ -28,12 +33,24 @@ def plain(x: str | Column) -> Column:
     return fold(x)
 
 
-def spark_sql(x: str) -> Column:
-    return F.expr(_HELD.sub(r"size(filter(array(\1), m -> contains(\2, m)))", x).replace(GLOBAL, "").replace(PATTERN, "r"))
+def with_bits(rows: DataFrame, *columns: str) -> DataFrame:
+    """Add ``<column>_bits``, the markers that each plain text holds."""
+    return rows.withColumns({f"{c}_bits": LEXICON.bits(F.col(c)) for c in columns})
+
+
+def spark_sql(x: str, *marked: str) -> Column:
+    """The expression for Spark; ``marked`` columns have their bits beside them, and markers are tested there."""
+
+    def held_in(m: re.Match) -> str:
+        bits = LEXICON.count(f"{m[2]}_bits", [a.replace("''", "'") for a in _LITERAL.findall(m[1])]) if m[2] in marked else None
+        return bits or f"size(filter(array({m[1]}), m -> contains({m[2]}, m)))"
+
+    return F.expr(_HELD.sub(held_in, x).replace(GLOBAL, "").replace(PATTERN, "r").replace(FIRST, "$1"))
 
 
 def other_sql(x: str) -> str:
-    return _HELD.sub(r"len([m FOR m IN [\1] IF contains(\2, m)])", x).replace(GLOBAL, ", 'g'").replace(PATTERN, "").replace("regexp_like(", "regexp_matches(")
+    x = re.sub(r"(-?[0-9.]+)D\b", r"CAST(\1 AS DOUBLE)", x)
+    return _HELD.sub(r"len([m FOR m IN [\1] IF contains(\2, m)])", x).replace(GLOBAL, ", 'g'").replace(PATTERN, "").replace(FIRST, "\\1").replace("regexp_like(", "regexp_matches(").replace("btrim(", "trim(").replace("char_length(", "length(")
 
 
 def plain_sql(x: str) -> str:
@@ -90,12 +107,16 @@ def requirement_type(req: str, both: str, model: str) -> str:
     return cascade([(c, q(t)) for c, t in rules], model)
 
 
-def low_value(req: str) -> str:
-    """FIL16: too short, a fragment, noise of tables, the gazette's own heading, or without any verb of a rule."""
-    words = f"(length({req}) - length(replace({req}, ' ', '')) + 1)"
-    hit = lambda p: f"regexp_like({req}, {PATTERN}'{p}')"
+def low_value(core: str, lone: str = "FALSE") -> str:
+    """FIL16: too short, a fragment, noise of tables, the gazette's own heading, or without any verb of a rule.
+
+    ``core`` is the plain text without leading headers and OCR noise, ``lone``
+    whether it begins with an accented letter that stands alone.
+    """
+    words = f"(length({core}) - length(replace({core}, ' ', '')) + 1)"
+    hit = lambda p: f"regexp_like({core}, {PATTERN}'{p}')"
     noise = [fr.GAZETTE, r"^[0-9]+ ?[-–] ?[0-9]+ ?[-–]", fr.NAME_CHAIN]
-    return f"(length({req}) < 20 OR {words} < 4 OR {req} IN ({', '.join(map(lit, fr.BARE_WORDS))}) OR {' OR '.join(map(hit, noise))} OR NOT {hit(fr.LOW_VALUE_VERB)})"
+    return f"({lone} OR length({core}) < 20 OR {words} < 4 OR {core} IN ({', '.join(map(lit, fr.BARE_WORDS))}) OR {' OR '.join(map(hit, noise))} OR NOT {hit(fr.LOW_VALUE_VERB)})"
 
 
 def domain_score(both: str, kind: str) -> str:
@@ -146,7 +167,7 @@ def domain(req: str, both: str, kind: str, score: str) -> str:
 
 def missing(req: str, source: str, markers: Iterable[str]) -> str:
     """FIL16: whether the source has a marker that the requirement lacks."""
-    return "(" + " OR ".join(f"(contains({source}, {lit(m)}) AND NOT contains({req}, {lit(m)}))" for m in markers) + ")"
+    return "(" + " OR ".join(f"({any_of(source, (m,))} AND NOT {any_of(req, (m,))})" for m in markers) + ")"
 
 
 def subject_mismatch(req: str, chunk: str) -> str:
@@ -156,32 +177,201 @@ def subject_mismatch(req: str, chunk: str) -> str:
     return f"(({lacks('employeur')} AND {s['salarie']}) OR ({lacks('salarie')} AND {s['employeur']}) OR ({lacks('entreprise')} AND {s['salarie']}) OR ({lacks('convention')} AND ({s['salarie']} OR {s['employeur']})) OR ({lacks('registre')}))"
 
 
+def _replaced(x: str, pattern: str, to: str = "") -> str:
+    return f"regexp_replace({x}, {_regex(pattern)}, '{to}'{GLOBAL})"
+
+
+def _spaced(x: str) -> str:
+    blanks = _replaced(f"coalesce({x}, '')", "[ \t\r\n\f\u00a0]+", " ")
+    return f"btrim({blanks}, ' ')"
+
+
+def _folded(x: str) -> str:
+    return f"translate(lower({x}), {lit(ACCENTED + '’‘')}, {lit(PLAIN + QUOTE * 2)})"
+
+
+def _first_part(x: str, ends: str) -> str:
+    found = f"regexp_extract({x}, {PATTERN}'^(.*?{ends})\\s+', 1)"
+    return f"CASE WHEN {found} = '' THEN {x} ELSE {found} END"
+
+
+QUOTE = "'"
+#: What ``strip_header`` takes off.
+HEADER = r"(?i)^\s*(?:\[\s*)?(?:Article\s+(?:premier|1er|\d+)|Art\.?\s*\d+(?:[-\.]\d+)*(?:\s*(?:bis|ter|quater|quinquies))?)\s*[\]\-:–—]*\s*"
+EDGES = "' -:;,.'"
+
+
+def statement_views() -> list[dict[str, str]]:
+    """Layers of columns over ``r`` (requirement), ``s`` (citation) and ``c`` (chunk): what the filters and scores read."""
+    lead = "text"
+    for _ in range(3):
+        for pattern in fr.LEADING:
+            lead = _replaced(lead, pattern)
+    sentence = "[.;:!?]"
+    rest = f"regexp_extract(bare, {PATTERN}'^.*?{sentence}\\s+(.*)$', 1)"
+    elided = _replaced(f"replace(lower(substr(clause, 1, 120)), '’', {lit(QUOTE)})", r"\bl'([a-z])", FIRST)
+    return [
+        {"text": _spaced("r"), "source": _spaced("s"), "chunk": _spaced("c")},
+        {"req": _folded("text"), "src": _folded("source"), "chunk_plain": _folded("chunk"), "lead": f"btrim({lead}, ' ')", "bare": f"btrim({_replaced('text', HEADER)}, {EDGES})"},
+        {"both": "req || ' || ' || src", "core": _folded("lead"), "lone": like("lead", fr.LONE_LETTER), "folded": _folded("bare"), "clause": _first_part("bare", "[.;:]"), "first": f"btrim({_first_part('bare', sentence)}, {EDGES})", "rest": rest},
+        {"key": f"btrim({_replaced(_replaced(_folded(elided), r'[^a-z0-9_ -]'), ' +', ' ')}, ' ')", "second": f"btrim({_first_part('rest', sentence)}, {EDGES})"},
+    ]
+
+
+def _regex(pattern: str) -> str:
+    """A pattern's literal; apostrophes by number, as engines differ in how a raw literal holds them."""
+    return PATTERN + "'" + pattern.replace("'", r"\x27") + "'"
+
+
+def like(column: str, pattern: str) -> str:
+    return f"regexp_like({column}, {_regex(pattern)})"
+
+
+def publication(both: str) -> str:
+    return like(both, fr.PUBLICATION)
+
+
 def individual_act(both: str) -> str:
-    """GR6, FIL16, SG6: appoints named persons and rules nothing else."""
-    return f"({any_of(both, fr.INDIVIDUAL_ACTS)} AND {any_of(both, fr.PERSONS)} AND NOT {any_of(both, fr.GENERAL_ACTS)})"
+    """FIL16: appoints a named person, with no general norm, institution or competition in it."""
+    has = lambda m: any_of(both, m)
+    return f"({like(both, fr.ACT_NAME)} AND {has(fr.ACT_MARKERS)} AND NOT {has(fr.GENERAL_NORMS)} AND NOT {has(fr.INSTITUTIONAL_SUBJECTS)} AND NOT {has(fr.INSTITUTIONAL_CUES)})"
+
+
+def missing_condition(req: str, src: str) -> str:
+    return missing(req, src, fr.MISSING_CONDITION)
+
 
+def missing_scope(req: str, src: str) -> str:
+    return missing(req, src, fr.MISSING_SCOPE)
 
-def rejection(req: str, source: str) -> str:
-    """RJ1: reason why a requirement goes, or null; one with markers of legal risk that names no person is kept for validation (``SOFT_`` reasons)."""
-    both = f"({req} || ' || ' || {source})"
-    out = f"(regexp_like({both}, {PATTERN}'{fr.PUBLICATION}') OR ({individual_act(both)} AND NOT {any_of(both, fr.GENERAL_NORMS)}))"
-    guard = f"({any_of(both, fr.RISK)} AND NOT {out})"
-    soft = lambda name: f"CASE WHEN {guard} THEN 'SOFT_{name}' ELSE '{name}' END"
+
+def non_actionable_scope(req: str, src: str) -> str:
+    """FIL16: says what a text applies to, not what to do."""
+    return f"({any_of(req, fr.SCOPE_OF_APPLICATION)} OR ({any_of(src, fr.SCOPE_SOURCES)} AND {any_of(req, ("champ d'application",))} AND NOT {any_of(req, fr.SCOPE_NORMS)}))"
+
+
+def partial_exception(req: str, src: str) -> str:
+    """FIL16: begins with "sauf", lacks subject or verb, and is the tail of a longer sentence of the source."""
+    long = lambda cue: f"(contains({src}, '{cue}') AND length(btrim(split_part({src}, '{cue}', 1), ' ,;:')) >= 20)"
+    return f"(substr({req}, 1, 5) = 'sauf ' AND NOT ({like(req, fr.EXCEPTION_SUBJECT)} AND {like(req, fr.EXCEPTION_VERB)}) AND ({long('sauf si')} OR {long('sauf ')}))"
+
+
+def invented(req: str, src: str) -> str:
+    """FIL16: rules something where the source rules nothing."""
+    return f"({any_of(req, fr.INVENTED_NORMS)} AND NOT {any_of(src, fr.SOURCE_NORMS)})"
+
+
+def definition_article(text: str) -> str:
+    """FIL16: an article (plain, header off) that begins as a definition and holds no strong norm."""
+    return f"({like(f'substr({text}, 1, 250)', fr.DEFINITION_STARTS)} AND NOT {any_of(text, fr.DEFINITION_NORMS)})"
+
+
+def definition_unit(text: str) -> str:
+    """FIL16: a unit that defines or names; one that matches a definition and holds a norm is none."""
+    names = f"(({any_of(text, ('appelee',))} AND {any_of(text, ("s'engage a",))}) OR {any_of(text, fr.CONCLUDED)})"
+    return f"CASE WHEN {like(text, fr.UNIT_DEFINITIONS)} THEN NOT {any_of(text, fr.UNIT_NORMS)} ELSE {names} END"
+
+
+def scope_extension(unit: str, chunk: str) -> str:
+    """FIL16: a unit (plain, list sign off) that only says to whom an article's rules extend."""
+    norms = any_of(unit, fr.EXTENSION_NORMS)
+    return f"(NOT {norms} AND (({any_of(chunk, fr.EXTENSION_CONTEXT)} AND {like(unit, fr.EXTENSION_STARTS)}) OR {any_of(unit, fr.CLASSIFICATION)}))"
+
+
+def _start_score(text: str, folded: str) -> str:
+    """How much a sentence looks like the start of a statement."""
+    return (
+        f"CASE WHEN length({text}) < 24 THEN -100 ELSE CASE WHEN {text} <> '' AND substr({text}, 1, 1) <> lower(substr({text}, 1, 1)) THEN 2 ELSE 0 END + CASE WHEN {like(folded, fr.STRONG_START)} THEN 5 ELSE 0 END"
+        f" + CASE WHEN {like(f'substr({folded}, 1, 140)', fr.STRONG_WORD)} THEN 4 ELSE 0 END - CASE WHEN {like(folded, fr.BAD_START)} THEN 8 ELSE 0 END - CASE WHEN {like(text, fr.LOWER_START)} THEN 4 ELSE 0 END END"
+    )
+
+
+def fragmentary(bare: str, folded: str, clause: str, key: str, first: str, second: str) -> str:
+    """RJ1: begins in the middle of a sentence.
+
+    ``bare`` is the text without header and edge signs, ``folded`` the same as
+    plain text, ``clause`` its first clause, ``key`` that clause's first 120
+    signs as letters only, ``first`` and ``second`` its first two sentences.
+    """
+    word = f"split_part({key}, ' ', 1)"
+    words = f"(length({key}) - length(replace({key}, ' ', '')) + 1)"
+    plain_of = lambda x: f"lower(translate(lower({x}), '{ACCENTED}', '{PLAIN}'))"
+    one, two = _start_score(first, plain_of(first)), _start_score(second, plain_of(second))
     return cascade(
         [
-            (low_value(req), soft("LOW_VALUE")),
-            (f"regexp_like({req}, {PATTERN}'^(et|ou|de|du|des|a|au|aux|que|qui|dont|pour|par|avec) ')", "'FRAGMENTARY_RUNTIME'"),
-            (subject_mismatch(req, source), "'SUBJECT_VERB_MISMATCH'"),
-            (missing(req, source, fr.MISSING_SCOPE), soft("NON_ACTIONABLE_SCOPE")),
-            (f"(regexp_like({req}, {PATTERN}'^sauf') AND NOT {any_of(req, ('employeur', 'salarie', 'candidat', 'jury', 'commission', 'agent', 'organisme', 'entreprise', 'etablissement', 'directeur', 'ministre', 'titulaire'))})", "'PARTIAL_EXCEPTION'"),
-            (missing(req, source, fr.MISSING_CONDITION), soft("MISSING_CONDITION")),
-            (f"regexp_like({both}, {PATTERN}'{fr.PUBLICATION}')", "'OUT_OF_SCOPE_PUBLICATION'"),
-            (out, "'OUT_OF_SCOPE_INDIVIDUAL'"),
+            (f"length({bare}) < 28", "FALSE"),
+            (like(folded, fr.HEADER_START), "TRUE"),
+            (like(bare, fr.LOWER_START), "TRUE"),
+            (f"{word} <> '' AND length({word}) <= 2 AND {word} NOT IN ({', '.join(map(lit, fr.SHORT_STARTS))})", "TRUE"),
+            (f"{words} = 1 AND {key} <> '' AND length({key}) <= 6 AND length({bare}) > length({clause}) + 18", "TRUE"),
+            (like(key, r"\bdoit\s+et\s+de\b"), "TRUE"),
+            (like(key, fr.SUBJECT_START), "FALSE"),
+            (like(key, fr.CUT_START), "TRUE"),
+            (like(key, fr.LINK_START), "TRUE"),
+            (f"{second} <> '' AND ({two}) >= greatest(6, ({one}) + 4) AND (NOT {like(key, fr.SENTENCE_START)} OR (length({word}) <= 6 AND {words} <= 2))", "TRUE"),
         ],
-        "NULL",
+        "FALSE",
     )
 
 
+def subject_verb_mismatch(folded: str) -> str:
+    """RJ1: a subject and its verb disagree in number."""
+    return f"(length({folded}) >= 28 AND ({like(folded, fr.SINGULAR_PLURAL)} OR {like(folded, fr.PLURAL_SINGULAR)}))"
+
+
+#: RJ1: the filters in order; a soft one only marks a requirement that speaks of legal risk.
+FILTERS = (("LOW_VALUE", True), ("FRAGMENTARY_RUNTIME", False), ("SUBJECT_VERB_MISMATCH", False), ("NON_ACTIONABLE_SCOPE", True), ("PARTIAL_EXCEPTION", True), ("INVENTED_NON_NORMATIVE", True), ("OUT_OF_SCOPE_INDIVIDUAL", False))
+
+
+def filter_hits() -> dict[str, str]:
+    """RJ1: whether each filter holds, and ``guard``, over the columns of ``statement_views``."""
+    out = f"({publication('both')} OR {individual_act('both')})"
+    return {
+        "LOW_VALUE": low_value("core", "lone"),
+        "FRAGMENTARY_RUNTIME": fragmentary("bare", "folded", "clause", "key", "first", "second"),
+        "SUBJECT_VERB_MISMATCH": subject_verb_mismatch("folded"),
+        "NON_ACTIONABLE_SCOPE": non_actionable_scope("req", "src"),
+        "PARTIAL_EXCEPTION": partial_exception("req", "src"),
+        "INVENTED_NON_NORMATIVE": invented("req", "src"),
+        "OUT_OF_SCOPE_INDIVIDUAL": out,
+        "guard": f"({any_of('both', fr.RISK)} AND NOT {out})",
+    }
+
+
+def filter_events(hits: dict[str, str]) -> list[tuple[str, str, str]]:
+    """``(filter, whether it emits an event, whether the event is soft)``: soft hits go on to the next filter, the first hard one ends."""
+    out, open_ = [], []
+    for name, soft in FILTERS:
+        so_far = " AND ".join([hits[name], *open_])
+        out.append((name, f"({so_far})", hits["guard"] if soft else "FALSE"))
+        open_.append(f"NOT ({hits[name]} AND NOT {hits['guard']})" if soft else f"NOT {hits[name]}")
+    return out
+
+
+def confidence(kind: str) -> str:
+    """CF1: sixteen adjustments of 0.58, over the columns of ``statement_views``."""
+    parts = [
+        ("length(text) >= 20", 0.05),
+        ("length(text) >= 40", 0.04),
+        ("length(source) >= 25", 0.05),
+        ("source <> '' AND contains(lower(chunk), lower(source))", 0.08),
+        ("NOT (source <> '' AND contains(lower(chunk), lower(source)))", -0.12),
+        (f"{kind} IN ({', '.join(map(lit, fr.CONFIDENT_TYPES))})", 0.05),
+        (any_of("req", fr.CONFIDENT_NORMS), 0.05),
+        (missing_condition("req", "src"), -0.10),
+        (subject_mismatch("req", "chunk_plain"), -0.12),
+        (missing_scope("req", "src"), -0.08),
+        (invented("req", "src"), -0.15),
+        ("heavy", -0.22),
+        ("signals AND NOT heavy", -0.10),
+        ("regexp_like(text, " + PATTERN + "'^(Il|Elle|il|elle) ')", -0.06),
+        (non_actionable_scope("req", "src"), -0.20),
+        (partial_exception("req", "src"), -0.12),
+        (low_value("core", "lone"), -0.20),
+    ]
+    return "round(least(0.97D, greatest(0.20D, 0.58D" + "".join(f" + CASE WHEN {c} THEN {w}D ELSE 0D END" for c, w in parts) + ")), 2)"
+
+
 def headcount_limit(req: str, patterns: Iterable[str]) -> str:
     """RU1: the number of the first pattern that a plain text holds, or null."""
     found = ", ".join(f"nullif(regexp_extract({req}, {PATTERN}'{p}', 1), '')" for p in patterns)

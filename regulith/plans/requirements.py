@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,22 +17,63 @@ from ..rules.fr_examples import APPLICABLE, COMPANIES, ISSUES, QUESTIONS, SENTEN
 _PICK = "CAST((l_orderkey * 7 + l_linenumber) % {n} AS INT) + 1"
 
 
-def statements_of(spark: SparkSession, d: str) -> DataFrame:
-    """``r, s, m, other``: a statement of each line item, its citation, a model's type, and another statement."""
+_SLOTS = (("{n}", "CAST(l_partkey % 89 + 2 AS {s})"), ("{a}", "CAST(l_linenumber AS {s})"))
+
+
+def _filled(x: str, string: str) -> str:
+    for slot, value in _SLOTS:
+        x = f"replace({x}, '{slot}', {value.replace('{s}', string)})"
+    return x
+
+
+def statements_of(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """``r, s, m, other`` and ``more`` columns: a statement of each line item with the item's numbers in it, its citation, a model's type, and another statement."""
     rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("r", "s", "m"), row, strict=False)]) for row in SENTENCES])
-    return table(spark, d, "lineitem").select(F.element_at(rows, F.expr(_PICK.format(n=len(SENTENCES)))).alias("x"), F.element_at(rows, F.expr(f"CAST(l_partkey % {len(SENTENCES)} AS INT) + 1")).alias("y")).select("x.*", F.col("y.r").alias("other"))
+    x = table(spark, d, "lineitem").select(F.element_at(rows, F.expr(_PICK.format(n=len(SENTENCES)))).alias("x"), F.element_at(rows, F.expr(f"CAST(l_partkey % {len(SENTENCES)} AS INT) + 1")).alias("y"), "l_partkey", "l_linenumber", *more)
+    return x.select(F.expr(_filled("x.r", "STRING")).alias("r"), F.expr(_filled("x.s", "STRING")).alias("s"), F.col("x.m").alias("m"), F.expr(_filled("y.r", "STRING")).alias("other"), *more)
+
+
+def views_of(rows: DataFrame) -> DataFrame:
+    """Add the texts that filters and scores read, their markers, ``heavy`` and ``signals`` of OCR, ``model`` and ``kind`` to rows with ``r, s, c, m``."""
+    for layer in rr.statement_views():
+        rows = rows.withColumns({n: rr.spark_sql(x) for n, x in layer.items()})
+    repaired = tx.ocr_repaired("lead")
+    rows = rows.withColumns({"core": rr.plain(F.translate(repaired, "’‘", "''")), "lone": repaired.rlike(fr.LONE_LETTER), "heavy": tx.ocr_heavy("text"), "signals": tx.ocr_signals("text")})
+    rows = rr.with_bits(rows, "req", "src", "both", "chunk_plain").withColumn("model", rr.spark_sql(rr.type_alias("m")))
+    return rows.withColumn("kind", rr.spark_sql(rr.requirement_type("req", "both", "model"), *_MARKED))
+
+
+_MARKED = ("req", "src", "both", "chunk_plain")
+
+
+def viewed(spark: SparkSession, d: str) -> DataFrame:
+    """Statements with their views; the chunk is the citation and the other statement."""
+    return views_of(statements_of(spark, d).withColumn("c", F.concat("s", F.lit(" "), "other")))
+
+
+def _viewed_sql() -> str:
+    """``viewed``: the statements' texts hold no OCR noise, so nothing is repaired here."""
+    rows = ", ".join(f"({i + 1}, {rr.lit(r)}, {rr.lit(s)}, {rr.lit(m)})" for i, (r, s, m, _) in enumerate(SENTENCES))
+    sql = f"""e(i, r, s, m) AS (VALUES {rows}), v0 AS (SELECT {_filled("a.r", "VARCHAR")} AS r, {_filled("a.s", "VARCHAR")} AS s, a.m AS m, {_filled("a.s", "VARCHAR")} || ' ' || {_filled("b.r", "VARCHAR")} AS c
+      FROM lineitem JOIN e a ON a.i = {_PICK.format(n=len(SENTENCES))} JOIN e b ON b.i = CAST(l_partkey % {len(SENTENCES)} AS INT) + 1)"""
+    layers = [*rr.statement_views(), {"heavy": "FALSE", "signals": "FALSE", "model": rr.type_alias("m")}, {"kind": rr.requirement_type("req", '"both"', "model")}]
+    for i, layer in enumerate(layers):
+        columns = ", ".join(f'{rr.other_sql(x)} AS "{n}"' for n, x in layer.items())
+        sql += f", v{i + 1} AS (SELECT *, {columns} FROM v{i})"
+    return sql + f", viewed AS (SELECT * FROM v{len(layers)})"
 
 
 def chosen(spark: SparkSession, d: str) -> DataFrame:
-    """``req, both, kind, src, model``: a statement of each line item, in plain text, with its type."""
+    """``req, both, kind, src, model``: a statement of each line item, in plain text, with its markers and its type."""
     x = statements_of(spark, d).select(rr.plain("r").alias("req"), rr.plain("s").alias("src"), "m").withColumn("both", F.concat("req", F.lit(" || "), "src"))
-    x = x.withColumn("model", rr.spark_sql(rr.type_alias("m")))
-    return x.withColumn("kind", rr.spark_sql(rr.requirement_type("req", "both", "model")))
+    x = rr.with_bits(x, "req", "both").withColumn("model", rr.spark_sql(rr.type_alias("m")))
+    return x.withColumn("kind", rr.spark_sql(rr.requirement_type("req", "both", "model"), "req", "both"))
 
 
 def _chosen_sql() -> str:
     rows = ", ".join(f"({i + 1}, {rr.lit(r)}, {rr.lit(s)}, {rr.lit(m)})" for i, (r, s, m, _) in enumerate(SENTENCES))
-    return f"""s(i, r, s, m) AS (VALUES {rows}), p AS (SELECT {rr.plain_sql("r")} AS req, {rr.plain_sql("s")} AS src, m FROM lineitem JOIN s ON i = {_PICK.format(n=len(SENTENCES))}),
+    return f"""e(i, r, s, m) AS (VALUES {rows}), s AS (SELECT {_filled("r", "VARCHAR")} AS r, {_filled("s", "VARCHAR")} AS s, m FROM lineitem JOIN e ON i = {_PICK.format(n=len(SENTENCES))}),
+  p AS (SELECT {rr.plain_sql("r")} AS req, {rr.plain_sql("s")} AS src, m FROM s),
   b AS (SELECT *, req || ' || ' || src AS "both", {rr.other_sql(rr.type_alias("m"))} AS model FROM p), chosen AS (SELECT *, {rr.other_sql(rr.requirement_type("req", '"both"', "model"))} AS kind FROM b)"""
 
 
@@ -53,22 +96,74 @@ def domain_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def domains(rows: DataFrame) -> DataFrame:
     """Add ``domain, sub_domain, strategy`` to rows with ``req, both, kind``."""
-    rows = rows.withColumn("score", rr.spark_sql(rr.domain_score("both", "kind")))
-    c = F.split(rr.spark_sql(rr.domain("req", "both", "kind", "score")), r"\|")
+    marked = [c for c in ("req", "both") if f"{c}_bits" in rows.columns]
+    rows = rows.withColumn("score", rr.spark_sql(rr.domain_score("both", "kind"), *marked))
+    c = F.split(rr.spark_sql(rr.domain("req", "both", "kind", "score"), *marked), r"\|")
     return rows.withColumn("c", c).select("*", F.col("c")[0].alias("domain"), F.col("c")[1].alias("sub_domain"), F.col("c")[2].alias("strategy")).drop("c", "score")
 
 
-@query("rejection_events", f"WITH {_chosen_sql()} SELECT reason, count(*) AS n FROM (SELECT {rr.other_sql(rr.rejection('req', 'src'))} AS reason FROM chosen) WHERE reason IS NOT NULL GROUP BY 1")
+#: A statement without its header, in plain text.
+_HEADLESS = rr._folded(rr._replaced("text", rr.HEADER))
+
+
+def _quoted(x: str) -> str:
+    return re.sub(r"\bboth\b", '"both"', x)
+
+
+_HITS = rr.filter_hits()
+_EVENTS = rr.filter_events({n: f"h_{n}" for n in _HITS})
+
+
+def with_filters(rows: DataFrame) -> DataFrame:
+    """RJ1: add whether each filter holds (``h_<filter>``) and ``events array<struct<filter, soft>>``: soft hits up to the first hard one, and that."""
+    rows = rows.withColumns({f"h_{n}": rr.spark_sql(x, *_MARKED) for n, x in _HITS.items()})
+    events = [F.when(F.expr(e), F.struct(F.lit(n).alias("filter"), F.expr(soft).alias("soft"))) for n, e, soft in _EVENTS]
+    return rows.withColumn("events", F.array_compact(F.array(*events)))
+
+
+def _filtered_sql() -> str:
+    hits = ", ".join(f"{_quoted(rr.other_sql(x))} AS h_{n}" for n, x in _HITS.items())
+    events = ", ".join(f"CASE WHEN {e} THEN CASE WHEN {soft} THEN 'SOFT_{n}' ELSE '{n}' END END" for n, e, soft in _EVENTS)
+    return f"{_viewed_sql()}, h AS (SELECT *, {hits} FROM viewed), filtered AS (SELECT *, [{events}] AS events FROM h)"
+
+
+@query("rejection_events", f"WITH {_filtered_sql()}, x AS (SELECT unnest(events) AS reason FROM filtered) SELECT reason, count(*) AS n FROM x WHERE reason IS NOT NULL GROUP BY 1")
 def rejection_events(spark: SparkSession, d: str) -> DataFrame:
-    """RJ1, GR6, FIL16: the first reason that rejects a requirement, softened where legal risk is marked."""
-    return chosen(spark, d).select(rr.spark_sql(rr.rejection("req", "src")).alias("reason")).filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+    """RJ1: the filters' events of each statement; those of soft filters that legal risk overrides go on to the next filter."""
+    # outer, and nulls dropped at the end: an inner explode would copy all steps into a filter below them
+    e = with_filters(viewed(spark, d)).select(F.explode_outer("events").alias("e"))
+    return e.groupBy(F.concat(F.when(F.col("e.soft"), "SOFT_").otherwise(""), "e.filter").alias("reason")).agg(F.count("*").alias("n")).filter("reason IS NOT NULL")
+
+
+_STATUS = "CASE WHEN {c} >= 0.86D THEN 'DRAFT' ELSE 'TO_VALIDATE' END"
+
+
+@query(
+    "requirement_confidence",
+    f"WITH {_viewed_sql()}, x AS (SELECT kind, {_quoted(rr.other_sql(rr.confidence('kind')))} AS confidence FROM viewed) SELECT kind, confidence, {rr.other_sql(_STATUS.format(c='confidence'))} AS status, count(*) AS n FROM x GROUP BY 1, 2, 3",
+)
+def requirement_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """CF1, CF2: confidence of each statement by sixteen detectors over statement, citation and chunk."""
+    x = viewed(spark, d).select("kind", rr.spark_sql(rr.confidence("kind"), *_MARKED).alias("confidence"))
+    return x.groupBy("kind", "confidence", rr.spark_sql(_STATUS.format(c="confidence")).alias("status")).agg(F.count("*").alias("n"))
+
+
+_NO_SIGN = "regexp_replace(req, §p'^ *([-•*]|[0-9]+[)]|[a-z][)]) *', '')"
+_DEFINITIONS = {"definition_article": rr.definition_article("folded"), "definition_unit": rr.definition_unit("req"), "scope_extension": rr.scope_extension("unit", "chunk_plain")}
+
+
+@query("definition_predicates", f"WITH {_viewed_sql()}, u AS (SELECT *, {rr.other_sql(_NO_SIGN)} AS unit FROM viewed) SELECT {', '.join(f'{rr.other_sql(x)} AS {n}' for n, x in _DEFINITIONS.items())}, count(*) AS n FROM u GROUP BY 1, 2, 3")
+def definition_predicates(spark: SparkSession, d: str) -> DataFrame:
+    """FIL16: definitions of articles and units, and extensions of scope."""
+    x = viewed(spark, d).withColumn("unit", rr.spark_sql(_NO_SIGN))
+    return x.groupBy(*[rr.spark_sql(e, *_MARKED).alias(n) for n, e in _DEFINITIONS.items()]).agg(F.count("*").alias("n"))
 
 
-@query("cross_references", f"WITH {_chosen_sql()} SELECT kind, 'ARTICLE_HAS_CROSS_REFERENCE' AS event_type, count(*) AS n FROM chosen WHERE regexp_matches(req, {rr.lit(fr.CROSS_REFERENCE)}) GROUP BY 1")
+@query("cross_references", f"WITH {_viewed_sql()}, x AS (SELECT kind, {rr.other_sql(_HEADLESS)} AS t FROM viewed) SELECT kind, 'ARTICLE_HAS_CROSS_REFERENCE' AS event_type, count(*) AS n FROM x WHERE regexp_matches(t, {rr.lit(fr.CROSS_REFERENCE)}) GROUP BY 1")
 def cross_references(spark: SparkSession, d: str) -> DataFrame:
     """XR1: an event for every statement that refers to another text, own header off, by type."""
-    hit = tx.strip_header("req").rlike(fr.CROSS_REFERENCE)
-    return chosen(spark, d).filter(hit).groupBy("kind").agg(F.count("*").alias("n")).select("kind", F.lit("ARTICLE_HAS_CROSS_REFERENCE").alias("event_type"), "n")
+    x = viewed(spark, d).withColumn("t", rr.spark_sql(_HEADLESS))
+    return x.filter(F.col("t").rlike(fr.CROSS_REFERENCE)).groupBy("kind").agg(F.count("*").alias("n")).select("kind", F.lit("ARTICLE_HAS_CROSS_REFERENCE").alias("event_type"), "n")
 
 
 _DECIDED = rr.applicability("req", "headcount", "sector", "chemicals", "means")

@@ -1,6 +1,6 @@
 """Sentences of our own that reach the branches of the requirement rules: what the queries over the given tables' keys read."""
 
-#: Requirement, citation, type that a model gives, expected type.
+#: Requirement, citation, type that a model gives, expected type. The tables fill {n} and {a}.
 SENTENCES = (
     ("L'employeur répond de tout dommage causé par ses machines.", "", "OBLIGATION", "RESPONSABILITE"),
     ("Le transport est permis, sauf autorisation refusée par le ministre.", "", "OBLIGATION", "EXCEPTION"),
@@ -30,6 +30,26 @@ SENTENCES = (
     ("Est puni d'une amende quiconque vend ces produits.", "", "PROHIBITION", "INTERDICTION"),
     ("Le plan de prévention et l'évaluation des risques sont revus.", "", "CONTROL", "CONTROLE"),
     ("Conformément aux dispositions de l'article 12, l'avis est rendu.", "", "AUTRE", "AUTRE"),
+    ("Sauf accord écrit du bailleur, le délai est de dix jours ouvrables.", "", "OBLIGATION", "EXCEPTION"),
+    ("Sauf retard du train numéro {n}, sans autre avis.", "Le voyageur de la ligne {a} garde sa place, sauf retard du train numéro {n}, sans autre avis.", "EXCEPTION", "EXCEPTION"),
+    ("L'exploitant doit afficher la liste {n} dans la salle commune.", "La salle commune est ouverte le lundi.", "OBLIGATION", "OBLIGATION"),
+    ("Et doit amende de {n} dinars.", "", "AUTRE", "OBLIGATION"),
+    ("Les documents du guichet est remis le {n} du mois.", "", "AUTRE", "AUTRE"),
+    ("Le registre des bassins sont remis le {n} du mois.", "", "AUTRE", "AUTRE"),
+    ("Monsieur Salah est nommé membre de la commission du concours.", "", "AUTRE", "AUTRE"),
+    ("Le champ d'application est celui des quais de la zone {n}.", "En ce qui concerne les quais, les règles de la zone {n} valent.", "AUTRE", "AUTRE"),
+    ("On entend par quai toute aire de pose de {n} mètres.", "", "AUTRE", "AUTRE"),
+    ("Les personnes qui vendent des fruits au marché {n}.", "Les dispositions du présent code sont étendues aux catégories de travailleurs ci-après.", "AUTRE", "AUTRE"),
+    ("L'employeur est tenu d'informer", "L'employeur est tenu d'informer l'inspection dans un délai de {n} jours.", "OBLIGATION", "DECLARATION"),
+    ("Le directeur doit fixer les tarifs et transmettre le rapport {n} au conseil.", "Dans le cadre de la zone {n}, le directeur doit fixer les tarifs et transmettre le rapport.", "OBLIGATION", "DECLARATION"),
+    ("Le prix du bail numéro {n} est fixé par", "Le prix du bail numéro {n} est fixé par arrêté, sauf accord du bailleur et en cas de vente.", "AUTRE", "EXCEPTION"),
+    ("Article {a} - L'exploitant doit vider la cuve {n} conformément aux dispositions de la loi.", "Article {a} - L'exploitant doit vider la cuve {n}.", "OBLIGATION", "OBLIGATION"),
+    ("Les conduites sont nettoyées. Le chef de quai doit tenir le registre {n} à jour.", "Le chef de quai doit tenir le registre {n} à jour, au titre de l'article {a}.", "OBLIGATION", "REGISTRE"),
+    ("Le loueur ne peut vendre le bien {n} que par écrit devant notaire.", "Le loueur ne peut vendre le bien {n} que par écrit devant notaire.", "INTERDICTION", "INTERDICTION"),
+    ("de l'eau claire dans la cuve {n} est la règle du quai.", "", "AUTRE", "AUTRE"),
+    ("L'exploitant doit vider la cuve {n} - dans les ports, le chef est averti.", "L'exploitant doit vider la cuve {n}.", "OBLIGATION", "OBLIGATION"),
+    ("L'employeur doit remettre au salarié le plan de la zone {n} en cas de travaux de nuit, sauf accord écrit.", "En cas de travaux de nuit, l'employeur doit remettre au salarié le plan de la zone {n}, sauf accord écrit.", "OBLIGATION", "EXCEPTION"),
+    ("L'employeur doit remettre au salarié un plan écrit de la zone de pêche numéro {n}.", "L'employeur doit remettre au salarié un plan écrit de la zone de pêche numéro {n}.", "OBLIGATION", "OBLIGATION"),
 )
 
 #: Questions of the chat.

@@ -12,12 +12,7 @@ INTERDICTION = ("interdit", "est interdit", "sont interdits", "ne doit pas", "ne
 CONDITION = ("si ", "lorsque", "en cas de", "a condition de", "a condition que", "sous reserve que")
 FIXED = ("est fixe", "est fixee", "sont fixes", "sont fixees")
 OBLIGATION = ("doit", "doivent", "est tenu de", "sont tenus de", "tenu de", "tenus de", "oblige de", "prend en charge", "beneficie", "beneficient", *FIXED, "sera tenu a la disposition", "sera tenue a la disposition")
-DECLARATION = (
-    *("doit notifier", "doit declarer", "doit informer", "doit transmettre", "doit adresser", "doit communiquer", "doivent communiquer"),
-    *("communiquer chaque annee", "communiquent chaque annee", "transmettre chaque annee", "adresser chaque annee", "informer chaque annee", "fournir chaque annee"),
-    *("demandes de candidature", "demande de candidature", "doivent etre enregistrees", "doit etre accompagnee", "doit etre accompagne"),
-    *("est fixee conformement", "est fixe conformement", "sont recouvrees", "sont affectees", "sur la base de titres"),
-)
+DECLARATION = ("doit notifier", "doit declarer", "doit informer", "doit transmettre", "doit adresser", "doit communiquer", "doivent communiquer", "communiquer chaque annee", "communiquent chaque annee", "transmettre chaque annee", "adresser chaque annee", "informer chaque annee", "fournir chaque annee", "demandes de candidature", "demande de candidature", "doivent etre enregistrees", "doit etre accompagnee", "doit etre accompagne", "est fixee conformement", "est fixe conformement", "sont recouvrees", "sont affectees", "sur la base de titres")
 REPORTING_VERB = ("communiqu", "transmett", "adress", "fourn", "inform", "declar", "notifi")
 REPORTING_TARGET = ("ministere", "autorite", "autorites", "inspection", "administration", "service competent", "autorites competentes", "organisme", "office", "agence")
 REPORTING_PAYLOAD = ("information", "informations", "donnees", "renseignement", "renseignements", "rapport", "declaration")
@@ -40,7 +35,7 @@ ORGANISING = ("il est cree", "est cree", "composition", "compose de", "composee
 CONTROLLING = ("audit", "inspection", "verification", "supervision", "surveillance")
 ANSWERING = ("est charge de", "sont charges de", "est charge", "sont charges", "doit assurer", "doit proposer", "doit classer", "doit proceder", "doit decerner", "repond de", "incombe")
 SUB_DOMAINS = (
-    ("QHSE", "SST", ("securite au travail", "sante et securite", "equipement de protection", "accident du travail", "danger grave", "incendie", "evacuation")),
+    ("QHSE", "SECURITE_TRAVAIL", ("securite au travail", "sante et securite", "equipement de protection", "accident du travail", "danger grave", "incendie", "evacuation")),
     ("QHSE", "HYGIENE", ("hygiene", "salubrite", "assainissement", "nettoyage", "sanitaire")),
     ("QHSE", "ENVIRONNEMENT", ("environnement", "dechet", "dechets", "pollution", "effluent", "emission", "rejet")),
     ("QHSE", "RISQUES_PROFESSIONNELS", ("risque professionnel", "risques professionnels", "maladie professionnelle", "exposition au risque", "evaluation des risques", "evaluation du risque")),
@@ -86,13 +81,68 @@ BARE_WORDS = ("affichage", "notification", "declaration", "registre", "controle"
 LOW_VALUE_VERB = r"\b(doit|doivent|est|sont|interdit|repond|sera|seront|peut|peuvent|tenu|tenus|responsable|presente|beneficie|beneficient|entraine|entrainent|communique|communiquent|ouvre|ouvrent|incombe|incombent|prend\s+en\s+charge|sous\s+reserve\s+de|a\s+condition\s+de|procede|procedent|redevient|redeviennent|fait\s+foi|fixe|fixent|fixee?s?)\b"
 GAZETTE = r"\bjournal\s+officiel\s+de\s+la\s+republique\s+tunisienne\b"
 NAME_CHAIN = r"\bben\s+\w{2,}\s+(ben|bou|ou[a-z]+)\b"
-PUBLICATION = r"\ble\s+present\s+(arrete(\s+conjoint)?|decret|loi)\s+sera\s+publie\b"
+PUBLICATION = r"\b(l['‘]|le|la)\s+presente?\s+(arrete?(\s+conjoint)?|decret(-loi)?|loi)\s+sera\s+(publiee?|executee?)\b"
 INDIVIDUAL_ACTS = ("nomination", "nommer", "est nomme", "sont nommes", "designation", "designer", "est designe", "charge de fonctions", "chargee de fonctions", "fin de fonctions", "cessation de fonctions", "mise a la retraite", "admission a la retraite", "delegation de signature", "affectation", "mutation")
 PERSONS = ("monsieur", "madame", "mme", "m.", "dr ", "professeur ")
 GENERAL_ACTS = ("conditions d'application", "conditions d’octroi", "conditions d'octroi", "modalites", "concours interne", "modalites d'organisation", "fixant les modalites", "cahier des charges", "statut particulier", "fixation", "bareme", "baremes", "taux", "liste des zones", "liste des beneficiaires", "registre", "declaration", "contribution", "cotisation", "agrement des organismes")
-GENERAL_NORMS = ("doit", "doivent", "est tenu de", "sont tenus de", "interdit", "en cas de", "lorsque", "communique", "communiquent", "transmet", "transmettent", "adresse", "adressent", "prend en charge", "beneficie", "beneficient")
-RISK = ("doit", "doivent", "interdit", "est tenu", "sont tenus", "sanction", "amende", "puni", "responsable")
-CROSS_REFERENCE = r"\b(articles?\s+\d+|(loi|decret|arrete|code)\s+(n\s*°?\s*)?\d{2,4}\s*[-/]\s*\d+|conformement\s+aux?\s+(dispositions|article)|vise(e|s|es)?\s+a\s+l'article)\b"
+GENERAL_NORMS = ("doit", "doivent", "est tenu de", "sont tenus de", "interdit", "en cas de", "lorsque", "sauf", "communique", "communiquent", "transmet", "transmettent", "adresse", "adressent", "prend en charge", "beneficie", "beneficient")
+RISK = ("doit", "doivent", "est tenu de", "tenu de", "est tenue de", "tenus de", "interdit", "est interdit", "sont interdits", "peut", "peuvent", "sauf", "lorsque", "si ", "en cas de", "a condition de", "a condition que", "a moins que", "sous reserve", "sous reserve de", "beneficie", "beneficient", "prend en charge", "communique", "communiquent", "transmet", "transmettent", "adresse", "adressent", "ouvre droit", "incombe", "incombent", "fait foi", "fixe", "fixent", "est rejetee", "sont rejetees", "entraine", "entrainent", "exclusion", "annulation", "est puni", "sont punis", "est passible")
+CROSS_REFERENCE = r"\b(article\s+\d+|conformement\s+aux\s+dispositions\s+de|sous\s+reserve\s+de\s+l'?article|en\s+application\s+de\s+l'?article|prevu\s+a\s+l'?article|vise\s+a\s+l'?article)\b"
+# Individual acts among requirements (those among a gazette's acts are above).
+ACT_NAME = r"\b(monsieur|madame|m\.|mme\.?)\s+[a-z][a-z'\-]{1,}"
+ACT_MARKERS = ("est nomme", "sont nommes", "est nommee", "est designe", "sont designes", "charge des fonctions de", "chargee des fonctions de", "par delegation", "est habilite a signer", "delegation de signature", "acceptation de demission", "delegation de signature accordee a monsieur", "delegation de signature accordee a madame")
+INSTITUTIONAL_SUBJECTS = ("direction generale", "ministere", "administration", "etablissement", "agriculteurs", "fonds national")
+INSTITUTIONAL_CUES = ("jury", "concours", "candidat", "commission", "deliberation", "notation", "classement", "postes a pourvoir", "anciennete dans le grade")
+
+# Filters of requirements.
+LONE_LETTER = r"^[àâäéèêëîïôöùûüç]\s"
+LOWER_START = r"^[a-zàâäéèêëîïôöùûüç]"
+HEADER_START = r"^(art\.?|article|\d+\s*[-:])"
+SHORT_STARTS = ("l", "le", "la", "les", "un", "une", "ce", "ces", "cette", "si", "au", "aux", "du", "de", "des", "en", "dans", "il", "elle", "a", "d")
+SUBJECT_START = r"^(l|les|le|la|un|une|toute?|ce|ces|cette|il|elle|employeur|travailleur|salarie|entreprise|etablissement|registre|conseil|commission|ministre|declaration)\b"
+CUT_START = r"^(tre|etre|fixe?e?s?|indique?e?s?|prevu(e|es)?|prolonge?e?|olonge?e?|charge?e?s?|habilite?e?s?)\b"
+LINK_START = r"^(de|du|des|d|et|ou|aux|au|a|pour|avec|sur|sous|dans)\b"
+SENTENCE_START = r"^(l|les|le|la|un|une|toute?|ce|ces|cette|si|lorsque|en\s+cas|dans\s+le\s+cas)\b"
+STRONG_START = r"^(toute?|les|le|la|l'|une?|ce|ces|il|en\s+cas|dans\s+le\s+cas|au\s+cours|sous\s+reserve|si|lorsque|durant)\b"
+STRONG_WORD = r"\b(doit|doivent|est\s+tenu|sont\s+tenus|interdit|obligatoire|peut|peuvent|habilit\w*|charg\w*|communiquer|transmettre|notifier|conserver|present\w+|registre|declar\w+)\b"
+BAD_START = r"^(art\.?|article|\d{1,3}\s*[-:]|de|du|des|d'|et|ou|aux|au|a)\b"
+SINGULAR_PLURAL = r"^(un|une|le|la|l|ce|cette)\s+(registre|document|contrat|plan|conseil|proces-verbal|proces verbal)(\s+[a-z-]+){0,6}\s+sont\b"
+PLURAL_SINGULAR = r"^(les|ces)\s+(documents?|contrats?|plans?|membres?|autorites?)(\s+[a-z-]+){0,6}\s+est\b"
+SCOPE_OF_APPLICATION = ("doit etre inclus dans le champ d'application",)
+SCOPE_SOURCES = ("dans tout etablissement compris dans le champ d'application", "dans les etablissements soumis a l'application", "en ce qui concerne", "sont etendues aux categories")
+SCOPE_NORMS = ("doit", "doivent", "est tenu de", "sont tenus de", "sera tenu a la disposition", "sera tenue a la disposition", "s'imposent")
+EXCEPTION_SUBJECT = r"\b(employeur|salarie|candidat|jury|commission|agent|organisme|entreprise|etablissement|directeur|ministre|titulaire)\b"
+EXCEPTION_VERB = r"\b(peut|doit|doivent|est tenu|sont tenus|interdit|obligatoire|justifie|autorise|accorde)\b"
+SOURCE_NORMS = ("doit", "doivent", "est tenu de", "sont tenus de", "interdit", "est interdit", "sont interdits", "sera tenu", "sera tenue", "doit etre", "doivent etre", "repond de", "responsable de", "s'imposent", "peut", "peuvent")
+INVENTED_NORMS = ("doit", "doivent", "interdit", "est interdit", "sera tenu", "sera tenue", "repond de", "responsable de")
+LEADING = (r"(?i)^\s*page\s+\d+\s*[-:–—]?\s*", r"(?i)^\s*(?:n[°o]\s*\d+\s*)?journal\s+officiel\s+de\s+la\s+r[ée]publique\s+tunisienne\s*[-:–—]?\s*", r"(?i)^\s*(?:art\.?|article)(?:\s*(?:n\s*)?(?:premier|1er|unique|\d+(?:[-.]\d+)*)\s*)?\s*[-:'’\"]+\s*")
+
+# Confidence of a requirement.
+CONFIDENT_TYPES = ("OBLIGATION", "INTERDICTION", "RESPONSABILITE", "EXCEPTION", "CONDITION", "DECLARATION", "CONTROLE", "REGISTRE")
+CONFIDENT_NORMS = ("doit", "doivent", "interdit", "est interdit", "repond", "responsable", "sauf", "lorsque", "en cas de", "tenu de", "tenus de")
+
+# Definitions and extensions of scope.
+DEFINITION_STARTS = r"^\s*(on entend par\b|est consider|sont consider|ont consider|n'?est pas consider|ne sont pas consider|est reput|sont reput|est assimil|sont assimil|n'?est pas assimil|ne sont pas assimil|est un accord\b|est une convention\b)"
+DEFINITION_NORMS = ("doit", "doivent", "est tenu de", "sont tenus de", "interdit", "est interdit", "sont interdits", "repond de", "responsable de", "est responsable de", "doit etre", "doivent etre", "sera", "seront")
+UNIT_DEFINITIONS = r"\b(on entend par\b|est une convention\b|est un accord\b|est consider|sont consider|n'?est pas consider|ne sont pas consider|est reput|sont reput|est assimil|sont assimil|n'?est pas assimil|ne sont pas assimil)"
+UNIT_NORMS = ("doit", "doivent", "est tenu de", "sont tenus de", "interdit", "est interdit", "sont interdits", "repond de", "responsable de", "est responsable de", "sera tenu", "peut", "peuvent", "beneficie", "prend en charge", "entraine", "fait foi", "fixe", "fixent")
+CONCLUDED = ("conclu entre", "conclue entre")
+EXTENSION_CONTEXT = ("les dispositions du present code sont etendues", "categories de travailleurs ci-apres", "personnes visees a l'alinea precedent")
+EXTENSION_STARTS = r"^(les personnes qui|les personnes dont|lorsque ces personnes exercent leur profession|dans une entreprise industrielle ou commerciale|pour le compte d'une seule entreprise)"
+EXTENSION_NORMS = ("sera toujours responsable", "ne sera responsable", "ne sont responsables", "est responsable", "sont responsables", "doit", "doivent", "interdit", "est interdit", "sont interdits", "tenu de", "tenus de", "peut", "peuvent", "beneficie", "prend en charge", "entraine", "fait foi", "fixe", "fixent", "est rejetee")
+CLASSIFICATION = ("sont assimilees a", "est assimile a", "ne leur est applicable que dans la mesure ou", "sont etendues aux categories")
+
+# Markers that single rules name.
+RULE_MARKERS = ("chaque annee", "annuellement", "declar", "controle", "registre", "avis doit indiquer", "exemplaire", "a la disposition", "cahier des charges", "modalites", "transport", "societe communautaire", "societes communautaires", "compose de", "composee de", "composees de", "anciennete", "grade", "plus age", "champ d'application", "appelee", "s'engage a", "est un accord", "est une convention")
+
+#: The groups whose markers are looked for together.
+MARKER_GROUPS = (
+    "RESPONSIBILITY", "EXCEPTION", "INTERDICTION", "CONDITION", "OBLIGATION", "DECLARATION", "REPORTING_VERB", "REPORTING_TARGET", "REPORTING_PAYLOAD", "ELIGIBLE", "ELIGIBLE_BY", "EFFECT", "EFFECT_OF_CONDITION", "REGISTER",
+    "DOMAIN_NOISE", "INSTITUTIONS", "RECRUITING", "DOCUMENTS", "HARD_INTERDICTION", "CONDITION_OF_RIGHT", "OBLIGATION_CLAUSE", "CONDITION_CLAUSE", "ORGANISING", "CONTROLLING", "ANSWERING", "SUB_DOMAINS",
+    "MISSING_CONDITION", "MISSING_SCOPE", "SUBJECTS", "GENERAL_NORMS", "RISK", "ACT_MARKERS", "INSTITUTIONAL_SUBJECTS", "INSTITUTIONAL_CUES", "SCOPE_OF_APPLICATION", "SCOPE_SOURCES", "SCOPE_NORMS", "SOURCE_NORMS", "INVENTED_NORMS", "CONFIDENT_NORMS",
+    "DEFINITION_NORMS", "UNIT_NORMS", "CONCLUDED", "EXTENSION_CONTEXT", "EXTENSION_NORMS", "CLASSIFICATION", "RULE_MARKERS",
+)
+
 ACT_TYPES = (("ARRETE", r"arr[êe]t[ée]"), ("DECRET", "d[ée]cret"), ("LOI", "loi"))
 
 # Families of errors: fix, and the rules that name them: family, action, severity.
@@ -134,8 +184,5 @@ ACTIVITY_THEMES = (
     ("LEVAGE_MANUTENTION", ("levage", "grue", "pont roulant", "chariot elevateur", "transpalette"), ("grue", "pont roulant", "chariot", "transpalette", "levage")),
     ("PRESSION_CHAUDIERE", ("chaudiere", "equipement sous pression", "compresseur"), ("chaudiere", "compresseur", "pression")),
 )
-PUBLIC_ACTORS = (
-    *("le ministre", "la ministre", "le ministere", "le secretaire d'etat", "la direction generale", "la direction regionale", "la direction", "le chef de l'inspection", "l'inspection du travail"),
-    *("le president du conseil de prud'hommes", "le conseil de prud'hommes", "les tribunaux", "le tribunal", "les juridictions", "la juridiction", "les services competents", "les syndicats", "le syndicat"),
-)
+PUBLIC_ACTORS = ("le ministre", "la ministre", "le ministere", "le secretaire d'etat", "la direction generale", "la direction regionale", "la direction", "le chef de l'inspection", "l'inspection du travail", "le president du conseil de prud'hommes", "le conseil de prud'hommes", "les tribunaux", "le tribunal", "les juridictions", "la juridiction", "les services competents", "les syndicats", "le syndicat")
 PRIVATE_ACTORS = ("entreprise", "employeur", "etablissement", "exploitant", "societe", "organisme")
