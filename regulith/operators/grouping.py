@@ -318,16 +318,6 @@ def best_snippet(requirement: str, chunk: str, least: float = 0.18, most: int =
     return (best[:most], round(top, 4)) if top >= least else ("", round(top, 4))
 
 
-def snippets(df: DataFrame, requirement: str = "requirement", chunk: str = "chunk") -> DataFrame:
-    """CF3, UN-side of GR1: ``snippet, snippet_score`` for each row."""
-
-    @F.pandas_udf("snippet string, snippet_score double")
-    def pick(r: pd.Series, c: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([best_snippet(x, y) for x, y in zip(r, c, strict=True)], columns=["snippet", "snippet_score"])
-
-    return df.withColumn("s", pick(requirement, chunk)).select(*df.columns, "s.snippet", "s.snippet_score")
-
-
 def rewrite(text: str, subject: str, kind: str) -> list[str]:
     """CF4: statements of one obligation each: fused ones are split at their second modal, a missing subject is put in front."""
     parts = re.split(r"\s+(?:et|and|und|y)\s+(?=(?:doit|doivent|must|muss|debe)\b)", " ".join((text or "").split()))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import articles, grouping, segment
+from ..operators import articles, citations, grouping, segment
 from ..registry import query, table
+from .postcall import assessed
 from .texts import LINES_SQL, lines
 
 
@@ -122,19 +123,45 @@ def subject_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("score", (F.col("score") >= 0.6).alias("consistent")).agg(F.count("*").alias("n"))
 
 
+def _cited(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("requirement"), F.lit("").alias("snippet"), F.col("text").alias("chunk"))
+    return citations.best_citation(x)
+
+
 @query("grounding_verdicts")
 def grounding_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """GR1: a document's first line as requirement, grounded in its text by the sentence that cites it best (checked on each verdict)."""
-    x = table(spark, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("requirement"), F.col("text").alias("chunk"))
-    g = grouping.snippets(x).withColumn("g", grouping.grounding("requirement", "snippet", "chunk"))
+    g = _cited(spark, d).withColumn("g", grouping.grounding("requirement", "citation", "chunk"))
     return g.select("doc_id", "g.score", "g.verdict", F.array_join("g.reasons", ",").alias("reasons"))
 
 
 @query("snippets")
 def snippets(spark: SparkSession, d: str) -> DataFrame:
-    """CF3: the document's sentence that best cites its first line."""
-    x = table(spark, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("requirement"), F.col("text").alias("chunk"))
-    return grouping.snippets(x).select("doc_id", "snippet", "snippet_score")
+    """CF3: the part of a document that best cites its first line (checked against a plain loop)."""
+    return _cited(spark, d).select("doc_id", F.col("citation").alias("snippet"), F.col("citation_score").alias("snippet_score"))
+
+
+@query("statement_citations")
+def statement_citations(spark: SparkSession, d: str) -> DataFrame:
+    """CF3: statements cited from their source and chunk."""
+    x = assessed(spark, d)
+    return citations.best_citation(x).groupBy("citation", "citation_score").agg(F.count("*").alias("n"))
+
+
+@query("chained_statements")
+def chained_statements(spark: SparkSession, d: str) -> DataFrame:
+    """CF4: the actions of a statement under one subject, each a statement (checked on each kind of chain)."""
+    x = assessed(spark, d).select("requirement", F.posexplode_outer(citations.chained_actions(F.col("requirement"))).alias("place", "statement"))
+    return x.groupBy("place", "statement").agg(F.count("*").alias("n")).filter("statement IS NOT NULL")
+
+
+@query("unit_fallbacks")
+def unit_fallbacks(spark: SparkSession, d: str) -> DataFrame:
+    """CF5: what units without extracted statements fall back to, by cue: a norm that was left out, a supervisor that no statement names."""
+    x = assessed(spark, d).select(F.concat("requirement", F.lit(" "), "snippet").alias("unit"), F.array("chunk").alias("existing"))
+    empty, missed = citations.empty_fallback(x), citations.supervision_fallback(x)
+    both = empty.select(F.lit("EMPTY").alias("cue"), "fallback_text", "fallback_type").unionByName(missed.select(F.lit("SUPERVISION").alias("cue"), "fallback_text", "fallback_type"))
+    return both.groupBy("cue", "fallback_type", "fallback_text").agg(F.count("*").alias("n"))
 
 
 @query("fixed_statements")

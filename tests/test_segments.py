@@ -157,9 +157,8 @@ def test_subject_consistency(spark):
     assert [r.x for r in df.select(grouping.subject_consistency("r", "s").alias("x")).collect()] == [r[2] for r in rows]
 
 
-def test_snippets_and_fixes(spark):
+def test_fixes(spark):
     df = spark.createDataFrame([("tenir un registre", "Bla bla. Il faut tenir un registre, toujours. Fin.", "RESUBJECT_FROM_CONTEXT")], "requirement string, chunk string, action string")
-    assert grouping.snippets(df).first().snippet == "Il faut tenir un registre, toujours."
     assert grouping.apply_fixes(df.withColumn("text", F.lit("Il doit agir"))).first().fixed == "L'entreprise doit agir"
     assert grouping.rewrite("L'exploitant doit agir et doit informer", "L'exploitant", "OBLIGATION") == ["L'exploitant doit agir", "L'exploitant doit informer"]
 
