@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import candidates
 from ..operators import postcall as pc
 from ..operators import requirement_rules as rr
 from ..registry import query
@@ -56,9 +57,9 @@ def _completeness_sql() -> str:
 
 
 def assessed(spark: SparkSession, d: str) -> DataFrame:
-    """Statements as a model would hand them over: type, confidence, status and strength follow the line item."""
+    """Statements as a model would hand them over, equal ones as one row with their number ``n``: type, confidence, status and strength follow the line item."""
     x = statements_of(spark, d, "l_quantity", "l_returnflag", "l_linestatus")
-    return x.select(
+    x = x.select(
         F.col("r").alias("requirement"),
         F.col("m").alias("kind"),
         F.col("s").alias("snippet"),
@@ -67,13 +68,14 @@ def assessed(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", "TO_VALIDATE").otherwise("DRAFT").alias("status"),
         F.when(F.col("l_linestatus") == "O", "IMPERATIF").otherwise("FACULTATIF").alias("strength"),
     )
+    return x.groupBy(*x.columns).agg(F.count("*").alias("n"))
 
 
 @query("requirement_completeness", _completeness_sql())
 def requirement_completeness(spark: SparkSession, d: str) -> DataFrame:
     """GR2: verdict and missing parts of each statement, found in its text and its citation."""
     x = pc.with_completeness(pc.with_plain(assessed(spark, d), "requirement", "snippet", "chunk"))
-    return x.groupBy("_whole.verdict", F.array_join("_whole.missing", ",").alias("missing"), "_whole.score").agg(F.count("*").alias("n"))
+    return x.groupBy("_whole.verdict", F.array_join("_whole.missing", ",").alias("missing"), "_whole.score").agg(F.sum("n").alias("n"))
 
 
 def _scope_sql() -> str:
@@ -93,25 +95,37 @@ def _scope_sql() -> str:
 def scope_reasons(spark: SparkSession, d: str) -> DataFrame:
     """GR6: statements out of scope and clauses blended (the statements' texts hold no signs of OCR)."""
     x = pc.with_plain(assessed(spark, d), "requirement", "snippet", "chunk").withColumn("norms", pc.hit_names(F.col("_plain"), fr.NORMS))
-    return x.groupBy(pc.out_of_scope().alias("reason"), pc.clause_blend(F.col("norms"), F.lit(0.0)).alias("blend")).agg(F.count("*").alias("n"))
+    return x.groupBy(pc.out_of_scope().alias("reason"), pc.clause_blend(F.col("norms"), F.lit(0.0)).alias("blend")).agg(F.sum("n").alias("n"))
 
 
 @query("postcall_assessments")
 def postcall_assessments(spark: SparkSession, d: str) -> DataFrame:
     """GR1 to GR6: decision, status and reasons of each statement (checked on cases of each check)."""
     x = pc.assess(assessed(spark, d))
-    return x.groupBy("a.decision", "a.status", "a.risk", F.array_join("a.reasons", ",").alias("reasons")).agg(F.count("*").alias("n"), F.round(F.avg("a.quality"), 6).alias("quality"))
+    return x.groupBy("a.decision", "a.status", "a.risk", F.array_join("a.reasons", ",").alias("reasons")).agg(F.sum("n").alias("n"), F.round(F.sum(F.col("a.quality") * F.col("n")) / F.sum("n"), 6).alias("quality"))
 
 
 @query("statement_promotions")
 def statement_promotions(spark: SparkSession, d: str) -> DataFrame:
     """PR1: the first blocker of each statement's promotion (checked on cases of each blocker)."""
     x = pc.assess(assessed(spark, d).withColumns({"policy": F.lit("EXTRACT_FULL"), "memory_action": F.lit(None).cast("string"), "memory_family": F.lit(None).cast("string")}))
-    return pc.promotion(x, snippet=(20, 650)).groupBy("p.status", "p.reason").agg(F.count("*").alias("n"))
+    return pc.promotion(x, snippet=(20, 650)).groupBy("p.status", "p.reason").agg(F.sum("n").alias("n"))
 
 
 @query("statement_reviews")
 def statement_reviews(spark: SparkSession, d: str) -> DataFrame:
     """RV1: structure, source mode, guidance and recommended decision of each statement (checked against a plain loop)."""
     x = pc.review(assessed(spark, d).withColumns({"blocked_reason": F.when(F.col("status") == "DRAFT", "LOW_CONFIDENCE"), "similarity": F.nullif("confidence", F.lit(0.0))}))
-    return x.groupBy("v.verb", "v.source_mode", F.array_join("v.guidance", ",").alias("guidance"), "v.decision", (F.col("v.condition") != "").alias("has_condition"), (F.col("v.exception") != "").alias("has_exception")).agg(F.count("*").alias("n"), F.sum(F.length("v.subject")).alias("subject_chars"), F.sum(F.length("v.object")).alias("object_chars"))
+    return x.groupBy("v.verb", "v.source_mode", F.array_join("v.guidance", ",").alias("guidance"), "v.decision", (F.col("v.condition") != "").alias("has_condition"), (F.col("v.exception") != "").alias("has_exception")).agg(F.sum("n").alias("n"), F.sum(F.length("v.subject") * F.col("n")).alias("subject_chars"), F.sum(F.length("v.object") * F.col("n")).alias("object_chars"))
+
+
+@query("resolved_candidates")
+def resolved_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """GR7: the candidates of each order, assessed, grouped and resolved (checked on cases of each branch)."""
+    x = statements_of(spark, d, "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    x = x.select("l_orderkey", F.col("l_linenumber").cast("long").alias("seq"), F.col("r").alias("requirement"), F.col("m").alias("kind"), F.col("s").alias("snippet"), F.concat("s", F.lit(" "), "other").alias("chunk"), (F.col("l_quantity") % 21 / 20).cast("double").alias("confidence"), F.when(F.col("l_returnflag") == "R", "TO_VALIDATE").otherwise("DRAFT").alias("status"), F.lit("").alias("strength"))
+    a = pc.assess(x)
+    item = F.struct("seq", F.col("requirement").alias("text"), "kind", "snippet", "status", "confidence", "a.grounding", "a.grounding_verdict", "a.completeness", "a.completeness_verdict", F.array_contains("a.missing", "EXCEPTION").alias("missing_exception"), "a.type_match", "a.overlap", "a.quality", F.lit(False).alias("error"))
+    # at most seven lines an order
+    by_order = a.groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
+    return candidates.resolve(by_order, "items", "l_orderkey").select("l_orderkey", "representative", "kind", "members", "conflict", "quality", "decision", "status", "kept", F.array_join("reasons", ",").alias("reasons"))

@@ -91,6 +91,11 @@ IMPERATIVE_TYPES = ("OBLIGATION", "INTERDICTION", "RESPONSABILITE")
 CONTROLLED = ("DESCRIPTIVE_WITHOUT_NORMATIVE_MARKER", "GROUNDING_HARD_FAIL_DROP", "COMPLETENESS_HARD_FAIL_DROP", "TYPE_MISMATCH_HARD_DROP", "LOW_CONFIDENCE_NON_NORMATIVE", "TOO_SHORT", "OUT_OF_SCOPE_INDIVIDUAL_ACT", "OUT_OF_SCOPE_PUBLICATION")
 INCOHERENT, OVERQUALIFIED = 0.18, 0.15
 
+# Groups of candidates.
+COMPATIBLE_TYPES = (("OBLIGATION", "DECLARATION"), ("RESPONSABILITE", "OBLIGATION"))
+TYPE_PRIORITY = {"INTERDICTION": 90, "REGISTRE": 86, "DECLARATION": 82, "OBLIGATION": 80, "EXCEPTION": 70, "CONDITION": 65, "RESPONSABILITE": 60, "CONTROLE": 45, "AUTRE": 10}
+GROUP_PENALTIES = {"DUPLICATE_GROUP": 0.04, "TYPE_CONFLICT_GROUP": 0.08, "OUT_OF_SCOPE_AUTRE_DESCRIPTIVE": 0.15, "OUT_OF_SCOPE_INDIVIDUAL_ACT": 0.22, "OUT_OF_SCOPE_PUBLICATION": 0.22}
+
 # Promotion.
 PROMOTED_TYPES = ("OBLIGATION", "INTERDICTION", "CONDITION", "EXCEPTION", "DECLARATION", "REGISTRE")
 SUBJECT_PREFIXES = ("l'employeur", "le chef ", "tout travailleur", "le travailleur", "le salarie", "les salaries", "toute personne", "l'entreprise", "les entreprises", "le medecin", "le responsable", "les candidats", "le candidat", "le jury", "la commission", "le directeur", "le ministre", "l'organisme", "l'etablissement", "les membres", "tout employeur", "tout etablissement", "il est interdit", "est interdit", "toute demande", "tout dossier")
