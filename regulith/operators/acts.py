@@ -13,7 +13,7 @@ from ..rules import fr_requirements as fr
 from . import requirement_rules as rr
 
 # How an act and an article begin.
-ACT = re.compile(r"(?im)^[ \t]*(?:loi|d[ée]cret(?:-loi)?|arr[êe]t[ée](?:\s+conjoint)?|d[ée]cision|circulaire)\b[^\n]*")
+ACT = re.compile(r"(?im)^[ \t]*(?:(?:loi|d[ée]cret(?:-loi)?|arr[êe]t[ée](?:\s+conjoint)?)\b|(?:d[ée]cision|circulaire|convention|r[èe]glement)(?:\s+n[°o]\s*\d+|\s+(?:du|portant|relative|fixant)\b))[^\n]*")
 ARTICLE = re.compile(r"(?i)(?<![\w'’])(?:article|art\.?)\s*(?:n\s*)?(?:premier|unique|1er|\d+(?:[-.]\d+)*)\b")
 LEAST, HEAD = 30, 300
 

@@ -1,3 +1,3 @@
 """The registered queries, by theme."""
 
-from . import aggregates, files, postcall, relational, requirements, segments, streams, texts  # noqa: F401
+from . import aggregates, files, postcall, relational, requirements, segments, stores, streams, texts  # noqa: F401

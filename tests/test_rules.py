@@ -187,6 +187,8 @@ def test_acts(spark):
     assert titles[0] == ["Décret n° 12-2020 du 3 mai", "Arrêté du ministre du 4 mai"]
     assert titles[1] == ["Arrêté du ministre du 5 mai fixant les modalités"] and titles[2] == ["DOCUMENT"]
     assert titles[3] == ["Décret n° 8-2021 du 2 juin", "Arrêté du 9 juin"] or titles[3][0] == "Loi n° 7-2021 du 1er juin"
+    qualified = "Décision du chef\nArticle premier - Le port est clos le soir.\nConvention n° 7 du port\nArticle 1 - La taxe est due.\nRèglement fixant les prix\nArticle 1 - Le prix est de dix.\nRèglement intérieur affiché au port\nCirculaire relative aux quais\nArticle 1 - Le quai est lavé."
+    assert [a[0] for a in acts.acts_of(qualified)] == ["Décision du chef", "Convention n° 7 du port", "Règlement fixant les prix", "Circulaire relative aux quais"]
     assert all(x[s:e].strip().startswith(t[:5]) for x in ISSUES for t_, s, e, t in acts.acts_of(x) if x)
     found = spark.createDataFrame([(a[0], a[3]) for x in ISSUES for a in acts.acts_of(x)], "t string, x string").select("t", acts.individual("t", "x").alias("i"))
     assert {r.t for r in found.collect() if r.i} == {"Arrêté du ministre du 4 mai", "Arrêté du 9 juin"}
