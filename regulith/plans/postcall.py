@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import candidates
+from ..operators import article_dedup, candidates
 from ..operators import postcall as pc
 from ..operators import requirement_rules as rr
 from ..registry import query
@@ -129,3 +129,14 @@ def resolved_candidates(spark: SparkSession, d: str) -> DataFrame:
     # at most seven lines an order
     by_order = a.groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
     return candidates.resolve(by_order, "items", "l_orderkey").select("l_orderkey", "representative", "kind", "members", "conflict", "quality", "decision", "status", "kept", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("runtime_dedup")
+def runtime_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """DD2, DD3: the statements of runs of orders as documents, orders as articles, without repeats (checked on cases of each rule)."""
+    x = statements_of(spark, d, "l_orderkey", "l_linenumber")
+    item = F.struct((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("seq"), F.col("l_orderkey").cast("string").alias("article"), F.col("m").alias("kind"), F.col("r").alias("text"), F.col("s").alias("snippet"))
+    # an order has seven lines at most: documents are runs of sixteen orders
+    docs = x.groupBy(F.floor(F.col("l_orderkey") / 16).alias("doc_id")).agg(F.collect_list(item).alias("items"))
+    got = article_dedup.dedup(docs, "items")
+    return got.groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
