@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import articles, citations, grouping, segment
+from ..operators import articles, citations, grouping, rewriting, segment
 from ..registry import query, table
 from .postcall import assessed
 from .texts import LINES_SQL, lines
@@ -176,3 +176,11 @@ def fixed_statements(spark: SparkSession, d: str) -> DataFrame:
 def structure_review(spark: SparkSession, d: str) -> DataFrame:
     """RV1: markers of a statement's structure."""
     return lines(spark, d).groupBy(F.col("text").contains(",").alias("has_condition"), F.col("text").rlike(r"[.!?]\z").alias("has_end")).agg(F.count("*").alias("n"))
+
+
+@query("split_statements")
+def split_statements(spark: SparkSession, d: str) -> DataFrame:
+    """CF4: statements with several obligations, one row for each obligation, by the rule that split them (checked on each rule)."""
+    x = assessed(spark, d).groupBy("requirement", "kind").agg(F.sum("n").alias("n"))
+    p = rewriting.split_statements(x).select("n", F.explode_outer("parts").alias("p"))
+    return p.groupBy("p.rule", F.col("p.text").alias("statement")).agg(F.sum("n").alias("n")).filter("rule IS NOT NULL")

@@ -44,3 +44,15 @@ FALLBACK_HEADING = r"(?iuU)\b(?:chapitre|section|titre|livre)\b"
 FALLBACK_LEAST, CANDIDATE_LEAST, SENTENCE_LEAST = 40, 20, 30
 SUPERVISION = r"(?iuU)\best\s+supervis[ée]e?s?\s+par\s+(?:un|une|le|la)\s+(?:jury|commission|comit[ée])\b"
 COMPOSITION_FIXED = r"(?iuU)\b(?:composition\b[^.;:]{0,160}\bfix[ée]e?s?\b|fix[ée]e?s?\b[^.;:]{0,160}\bcomposition\b)"
+
+# Statements with several obligations.
+SPLITTABLE_TYPES = ("OBLIGATION", "DECLARATION", "REGISTRE", "CONTROLE")
+DOCUMENT_INTRO = r"(?iuU)^(.+?\b(?:doit|doivent)\s+(?:indiquer|mentionner|comprendre|comporter|contenir|enumerer|énumérer|etre\s+accompagn[ée]?\s+de|être\s+accompagn[ée]?\s+de|etre\s+assorti\s+de|être\s+assorti\s+de))\s+(.+)$"
+WARNING = r"(?iuU)^(lorsque[^,]+,\s*)([^,]*?)doit\s+en avertir l'employeur\s+et\s+attendre\s+ses\s+instructions\s+(s['’]il n['’]?y a pas péril en la demeure\.?)$"
+WARN, WAIT, WARNED = "doit en avertir l'employeur.", "doit attendre ses instructions", "le salarié"
+REPEATED_LEAD = rf"(?iuU)^(.+?)\s+({_MODAL})\s+(.+)$"
+REPEATED_SPLIT = rf"(?iuU)\s*(?:,|;|\bet\b)\s+(?=(?:{_MODAL})\b)"
+MODAL_START = rf"(?iuU)^(?:{_MODAL})\b"
+COMPOSITION_CHAIN = r"(?iuU)^(.+?\bcompos\w+\s+de)\s+(.+?)\s*;\s*(?:et\s+)?de\s+(.+)$"
+COLON_LIST = rf"(?iuU)^(.+?{_MODAL})\s*:\s*(.+)$"
+LEADING_AND = r"(?iuU)^et\s+"
