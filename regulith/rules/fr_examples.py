@@ -51,7 +51,7 @@ SENTENCES = (
     ("L'employeur doit remettre au salarié le plan de la zone {n} en cas de travaux de nuit, sauf accord écrit.", "En cas de travaux de nuit, l'employeur doit remettre au salarié le plan de la zone {n}, sauf accord écrit.", "OBLIGATION", "EXCEPTION"),
     ("L'employeur doit remettre au salarié un plan écrit de la zone de pêche numéro {n}.", "L'employeur doit remettre au salarié un plan écrit de la zone de pêche numéro {n}.", "OBLIGATION", "OBLIGATION"),
     ("Le concours du port {n} est supervisé par un jury que le chef du port choisit.", "", "AUTRE", "AUTRE"),
-    ("Le quai {n} est lavé par l'agent et est séché par le chef du port.", "Le quai {n} est lavé par l'agent, si le vent tombe, et est séché par le chef du port.", "AUTRE", "AUTRE"),
+    ("Le quai {n} est lavé par l'agent et est séché par le chef du port.", "Le quai {n} est lavé par l'agent, si le vent tombe, et est séché par le chef du port.", "AUTRE", "CONDITION"),
     ("Le directeur est chargé de classer les offres; de fixer le prix {n}; d) signer le bail du port.", "Le directeur est chargé de classer les offres; de fixer le prix {n}; d) signer le bail du port.", "AUTRE", "AUTRE"),
 )
 
