@@ -64,14 +64,14 @@ def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return (h ^ (h >> np.uint64(32))) * _B
 
 
-def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = np.uint64(SLOTS - 1)
+def _places(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    low = np.uint64(slots - 1)
     return (h & low).astype(np.int64), ((h >> np.uint64(24)) & low).astype(np.int64)
 
 
 def _started(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The scan from which on longer phrases may build on each phrase, NEVER if on none."""
-    a, b = _places(h)
+    a, b = _places(h, len(table))
     return np.maximum(table[a], table[b])
 
 
@@ -179,7 +179,8 @@ class Scan:
             return
         whole = np.flatnonzero(pair != NEVER)
         got = np.full(len(pair), NEVER, np.uint8)
-        got[whole] = _started(_joined(h[left[whole]], h[right[whole]]), self.started[1])
+        # not before the pair itself: where its places were taken earlier by others, the scans before its start were not counted
+        got[whole] = np.maximum(_started(_joined(h[left[whole]], h[right[whole]]), self.started[1]), pair[whole])
         on = np.flatnonzero(self._active(np.maximum(got[:-1], got[1:])))
         if len(on):
             pairs, which = np.unique(left[on] * u + right[on], return_inverse=True)
@@ -228,7 +229,7 @@ def _scanned(shard: DataFrame, scan: Scan) -> DataFrame:
     return pages.repartition("level", "bucket").mapInArrow(split, _PAGE)
 
 
-def _merged(pages: DataFrame, step: int, shards: int, least: int) -> DataFrame:
+def _merged(pages: DataFrame, step: int, shards: int, least: int, slots: int) -> DataFrame:
     """Rows of STATE: what is still being counted, what is done, and where phrases that reach the threshold stand in the table."""
     schema = pa.schema([("level", pa.int32()), ("bucket", pa.int32()), ("page", pa.binary()), ("block", pa.int32()), ("mask", pa.int64()), ("kind", pa.string())])
 
@@ -252,7 +253,7 @@ def _merged(pages: DataFrame, step: int, shards: int, least: int) -> DataFrame:
             h = np.array([_word_hash(lang, ws[0]) for lang, ws in parts], np.uint64)
             for i in range(1, level):
                 h = _joined(h, np.array([_word_hash(lang, ws[i]) for lang, ws in parts], np.uint64))
-            places = np.unique(np.concatenate(_places(h)))
+            places = np.unique(np.concatenate(_places(h, slots)))
             block = places >> 6
             edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             masks = np.bitwise_or.reduceat(np.uint64(1) << (places & 63).astype(np.uint64), edges).view(np.int64)
@@ -277,7 +278,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS)
         pages = _scanned(dealt.filter(F.col("shard") == step % shards), Scan(step, shards, buckets, started))
         if step:
             pages = pages.unionByName(_state(spark, folder, step - 1, "open").select("level", "bucket", "page"))
-        _merged(pages, step, shards, least).write.partitionBy("kind").parquet(f"{folder}/state/step={step}")
+        _merged(pages, step, shards, least, SLOTS).write.partitionBy("kind").parquet(f"{folder}/state/step={step}")
         masks = _state(spark, folder, step, "mask").groupBy("level", "block").agg(F.bit_or("mask").alias("mask")).collect()  # at most SLOTS / 64 rows a level
         for level, table in enumerate(started, 1):
             own = [r for r in masks if r.level == level]

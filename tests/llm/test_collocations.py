@@ -77,6 +77,17 @@ def test_small_limits_and_shared_places(docs_of, monkeypatch):
     assert sorted(tuple(r) for r in co.collocations(docs_of(rows, 2), least=5, top=7).collect()) == brute(rows, 5, 7)
 
 
+def test_places_taken_early(make_docs, monkeypatch):
+    """Words of the last shard only start late; other pairs have long taken their pairs' places: their triples still count every shard."""
+    monkeypatch.setattr(co, "SLOTS", 1024)
+    g = random.Random(7)
+    common, late = [f"c{i}" for i in range(30)], [f"late{i}" for i in range(8)]
+    rows = [(i, " ".join(g.choices(late if i % 3 == 2 else common, k=300)), "fr") for i in range(150)]
+    n, f = brute_counts(rows)
+    got = co.frequent_phrases(make_docs(rows).coalesce(1), least=10).collect()
+    assert {(r.level, r.phrase): r.f for r in got if r.level} == {(len(p), " ".join(p)): c for (_, p), c in f.items() if c >= 10}
+
+
 def test_all_frequent_phrases(docs_of):
     rows = texts(11)
     n, f = brute_counts(rows)
