@@ -46,9 +46,14 @@ def views_of(rows: DataFrame) -> DataFrame:
 _MARKED = ("req", "src", "both", "chunk_plain")
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """Equal rows as one, with their number ``n``: what is worked out from the texts is worked out once for each, whatever the table's size."""
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+
+
 def viewed(spark: SparkSession, d: str) -> DataFrame:
-    """Statements with their views; the chunk is the citation and the other statement."""
-    return views_of(statements_of(spark, d).withColumn("c", F.concat("s", F.lit(" "), "other")))
+    """Statements with their views and their number ``n``; the chunk is the citation and the other statement."""
+    return views_of(counted(statements_of(spark, d)).withColumn("c", F.concat("s", F.lit(" "), "other")))
 
 
 def _viewed_sql() -> str:
@@ -64,8 +69,8 @@ def _viewed_sql() -> str:
 
 
 def chosen(spark: SparkSession, d: str) -> DataFrame:
-    """``req, both, kind, src, model``: a statement of each line item, in plain text, with its markers and its type."""
-    x = statements_of(spark, d).select(rr.plain("r").alias("req"), rr.plain("s").alias("src"), "m").withColumn("both", F.concat("req", F.lit(" || "), "src"))
+    """``req, both, kind, src, model, n``: the line items' statements, in plain text, with markers, type and number."""
+    x = counted(statements_of(spark, d).select("r", "s", "m")).select(rr.plain("r").alias("req"), rr.plain("s").alias("src"), "m", "n").withColumn("both", F.concat("req", F.lit(" || "), "src"))
     x = rr.with_bits(x, "req", "both").withColumn("model", rr.spark_sql(rr.type_alias("m")))
     return x.withColumn("kind", rr.spark_sql(rr.requirement_type("req", "both", "model"), "req", "both"))
 
@@ -80,7 +85,7 @@ def _chosen_sql() -> str:
 @query("type_arbitration", f"WITH {_chosen_sql()} SELECT model, kind, count(*) AS n FROM chosen GROUP BY 1, 2")
 def type_arbitration(spark: SparkSession, d: str) -> DataFrame:
     """RT1, RT2: a model's type by its aliases, then the type by markers."""
-    return chosen(spark, d).groupBy("model", "kind").agg(F.count("*").alias("n"))
+    return chosen(spark, d).groupBy("model", "kind").agg(F.sum("n").alias("n"))
 
 
 @query(
@@ -91,7 +96,7 @@ def type_arbitration(spark: SparkSession, d: str) -> DataFrame:
 def domain_classes(spark: SparkSession, d: str) -> DataFrame:
     """QD1, QD2: domain and sub-domain by guards, first rules, scored markers, then the type."""
     c = domains(chosen(spark, d))
-    return c.groupBy("domain", "sub_domain", "strategy").agg(F.count("*").alias("n"))
+    return c.groupBy("domain", "sub_domain", "strategy").agg(F.sum("n").alias("n"))
 
 
 def domains(rows: DataFrame) -> DataFrame:
@@ -131,8 +136,8 @@ def _filtered_sql() -> str:
 def rejection_events(spark: SparkSession, d: str) -> DataFrame:
     """RJ1: the filters' events of each statement; those of soft filters that legal risk overrides go on to the next filter."""
     # outer, and nulls dropped at the end: an inner explode would copy all steps into a filter below them
-    e = with_filters(viewed(spark, d)).select(F.explode_outer("events").alias("e"))
-    return e.groupBy(F.concat(F.when(F.col("e.soft"), "SOFT_").otherwise(""), "e.filter").alias("reason")).agg(F.count("*").alias("n")).filter("reason IS NOT NULL")
+    e = with_filters(viewed(spark, d)).select("n", F.explode_outer("events").alias("e"))
+    return e.groupBy(F.concat(F.when(F.col("e.soft"), "SOFT_").otherwise(""), "e.filter").alias("reason")).agg(F.sum("n").alias("n")).filter("reason IS NOT NULL")
 
 
 _STATUS = "CASE WHEN {c} >= 0.86D THEN 'DRAFT' ELSE 'TO_VALIDATE' END"
@@ -144,8 +149,8 @@ _STATUS = "CASE WHEN {c} >= 0.86D THEN 'DRAFT' ELSE 'TO_VALIDATE' END"
 )
 def requirement_confidence(spark: SparkSession, d: str) -> DataFrame:
     """CF1, CF2: confidence of each statement by sixteen detectors over statement, citation and chunk."""
-    x = viewed(spark, d).select("kind", rr.spark_sql(rr.confidence("kind"), *_MARKED).alias("confidence"))
-    return x.groupBy("kind", "confidence", rr.spark_sql(_STATUS.format(c="confidence")).alias("status")).agg(F.count("*").alias("n"))
+    x = viewed(spark, d).select("kind", "n", rr.spark_sql(rr.confidence("kind"), *_MARKED).alias("confidence"))
+    return x.groupBy("kind", "confidence", rr.spark_sql(_STATUS.format(c="confidence")).alias("status")).agg(F.sum("n").alias("n"))
 
 
 _NO_SIGN = "regexp_replace(req, §p'^ *([-•*]|[0-9]+[)]|[a-z][)]) *', '')"
@@ -156,14 +161,14 @@ _DEFINITIONS = {"definition_article": rr.definition_article("folded"), "definiti
 def definition_predicates(spark: SparkSession, d: str) -> DataFrame:
     """FIL16: definitions of articles and units, and extensions of scope."""
     x = viewed(spark, d).withColumn("unit", rr.spark_sql(_NO_SIGN))
-    return x.groupBy(*[rr.spark_sql(e, *_MARKED).alias(n) for n, e in _DEFINITIONS.items()]).agg(F.count("*").alias("n"))
+    return x.groupBy(*[rr.spark_sql(e, *_MARKED).alias(n) for n, e in _DEFINITIONS.items()]).agg(F.sum("n").alias("n"))
 
 
 @query("cross_references", f"WITH {_viewed_sql()}, x AS (SELECT kind, {rr.other_sql(_HEADLESS)} AS t FROM viewed) SELECT kind, 'ARTICLE_HAS_CROSS_REFERENCE' AS event_type, count(*) AS n FROM x WHERE regexp_matches(t, {rr.lit(fr.CROSS_REFERENCE)}) GROUP BY 1")
 def cross_references(spark: SparkSession, d: str) -> DataFrame:
     """XR1: an event for every statement that refers to another text, own header off, by type."""
     x = viewed(spark, d).withColumn("t", rr.spark_sql(_HEADLESS))
-    return x.filter(F.col("t").rlike(fr.CROSS_REFERENCE)).groupBy("kind").agg(F.count("*").alias("n")).select("kind", F.lit("ARTICLE_HAS_CROSS_REFERENCE").alias("event_type"), "n")
+    return x.filter(F.col("t").rlike(fr.CROSS_REFERENCE)).groupBy("kind").agg(F.sum("n").alias("n")).select("kind", F.lit("ARTICLE_HAS_CROSS_REFERENCE").alias("event_type"), "n")
 
 
 _DECIDED = rr.applicability("req", "headcount", "sector", "chemicals", "means")

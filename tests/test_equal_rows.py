@@ -24,3 +24,10 @@ def test_scopes_meet_requirements_by_lots(spark):
         best = max((v for _, v in rated), default=0)
         want |= {(k, s, v) for s, v in rated if v >= max(2, best - 1)}
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_chosen_and_viewed_hold_each_statement_once(spark):
+    s = requirements.statements_of(spark, D)
+    for got, columns in ((requirements.chosen(spark, D), ["r", "s", "m"]), (requirements.viewed(spark, D), s.columns)):
+        assert got.agg(F.sum("n")).first()[0] == _lines(spark)
+        assert got.count() == s.select(*columns).distinct().count() < _lines(spark)
