@@ -262,9 +262,10 @@ def kpi_intents(spark: SparkSession, d: str) -> DataFrame:
 @query("act_blocks")
 def act_blocks(spark: SparkSession, d: str) -> DataFrame:
     """SG2, SG6: acts of an issue of each order, and whether they only appoint persons (checked on each issue)."""
-    issue = F.element_at(F.array(*map(F.lit, ISSUES)), (F.col("o_orderkey") % len(ISSUES)).cast("int") + 1)
-    o = table(spark, d, "orders").select("o_orderkey", acts.split_acts(issue).alias("a")).select("o_orderkey", F.explode("a").alias("a"))
-    return o.groupBy("a.title").agg(F.count("*").alias("n"), F.bool_and(acts.individual("a.title", "a.text")).alias("individual"), F.max(F.length("a.text")).alias("chars"))
+    issue = F.element_at(F.array(*map(F.lit, ISSUES)), F.col("i"))
+    o = counted(table(spark, d, "orders").select(((F.col("o_orderkey") % len(ISSUES)).cast("int") + 1).alias("i")))
+    o = o.select("n", acts.split_acts(issue).alias("a")).select("n", F.explode("a").alias("a"))
+    return o.groupBy("a.title").agg(F.sum("n").alias("n"), F.bool_and(acts.individual("a.title", "a.text")).alias("individual"), F.max(F.length("a.text")).alias("chars"))
 
 
 def stale(state: Column, stamp: Column, now: Column, hours: int = 12) -> Column:

@@ -31,3 +31,9 @@ def test_chosen_and_viewed_hold_each_statement_once(spark):
     for got, columns in ((requirements.chosen(spark, D), ["r", "s", "m"]), (requirements.viewed(spark, D), s.columns)):
         assert got.agg(F.sum("n")).first()[0] == _lines(spark)
         assert got.count() == s.select(*columns).distinct().count() < _lines(spark)
+
+
+def test_issues_of_acts_are_split_once(spark):
+    plan = requirements.act_blocks(spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("ArrowEvalPython") :]
+    assert "Aggregate" in below
