@@ -152,18 +152,13 @@ def assess(df: DataFrame) -> DataFrame:
     a drop is a controlled reject. Nulls count as empty, a null type as AUTRE, a
     null status as TO_VALIDATE, a null confidence as 0.
     """
+    return decide(read_texts(df), df.columns)
+
+
+def read_texts(df: DataFrame) -> DataFrame:
+    """What ``assess`` reads from ``requirement, kind, snippet, chunk``, as columns for ``decide``; statements that differ in nothing else can share it."""
     text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
-    x = df.withColumns(
-        {
-            "_req": text("requirement"),
-            "_src": text("snippet"),
-            "_chunk": text("chunk"),
-            "_kind": F.coalesce(F.nullif(F.upper(text("kind")), F.lit("")), F.lit("AUTRE")),
-            "_conf": F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)),
-            "_status": F.coalesce("status", F.lit("TO_VALIDATE")),
-            "_strength": F.upper(text("strength")),
-        }
-    )
+    x = df.withColumns({"_req": text("requirement"), "_src": text("snippet"), "_chunk": text("chunk"), "_kind": F.coalesce(F.nullif(F.upper(text("kind")), F.lit("")), F.lit("AUTRE"))})
     x = with_completeness(with_plain(x, "_req", "_src", "_chunk"))
     x = x.withColumns({"_ground": grouping.grounding("_req", "_src", "_chunk"), "_overlap": F.when(F.col("_src") != "", sim.jaccard(sim.tokens("_req"), sim.tokens("_src"))).otherwise(0.0)})
     x = x.withColumns(
@@ -181,8 +176,21 @@ def assess(df: DataFrame) -> DataFrame:
             "_src_share": tx.ocr_share("_src"),
         }
     )
-    x = x.withColumns({"_mixed": ocr_pollution(F.col("_overlap"), F.col("_src_signs"), F.col("_norms")), "_blend": clause_blend(F.col("_norms"), F.greatest("_share", "_src_share"))})
+    told = F.lower(F.when(F.col("_src") != "", F.col("_src")).otherwise(F.col("_chunk")))
+    return x.withColumns(
+        {
+            "_mixed": ocr_pollution(F.col("_overlap"), F.col("_src_signs"), F.col("_norms")),
+            "_blend": clause_blend(F.col("_norms"), F.greatest("_share", "_src_share")),
+            "_short": (F.length("_req") < 15) | (F.size(F.split("_plain", " ")) < 3),
+            "_optional": ca.hit(told, fr.OPTIONAL) & ~ca.hit(told, fr.IMPERATIVE),
+        }
+    )
+
+
+def decide(x: DataFrame, names: list[str]) -> DataFrame:
+    """The columns ``names`` and ``a`` of ``assess``, from rows of ``read_texts`` with ``confidence, status, strength``."""
     c = F.col
+    x = x.withColumns({"_conf": F.coalesce(c("confidence").cast("double"), F.lit(0.0)), "_status": F.coalesce("status", F.lit("TO_VALIDATE")), "_strength": F.upper(F.trim(F.coalesce("strength", F.lit(""))))})
     normed, cited = F.size("_norms") > 0, c("_src") != ""
     grounding, whole = c("_ground.verdict"), c("_whole.verdict")
     ocr_drop = c("_heavy") & (c("_src_heavy") | (c("_overlap") < 0.82) | (c("_share") >= 0.16))
@@ -192,7 +200,7 @@ def assess(df: DataFrame) -> DataFrame:
     missing = lambda n: F.array_contains("_whole.missing", n)
     grounded_drop, whole_drop = (grounding == "HARD_FAIL") & ~(normed & (c("_conf") >= 0.75)), (whole == "HARD_FAIL") & ~(normed & (c("_conf") >= 0.8))
     drop = [
-        ((F.length("_req") < 15) | (F.size(F.split("_plain", " ")) < 3), "TOO_SHORT"),
+        (c("_short"), "TOO_SHORT"),
         ((F.size("_told") > 0) & ~normed, "DESCRIPTIVE_WITHOUT_NORMATIVE_MARKER"),
         (c("_signs") & (c("_src_signs") | (c("_overlap") < 0.58)), "OCR_ARTIFACT_IN_REQUIREMENT"),
         (ocr_drop, "OCR_HEAVY_DEGRADATION_DROP"),
@@ -239,8 +247,7 @@ def assess(df: DataFrame) -> DataFrame:
     for cond, _, drops, _ in steps:
         dropped = dropped | (cond if drops else F.lit(False))
     raw = 0.22 * tx.clip01(c("_conf")) + 0.30 * tx.clip01(c("_ground.score")) + 0.18 * c("_match").cast("double") + 0.18 * tx.clip01(c("_whole.score")) + 0.12 * tx.clip01(c("_subject"))
-    told = F.lower(F.when(cited, c("_src")).otherwise(c("_chunk")))
-    over = c("_strength").isin("IMPERATIF", "") & ca.hit(told, fr.OPTIONAL) & ~ca.hit(told, fr.IMPERATIVE)
+    over = c("_strength").isin("IMPERATIF", "") & c("_optional")
     penalty = F.when((c("_strength") == "FACULTATIF") & c("_kind").isin(*fr.IMPERATIVE_TYPES), fr.INCOHERENT).otherwise(0.0) + F.when(over, fr.OVERQUALIFIED).otherwise(0.0)
     x = x.withColumns({"_dropped": dropped, "_said": F.array_compact(F.array(*said)), "_over": over & (c("_turn").isNotNull() | ~c("_status").isin("REJECT", "DROP")), "_quality": F.round(tx.clip01(F.round(raw, 4) - penalty), 4)})
     x = x.withColumn("_validate", c("_turn").isNotNull() | c("_over"))
@@ -285,7 +292,28 @@ def assess(df: DataFrame) -> DataFrame:
         (c("_dropped") & F.exists("_said", lambda r: r.isin(*fr.CONTROLLED))).alias("controlled_reject"),
         F.concat("_said", later).alias("reasons"),
     )
-    return x.select(*[F.col(f"`{n}`") for n in df.columns], a.alias("a"))
+    return x.select(*[F.col(f"`{n}`") for n in names], a.alias("a"))
+
+
+def with_wording(df: DataFrame) -> DataFrame:
+    """Add ``wording``: what ``promotion`` reads from ``requirement, snippet``; statements that differ in nothing else can share it."""
+    c = F.col
+    names = df.columns
+    df = df.withColumns({"_req": F.trim(F.coalesce("requirement", F.lit(""))), "_src": F.trim(F.coalesce("snippet", F.lit("")))})
+    df = df.withColumns({"_low": plain("_req"), "_own": sim.tokens("_req"), "_theirs": sim.tokens("_src")})
+    req, src, low, own = c("_req"), c("_src"), c("_low"), c("_own")
+    begins = lambda prefixes: F.array_contains(F.array(*[F.startswith(low, F.lit(p)) for p in prefixes]), True)
+    wording = F.struct(
+        F.length(req).alias("chars"),
+        F.size(F.filter(F.split(tx.spaces(req), " "), lambda w: w != "")).alias("words"),
+        (begins(fr.SUBJECT_PREFIXES) | (~begins(fr.NO_SUBJECT_PREFIXES) & low.rlike(fr.GENERIC_SUBJECT) & any_of(low, fr.SUBJECT_NORMS))).alias("subject"),
+        any_of(low, fr.PROMOTION_VERBS).alias("verb"),
+        F.length(src).alias("cited"),
+        (low.rlike(r"\bpeu(?:t|vent)\b") & ~any_of(low, fr.MODAL_COMPANIONS)).alias("modal"),
+        (((req != "") & ~req.rlike(r"^\p{Lu}")) | low.rlike(r"^\s*article\s+\d+\s*\(nouveau\)")).alias("noisy"),
+        F.when(F.size(own) > 0, F.size(F.array_intersect(own, c("_theirs"))) / F.size(own)).otherwise(0.0).alias("shared"),
+    )
+    return df.select(*[F.col(f"`{n}`") for n in names], wording.alias("wording"))
 
 
 def promotion(df: DataFrame, confidence: float = 0.89, overlap: float = 0.16, snippet: tuple[int, int] = (60, 650), chars: int = 320, quality: float = 0.84, grounding: float = 0.72, completeness: float = 0.85, subject: float = 0.60) -> DataFrame:
@@ -296,17 +324,12 @@ def promotion(df: DataFrame, confidence: float = 0.89, overlap: float = 0.16, sn
     assessment, and what the error memory asks for.
     """
     c = F.col
-    names = df.columns
-    df = df.withColumns({"_req": F.trim(F.coalesce("requirement", F.lit(""))), "_src": F.trim(F.coalesce("snippet", F.lit("")))})
-    df = df.withColumns({"_low": plain("_req"), "_own": sim.tokens("_req"), "_theirs": sim.tokens("_src")})
-    req, src, low = c("_req"), c("_src"), c("_low")
-    begins = lambda prefixes: F.array_contains(F.array(*[F.startswith(low, F.lit(p)) for p in prefixes]), True)
-    has_subject = begins(fr.SUBJECT_PREFIXES) | (~begins(fr.NO_SUBJECT_PREFIXES) & low.rlike(fr.GENERIC_SUBJECT) & any_of(low, fr.SUBJECT_NORMS))
-    words = F.size(F.filter(F.split(tx.spaces(req), " "), lambda w: w != ""))
+    names = [n for n in df.columns if n != "wording"]
+    df = df if "wording" in df.columns else with_wording(df)
+    w = lambda n: c(f"wording.{n}")
     conf = F.coalesce(c("confidence").cast("double"), F.lit(0.0))
     a, missing = (lambda n: c(f"a.{n}")), (lambda n: F.array_contains("a.missing", n))
-    own, theirs = c("_own"), c("_theirs")
-    shared = F.greatest(F.when(F.size(own) > 0, F.size(F.array_intersect(own, theirs)) / F.size(own)).otherwise(0.0), a("overlap"))
+    shared = F.greatest(w("shared"), a("overlap"))
     recovered = (
         (F.upper("memory_family") == "WEAK_GROUNDING")
         & (conf >= max(confidence, 0.85))
@@ -321,17 +344,16 @@ def promotion(df: DataFrame, confidence: float = 0.89, overlap: float = 0.16, sn
         (a("status") != "TO_VALIDATE", "NOT_TO_VALIDATE"),
         (F.coalesce(F.upper("policy"), F.lit("")) != "EXTRACT_FULL", "POLICY_NOT_FULL"),
         (~F.coalesce(F.upper("kind"), F.lit("")).isin(*fr.PROMOTED_TYPES), "TYPE_NOT_ALLOWED"),
-        (F.length(req) > chars, "REQUIREMENT_TOO_LONG"),
-        (words < 6, "TEXT_TOO_SHORT"),
-        (words > 120, "TEXT_TOO_LONG_WORDS"),
-        (~has_subject, "NO_LEGAL_SUBJECT"),
-        (~any_of(low, fr.PROMOTION_VERBS), "NO_NORMATIVE_VERB"),
+        (w("chars") > chars, "REQUIREMENT_TOO_LONG"),
+        (w("words") < 6, "TEXT_TOO_SHORT"),
+        (w("words") > 120, "TEXT_TOO_LONG_WORDS"),
+        (~w("subject"), "NO_LEGAL_SUBJECT"),
+        (~w("verb"), "NO_NORMATIVE_VERB"),
         (conf < confidence, "LOW_CONFIDENCE"),
-        (F.length(src) < snippet[0], "SHORT_SNIPPET"),
-        (F.length(src) > snippet[1], "SNIPPET_TOO_LONG"),
-        (low.rlike(r"\bpeu(?:t|vent)\b") & ~any_of(low, fr.MODAL_COMPANIONS), "MODAL_PEUT"),
-        ((req != "") & ~req.rlike(r"^\p{Lu}"), "NOISY_START"),
-        (low.rlike(r"^\s*article\s+\d+\s*\(nouveau\)"), "NOISY_START"),
+        (w("cited") < snippet[0], "SHORT_SNIPPET"),
+        (w("cited") > snippet[1], "SNIPPET_TOO_LONG"),
+        (w("modal"), "MODAL_PEUT"),
+        (w("noisy"), "NOISY_START"),
         (missing("GRANULARITY"), "FUSED_ACTION_CHAIN"),
         (missing("CONDITION") | missing("EXCEPTION") | missing("SCOPE") | missing("TAIL"), "MISSING_COMPONENT"),
         ((a("grounding_verdict") != "PASS") | (a("grounding") < grounding), "GROUNDING_TOO_WEAK"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import articles, citations, grouping, rewriting, segment
 from ..registry import query, table
-from .postcall import assessed
+from .postcall import stated
 from .texts import LINES_SQL, lines
 
 
@@ -144,14 +144,14 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
 @query("statement_citations")
 def statement_citations(spark: SparkSession, d: str) -> DataFrame:
     """CF3: statements cited from their source and chunk."""
-    x = assessed(spark, d).groupBy("requirement", "snippet", "chunk").agg(F.sum("n").alias("n"))
+    x = stated(spark, d).groupBy("requirement", "snippet", "chunk").agg(F.sum("n").alias("n"))
     return citations.best_citation(x).groupBy("citation", "citation_score").agg(F.sum("n").alias("n"))
 
 
 @query("chained_statements")
 def chained_statements(spark: SparkSession, d: str) -> DataFrame:
     """CF4: the actions of a statement under one subject, each a statement (checked on each kind of chain)."""
-    x = assessed(spark, d).groupBy("requirement").agg(F.sum("n").alias("n"))
+    x = stated(spark, d).groupBy("requirement").agg(F.sum("n").alias("n"))
     x = x.select("n", F.posexplode_outer(citations.chained_actions(F.col("requirement"))).alias("place", "statement"))
     return x.groupBy("place", "statement").agg(F.sum("n").alias("n")).filter("statement IS NOT NULL")
 
@@ -159,7 +159,7 @@ def chained_statements(spark: SparkSession, d: str) -> DataFrame:
 @query("unit_fallbacks")
 def unit_fallbacks(spark: SparkSession, d: str) -> DataFrame:
     """CF5: what units without extracted statements fall back to, by cue: a norm that was left out, a supervisor that no statement names."""
-    x = assessed(spark, d).groupBy(F.concat("requirement", F.lit(" "), "snippet").alias("unit"), F.array("chunk").alias("existing")).agg(F.sum("n").alias("n"))
+    x = stated(spark, d).groupBy(F.concat("requirement", F.lit(" "), "snippet").alias("unit"), F.array("chunk").alias("existing")).agg(F.sum("n").alias("n"))
     empty, missed = citations.empty_fallback(x.groupBy("unit").agg(F.sum("n").alias("n"))), citations.supervision_fallback(x)
     both = empty.select(F.lit("EMPTY").alias("cue"), "fallback_text", "fallback_type", "n").unionByName(missed.select(F.lit("SUPERVISION").alias("cue"), "fallback_text", "fallback_type", "n"))
     return both.groupBy("cue", "fallback_type", "fallback_text").agg(F.sum("n").alias("n"))
@@ -181,6 +181,6 @@ def structure_review(spark: SparkSession, d: str) -> DataFrame:
 @query("split_statements")
 def split_statements(spark: SparkSession, d: str) -> DataFrame:
     """CF4: statements with several obligations, one row for each obligation, by the rule that split them (checked on each rule)."""
-    x = assessed(spark, d).groupBy("requirement", "kind").agg(F.sum("n").alias("n"))
+    x = stated(spark, d).groupBy("requirement", "kind").agg(F.sum("n").alias("n"))
     p = rewriting.split_statements(x).select("n", F.explode_outer("parts").alias("p"))
     return p.groupBy("p.rule", F.col("p.text").alias("statement")).agg(F.sum("n").alias("n")).filter("rule IS NOT NULL")

@@ -37,3 +37,15 @@ def test_issues_of_acts_are_split_once(spark):
     plan = requirements.act_blocks(spark, D)._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("ArrowEvalPython") :]
     assert "Aggregate" in below
+
+
+def test_judged_reads_texts_once_and_tells_calls_apart(spark):
+    names = ["requirement", "kind", "snippet", "chunk", "confidence", "status", "strength", "n"]
+    got, want = postcall.judged(spark, D, pc.with_wording), pc.assess(postcall.assessed(spark, D))
+    assert got.drop("wording").select(*names, "a").exceptAll(want.select(*names, "a")).isEmpty()
+    assert got.agg(F.sum("n")).first()[0] == _lines(spark)
+
+
+def test_texts_of_fallbacks_are_counted_without_calls(spark):
+    x = postcall.stated(spark, D)
+    assert x.columns == ["requirement", "kind", "snippet", "chunk", "n"] and x.agg(F.sum("n")).first()[0] == _lines(spark)
