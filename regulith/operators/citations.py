@@ -176,11 +176,16 @@ def _typed(df: DataFrame, text: str, source: str, model: str, out: str) -> DataF
     return x.select(*[F.col(f"`{n}`") for n in names], F.when(F.col("_kind") == "AUTRE", "OBLIGATION").otherwise(F.col("_kind")).alias(out))
 
 
+def _here(x: Column) -> Column:
+    """Not deterministic on purpose: a filter on the text stays behind it, and is not pushed below the grouping of equal units, with all its steps copied."""
+    return F.when(F.monotonically_increasing_id() >= 0, x)
+
+
 def empty_fallback(df: DataFrame, unit: str = "unit") -> DataFrame:
     """CF5: rows whose unit speaks of a norm though nothing was extracted from it, with ``fallback_text, fallback_type``: the candidate with the strongest cues, the shortest of equals."""
     names = df.columns
     own = F.regexp_replace(tx.spaces(tx.sanitize(unit)), rr.HEADER, "")
-    x = df.withColumn("_source", tx.ocr_repaired(tx.spaces(own))).filter((F.length("_source") >= fr.FALLBACK_LEAST) & F.col("_source").rlike(fr.FALLBACK_TRIGGER))
+    x = df.withColumn("_source", _here(tx.ocr_repaired(tx.spaces(own)))).filter((F.length("_source") >= fr.FALLBACK_LEAST) & F.col("_source").rlike(fr.FALLBACK_TRIGGER))
     x = with_candidates(x.withColumn("_clean", cleaned("_source")), "_clean", "_cands")
     x = x.withColumn("_kept", F.filter(F.transform("_cands", lambda t: _edged(tx.ocr_repaired(without_leading(t)))), lambda t: (F.length(t) >= fr.CANDIDATE_LEAST) & t.rlike(fr.FALLBACK_TRIGGER)))
     x = x.withColumn("_kept", F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.array("_source")))
@@ -193,13 +198,17 @@ def empty_fallback(df: DataFrame, unit: str = "unit") -> DataFrame:
     return x.select(*[F.col(f"`{n}`") for n in names], "fallback_text", "fallback_type")
 
 
+def covered(existing: Column) -> Column:
+    """Whether a statement of an array says who supervises."""
+    return F.exists(F.coalesce(existing, F.array().cast("array<string>")), lambda t: F.coalesce(t.rlike(fr.SUPERVISION), F.lit(False)))
+
+
 def supervision_fallback(df: DataFrame, unit: str = "unit", existing: str = "existing") -> DataFrame:
     """CF5: rows whose unit says who supervises though no statement of ``existing array<string>`` does, with ``fallback_text, fallback_type``: the first such sentence, or the whole where it also fixes a composition that the sentence leaves out."""
     names = df.columns
     c = F.col
-    x = df.withColumn("_source", tx.spaces(F.regexp_replace(tx.spaces(unit), rr.HEADER, "")))
-    covered = F.exists(F.coalesce(c(existing), F.array().cast("array<string>")), lambda t: F.coalesce(t.rlike(fr.SUPERVISION), F.lit(False)))
-    x = x.filter((F.length("_source") >= fr.FALLBACK_LEAST) & c("_source").rlike(fr.SUPERVISION) & ~covered)
+    x = df.withColumn("_source", _here(tx.spaces(F.regexp_replace(tx.spaces(unit), rr.HEADER, ""))))
+    x = x.filter((F.length("_source") >= fr.FALLBACK_LEAST) & c("_source").rlike(fr.SUPERVISION) & ~covered(c(existing)))
     sentences = F.transform(F.split("_source", r"(?<=[\.;!?])\s+"), lambda s: F.btrim(s, F.lit(" -")))
     first = F.get(F.filter(sentences, lambda s: (F.length(s) >= fr.SENTENCE_LEAST) & s.rlike(fr.SUPERVISION)), F.lit(0))
     ended = lambda t: F.when(t.rlike(r"[.;:]$"), t).otherwise(F.concat(t, F.lit(".")))

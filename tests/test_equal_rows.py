@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from regulith.operators import postcall as pc
-from regulith.plans import postcall, relational, requirements
+from regulith.plans import postcall, relational, requirements, segments
 
 D = "/root/testdata/sf0.001"
 
@@ -49,3 +49,9 @@ def test_judged_reads_texts_once_and_tells_calls_apart(spark):
 def test_texts_of_fallbacks_are_counted_without_calls(spark):
     x = postcall.stated(spark, D)
     assert x.columns == ["requirement", "kind", "snippet", "chunk", "n"] and x.agg(F.sum("n")).first()[0] == _lines(spark)
+
+
+def test_units_are_grouped_before_they_are_read(spark):
+    plan = segments.unit_fallbacks(spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.rindex("Aggregate") :]
+    assert "RLIKE" not in below and "regexp_replace" not in below
