@@ -8,16 +8,21 @@ unit packing are folds over one text and run as small per-row helpers inside
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import UNICODE
 
 MAX_CHUNK, OVERLAP = 1200, 180
 MIN_UNIT, MAX_UNIT = 20, 900
+SLICE = 4 << 20  # bytes of text that are split at once
 
 HEADER = r"(?:article\s+(?:premier|1er|unique|\d+)|art\.\s*\d+)"
 
@@ -134,16 +139,30 @@ def with_overlap(chunked: DataFrame, keys: list[str], size: int = OVERLAP) -> Da
     return chunked.withColumn("with_overlap", F.when(before.isNull(), F.col("chunk")).otherwise(F.concat(tail, F.lit("\n"), "chunk")))
 
 
+def slices(batches: Iterable[pa.RecordBatch], text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of about ``most`` bytes of text: what a task holds follows from its text, not from the rows of a batch."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // most
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1), b.num_rows] if b.num_rows else []
+        for i, j in zip(edges, edges[1:], strict=False):
+            yield b.slice(i, j - i)
+
+
 def units(docs: DataFrame, keys: str = "doc_id long", text: str = "text") -> DataFrame:
     """UN1: ``keys, unit_no, unit, source`` of every text."""
     names = [k.split()[0] for k in keys.split(",")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(*k, n, u, s) for *k, t in b.itertuples(index=False) for n, (u, s) in enumerate(units_of(t), 1)]
-            yield pd.DataFrame(rows, columns=[*names, "unit_no", "unit", "source"])
+    schema = f"{keys}, unit_no int, unit string, source string"
+    arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, len(names), SLICE):
+            rows = [(*k, n, u, s) for *k, t in zip(*part.to_pydict().values(), strict=True) for n, (u, s) in enumerate(units_of(t), 1)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return docs.select(*names, text).mapInPandas(run, f"{keys}, unit_no int, unit string, source string")
+    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 DATA_KINDS = (("TARIFF", "tarif|prix|montant|redevance"), ("QUOTA", "quota|nombre|postes"), ("DEADLINE", "d[ée]lai|date|jours"))
