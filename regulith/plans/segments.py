@@ -161,7 +161,7 @@ def unit_fallbacks(spark: SparkSession, d: str) -> DataFrame:
     """CF5: what units without extracted statements fall back to, by cue: a norm that was left out, a supervisor that no statement names."""
     x = stated(spark, d).groupBy(F.concat("requirement", F.lit(" "), "snippet").alias("unit"), F.array("chunk").alias("existing")).agg(F.sum("n").alias("n"))
     # units are read once each: those with a statement that does not say it, and all
-    bare = x.filter(~citations.covered(F.col("existing"))).groupBy("unit").agg(F.sum("n").alias("n")).withColumn("existing", F.array().cast("array<string>"))
+    bare = x.withColumn("covered", citations._here(citations.covered(F.col("existing")))).filter("NOT covered").groupBy("unit").agg(F.sum("n").alias("n")).withColumn("existing", F.array().cast("array<string>"))
     empty, missed = citations.empty_fallback(x.groupBy("unit").agg(F.sum("n").alias("n"))), citations.supervision_fallback(bare)
     both = empty.select(F.lit("EMPTY").alias("cue"), "fallback_text", "fallback_type", "n").unionByName(missed.select(F.lit("SUPERVISION").alias("cue"), "fallback_text", "fallback_type", "n"))
     return both.groupBy("cue", "fallback_type", "fallback_text").agg(F.sum("n").alias("n"))
