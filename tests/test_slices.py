@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from regulith.operators import segment
+from regulith.operators import grouping, segment
 
 
 def test_slices_are_bounded_and_whole():
@@ -20,3 +20,11 @@ def test_units_by_slices(spark, monkeypatch):
     want = sorted(tuple(r) for r in segment.units(df).collect())
     monkeypatch.setattr(segment, "SLICE", 150)
     assert want and sorted(tuple(r) for r in segment.units(df).collect()) == want == sorted((i, n, u, s) for i, t in rows for n, (u, s) in enumerate(segment.units_of(t), 1))
+
+
+def test_first_statements_by_few_documents(spark, monkeypatch):
+    rows = [(i, [(1, "A", f"La même phrase {i % 3}."), (2, "A", f"La même phrase {i % 3}."), (3, "B", None)] if i % 4 else []) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, items array<struct<seq:long,kind:string,text:string>>")
+    monkeypatch.setattr(grouping, "AT_ONCE", 4)
+    want = sorted((i, *x) for i, items in rows if items for x in grouping.first_of(*map(list, zip(*items, strict=True))))
+    assert want and sorted(tuple(r) for r in grouping.keep_first(df, df["items"]).collect()) == want
