@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import articles, citations, grouping, rewriting, segment
-from ..registry import query, table
+from ..registry import query, spread, table
 from .postcall import stated
 from .texts import LINES_SQL, lines
 
@@ -24,7 +24,7 @@ def headed(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose lines have article headers: every third line, with a number that falls back at every seventh."""
     ls = F.split("text", "\n")
     body = F.array_join(F.transform(ls, lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("Article "), F.when(i % 7 == 6, F.lit(1)).otherwise(i + 1).cast("string"), F.lit(" - "), x)).otherwise(x)), "\n")
-    return table(spark, d, "documents").select("doc_id", body.alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", body.alias("text"))
 
 
 ARTICLES_SQL = f"""{LINES_SQL}, h AS (SELECT doc_id, line_no, text, CASE WHEN (line_no - 1) % 3 = 0 THEN CASE WHEN (line_no - 1) % 7 = 6 THEN 1 ELSE line_no END END AS number FROM lines),
@@ -96,20 +96,20 @@ def items() -> Column:
 @query("document_dedup")
 def document_dedup(spark: SparkSession, d: str) -> DataFrame:
     """DD2, DD3, SIM7, SIM8."""
-    return grouping.keep_first(table(spark, d, "documents"), items())
+    return grouping.keep_first(spread(table(spark, d, "documents").select("doc_id", "text")), items())
 
 
 @query("candidate_groups")
 def candidate_groups(spark: SparkSession, d: str) -> DataFrame:
     """GR7."""
-    return grouping.resolve_groups(table(spark, d, "documents"), items())
+    return grouping.resolve_groups(spread(table(spark, d, "documents").select("doc_id", "text")), items())
 
 
 @query("char_ratios")
 def char_ratios(spark: SparkSession, d: str) -> DataFrame:
     """SIM4: ratio of neighbouring lines with content of a document, paired within its row."""
     lines_of = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: F.length(F.trim(t)) > 0)
-    p = table(spark, d, "documents").select("doc_id", lines_of.alias("t")).filter(F.size("t") > 1)
+    p = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", lines_of.alias("t")).filter(F.size("t") > 1)
     p = p.select("doc_id", F.posexplode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("a"), F.slice("t", 2, F.size("t") - 1).alias("b"))).alias("pair_no", "p"))
     return p.select("doc_id", "pair_no", grouping.char_ratio("p.a", "p.b").alias("ratio"))
 
@@ -124,7 +124,7 @@ def subject_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cited(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("requirement"), F.lit("").alias("snippet"), F.col("text").alias("chunk"))
+    x = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.split("text", "\n")[0].alias("requirement"), F.lit("").alias("snippet"), F.col("text").alias("chunk"))
     return citations.best_citation(x)
 
 

@@ -16,15 +16,15 @@ from ..functions import similarity as sim
 from ..functions import text as tx
 from ..operators import cascades as ca
 from ..operators.ranking import first_per
-from ..registry import query, table
+from ..registry import query, spread, table
 from ..rules import test_lexicon
 
 LINES_SQL = """lines AS (SELECT doc_id, lang, source, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS text FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS parts FROM documents))"""
 
 
-def lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of the documents as the register's texts."""
-    x = table(spark, d, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")))
+def lines(spark: SparkSession, d: str, deal=lambda x: x) -> DataFrame:
+    """Lines of the documents as the register's texts; ``deal`` is what is done with the documents before."""
+    x = deal(table(spark, d, "documents").select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")))
     return x.select("doc_id", "lang", "source", (F.col("pos") + 1).cast("long").alias("line_no"), F.col("col").alias("text"))
 
 
@@ -111,21 +111,21 @@ def ocr_scores(spark: SparkSession, d: str) -> DataFrame:
 @query("ocr_shares")
 def ocr_shares(spark: SparkSession, d: str) -> DataFrame:
     """ST5: share of suspicious tokens and the heavy flag (a part said twice is a back reference, which the oracle's engine lacks)."""
-    return table(spark, d, "documents").select("doc_id", tx.ocr_share("text").alias("share"), tx.ocr_heavy("text").alias("heavy"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", tx.ocr_share("text").alias("share"), tx.ocr_heavy("text").alias("heavy"))
 
 
 @query("sanitized_text")
 def sanitized_text(spark: SparkSession, d: str) -> DataFrame:
     """ST6 (its patterns look behind, which the oracle's engine does not)."""
     s = tx.sanitize("text")
-    return table(spark, d, "documents").select("doc_id", F.length(s).cast("long").alias("n"), F.sha2(s, 256).alias("sha"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.length(s).cast("long").alias("n"), F.sha2(s, 256).alias("sha"))
 
 
 @query("legal_normaliser")
 def legal_normaliser(spark: SparkSession, d: str) -> DataFrame:
     """ST1 with NFKC first, and its counters."""
     n = tx.legal_normal("text", compose=True)
-    return table(spark, d, "documents").select("doc_id", F.sha2(n, 256).alias("sha"), tx.legal_counts("text", compose=True).alias("c")).select("doc_id", "sha", "c.*")
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.sha2(n, 256).alias("sha"), tx.legal_counts("text", compose=True).alias("c")).select("doc_id", "sha", "c.*")
 
 
 @query("html_text", r"""SELECT page_id, length(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\n\r\f\v]+', ' ', 'g'))) AS chars FROM pages""")
@@ -272,7 +272,7 @@ def _units_sql() -> str:
 
 
 def units(spark: SparkSession, d: str) -> DataFrame:
-    return ca.classify_units(lines(spark, d), out="u", lex=test_lexicon).select("doc_id", "line_no", "lang", "source", "text", "u.priority", "u.score", "u.strong", "u.rules")
+    return ca.classify_units(lines(spark, d, spread), out="u", lex=test_lexicon).select("doc_id", "line_no", "lang", "source", "text", "u.priority", "u.score", "u.strong", "u.rules")
 
 
 @query("unit_classes", f"WITH {_units_sql()} SELECT doc_id, line_no, priority, score, strong FROM units")
@@ -620,7 +620,7 @@ def effective_dates(spark: SparkSession, d: str) -> DataFrame:
 def document_gate(spark: SparkSession, d: str) -> DataFrame:
     """DG1, DG3 with the domain's rules: policy of each document by its first line, its text, and its number of lines (checked on the golden cases)."""
     t = F.col("text")
-    g = table(spark, d, "documents").select("doc_id", ca.document_gate(F.split(t, "\n")[0], t, F.size(F.split(t, "\n"))).alias("g"))
+    g = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", ca.document_gate(F.split(t, "\n")[0], t, F.size(F.split(t, "\n"))).alias("g"))
     return g.select("doc_id", "g.policy", "g.document_type", "g.confidence", ca.limited_status(F.col("g.policy"), F.lit("DRAFT")).alias("status"))
 
 

@@ -26,5 +26,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def spread(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows dealt over all tasks by ``key``: a file, or a row group of it, is one task's otherwise, however long its texts take. The number is given so that small parts stay apart."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
