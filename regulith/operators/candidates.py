@@ -7,6 +7,8 @@ expressions, a column a step.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,22 +28,25 @@ def compatible(a: str, b: str) -> bool:
     return a == b or any(a in g and b in g for g in fr.COMPATIBLE_TYPES)
 
 
+@lru_cache(grouping.PAIRS)
+def _alike(k: str, t: str, other_kind: str, other: str, least: float) -> bool:
+    key = grouping.statement_key(t)
+    like = compatible(k, other_kind) and (grouping.prefix_duplicate(t, other) or grouping.overlap_duplicate(t, other))
+    return bool(key and key == grouping.statement_key(other)) or like or grouping.overlap(grouping.content(t), grouping.content(other)) >= least or grouping.alike(t, other, least)
+
+
 def groups_of(seqs: list[int], kinds: list[str], texts: list[str], least: float) -> list[list[int]]:
     """Members of each group, in order: the same statement, a duplicate of a compatible type, or as like as ``least`` in words or characters."""
     seen, heads, out = grouping.Seen(), [], []
     for s, k, t in sorted(zip(seqs, kinds, texts, strict=True), key=lambda x: x[0]):
         k, t = (k or "AUTRE").strip().upper() or "AUTRE", (t or "").strip()
-        key = grouping.statement_key(t)
         for g in seen.near(t, least):
-            other_key, other_kind, other = heads[g]
-            same = key and key == other_key
-            like = compatible(k, other_kind) and (grouping.prefix_duplicate(t, other) or grouping.overlap_duplicate(t, other))
-            if same or like or grouping.overlap(grouping.content(t), grouping.content(other)) >= least or grouping.alike(t, other, least):
+            if _alike(k, t, *heads[g], least):
                 out[g].append(s)
                 break
         else:
             seen.add(t)
-            heads.append((key, k, t))
+            heads.append((k, t))
             out.append([s])
     return out
 
@@ -66,6 +71,15 @@ def text_type(text: Column, otherwise: Column) -> Column:
     return ca.first_match([(pc.any_cue(text, fr.TYPE_NORMS[t]), F.lit(t)) for t in order], F.coalesce(pc.inferred_type(text), otherwise))
 
 
+def with_reading(df: DataFrame, text: str = "_text", source: str = "_source") -> DataFrame:
+    """Add ``read``: what ``resolve`` reads from a candidate's text and source: the ``typed`` by its wording, whether it is ``descriptive``, why it is ``out`` of scope. Candidates that differ in nothing else can share it."""
+    names = df.columns
+    x = pc.with_plain(df, text, source, source).withColumns({"_norms": pc.hit_names(F.col("_plain"), fr.NORMS), "_told": pc.hit_names(F.col("_plain"), fr.DESCRIPTIONS)})
+    descriptive = (F.size("_norms") == 0) & (F.col("_plain").contains("fait foi") | (F.size("_told") > 0))
+    read = F.struct(text_type(F.col("_plain"), F.lit(None).cast("string")).alias("typed"), descriptive.alias("descriptive"), pc.out_of_scope().alias("out"))
+    return x.select(*[F.col(f"`{n}`") for n in names], read.alias("read"))
+
+
 def resolve(df: DataFrame, items: str, key: str = "doc_id", least: float = 0.9) -> DataFrame:
     """A row per group of ``items array<struct<FIELDS>>`` of each row.
 
@@ -76,7 +90,8 @@ def resolve(df: DataFrame, items: str, key: str = "doc_id", least: float = 0.9)
     duplicates, conflicts and what is out of scope lower the quality; ``kept`` is
     whether the group survives. A draft with a conflict, a missing exception or
     weak grounding is held back; a strong candidate is promoted. Candidates with
-    ``error`` are no candidates; null or empty arrays give no row.
+    ``error`` are no candidates; null or empty arrays give no row. Items may bring
+    ``read`` of ``with_reading``; else it is read from each representative.
     """
     c = F.col
     x = df.select(F.col(f"`{key}`").alias(key), F.filter(F.coalesce(F.col(f"`{items}`"), F.array().cast(df.schema[items].dataType)), lambda i: ~F.coalesce(i["error"], F.lit(False))).alias("items"))
@@ -87,17 +102,20 @@ def resolve(df: DataFrame, items: str, key: str = "doc_id", least: float = 0.9)
     x = x.withColumn("base", F.array_min(F.transform(ranked, lambda r: F.struct(r["col1"], r["col2"], r["col3"], r["col4"], r["seq"].alias("seq"))))["seq"])
     x = x.withColumn("m", F.get(F.filter("members", lambda i: i["seq"] == c("base")), F.lit(0)))
     x = x.withColumns({"kinds": F.transform("members", lambda i: _kind(i["kind"])), "_kind0": _kind(c("m.kind")), "_rank0": _rank(c("m.status")), "_status0": F.upper(F.trim(F.coalesce("m.status", F.lit(""))))})
-    x = x.withColumns({"_distinct": F.array_distinct("kinds"), "_text": c("m.text"), "_source": F.coalesce("m.snippet", F.lit(""))})
-    x = pc.with_plain(x, "_text", "_source", "_source")
+    x = x.withColumn("_distinct", F.array_distinct("kinds"))
+    if "read" in df.schema[items].dataType.elementType.names:
+        x = x.withColumn("read", c("m.read"))
+    else:
+        x = with_reading(x.withColumns({"_text": c("m.text"), "_source": F.coalesce("m.snippet", F.lit(""))}))
     both = lambda a, b, g: a.isin(*g) & b.isin(*g)
     fits = lambda a, b: (a == b) | both(a, b, fr.COMPATIBLE_TYPES[0]) | both(a, b, fr.COMPATIBLE_TYPES[1])
-    x = x.withColumns({"conflict": F.exists("_distinct", lambda a: F.exists("_distinct", lambda b: ~fits(a, b))), "_seen": text_type(c("_plain"), c("_kind0"))})
+    x = x.withColumns({"conflict": F.exists("_distinct", lambda a: F.exists("_distinct", lambda b: ~fits(a, b))), "_seen": F.coalesce("read.typed", "_kind0")})
     priority = F.create_map(*[F.lit(v) for kv in fr.TYPE_PRIORITY.items() for v in kv])
     often = F.array_max(F.transform("_distinct", lambda k: F.struct(F.size(F.filter("kinds", lambda o: o == k)).alias("n"), F.coalesce(priority[k], F.lit(0)).alias("p"), k.alias("k"))))["k"]
-    x = x.withColumns({"kind": F.when(~c("conflict"), c("_kind0")).when(c("_seen") != c("_kind0"), c("_seen")).otherwise(often), "_norms": pc.hit_names(c("_plain"), fr.NORMS), "_told": pc.hit_names(c("_plain"), fr.DESCRIPTIONS), "_out": pc.out_of_scope()})
+    x = x.withColumn("kind", F.when(~c("conflict"), c("_kind0")).when(c("_seen") != c("_kind0"), c("_seen")).otherwise(often))
     down = c("conflict") & (c("_rank0") >= 3)
-    descriptive = (c("kind") == "AUTRE") & (F.size("_norms") == 0) & (c("_plain").contains("fait foi") | (F.size("_told") > 0))
-    x = x.withColumns({"_status1": F.when(down, "TO_VALIDATE").otherwise(c("_status0")), "scope": F.coalesce(c("_out"), F.when(descriptive, "OUT_OF_SCOPE_AUTRE_DESCRIPTIVE"))})
+    descriptive = (c("kind") == "AUTRE") & c("read.descriptive")
+    x = x.withColumns({"_status1": F.when(down, "TO_VALIDATE").otherwise(c("_status0")), "scope": F.coalesce(c("read.out"), F.when(descriptive, "OUT_OF_SCOPE_AUTRE_DESCRIPTIVE"))})
     values = F.create_map(*[F.lit(v) for kv in fr.GROUP_PENALTIES.items() for v in kv])
     x = x.withColumn("penalties", F.array_compact(F.array(F.when(F.size("members") > 1, "DUPLICATE_GROUP"), F.when(c("conflict"), "TYPE_CONFLICT_GROUP"), c("scope"))))
     x = x.withColumn("quality", F.round(tx.clip01(score(c("m.quality")) - F.aggregate("penalties", F.lit(0.0), lambda s, p: s + F.coalesce(values[p], F.lit(0.0)))), 4))
