@@ -60,7 +60,20 @@ def document_gate(title: Column, preview: Column, articles: Column, lex: ModuleT
     """DG1: policy of a document; the first of ten rules that matches."""
     title = _plain(title)
     both = spaces(F.concat_ws(" ", title, _plain(preview)))
-    people, acts, norms, bodies = hits(both, lex.NAMED_PERSON), hits(both, lex.INDIVIDUAL), hits(both, lex.NORMATIVE_CORE), hits(both, lex.INSTITUTIONAL)
+    return _document_rules(title, both, articles, hits(both, lex.INDIVIDUAL), hits(both, lex.NORMATIVE_CORE), lex)
+
+
+def with_document_gate(df: DataFrame, title: Column, preview: Column, articles: Column, out: str = "g", lex: ModuleType = fr) -> DataFrame:
+    """DG1: add ``document_gate``. What several rules read is a column of its own, so that it is made once for each document."""
+    names = [F.col(f"`{n}`") for n in df.columns]
+    x = df.withColumns({"_title": _plain(title), "_preview": _plain(preview), "_articles": articles})
+    x = x.select(*names, "_title", "_articles", spaces(F.concat_ws(" ", "_title", "_preview")).alias("_both"))
+    x = x.withColumns({"_acts": hits(F.col("_both"), lex.INDIVIDUAL), "_norms": hits(F.col("_both"), lex.NORMATIVE_CORE)})
+    return x.select(*names, _document_rules(*map(F.col, ("_title", "_both", "_articles", "_acts", "_norms")), lex).alias(out))
+
+
+def _document_rules(title: Column, both: Column, articles: Column, acts: Column, norms: Column, lex: ModuleType) -> Column:
+    people, bodies = hits(both, lex.NAMED_PERSON), hits(both, lex.INSTITUTIONAL)
     return first_match(
         [
             (hit(both, lex.SUMMARY_NOTICE), _decision("DROP", "SUMMARY_NOTICE", 0.99, "DOC_SUMMARY_NOTICE")),

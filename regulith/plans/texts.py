@@ -620,7 +620,7 @@ def effective_dates(spark: SparkSession, d: str) -> DataFrame:
 def document_gate(spark: SparkSession, d: str) -> DataFrame:
     """DG1, DG3 with the domain's rules: policy of each document by its first line, its text, and its number of lines (checked on the golden cases)."""
     t = F.col("text")
-    g = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", ca.document_gate(F.split(t, "\n")[0], t, F.size(F.split(t, "\n"))).alias("g"))
+    g = ca.with_document_gate(spread(table(spark, d, "documents").select("doc_id", "text")), F.split(t, "\n")[0], t, F.size(F.split(t, "\n")))
     return g.select("doc_id", "g.policy", "g.document_type", "g.confidence", ca.limited_status(F.col("g.policy"), F.lit("DRAFT")).alias("status"))
 
 

@@ -28,3 +28,17 @@ def test_likeness_is_that_of_difflib():
                 b[g.randrange(len(b))] = g.choice("xyz" + signs)
         b = "".join(b[len(b) // 2 :] + b[: len(b) // 2] if k % 5 == 0 else b)
         assert grouping._likeness(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_gate_makes_a_text_plain_once(spark):
+    plan = QUERIES["document_gate"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    # the sign that only making a text plain replaces: in the title and in the text
+    assert plan.count("Â°") == 2
+
+
+def test_letters_are_counted_where_they_are_asked_for():
+    seen = grouping.Seen()
+    for t in ("one two three four five six", "seven eight nine ten eleven twelve") * 20:
+        seen.add(t)
+    assert seen.near("one two three four five six")[0] == 0 and seen.counted == 0
+    assert len(seen.near("one two three four five six", 0.9)) == 20 and seen.counted == 40
