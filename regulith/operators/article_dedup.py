@@ -5,6 +5,8 @@ The order of a document's statements decides, so they are folded within the row.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,11 @@ LEAST = 35
 _FOLD = str.maketrans(ACCENTED, PLAIN)
 
 
+@lru_cache(grouping.TEXTS)
+def _folded(text: str) -> str:
+    return grouping.statement_key(text).translate(_FOLD)
+
+
 def kept_of(rows: list[tuple], text_key: bool = True, least: int = LEAST) -> list[tuple[int, int, str]]:
     """``seq, kept_seq, reason`` of rows ``seq, article, kind, text, snippet``, in order of ``seq``.
 
@@ -44,7 +51,7 @@ def kept_of(rows: list[tuple], text_key: bool = True, least: int = LEAST) -> lis
     for seq, article, kind, text, snippet in sorted(rows, key=lambda r: r[0]):
         kind = (kind or "").strip().upper() or "AUTRE"
         key = grouping.statement_key(text or "")
-        plain, cited = key.translate(_FOLD), grouping.statement_key(snippet or "").translate(_FOLD)
+        plain, cited = _folded(text or ""), _folded(snippet or "")
         long = len(plain) >= least
         found, reason = exact.get(("article", article, key)), "EXACT_ARTICLE"
         if found is None:
