@@ -23,6 +23,11 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 PUNCTUATION = ("‘’‚′“”„″‐‑‒–—―", "''''\"\"\"\"------")
 LIGATURES = (("œ", "oe"), ("Œ", "OE"), ("æ", "ae"), ("Æ", "AE"), ("ﬁ", "fi"), ("ﬂ", "fl"))
 
+# What Unicode calls white space; runs of blanks, and of white space, that are not one blank already, as one blank.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANKS = (r"[ \t]{2,}|\t", " ")
+WHITES = (r"(?U)\s{2,}|[\s&&[^ ]]", " ")
+
 # The common character entities.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
@@ -32,8 +37,8 @@ def _c(x: str | Column) -> Column:
 
 
 def spaces(x: str | Column) -> Column:
-    """White space runs as one blank, trimmed."""
-    return F.trim(F.regexp_replace(_c(x), r"[ \t\n\r\f\x0B]+", " "))
+    """White space runs as one blank, trimmed. Single blanks, which are most, are left as they are."""
+    return F.trim(F.regexp_replace(_c(x), r"[ \t\n\r\f\x0B]{2,}|[\t\n\r\f\x0B]", " "))
 
 
 def fold(x: str | Column) -> Column:
@@ -53,8 +58,9 @@ def _replaced(x: Column, steps: Iterable[tuple[str, str]]) -> Column:
     return x
 
 
-def _stripped(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
+def stripped(x: Column) -> Column:
+    """Without Unicode's white space at both ends."""
+    return F.btrim(x, F.lit(WHITE))
 
 
 def _plain_signs(x: str | Column, compose: bool) -> Column:
@@ -68,7 +74,7 @@ def _plain_signs(x: str | Column, compose: bool) -> Column:
 
 def legal_normal(x: str | Column, compose: bool = False) -> Column:
     """ST1: the normaliser's steps in order; ``compose`` puts NFKC first (a pandas UDF)."""
-    return _stripped(_replaced(_plain_signs(x, compose), [(p, to) for _, p, to in fr_ocr.LEGAL_STEPS]))
+    return stripped(_replaced(_plain_signs(x, compose), [(p, to) for _, p, to in fr_ocr.LEGAL_STEPS]))
 
 
 def legal_counts(x: str | Column, compose: bool = False) -> Column:
@@ -97,7 +103,7 @@ def ocr_score(x: str | Column) -> Column:
 
 def single_spaced(x: str | Column) -> Column:
     """Blanks and tabs as one blank, empty lines out, ends trimmed."""
-    return _stripped(_replaced(F.translate(_c(x), "\u00a0", " "), [(r"[ \t]+", " "), (r"\n{2,}", "\n")]))
+    return stripped(_replaced(F.replace(_c(x), F.lit("\u00a0"), F.lit(" ")), [BLANKS, (r"\n{2,}", "\n")]))
 
 
 def ocr_share(x: str | Column) -> Column:
@@ -123,7 +129,7 @@ def ocr_heavy(x: str | Column) -> Column:
 
 def ocr_repaired(x: str | Column) -> Column:
     """ST5: a line without what OCR put into it."""
-    return F.btrim(F.regexp_replace(_replaced(single_spaced(x), fr_ocr.LINE_REPAIRS), r"(?U)\s+", " "), F.lit(fr_ocr.EDGES))
+    return F.btrim(F.regexp_replace(_replaced(single_spaced(x), fr_ocr.LINE_REPAIRS), *WHITES), F.lit(fr_ocr.EDGES))
 
 
 def sanitize(x: str | Column) -> Column:
@@ -133,7 +139,7 @@ def sanitize(x: str | Column) -> Column:
     as do signatures, persons and bare names unless they hold a normative word;
     then segments of names and offices inside the rest.
     """
-    broken = F.regexp_replace(F.translate(single_spaced(x), "\n", " "), fr_ocr.HARD_BREAK, "\n")
+    broken = F.regexp_replace(F.replace(single_spaced(x), F.lit("\n"), F.lit(" ")), fr_ocr.HARD_BREAK, "\n")
     lines = F.transform(F.split(broken, r"\n+"), ocr_repaired)
 
     def stays(line: Column) -> Column:
@@ -142,7 +148,7 @@ def sanitize(x: str | Column) -> Column:
         return (line != "") & ~page & (~signed | line.rlike(fr_ocr.NORMATIVE_KEEP))
 
     out = ocr_repaired(_replaced(F.array_join(F.filter(lines, stays), " "), fr_ocr.INLINE_NOISE))
-    out = _replaced(out, [(fr_ocr.NAME_LIST, " "), (fr_ocr.SIGNED_ON, " "), (r"(?U)\s+", " ")])
+    out = _replaced(out, [(fr_ocr.NAME_LIST, " "), (fr_ocr.SIGNED_ON, " "), WHITES])
     return F.btrim(out, F.lit(fr_ocr.EDGES))
 
 

@@ -50,14 +50,14 @@ def _spans(heads: pd.Series) -> pd.Series:
     return heads.map(lambda x: None if x is None else one(x))
 
 
-def article_spans(docs: DataFrame, keys: list[str], text: str = "text", around: bool = False) -> DataFrame:
+def article_spans(docs: DataFrame, keys: list[str], text: str = "text", around: bool = False, outer: bool = False) -> DataFrame:
     """SG3, SG4: ``keys, article_no, header, number, start_char, chars, text`` of each article of a text; with ``around`` also what stands ``before`` and in and ``behind`` it, as far as the windows reach.
 
     A header is a name or a bare number at a line's start, or a name with a dash
     anywhere. Its article ends at the next header whose number is not lower (a
     number that falls back is a reference within it, and a short article of its
     own), and at an annex. What stands before the first header belongs to no
-    article. A text without headers, or null, gives no row.
+    article. A text without headers, or null, gives no row, with ``outer`` one of nulls.
     """
     d = docs.select(*keys, F.coalesce(text, F.lit("")).alias("whole")).withColumn("parts", F.split("whole", fr.BEFORE_HEADER))
     reach, beyond = WINDOWS[-1]
@@ -77,14 +77,17 @@ def article_spans(docs: DataFrame, keys: list[str], text: str = "text", around:
 
     d = d.select(*keys, F.filter(F.transform("spans", article), lambda a: a["header"] != "").alias("articles"))
     # outer: without it a test for empty arrays goes below all these steps, each copied into it
-    return d.select(*keys, F.posexplode_outer("articles").alias("article_no", "a")).filter("a IS NOT NULL").select(*keys, (F.col("article_no") + 1).alias("article_no"), "a.*")
+    a = d.select(*keys, F.posexplode_outer("articles").alias("article_no", "a"))
+    return (a if outer else a.filter("a IS NOT NULL")).select(*keys, (F.col("article_no") + 1).alias("article_no"), "a.*")
 
 
 def _normal(x: Column) -> Column:
-    out = F.translate(x, " ­￾", " ")
-    for pattern, to in ((r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"(?U)^\s+|\s+$", "")):
-        out = F.regexp_replace(out, pattern, to)
-    return out
+    # replaced one by one: texts without a sign are not copied for it
+    for a, b in (("\u00a0", " "), ("\u00ad", ""), ("\ufffe", "")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    for pattern, to in (tx.BLANKS, (r"\n{3,}", "\n\n")):
+        x = F.regexp_replace(x, pattern, to)
+    return tx.stripped(x)
 
 
 def clauses(x: str | Column) -> Column:
@@ -173,8 +176,9 @@ def _clauses_before(prefix: Column) -> Column:
     """The last clauses of a rule before a header: three at most, none behind 480 characters, no headers."""
     takes = lambda c: (c.rlike(fr.NORMATIVE) | c.rlike(fr.REPAIR)) & (F.size(F.split(c, fr.BEFORE_HEADER)) == 1) & ~c.rlike(fr.HEADER) & ~c.rlike(r"(?i)^\s*(?:art\.?\s*)?\d+\s*[-:]")
     last = F.slice(F.reverse(F.filter(clauses(prefix), takes)), 1, CLAUSES)
-    kept = F.filter(last, lambda c, i: F.aggregate(F.slice(last, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x)) < TAIL)
-    return F.array_join(F.reverse(kept), " ")
+    kept = lambda x: F.filter(x, lambda c, i: F.aggregate(F.slice(x, F.lit(1), i), F.lit(0), lambda n, y: n + F.length(y)) < TAIL)
+    # as an element, so that the clauses are read once
+    return F.get(F.transform(F.array(last), lambda x: F.array_join(F.reverse(kept(x)), " ")), F.lit(0))
 
 
 def repaired(df: DataFrame) -> DataFrame:
@@ -185,12 +189,15 @@ def repaired(df: DataFrame) -> DataFrame:
     start, up to another article's header, and trimmed.
     """
     df = df.withColumn("_base", _normal(F.col("text"))).withColumn("_code", _code(F.col("header"))).withColumn("_cut", cut_off(F.col("_base")))
+    last = F.lit("")
     best = [F.struct(_rating(F.col("_base"), F.col("_code")).alias("rating"), F.length("_base").alias("n"), F.lit(0).alias("i"), F.col("_base").alias("s"))]
     for i, (left, right) in enumerate(WINDOWS, 1):
         w = f"_w{i}"
-        raw = _normal(F.concat(F.right("before", F.lit(left)), F.substring("behind", F.lit(1), F.col("chars") + right)))
-        df = df.withColumn(w, F.when(F.col("_cut") & (F.length(raw) >= F.length("_base") + 40), raw))
-        df = pruned(df.withColumn(w, F.when(F.col(w).isNotNull(), tx.sanitize(w))), w)
+        reach = F.concat(F.right("before", F.lit(left)), F.substring("behind", F.lit(1), F.col("chars") + right))
+        # a window that reaches no further than the one before gives what that gives: the text ends there
+        df = df.withColumn(f"_reach{i}", F.when(F.col("_cut"), reach)).withColumn(w, F.when(F.col("_cut") & (F.col(f"_reach{i}") != last), _normal(F.col(f"_reach{i}"))))
+        last = F.col(f"_reach{i}")
+        df = pruned(df.withColumn(w, F.when(F.length(w) >= F.length("_base") + 40, tx.sanitize(w))), w)
         df = df.withColumn("_at", F.instr(F.lower(w), F.lower("header")))
         df = df.withColumn("_tail", F.when(F.col("_at") > 0, _clauses_before(F.right(F.substring(w, F.lit(1), F.col("_at") - 1), F.lit(PREFIX)))))
         df = df.withColumn("_rest", F.when(F.col("_at") > 0, F.substring(w, F.col("_at") + F.length("header"), F.length(w))).otherwise(F.col(w)))
@@ -206,7 +213,7 @@ def repaired(df: DataFrame) -> DataFrame:
     better = ((top["rating"] >= own["rating"] + 3) & (top["n"] >= own["n"] + 40)) | ((top["n"] >= own["n"] + 120) & (top["rating"] >= own["rating"]))
     # not deterministic on purpose: a filter on the text is not pushed below all these steps, each copied into it
     text = F.when(F.monotonically_increasing_id() >= 0, F.when(F.col("_cut") & better, top["s"]).otherwise(F.col("_base")))
-    return df.withColumn("text", text).drop("_base", "_code", "_cut", "_at", "_tail", "_rest", "_all", "_best", "_own", *[f"_w{i}" for i in range(1, len(WINDOWS) + 1)])
+    return df.withColumn("text", text).drop("_base", "_code", "_cut", "_at", "_tail", "_rest", "_all", "_best", "_own", *[f"_{x}{i}" for i in range(1, len(WINDOWS) + 1) for x in ("w", "reach")])
 
 
 def articles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,10 +223,13 @@ def articles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     fewer than ten characters is dropped. A document without any header (or only
     with such acts) is one article, ``Document``, as it is; a null text is empty.
     """
+    headed = lambda t: t.rlike(fr.HEADER) | (F.size(F.split(t, fr.BEFORE_HEADER)) > 1)
     d = docs.select(key, F.coalesce(text, F.lit("")).alias("_whole")).withColumn("_acts", acts.split_acts("_whole"))
-    d = d.withColumn("_acts", F.filter("_acts", lambda a: ~acts.individual(a["title"], a["text"]) & (F.size(F.split(a["text"], fr.BEFORE_HEADER)) + F.when(a["text"].rlike(fr.HEADER), 1).otherwise(0) > 1)))
-    whole = d.filter(F.size("_acts") == 0).select(key, F.lit("Document").alias("act_title"), F.lit(1).alias("article_no"), F.lit("Document").alias("header"), F.lit(None).cast("int").alias("number"), F.lit(0).alias("start_char"), F.col("_whole").alias("text"))
-    a = d.select(key, F.explode_outer("_acts").alias("a")).filter("a IS NOT NULL").select(key, F.col("a.title").alias("act_title"), F.col("a.start").alias("_from"), F.col("a.text").alias("_act"))
-    x = repaired(trimmed(article_spans(a, [key, "act_title", "_from"], "_act", around=True))).filter(F.length("text") >= LEAST)
-    x = x.select(key, "act_title", "article_no", "header", "number", (F.col("_from") + F.col("start_char")).alias("start_char"), "text")
-    return x.unionByName(whole)
+    d = d.withColumn("_acts", F.filter("_acts", lambda a: headed(a["text"]) & ~acts.individual(a["title"], a["text"])))
+    # documents that stay whole go along, as rows without an act: as a branch of their own they would split all texts again, before they are dealt out
+    a = d.select(key, F.when(F.size("_acts") == 0, F.col("_whole")).alias("_whole"), F.explode_outer("_acts").alias("a")).select(key, "_whole", F.col("a.title").alias("act_title"), F.col("a.start").alias("_from"), F.col("a.text").alias("_act"))
+    x = repaired(trimmed(article_spans(a, [key, "_whole", "act_title", "_from"], "_act", around=True, outer=True)))
+    x = x.filter(F.col("_whole").isNotNull() | ((F.length("text") >= LEAST) & F.col("header").isNotNull()))
+    own = lambda value, other: F.when(F.col("_whole").isNotNull(), value).otherwise(other)
+    document = F.lit("Document")
+    return x.select(key, own(document, F.col("act_title")).alias("act_title"), own(F.lit(1), F.col("article_no")).alias("article_no"), own(document, F.col("header")).alias("header"), "number", own(F.lit(0), F.col("_from") + F.col("start_char")).alias("start_char"), own(F.col("_whole"), F.col("text")).alias("text"))

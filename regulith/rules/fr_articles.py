@@ -10,8 +10,8 @@ _ARRETE = r"arr[êe]te(?:nt)?(?:\s+ce\s+qui\s+suit)?\s*[:;.]"
 
 # Where an article begins: a name or a bare number at a line's start, a name with a dash anywhere.
 HEADER = rf"(?iuU)^(?:{_NAMED}\s*\]?\s*[-:–—.]?|{_NUMBERED})"
-# The first sign is looked at before what stands behind it: few places come to the long look back.
-BEFORE_HEADER = rf"(?iuUdm)(?=[a\d])(?:(?<=^[ \t]{{0,40}}\[?[ \t]{{0,4}})(?<!\w)(?={_NAMED}|{_NUMBERED})|(?<!\w)(?={_NAMED}\s*[-:–—]))"
+# The first sign is looked at before the name, the name before what stands behind it: few places come to the long look back.
+BEFORE_HEADER = rf"(?iuUdm)(?=[a\d])(?<!\w)(?:(?={_NAMED}|{_NUMBERED})(?<=^[ \t]{{0,40}}\[?[ \t]{{0,4}})|(?={_NAMED}\s*[-:–—]))"
 ANNEX = r"(?iuUds)\n\s*(?:annexes?|tableaux?|liste)\b.*"
 
 # Where OCR lost a line feed.

@@ -34,7 +34,8 @@ LEGAL_STEPS = (
 )
 
 # Repairs of a line: pattern, replacement.
-WORD_DIGIT = rf"(?U)(?:(?<=[{_LETTER}])\d+(?=[{_LETTER}])|(?<=[{_LETTER}]{{3}})\d+\b|\b\d+(?=[{_LETTER}]{{3}}))"
+# Few places have a digit or a capital: that is looked for first.
+WORD_DIGIT = rf"(?U)(?=\d)(?:(?<=[{_LETTER}])\d+(?=[{_LETTER}])|(?<=[{_LETTER}]{{3}})\d+\b|\b\d+(?=[{_LETTER}]{{3}}))"
 DUPLICATED_TOKEN = rf"(?iuU)\b([{_LOWER}]{{4,}})\1\b"
 LEADING_NOISE = r"(?U)^[\]\[(){}:;,\.-]+\s*"
 LINE_REPAIRS = (
@@ -82,7 +83,7 @@ INLINE_NOISE = (
     (r"(?iuU)\bvu\s+(?=susvis[ée]e?\b)", " "),
     (r"(?iuUd)\b(bureau\s+d['’]ordre)\s+(?:(?!\bde\s+l['’]administration\b).){20,220}\b(de\s+l['’]administration\b)", "$1 $2"),
     (r"(?iuU)\b(prend\s+en\s+charge)\s+(?:[^.;:\n]{1,80},\s*){2,}[^.;:\n]{1,80}\s+et\s+(?=\s*int[ée]r[êe]ts?)", "$1 "),
-    (r"([a-zàâäéèêëîïôöùûüç])([A-ZÀÂÄÉÈÊËÎÏÔÖÙÛÜÇ])", "$1 $2"),
+    (r"(?=[A-ZÀÂÄÉÈÊËÎÏÔÖÙÛÜÇ])(?<=[a-zàâäéèêëîïôöùûüç])", " "),
 )
 NAME_LIST = rf"(?U)(?:\b{_NAME}(?:\s+{_NAME}){{0,2}}\b,\s*){{3,}}\b{_NAME}(?:\s+{_NAME}){{0,2}}\b"
 SIGNED_ON = rf"(?iuU)\btunis,\s*le\s+\d{{1,2}}\s+[{_LOWER}]+\s+\d{{4}}\b"
