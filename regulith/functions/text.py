@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
+from itertools import groupby
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,6 +39,11 @@ def _c(x: str | Column) -> Column:
     return F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` made once: within functions over arrays nothing else keeps what is asked for twice."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def spaces(x: str | Column) -> Column:
     """White space runs as one blank, trimmed. Single blanks, which are most, are left as they are."""
     return F.trim(F.regexp_replace(_c(x), r"[ \t\n\r\f\x0B]{2,}|[\t\n\r\f\x0B]", " "))
@@ -52,6 +60,26 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def may_match(x: Column, words: Iterable[str]) -> Column:
+    """Whether a text holds one of the words (lower case, plain letters), one of which every match of a pattern blind to case has: a search for bytes, where a pattern is tried at each sign."""
+    # letters that such patterns read as an i, s or k count as any word
+    odd = reduce(or_, (F.contains(x, F.lit(s)) for s in "İıſ\u212a"))
+    return odd | once(F.lower(x), lambda low: reduce(or_, (F.contains(low, F.lit(w)) for w in words)))
+
+
+def replaced_where(x: Column, steps: Iterable[tuple[str, str, tuple[str, ...]]]) -> Column:
+    """Patterns with replacements; neighbours that name words are tried only where the text holds one of all theirs. Replacements must not join letters, so that no word comes about meanwhile."""
+    for named, group in groupby(steps, lambda s: bool(s[2])):
+        group = list(group)
+        pairs, words = [s[:2] for s in group], sorted({w for s in group for w in s[2]})
+        x = once(x, _tried(pairs, words)) if named else _replaced(x, pairs)
+    return x
+
+
+def _tried(steps: list[tuple[str, str]], words: list[str]) -> Callable[[Column], Column]:
+    return lambda t: F.when(may_match(t, words), _replaced(t, steps)).otherwise(t)
+
+
 def _replaced(x: Column, steps: Iterable[tuple[str, str]]) -> Column:
     for pattern, to in steps:
         x = F.regexp_replace(x, pattern, to)
@@ -129,7 +157,8 @@ def ocr_heavy(x: str | Column) -> Column:
 
 def ocr_repaired(x: str | Column) -> Column:
     """ST5: a line without what OCR put into it."""
-    return F.btrim(F.regexp_replace(_replaced(single_spaced(x), fr_ocr.LINE_REPAIRS), *WHITES), F.lit(fr_ocr.EDGES))
+    joined = _replaced(single_spaced(x), fr_ocr.LINE_REPAIRS[:2])
+    return F.btrim(F.regexp_replace(replaced_where(joined, [(p, to, fr_ocr.WORDS.get(p, ())) for p, to in fr_ocr.LINE_REPAIRS[2:]]), *WHITES), F.lit(fr_ocr.EDGES))
 
 
 def sanitize(x: str | Column) -> Column:
@@ -139,7 +168,8 @@ def sanitize(x: str | Column) -> Column:
     as do signatures, persons and bare names unless they hold a normative word;
     then segments of names and offices inside the rest.
     """
-    broken = F.regexp_replace(F.replace(single_spaced(x), F.lit("\n"), F.lit(" ")), fr_ocr.HARD_BREAK, "\n")
+    where = lambda t, steps: replaced_where(t, [(p, to, fr_ocr.WORDS.get(p, ())) for p, to in steps])
+    broken = where(F.replace(single_spaced(x), F.lit("\n"), F.lit(" ")), [(fr_ocr.HARD_BREAK, "\n")])
     lines = F.transform(F.split(broken, r"\n+"), ocr_repaired)
 
     def stays(line: Column) -> Column:
@@ -147,8 +177,8 @@ def sanitize(x: str | Column) -> Column:
         signed = line.rlike(fr_ocr.SIGNATURE_LINE) | line.rlike(fr_ocr.PERSON_LINE) | line.rlike(fr_ocr.NAME_LINE)
         return (line != "") & ~page & (~signed | line.rlike(fr_ocr.NORMATIVE_KEEP))
 
-    out = ocr_repaired(_replaced(F.array_join(F.filter(lines, stays), " "), fr_ocr.INLINE_NOISE))
-    out = _replaced(out, [(fr_ocr.NAME_LIST, " "), (fr_ocr.SIGNED_ON, " "), WHITES])
+    out = ocr_repaired(where(F.array_join(F.filter(lines, stays), " "), fr_ocr.INLINE_NOISE))
+    out = where(out, [(fr_ocr.NAME_LIST, " "), (fr_ocr.SIGNED_ON, " "), WHITES])
     return F.btrim(out, F.lit(fr_ocr.EDGES))
 
 

@@ -66,8 +66,9 @@ def article_spans(docs: DataFrame, keys: list[str], text: str = "text", around:
     d = d.withColumn("spans", _spans(F.transform("heads", lambda h: F.struct(h["number"], h["length"]))))
 
     def article(span: Column, i: Column) -> Column:
-        head, end = F.get("heads", i), F.get("spans", i)["last"]
-        whole = F.regexp_replace(F.array_join(F.slice("parts", i + 1, end - i), ""), fr.ANNEX, "")
+        return tx.once(F.regexp_replace(F.array_join(F.slice("parts", i + 1, F.get("spans", i)["last"] - i), ""), fr.ANNEX, ""), lambda whole: of(span, F.get("heads", i), whole))
+
+    def of(span: Column, head: Column, whole: Column) -> Column:
         body = F.regexp_replace(F.substring(whole, F.length(F.regexp_extract(whole, fr.HEADER, 0)) + 1, F.length(whole)), r"(?U)^\s+|\s+$", "")
         near = []
         if around:
@@ -100,30 +101,31 @@ def _words(x: Column) -> Column:
 
 def until_signature(x: str | Column) -> Column:
     """SG4: a text's lines up to a signature or another act, without page headers; recalled texts (``vu``) behind the fourth line are left out."""
-    out = _normal(F.col(x) if isinstance(x, str) else x)
-    for pattern in fr.HARD_BREAKS:
-        out = F.regexp_replace(out, pattern, "\n")
+    out = tx.replaced_where(_normal(F.col(x) if isinstance(x, str) else x), [(p, "\n", w) for p, w in zip(fr.HARD_BREAKS, fr.HARD_BREAK_WORDS, strict=True)])
     lines = F.split(F.regexp_replace(out, r"\n{3,}", "\n\n"), "\n")
     marked = F.transform(lines, lambda t, i: F.struct(F.rtrim(t).alias("t"), (F.trim(t) == "") | t.rlike(fr.PAGE) | (t.rlike(fr.VISA) & (i > 3)), (i > 0) & t.rlike(fr.END)))
     marked = F.transform(marked, lambda m: F.struct(m["t"].alias("t"), m["col2"].alias("out"), (m["col3"] & ~m["col2"]).alias("end")))
-    end = F.array_position(F.transform(marked, lambda m: m["end"]), F.lit(True)).cast("int")
-    kept = F.filter(F.slice(marked, F.lit(1), F.when(end > 0, end - 1).otherwise(F.size(marked))), lambda m: ~m["out"])
+    until = lambda m, end: F.slice(m, F.lit(1), F.when(end > 0, end - 1).otherwise(F.size(m)))
+    ended = lambda m: tx.once(F.array_position(F.transform(m, lambda x: x["end"]), F.lit(True)).cast("int"), lambda end: until(m, end))
+    kept = F.filter(tx.once(marked, ended), lambda m: ~m["out"])
     return F.btrim(F.array_join(F.transform(kept, lambda m: m["t"]), "\n"), F.lit("\n "))
 
 
 def pruned(df: DataFrame, column: str) -> DataFrame:
     """SG4: ``column`` without what two acts leave in each other: bridges, clauses of the gazette, titles that share no word with the first two clauses, and scraps, unless they hold a word of a rule."""
-    compact = _normal(F.regexp_replace(F.regexp_replace(_normal(F.col(column)), fr.BRIDGE, " "), r"(?U)\s{2,}", " "))
+    compact = _normal(tx.replaced_where(_normal(F.col(column)), [(fr.BRIDGE, " ", fr.BRIDGE_WORDS), (r"(?U)\s{2,}", " ", ())]))
     df = df.withColumn("_compact", compact).withColumn("_clauses", clauses("_compact"))
-    df = df.withColumn("_anchor", _words(F.array_join(F.slice("_clauses", 1, 2), " ")))
+    # whether any clause may be one of the gazette or a title: what a clause holds, the whole holds
+    df = df.withColumn("_titles", tx.may_match(F.col("_compact"), fr.ACT_WORDS)).withColumn("_gazette", tx.may_match(F.col("_compact"), fr.GAZETTE_WORDS) | F.col("_compact").rlike(fr.NUMBERED_ISSUE))
+    df = df.withColumn("_anchor", F.when(F.col("_titles"), _words(F.array_join(F.slice("_clauses", 1, 2), " "))))
 
     def stays(c: Column, i: Column) -> Column:
-        foreign = c.rlike(fr.ACT_TITLE) & (F.size(F.array_intersect(_words(c), F.col("_anchor"))) == 0)
+        foreign = F.col("_titles") & c.rlike(fr.ACT_TITLE) & (F.size(F.array_intersect(_words(c), F.col("_anchor"))) == 0)
         # the long pattern of rules last: few clauses come to it
-        return ~(((i > 0) & (F.length(c) < 24)) | c.rlike(fr.GAZETTE) | ((i > 0) & foreign)) | c.rlike(fr.NORMATIVE)
+        return ~(((i > 0) & (F.length(c) < 24)) | (F.col("_gazette") & c.rlike(fr.GAZETTE)) | ((i > 0) & foreign)) | c.rlike(fr.NORMATIVE)
 
     kept = F.array_join(F.filter("_clauses", stays), " ")
-    return df.withColumn(column, F.when((F.size("_clauses") <= 1) | (kept == ""), F.col("_compact")).otherwise(F.trim(kept))).drop("_compact", "_clauses", "_anchor")
+    return df.withColumn(column, F.when(F.size("_clauses") <= 1, F.col("_compact")).otherwise(tx.once(kept, lambda k: F.when(k == "", F.col("_compact")).otherwise(F.trim(k))))).drop("_compact", "_clauses", "_anchor", "_titles", "_gazette")
 
 
 def longest_heading(x: str | Column) -> Column:
@@ -132,7 +134,7 @@ def longest_heading(x: str | Column) -> Column:
     stretches = F.split(F.regexp_replace(x, fr.MAJOR_HEADING, "\u0001$0"), "\u0001")
     rated = F.transform(F.slice(stretches, F.lit(2), F.greatest(F.size(stretches) - 2, F.lit(0))), lambda s, i: F.struct(F.length(F.trim(s)).alias("n"), F.regexp_count(s, F.lit(fr.NORMATIVE)).alias("rules"), (-i).alias("i"), F.trim(s).alias("s")))
     best = F.array_max(rated)
-    return F.when(best["n"] >= 180, best["s"]).otherwise(x)
+    return F.when(tx.may_match(x, fr.HEADING_WORDS) & (best["n"] >= 180), best["s"]).otherwise(x)
 
 
 def trimmed(df: DataFrame, column: str = "text") -> DataFrame:

@@ -17,6 +17,7 @@ from ..rules import fr_requirements, fr_snippets as fr
 from . import requirement_rules as rr
 
 EDGES = " ,;:-"
+LAST = 24  # signs of a candidate's end that show whether it dangles: more than the longest such word
 
 
 def _edged(x: Column) -> Column:
@@ -39,9 +40,7 @@ def without_leading(x: str | Column) -> Column:
 def cleaned(x: str | Column) -> Column:
     """A source as it is cited: overlap marks, headers and OCR noise off."""
     out = tx.ocr_repaired(without_leading(F.regexp_replace(tx.spaces(x), fr.OVERLAP_MARK, " ")))
-    for pattern, to in fr.DOUBLED:
-        out = F.regexp_replace(out, pattern, to)
-    return F.trim(F.regexp_replace(out, fr.LEADING_SIGNS, ""))
+    return F.trim(F.regexp_replace(tx.replaced_where(out, fr.DOUBLED), fr.LEADING_SIGNS, ""))
 
 
 def _distinct_statements(parts: Column) -> Column:
@@ -55,7 +54,11 @@ def _distinct_statements(parts: Column) -> Column:
 
 def chained_actions(sentence: Column) -> Column:
     """CF4: the actions that one subject has in a sentence, as statements of their own; empty where there is one only."""
-    s = _edged(sentence)
+    return tx.once(_edged(sentence), _chain)
+
+
+def _chain(s: Column) -> Column:
+    """The same of an edged sentence, which is read once."""
     group = lambda p, i: F.btrim(tx.spaces(F.regexp_extract(s, p, i)), F.lit(" .;"))
     one, two = group(fr.AUXILIARY_CHAIN, 3), group(fr.AUXILIARY_CHAIN, 5)
     say = lambda i, what: F.concat_ws(" ", group(fr.AUXILIARY_CHAIN, 1), group(fr.AUXILIARY_CHAIN, i), what)
@@ -76,16 +79,22 @@ def chained_actions(sentence: Column) -> Column:
     return F.when(s.rlike(fr.CHAIN_SIGN), _distinct_statements(F.concat(twice, modal))).otherwise(F.array().cast("array<string>"))
 
 
+def _bare(x: Column) -> Column:
+    """``_edged`` of a part of a cleaned text, whose white space is single blanks already."""
+    return F.btrim(x, F.lit(EDGES))
+
+
 def _clauses(sentence: Column) -> Column:
-    return F.flatten(F.transform(_parts(sentence, fr.CLAUSE_SPLIT), lambda p: _parts(p, fr.INLINE_SPLIT)))
+    # most sentences are one clause: a pattern is compiled anew for every text that it splits
+    split = lambda x, pattern: F.when(x.rlike(pattern), _parts(x, pattern, _bare)).otherwise(F.array(x))
+    return F.flatten(F.transform(split(sentence, fr.CLAUSE_SPLIT), lambda p: split(p, fr.INLINE_SPLIT)))
 
 
 def _intro(clause: Column) -> Column:
     """What stands before a clause's condition or exception, if it is long enough and holds a verb of a rule."""
-    at = F.regexp_instr(clause, F.lit(fr.INTRO_CUE))
-    intro = F.btrim(F.substring(clause, F.lit(1), F.greatest(at - 1, F.lit(0))), F.lit(EDGES))
-    holds = F.exists(F.array(*map(F.lit, fr.INTRO_MARKERS)), lambda m: F.contains(F.lower(intro), m))
-    return F.when((at > 0) & (F.length(intro) >= fr.INTRO_LEAST) & holds, intro).otherwise("")
+    before = lambda c: tx.once(F.regexp_instr(c, F.lit(fr.INTRO_CUE)), lambda at: F.when(at > 0, F.btrim(F.substring(c, F.lit(1), at - 1), F.lit(EDGES))).otherwise(""))
+    holds = lambda low: F.exists(F.array(*map(F.lit, fr.INTRO_MARKERS)), lambda m: F.contains(low, m))
+    return tx.once(tx.once(clause, before), lambda intro: F.when((F.length(intro) >= fr.INTRO_LEAST) & tx.once(F.lower(intro), holds), intro).otherwise(""))
 
 
 def _merged(intro: Column, clause: Column) -> Column:
@@ -96,19 +105,19 @@ def _merged(intro: Column, clause: Column) -> Column:
 def with_candidates(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out array<string>``: all candidates of a cleaned text, in the lattice's order, repeats included."""
     names = df.columns
-    x = df.withColumn("_sentences", _parts(F.col(text), fr.SENTENCE_SPLIT))
-    x = x.withColumn("_split", F.transform("_sentences", lambda s: F.struct(s.alias("s"), _clauses(s).alias("c"))))
-    x = x.withColumn("_intro", F.transform("_split", lambda p: F.struct(p["s"].alias("s"), p["c"].alias("c"), _intro(F.coalesce(F.get(p["c"], F.lit(0)), p["s"])).alias("i"))))
+    x = df.withColumn("_sentences", _parts(F.col(text), fr.SENTENCE_SPLIT, _bare))
+    x = x.withColumn("_split", F.transform("_sentences", lambda s: F.struct(s.alias("s"), _clauses(s).alias("c"), _chain(s).alias("k"))))
+    x = x.withColumn("_intro", F.transform("_split", lambda p: F.struct(p["s"].alias("s"), p["c"].alias("c"), p["k"].alias("k"), _intro(F.coalesce(F.get(p["c"], F.lit(0)), p["s"])).alias("i"))))
 
     def of_clauses(p: Column) -> Column:
         def one(clause: Column, i: Column) -> Column:
             merged = F.when((i > 0) & (p["i"] != ""), _merged(p["i"], clause))
             joined = F.when(i + 1 < F.size(p["c"]), F.concat(clause, F.lit("; "), F.get(p["c"], i + 1)))
-            return F.concat(F.array(clause), chained_actions(clause), F.array(merged, joined))
+            return F.concat(F.array(clause), F.when(clause == p["s"], p["k"]).otherwise(_chain(clause)), F.array(merged, joined))
 
         return F.flatten(F.transform(p["c"], one))
 
-    x = x.withColumn("_all", F.flatten(F.transform("_intro", lambda p: F.concat(F.array(p["s"]), chained_actions(p["s"]), of_clauses(p)))))
+    x = x.withColumn("_all", F.flatten(F.transform("_intro", lambda p: F.concat(F.array(p["s"]), p["k"], of_clauses(p)))))
     every = F.filter(F.concat(F.array(text), "_all"), lambda c: c.isNotNull() & (c != ""))
     return x.select(*[F.col(f"`{n}`") for n in names], every.alias(out))
 
@@ -151,16 +160,20 @@ def best_citation(df: DataFrame, requirement: str = "requirement", source: str =
     x = with_candidates(with_candidates(x, "_src", "_of_src"), "_chunk", "_of_chunk")
     x = x.withColumns({"_want": words(c("_req")), "_long": F.length("_req"), "_need": _holds(F.lower("_req"), fr.CONDITION_CUES), "_cands": F.array_distinct(F.transform(F.concat("_of_src", "_of_chunk"), tx.spaces))})
 
-    def score(text: Column) -> Column:
-        t, low = _edged(text), F.lower(_edged(text))
-        ratio = F.length(t) / F.greatest(c("_long"), F.lit(1))
+    def score(e: Column) -> Column:
+        ratio = e["n"] / F.greatest(c("_long"), F.lit(1))
         sized = F.when(c("_long") >= 40, F.when(ratio > 1.8, -0.05).otherwise(0.0) + F.when(ratio > 2.4, -0.08).otherwise(0.0) + F.when(ratio < 0.35, -0.04).otherwise(0.0)).otherwise(0.0)
-        shared = F.when(F.size("_want") > 0, F.size(F.array_intersect(c("_want"), words(t))) / F.size("_want")).otherwise(0.0)
-        s = shared + F.when(c("_need") & _holds(low, fr.CONDITION_CUES), 0.12).otherwise(0.0) + F.when(_holds(low, fr.NORM_CUES), 0.04).otherwise(0.0) + sized
-        s = s - F.when(t.rlike(fr.DANGLING_END), 0.12).otherwise(0.0) - F.when(F.length(t) > fr.MOST, 0.03).otherwise(0.0)
-        return F.when(F.length(t) < 15, -1.0).otherwise(F.round(s, 4))
-
-    x = x.withColumn("_rated", F.transform("_cands", lambda t, i: F.struct((-score(t)).alias("s"), F.length(t).alias("n"), i.alias("i"), t.alias("t"))))
+        # the requirement's words hold no stop word, and each once: the candidate's need not be sifted
+        found = F.array_intersect(c("_want"), F.regexp_extract_all(e["low"], F.lit(fr.TOKEN), F.lit(0)))
+        shared = F.when(F.size("_want") > 0, F.size(found) / F.size("_want")).otherwise(0.0)
+        s = shared + F.when(c("_need") & _holds(e["low"], fr.CONDITION_CUES), 0.12).otherwise(0.0) + F.when(_holds(e["low"], fr.NORM_CUES), 0.04).otherwise(0.0) + sized
+        s = s - F.when(e["end"].rlike(fr.DANGLING_END), 0.12).otherwise(0.0) - F.when(e["n"] > fr.MOST, 0.03).otherwise(0.0)
+        return F.when(e["n"] < 15, -1.0).otherwise(F.round(s, 4))
+
+    # candidates are spaced already; what the score asks for is made once
+    read = lambda t: F.struct(F.length(t).alias("n"), F.lower(t).alias("low"), F.right(t, F.lit(LAST)).alias("end"))
+    rated = lambda t: tx.once(tx.once(_bare(t), read), score)
+    x = x.withColumn("_rated", F.transform("_cands", lambda t, i: F.struct((-rated(t)).alias("s"), F.length(t).alias("n"), i.alias("i"), t.alias("t"))))
     x = x.withColumn("_best", F.array_min("_rated"))
     back = F.when(c("_src") != "", c("_src")).otherwise(c("_chunk"))
     x = x.withColumn("_chosen", F.when(-c("_best.s") >= fr.LEAST, c("_best.t")).otherwise(back))

@@ -22,6 +22,9 @@ HARD_BREAKS = (
     rf"(?iuU)(?<=[\n.;:])\s+(?=tunis,\s*le\b|le\s+ministre\b|la\s+ministre\b|la\s+cheffe\s+du\s+gouvernement\b|vu\b|{_ARRETE})",
 )
 
+# Words one of which every match of these holds, in lower case and plain letters; none known: always tried.
+HARD_BREAK_WORDS = (("article",), ("art",), (), ("tunis", "ministre", "cheffe", "vu", "arr"))
+
 # Lines that end an article, lines of the page, and those that only recall other texts.
 PAGE = r"(?iuUd)^\s*(?:n[°o]\s*\d+\b|page\s+\d+\b).*journal\s+officiel"
 VISA = r"(?iuU)^\s*vu\b"
@@ -46,6 +49,8 @@ ACT_TITLE = (
     r"(?:n[°o]\s*\d+|du\s+\d{1,2}\s+[a-zàâäéèêëîïôöùûüç]+\s+\d{4}|pr[ée]sidentiel|gouvernemental|organique|constitutionnelle)\b"
 )
 GAZETTE = r"(?iuU)\b(?:journal\s+officiel|tunis,\s*le|le\s+ministre\b|la\s+ministre\b|la\s+cheffe\s+du\s+gouvernement\b|n[°o]\s*\d+\b|page\s+\d+\b)\b"
+BRIDGE_WORDS, ACT_WORDS, GAZETTE_WORDS, HEADING_WORDS = ("par",), ("arr", "cret", "loi", "cision", "circulaire", "convention", "glement"), ("journal", "tunis", "ministre", "cheffe", "page"), ("livre", "titre", "chapitre", "section")
+NUMBERED_ISSUE = r"(?iuU)n[°o]\s*\d"  # what a clause of the gazette without such a word has
 WORD = r"(?i)[a-zàâäéèêëîïôöùûüç0-9]{4,}"
 COMMON_WORDS = ("article", "articles", "present", "presente", "presentes", "presents", "arrete", "decret", "loi", "decision", "circulaire", "convention", "reglement", "sont", "etre", "dans", "avec", "pour")
 MAJOR_HEADING = r"(?iuU)\b(?:livre|titre|chapitre|section|sous[-\s]section)\b[^\n]{0,180}"

@@ -88,3 +88,13 @@ INLINE_NOISE = (
 NAME_LIST = rf"(?U)(?:\b{_NAME}(?:\s+{_NAME}){{0,2}}\b,\s*){{3,}}\b{_NAME}(?:\s+{_NAME}){{0,2}}\b"
 SIGNED_ON = rf"(?iuU)\btunis,\s*le\s+\d{{1,2}}\s+[{_LOWER}]+\s+\d{{4}}\b"
 EDGES = " ,;:-"
+
+# Words one of which every match of a pattern holds, in lower case and plain letters.
+WORDS = {
+    DUPLICATE_MODAL: ("doit",),
+    INLINE_HEADING: ("chapitre", "section", "titre", "livre"),
+    FUSED_MODAL: ("tenu", "doit", "interdit", "peut", "peuvent", "communiqu", "transmet", "adress"),
+    HARD_BREAK: ("art", "tunis", "ministre", "cheffe", "monsieur", "madame", "journal"),
+    **dict(zip((p for p, _ in INLINE_NOISE), (("ministre",), ("cheffe",), ("monsieur", "madame", "mme", "m."), ("par",), ("campagne",), ("susvis",), ("bureau",), ("prend",)))),
+    SIGNED_ON: ("tunis",),
+}

@@ -4,7 +4,7 @@ Java flags: i any case, u and U Unicode letters and boundaries.
 """
 
 OVERLAP_MARK = r"\[\s*\.\.\.\s*\]"
-DOUBLED = ((r"(?iuU)\bil\s+il\b", "il"), (r"(?iuU)\belle\s+elle\b", "elle"))
+DOUBLED = ((r"(?iuU)\bil\s+il\b", "il", ("il il",)), (r"(?iuU)\belle\s+elle\b", "elle", ("elle elle",)))  # and what every match in a text of single blanks holds
 LEADING_SIGNS = r"^[\]\[(){}:;,\.-]+\s*"
 SENTENCE_SPLIT = r"(?U)(?<=[\.;:])\s+|\n+"
 CLAUSE_SPLIT = (

@@ -1,11 +1,13 @@
 """What a text gives is made once, however often it is asked for."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from regulith.functions import text as tx
-from regulith.operators import acts, articles
+from regulith.operators import acts, articles, citations
 from regulith.plans import segments
-from regulith.rules import fr_articles, fr_ocr
+from regulith.rules import fr_articles, fr_ocr, fr_snippets
 
 D = "/root/testdata/sf0.001"
 
@@ -48,3 +50,41 @@ def test_windows_that_reach_no_further_are_read_once(spark):
     rows = [("Article 5 -", len(head), "Vu le code. ", b, head) for b in (head + rest, far)]
     got = [r.text for r in articles.repaired(spark.createDataFrame(rows, "header string, chars int, before string, behind string, text string")).collect()]
     assert got[0].endswith("ses droits.") and len(got[1]) > len(got[0]) and fr_articles.NORMATIVE
+
+
+def test_candidates_are_read_once(spark):
+    x = spark.createDataFrame([("a", "b", "c")], "requirement string, snippet string, chunk string")
+    plan = citations.best_citation(x)._jdf.queryExecution().optimizedPlan().toString()
+    rated = next(p for p in plan.split("\n") if "_best" in p and "INSET" not in p and "array_intersect" in p)
+    # the candidate's words, cues of conditions and of norms are looked for in one lower case
+    assert rated.count("lower(") == 1 and "regexp_replace" not in rated
+
+
+SAID = ["le ministre", "La Cheffe du gouvernement", "Monsieur Salah Ben", "m. Ali Ben", "par les Ali Ben articles", "crédits Ali Ben de campagne", "vu susvisée", "prend en charge a, b, c et intérêts", "do doit", "a chapitre iv - a", "xest tenu de", "mdoit", "finterdit", "apeuvent", "xcommuniqué", "ntransmet", "dadresse", "Tunis, le 3 mai 2020", "Article 3 -", "art. 4 -", "n° 5 journal officiel", "il il", "elle elle", "titre ii", "sous-section 1", "arrêté n° 3", "Décision n° 4", "règlement organique", "vu", "arrête :", "par décret du jour. ", "page 3", "no 7", "bureau d'ordre du quai, du port et du marché de l'administration", "mot", ". ", "; "]
+
+
+def test_words_that_matches_hold(spark):
+    g = random.Random(5)
+    odd = str.maketrans({"i": "ı", "s": "ſ", "k": "K", "I": "İ"})
+    bend = lambda t: g.choice((t, t.upper(), t.title(), t.translate(odd), t.upper().translate(odd)))
+    texts = [bend(t) for t in SAID for _ in range(6)] + [" ".join(bend(g.choice(SAID)) for _ in range(g.randrange(1, 7))) for _ in range(600)]
+    known = [*fr_ocr.WORDS.items(), *((p, w) for p, _, w in fr_snippets.DOUBLED), *((p, w) for p, w in zip(fr_articles.HARD_BREAKS, fr_articles.HARD_BREAK_WORDS, strict=True) if w)]
+    known += [(fr_articles.BRIDGE, fr_articles.BRIDGE_WORDS), (fr_articles.ACT_TITLE, fr_articles.ACT_WORDS), (fr_articles.MAJOR_HEADING, fr_articles.HEADING_WORDS)]
+    x = spark.createDataFrame([(t,) for t in texts], "t string")
+    cols = [F.struct(F.col("t").rlike(p).alias("m"), tx.may_match(F.col("t"), w).alias("w")).alias(f"p{i}") for i, (p, w) in enumerate(known)]
+    issue = F.struct(F.col("t").rlike(fr_articles.GAZETTE).alias("m"), (tx.may_match(F.col("t"), fr_articles.GAZETTE_WORDS) | F.col("t").rlike(fr_articles.NUMBERED_ISSUE)).alias("w")).alias("p")
+    rows = x.select(*cols, issue).collect()
+    for i, (p, _) in enumerate([*known, (fr_articles.GAZETTE, ())]):
+        assert any(r[i].m for r in rows), p
+        assert all(r[i].w for r in rows if r[i].m), p
+    assert not all(c.w for r in rows for c in r)
+
+
+def test_sanitised_as_with_every_pattern_tried(spark, monkeypatch):
+    g = random.Random(6)
+    texts = [" ".join(g.choice(SAID) if g.random() < 0.2 else g.choice(("mot1", "le quai", "Ali", "aB", "doitdoit", "\n", "x2y", "dmi1nistre")) for _ in range(g.randrange(1, 30))) for _ in range(300)]
+    x = spark.createDataFrame([(t,) for t in texts], "t string")
+    made = lambda: x.select(tx.sanitize("t").alias("s"), citations.cleaned("t").alias("c"), articles.until_signature("t").alias("u"))
+    got = [tuple(r) for r in made().collect()]
+    monkeypatch.setattr(tx, "may_match", lambda x, words: F.lit(True))
+    assert got == [tuple(r) for r in made().collect()]
