@@ -49,6 +49,12 @@ def spaces(x: str | Column) -> Column:
     return F.trim(F.regexp_replace(_c(x), r"[ \t\n\r\f\x0B]{2,}|[\t\n\r\f\x0B]", " "))
 
 
+def respaced(x: Column) -> Column:
+    """``spaces`` of a text that mostly is spaced already: that is looked for first."""
+    uneven = lambda t: reduce(or_, (F.contains(t, F.lit(s)) for s in ("  ", *"\t\n\r\f\x0B")))
+    return once(x, lambda t: F.when(uneven(t), spaces(t)).otherwise(F.trim(t)))
+
+
 def fold(x: str | Column) -> Column:
     """ST2, ST4: lower case, accents off, one blank."""
     return spaces(F.translate(F.lower(_c(x)), ACCENTED, PLAIN))
@@ -157,7 +163,10 @@ def ocr_heavy(x: str | Column) -> Column:
 
 def ocr_repaired(x: str | Column) -> Column:
     """ST5: a line without what OCR put into it."""
-    joined = _replaced(single_spaced(x), fr_ocr.LINE_REPAIRS[:2])
+    # blanks are evened out where there are two, or a tab or line feed
+    uneven = lambda t: reduce(or_, (F.contains(t, F.lit(s)) for s in ("  ", *"\t\n\u00a0")))
+    spaced = once(_c(x), lambda t: F.when(uneven(t), single_spaced(t)).otherwise(stripped(t)))
+    joined = _replaced(spaced, fr_ocr.LINE_REPAIRS[:2])
     return F.btrim(F.regexp_replace(replaced_where(joined, [(p, to, fr_ocr.WORDS.get(p, ())) for p, to in fr_ocr.LINE_REPAIRS[2:]]), *WHITES), F.lit(fr_ocr.EDGES))
 
 

@@ -30,11 +30,12 @@ def _parts(x: Column, pattern: str, clean=_edged) -> Column:
 
 def without_leading(x: str | Column) -> Column:
     """A statement without page, gazette and article headers in front."""
-    out = tx.spaces(x)
+    out = tx.respaced(tx._c(x))
     for _ in range(3):
         for pattern in fr_requirements.LEADING:
             out = F.regexp_replace(out, pattern, "")
-    return tx.spaces(out)
+    # what goes stands in front: the rest is spaced already
+    return F.trim(out)
 
 
 def cleaned(x: str | Column) -> Column:
@@ -54,11 +55,16 @@ def _distinct_statements(parts: Column) -> Column:
 
 def chained_actions(sentence: Column) -> Column:
     """CF4: the actions that one subject has in a sentence, as statements of their own; empty where there is one only."""
-    return tx.once(_edged(sentence), _chain)
+    return tx.once(_edged(sentence), lambda s: _chain(s))
 
 
-def _chain(s: Column) -> Column:
-    """The same of an edged sentence, which is read once."""
+def _may_chain(text: Column) -> Column:
+    """Whether any sentence of a text may have a chain."""
+    return tx.may_match(text, fr.CHAIN_WORDS) | text.rlike(fr.AUXILIARY_SIGN)
+
+
+def _chain(s: Column, may: Column | None = None) -> Column:
+    """The same of an edged sentence, which is read once; ``may`` be told for its whole text."""
     group = lambda p, i: F.btrim(tx.spaces(F.regexp_extract(s, p, i)), F.lit(" .;"))
     one, two = group(fr.AUXILIARY_CHAIN, 3), group(fr.AUXILIARY_CHAIN, 5)
     say = lambda i, what: F.concat_ws(" ", group(fr.AUXILIARY_CHAIN, 1), group(fr.AUXILIARY_CHAIN, i), what)
@@ -76,7 +82,7 @@ def _chain(s: Column) -> Column:
 
     modal = F.when(s.rlike(fr.MODAL_CHAIN), F.transform(parts, rebuilt)).otherwise(F.array().cast("array<string>"))
     # most sentences have no chain: look before taking them apart
-    return F.when(s.rlike(fr.CHAIN_SIGN), _distinct_statements(F.concat(twice, modal))).otherwise(F.array().cast("array<string>"))
+    return F.when(s.rlike(fr.CHAIN_SIGN) if may is None else may & s.rlike(fr.CHAIN_SIGN), _distinct_statements(F.concat(twice, modal))).otherwise(F.array().cast("array<string>"))
 
 
 def _bare(x: Column) -> Column:
@@ -105,15 +111,16 @@ def _merged(intro: Column, clause: Column) -> Column:
 def with_candidates(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out array<string>``: all candidates of a cleaned text, in the lattice's order, repeats included."""
     names = df.columns
-    x = df.withColumn("_sentences", _parts(F.col(text), fr.SENTENCE_SPLIT, _bare))
-    x = x.withColumn("_split", F.transform("_sentences", lambda s: F.struct(s.alias("s"), _clauses(s).alias("c"), _chain(s).alias("k"))))
+    x = df.withColumns({"_sentences": _parts(F.col(text), fr.SENTENCE_SPLIT, _bare), "_may": _may_chain(F.col(text))})
+    may = F.col("_may")
+    x = x.withColumn("_split", F.transform("_sentences", lambda s: F.struct(s.alias("s"), _clauses(s).alias("c"), _chain(s, may).alias("k"))))
     x = x.withColumn("_intro", F.transform("_split", lambda p: F.struct(p["s"].alias("s"), p["c"].alias("c"), p["k"].alias("k"), _intro(F.coalesce(F.get(p["c"], F.lit(0)), p["s"])).alias("i"))))
 
     def of_clauses(p: Column) -> Column:
         def one(clause: Column, i: Column) -> Column:
             merged = F.when((i > 0) & (p["i"] != ""), _merged(p["i"], clause))
             joined = F.when(i + 1 < F.size(p["c"]), F.concat(clause, F.lit("; "), F.get(p["c"], i + 1)))
-            return F.concat(F.array(clause), F.when(clause == p["s"], p["k"]).otherwise(_chain(clause)), F.array(merged, joined))
+            return F.concat(F.array(clause), F.when(clause == p["s"], p["k"]).otherwise(_chain(clause, may)), F.array(merged, joined))
 
         return F.flatten(F.transform(p["c"], one))
 
@@ -158,7 +165,9 @@ def best_citation(df: DataFrame, requirement: str = "requirement", source: str =
     c = F.col
     x = df.withColumns({"_req": without_leading(requirement), "_src": cleaned(source), "_chunk": cleaned(chunk)})
     x = with_candidates(with_candidates(x, "_src", "_of_src"), "_chunk", "_of_chunk")
-    x = x.withColumns({"_want": words(c("_req")), "_long": F.length("_req"), "_need": _holds(F.lower("_req"), fr.CONDITION_CUES), "_cands": F.array_distinct(F.transform(F.concat("_of_src", "_of_chunk"), tx.spaces))})
+    x = x.withColumns({"_want": words(c("_req")), "_long": F.length("_req"), "_need": _holds(F.lower("_req"), fr.CONDITION_CUES), "_cands": F.array_distinct(F.transform(F.concat("_of_src", "_of_chunk"), tx.respaced))})
+    # parts are joined by signs that no cue's word holds: what no source holds, no candidate does
+    x = x.withColumns({"_needs": c("_need") & (tx.may_match(c("_src"), fr.CONDITION_WORDS) | tx.may_match(c("_chunk"), fr.CONDITION_WORDS)), "_norms": tx.may_match(c("_src"), fr.NORM_WORDS) | tx.may_match(c("_chunk"), fr.NORM_WORDS)})
 
     def score(e: Column) -> Column:
         ratio = e["n"] / F.greatest(c("_long"), F.lit(1))
@@ -166,7 +175,7 @@ def best_citation(df: DataFrame, requirement: str = "requirement", source: str =
         # the requirement's words hold no stop word, and each once: the candidate's need not be sifted
         found = F.array_intersect(c("_want"), F.regexp_extract_all(e["low"], F.lit(fr.TOKEN), F.lit(0)))
         shared = F.when(F.size("_want") > 0, F.size(found) / F.size("_want")).otherwise(0.0)
-        s = shared + F.when(c("_need") & _holds(e["low"], fr.CONDITION_CUES), 0.12).otherwise(0.0) + F.when(_holds(e["low"], fr.NORM_CUES), 0.04).otherwise(0.0) + sized
+        s = shared + F.when(c("_needs") & _holds(e["low"], fr.CONDITION_CUES), 0.12).otherwise(0.0) + F.when(c("_norms") & _holds(e["low"], fr.NORM_CUES), 0.04).otherwise(0.0) + sized
         s = s - F.when(e["end"].rlike(fr.DANGLING_END), 0.12).otherwise(0.0) - F.when(e["n"] > fr.MOST, 0.03).otherwise(0.0)
         return F.when(e["n"] < 15, -1.0).otherwise(F.round(s, 4))
 

@@ -19,6 +19,9 @@ INTRO_LEAST = 18
 DANGLING_END = r"(?iuU)\b(?:contre|par|pour|de|du|des|d['’]|au|aux|a|à|sur|sous|dans|avec|et|ou)$"
 CONDITION_CUES = ("à condition", "a condition", "sous réserve", "sous reserve", "sauf", "en cas de", "lorsque", "si ")
 NORM_CUES = ("doit", "doivent", "interdit", "sauf", "lorsque", "en cas de")
+# Of each cue a word.
+CONDITION_WORDS = ("condition", "serve", "sauf", "cas", "lorsque", "si")
+NORM_WORDS = ("doit", "doivent", "interdit", "sauf", "lorsque", "cas")
 TOKEN = r"[a-zàâäéèêëîïôöùûüç0-9]{3,}"
 STOP = ("les", "des", "dans", "avec", "pour", "sur", "par", "une", "du", "de", "la", "le", "au", "aux", "est", "sont", "etre", "été", "ete", "qui", "que", "dont", "ainsi", "tout", "toute", "tous", "toutes", "present", "présent", "presente", "présente", "article", "articles", "loi", "decret", "arrête", "arrete")
 LEAST, MOST, WIDEST = 0.18, 280, 420
@@ -30,6 +33,9 @@ MODAL = rf"(?iuU)\b{_MODAL}\b"
 AUXILIARY_CHAIN = r"(?iuU)^(.+?)\s+(est|sont)\s+(.+?)\s+\bet\s+(est|sont)\s+(.+)$"
 MODAL_CHAIN = rf"(?iuU)^(.+?{_MODAL})\s+(.+)$"
 CHAIN_SIGN = rf"(?iuU)\bet\s+(?:est|sont)\s|\b{_MODAL}\s"
+# What every sign of a chain holds: a word of a modal, or the auxiliary.
+CHAIN_WORDS = ("doit", "doivent", "peut", "peuvent", "tenu", "habilit", "charg")
+AUXILIARY_SIGN = r"(?iuU)\bet\s+(?:est|sont)\s"
 LIST_SPLIT = r"(?U)\s*;\s*|\s*(?:\n|•)\s*"
 AND_SPLIT = rf"(?iuU)\s+\bet\s+(?=(?:[àa]\s+|de\s+)?{_INFINITIVE})"
 COMMA_SPLIT = r"(?iuU)\s*,\s*(?=(?:[àa]\s+|de\s+)?(?:etre|être|[a-zàâäéèêëîïôöùûüç'-]{3,}(?:er|ir|re|oir))\b)"

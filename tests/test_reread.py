@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from regulith.functions import text as tx
-from regulith.operators import acts, articles, citations
+from regulith.operators import acts, articles, citations, grouping
 from regulith.plans import segments
 from regulith.rules import fr_articles, fr_ocr, fr_snippets
 
@@ -88,3 +88,31 @@ def test_sanitised_as_with_every_pattern_tried(spark, monkeypatch):
     got = [tuple(r) for r in made().collect()]
     monkeypatch.setattr(tx, "may_match", lambda x, words: F.lit(True))
     assert got == [tuple(r) for r in made().collect()]
+
+
+def test_texts_spaced_already_are_left(spark):
+    texts = ["", " ", "a", " a b ", "a  b", "a\tb", "a\nb", "a\r\nb ", "\x0ba", "a\fb", "a b", "x1 y  ,"]
+    x = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    rows = x.select(tx.respaced(F.col("t")).alias("a"), tx.spaces("t").alias("b"), tx.ocr_repaired("t").alias("c"), tx.ocr_repaired(tx.single_spaced("t")).alias("d")).collect()
+    assert all(r.a == (r.b if i < len(texts) else None) and r.c == r.d for i, r in enumerate(rows))
+
+
+def test_cues_and_chains_where_a_source_may_hold_them(spark, monkeypatch):
+    g = random.Random(8)
+    bits = [*SAID, "sauf", "si le vent tombe", "lorsque", "en cas", "de", "sous réserve", "à condition", "doit fermer", "et est séché", "et ouvrir", "est habilité à", "le quai du port,", ". ", "; "]
+    say = lambda n: " ".join(g.choices(bits, k=n))
+    x = spark.createDataFrame([(say(4), say(g.randrange(0, 8)), say(g.randrange(0, 16))) for _ in range(200)], "requirement string, snippet string, chunk string")
+    got = [tuple(r) for r in citations.best_citation(x).collect()]
+    monkeypatch.setattr(tx, "may_match", lambda x, words: F.lit(True))
+    assert got == [tuple(r) for r in citations.best_citation(x).collect()]
+
+
+def test_ratios_are_taken_as_long_as_one_may_be_larger(monkeypatch):
+    g = random.Random(9)
+    say = lambda: " ".join(g.choices(["le", "registre", "doit", "être", "tenu", "Port.", ""], k=g.randrange(0, 8)))
+    for _ in range(500):
+        text, others = say(), [say() for _ in range(g.randrange(0, 6))]
+        assert grouping.best_ratio(text, others, {}) == max((grouping.ratio(text, o) for o in others), default=0.0)
+    asked = []
+    monkeypatch.setattr(grouping, "ratio", lambda a, b: asked.append(b) or 1.0)
+    assert grouping.best_ratio("le registre", ["xyz", "Le  registre", "wvu", "le registre"], {}) == 1.0 and asked == ["le registre"]
