@@ -90,6 +90,10 @@ def _bare(x: Column) -> Column:
     return F.btrim(x, F.lit(EDGES))
 
 
+def _spaced_chain(s: Column, may: Column) -> Column:
+    return F.transform(_chain(s, may), lambda t: tx.spaces(t))
+
+
 def _clauses(sentence: Column) -> Column:
     # most sentences are one clause: a pattern is compiled anew for every text that it splits
     split = lambda x, pattern: F.when(x.rlike(pattern), _parts(x, pattern, _bare)).otherwise(F.array(x))
@@ -109,18 +113,18 @@ def _merged(intro: Column, clause: Column) -> Column:
 
 
 def with_candidates(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out array<string>``: all candidates of a cleaned text, in the lattice's order, repeats included."""
+    """Add ``out array<string>``: all candidates of a cleaned text, in the lattice's order, repeats included, spaced: parts of the text are, what is put together is made so."""
     names = df.columns
     x = df.withColumns({"_sentences": _parts(F.col(text), fr.SENTENCE_SPLIT, _bare), "_may": _may_chain(F.col(text))})
     may = F.col("_may")
-    x = x.withColumn("_split", F.transform("_sentences", lambda s: F.struct(s.alias("s"), _clauses(s).alias("c"), _chain(s, may).alias("k"))))
+    x = x.withColumn("_split", F.transform("_sentences", lambda s: F.struct(s.alias("s"), _clauses(s).alias("c"), _spaced_chain(s, may).alias("k"))))
     x = x.withColumn("_intro", F.transform("_split", lambda p: F.struct(p["s"].alias("s"), p["c"].alias("c"), p["k"].alias("k"), _intro(F.coalesce(F.get(p["c"], F.lit(0)), p["s"])).alias("i"))))
 
     def of_clauses(p: Column) -> Column:
         def one(clause: Column, i: Column) -> Column:
-            merged = F.when((i > 0) & (p["i"] != ""), _merged(p["i"], clause))
+            merged = F.when((i > 0) & (p["i"] != ""), tx.spaces(_merged(p["i"], clause)))
             joined = F.when(i + 1 < F.size(p["c"]), F.concat(clause, F.lit("; "), F.get(p["c"], i + 1)))
-            return F.concat(F.array(clause), F.when(clause == p["s"], p["k"]).otherwise(_chain(clause, may)), F.array(merged, joined))
+            return F.concat(F.array(clause), F.when(clause == p["s"], p["k"]).otherwise(_spaced_chain(clause, may)), F.array(merged, joined))
 
         return F.flatten(F.transform(p["c"], one))
 
@@ -165,7 +169,7 @@ def best_citation(df: DataFrame, requirement: str = "requirement", source: str =
     c = F.col
     x = df.withColumns({"_req": without_leading(requirement), "_src": cleaned(source), "_chunk": cleaned(chunk)})
     x = with_candidates(with_candidates(x, "_src", "_of_src"), "_chunk", "_of_chunk")
-    x = x.withColumns({"_want": words(c("_req")), "_long": F.length("_req"), "_need": _holds(F.lower("_req"), fr.CONDITION_CUES), "_cands": F.array_distinct(F.transform(F.concat("_of_src", "_of_chunk"), tx.respaced))})
+    x = x.withColumns({"_want": words(c("_req")), "_long": F.length("_req"), "_need": _holds(F.lower("_req"), fr.CONDITION_CUES), "_cands": F.array_distinct(F.concat("_of_src", "_of_chunk"))})
     # parts are joined by signs that no cue's word holds: what no source holds, no candidate does
     x = x.withColumns({"_needs": c("_need") & (tx.may_match(c("_src"), fr.CONDITION_WORDS) | tx.may_match(c("_chunk"), fr.CONDITION_WORDS)), "_norms": tx.may_match(c("_src"), fr.NORM_WORDS) | tx.may_match(c("_chunk"), fr.NORM_WORDS)})
 
